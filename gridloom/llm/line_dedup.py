@@ -2,9 +2,9 @@
 
 Lines are trimmed of blanks.  A line's shingles are its windows of ``WIDTH`` characters, hashed.
 Signature: one-permutation MinHash over the shingles that start a word (over all shingles where words
-are rare, as in scripts without blanks).  The hashes, sorted, fall into 32 bins by their leading bits,
-and the first of each bin is kept.  Eight bands of four bins are hashed to keys, so lines of Jaccard
-similarity 0.8 meet in some band with probability 1 - (1 - 0.8^4)^8 = 0.985, of 0.9 with 0.9999.
+are rare, as in scripts without blanks).  The hashes fall into eight bands by their leading bits, and
+the three smallest of a band are hashed to its key.  Lines of Jaccard similarity 0.8 agree in a band
+with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
 
 Candidates.  A key's lines are not paired with each other.  They are compared with the key's first
 line; those that match leave, and the others are compared with their next 4, 16, … lines, until no
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, drop_cut, table
 
 WIDTH = 8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 8, 3
 LEAST = 20
 SIMILAR = 0.8
 
@@ -60,18 +60,15 @@ def marks(line: Column, width: int = WIDTH) -> Column:
 
 def banded(lines: DataFrame) -> DataFrame:
     """(h, keys): the band keys of each line."""
-    hashed = lines.select(F.xxhash64("line").alias("h"), marks(F.col("line")).alias("s"))
-    bin_ = lambda x: F.shiftright(x, 59)
     half = BANDS // 2
 
-    def grouped(m: Column) -> Column:
+    def grouped(s: Column) -> Column:
         # an element's leading bits name its band, so the elements alone make the key
-        groups = F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda b: F.filter(m, lambda x: F.shiftright(x, 61) == b))
-        return F.transform(F.filter(groups, lambda g: F.size(g) > 0), lambda g: F.xxhash64(g))
+        bands = F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda b: F.slice(F.filter(s, lambda x: F.shiftright(x, 61) == b), 1, ROWS))
+        return F.transform(F.filter(bands, lambda g: F.size(g) > 0), lambda g: F.xxhash64(g))
 
-    # arrays of one element bind what a lambda would otherwise compute again for every element
-    first = F.transform(F.array("s"), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(s, i - 1)))))
-    return hashed.select("h", F.transform(first, grouped)[0].alias("keys"))
+    # an array of one element binds the hashes, which a lambda would otherwise compute for every band
+    return lines.select(F.xxhash64("line").alias("h"), F.transform(F.array(marks(F.col("line"))), grouped)[0].alias("keys"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
