@@ -2,8 +2,8 @@
 
 Lines are trimmed of blanks.  A line's shingles are its windows of ``WIDTH`` characters, hashed.
 Signature: one-permutation MinHash over the shingles that start a word (over all shingles where words
-are rare, as in scripts without blanks).  The hashes fall into eight bands by their leading bits, and
-the three smallest of a band are hashed to its key.  Lines of Jaccard similarity 0.8 agree in a band
+are rare, as in scripts without blanks).  Eight bounds are spread over the hashes' range, and the
+three hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
 with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
 
 Candidates.  A key's lines are not paired with each other.  They are compared with the key's first
@@ -51,24 +51,27 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(line: Column, width: int = WIDTH) -> Column:
-    """The sorted distinct hashes that a line's signature is taken from."""
+    """The hashes that a line's signature is taken from."""
     words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{{width - 1}}}))\S+"), 1)
-    at_words = F.sort_array(F.array_distinct(F.transform(at_words, lambda x: F.xxhash64(x))))
+    at_words = F.transform(at_words, lambda x: F.xxhash64(x))
     return F.when(words * 16 >= F.octet_length(line), at_words).otherwise(shingles(line, width))
 
 
 def banded(lines: DataFrame) -> DataFrame:
-    """(h, keys): the band keys of each line."""
-    half = BANDS // 2
+    """(h, keys): the band keys of each line.
 
-    def grouped(s: Column) -> Column:
-        # an element's leading bits name its band, so the elements alone make the key
-        bands = F.transform(F.sequence(F.lit(-half), F.lit(half - 1)), lambda b: F.slice(F.filter(s, lambda x: F.shiftright(x, 61) == b), 1, ROWS))
-        return F.transform(F.filter(bands, lambda g: F.size(g) > 0), lambda g: F.xxhash64(g))
-
-    # an array of one element binds the hashes, which a lambda would otherwise compute for every band
-    return lines.select(F.xxhash64("line").alias("h"), F.transform(F.array(marks(F.col("line"))), grouped)[0].alias("keys"))
+    The bounds of the bands are sorted in among the hashes, so a band's key is the hash of the slice
+    after its bound; the first elements follow the last ones again.  A slice of bounds alone has no key.
+    """
+    step = 1 << 61
+    bounds = F.array(*[F.lit(b * step) for b in range(-BANDS // 2, BANDS // 2)])
+    hashed = lines.select(F.xxhash64("line").alias("h"), F.sort_array(F.array_union(bounds, marks(F.col("line")))).alias("s"))
+    ring = hashed.select("h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
+    cuts = [F.slice("s", F.array_position("s", F.lit(b * step)) + 1, F.lit(ROWS)) for b in range(-BANDS // 2, BANDS // 2)]
+    cut_ = ring.select("h", F.array(*cuts).alias("cuts"))
+    keys = [F.when(F.size(F.array_except(F.col("cuts")[b], bounds)) > 0, F.xxhash64(F.col("cuts")[b])) for b in range(BANDS)]
+    return cut_.select("h", F.array_compact(F.array(*keys)).alias("keys"))
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
