@@ -1,0 +1 @@
+"""Structured Streaming forms of the operators."""
