@@ -18,6 +18,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def bind(value: Column, f):
+    """``f(value)`` with the value computed once: an expression that uses it often would repeat it in the plan."""
+    return F.transform(F.array(value), f)[0]
+
+
 def make(tlx, dx, rx, tly, ry, dy, rsx, rsy) -> Column:
     v = [_c(x).cast("double") for x in (tlx, dx, rx, tly, ry, dy)] + [_c(x).cast("int") for x in (rsx, rsy)]
     return F.struct(*[x.alias(n) for x, n in zip(v, FIELDS)])
@@ -208,8 +213,8 @@ def spatial_to_raster(fp: Column, x, y, op: str = "floor", dtype: str | None = N
         if dtype in ("float", "double"):
             out.append(v.cast(dtype))
             continue
-        s = F.rint(v * d) / d
-        out.append({"floor": F.floor, "ceil": F.ceil, "rint": F.rint, "none": lambda z: z}[op](s).cast(dtype))
+        rounding = {"floor": F.floor, "ceil": F.ceil, "rint": F.rint, "none": lambda z: z}[op]
+        out.append(bind(F.struct(v.alias("v"), d.alias("d")), lambda t: rounding(F.rint(t["v"] * t["d"]) / t["d"])).cast(dtype))
     return out[0], out[1]
 
 
@@ -234,25 +239,19 @@ def equals(a: Column, b: Column) -> Column:
 
 def almost_equals(a: Column, b: Column, significant: float | None = None) -> Column:
     s = current().significant if significant is None else significant
-    eps = _far(a, b) * F.lit(10.0**-s)
-    ok = (a["rsx"] == b["rsx"]) & (a["rsy"] == b["rsy"])
     ca, cb = corners(a), corners(b)
-    for k in ("tl", "bl", "br", "tr"):
-        ok = ok & (F.abs(ca[k][0] - cb[k][0]) < eps) & (F.abs(ca[k][1] - cb[k][1]) < eps)
-    return ok
+    off = F.greatest(*[F.abs(ca[k][i] - cb[k][i]) for k in ("tl", "bl", "br", "tr") for i in (0, 1)])
+    return (a["rsx"] == b["rsx"]) & (a["rsy"] == b["rsy"]) & (off < _far(a, b) * F.lit(10.0**-s))
 
 
 def same_grid(a: Column, b: Column, significant: float | None = None) -> Column:
     """Whether both lie on one grid: pixel vectors agree over the longer footprint, and the top left corners are whole pixels apart."""
     s = current().significant if significant is None else significant
-    eps = _far(a, b) * F.lit(10.0**-s)
     w, h = F.greatest(a["rsx"], b["rsx"]), F.greatest(a["rsy"], b["rsy"])
-    ok = F.lit(True)
-    for k, n in (("dx", w), ("ry", w), ("rx", h), ("dy", h)):
-        ok = ok & (F.abs(a[k] - b[k]) * n < eps)
+    off = [F.abs(a[k] - b[k]) * n for k, n in (("dx", w), ("ry", w), ("rx", h), ("dy", h))]
     u, v = inverse(a, b["tlx"], b["tly"])
     x, y = at(a, F.rint(u), F.rint(v))
-    return ok & (F.abs(x - b["tlx"]) < eps) & (F.abs(y - b["tly"]) < eps)
+    return F.greatest(*off, F.abs(x - b["tlx"]), F.abs(y - b["tly"])) < _far(a, b) * F.lit(10.0**-s)
 
 
 def boxes_share_area(a, b) -> Column:
@@ -312,16 +311,26 @@ def intersection(fp: Column, box: tuple[Column, Column, Column, Column]) -> Colu
     Null where they share no area.  Values are snapped before they are floored or ceiled.
     """
     a = bounds(fp)
-    minx, miny = F.greatest(a[0], box[0]), F.greatest(a[1], box[1])
-    maxx, maxy = F.least(a[2], box[2]), F.least(a[3], box[3])
-    far = F.greatest(*[F.abs(v) for v in (minx, miny, maxx, maxy)], F.lit(1.0))
-    d = F.floor(F.least(F.abs(fp["dx"]), F.abs(fp["dy"])) / (far * F.lit(10.0**-current().significant))).cast("double")
-    snap = lambda v: F.rint(v * d) / d
-    x0, y0 = F.floor(snap((minx - fp["tlx"]) / fp["dx"])), F.floor(snap((maxy - fp["tly"]) / fp["dy"]))
-    tlx, tly = fp["tlx"] + x0 * fp["dx"], fp["tly"] + y0 * fp["dy"]
-    w = F.greatest(F.lit(1), F.ceil(snap((maxx - tlx) / fp["dx"])))
-    h = F.greatest(F.lit(1), F.ceil(snap((miny - tly) / fp["dy"])))
-    return F.when(boxes_share_area(a, box), make(tlx, fp["dx"], fp["rx"], tly, fp["ry"], fp["dy"], w, h))
+    shared = F.struct(F.greatest(a[0], box[0]).alias("minx"), F.greatest(a[1], box[1]).alias("miny"), F.least(a[2], box[2]).alias("maxx"), F.least(a[3], box[3]).alias("maxy"))
+
+    def place(g: Column) -> Column:
+        far = F.greatest(*[F.abs(g[n]) for n in ("minx", "miny", "maxx", "maxy")], F.lit(1.0))
+        d = F.floor(F.least(F.abs(fp["dx"]), F.abs(fp["dy"])) / (far * F.lit(10.0**-current().significant))).cast("double")
+
+        def corner(d: Column) -> Column:
+            snap = lambda v: F.rint(v * d) / d
+            x0, y0 = F.floor(snap((g["minx"] - fp["tlx"]) / fp["dx"])), F.floor(snap((g["maxy"] - fp["tly"]) / fp["dy"]))
+
+            def whole(tl: Column) -> Column:
+                w = F.greatest(F.lit(1), F.ceil(snap((g["maxx"] - tl["x"]) / fp["dx"])))
+                h = F.greatest(F.lit(1), F.ceil(snap((g["miny"] - tl["y"]) / fp["dy"])))
+                return make(tl["x"], fp["dx"], fp["rx"], tl["y"], fp["ry"], fp["dy"], w, h)
+
+            return bind(F.struct((fp["tlx"] + x0 * fp["dx"]).alias("x"), (fp["tly"] + y0 * fp["dy"]).alias("y")), whole)
+
+        return F.when((g["minx"] < g["maxx"]) & (g["miny"] < g["maxy"]), bind(d, corner))
+
+    return bind(shared, place)
 
 
 def move(fp: Column, tl, tr=None, br=None) -> Column:
