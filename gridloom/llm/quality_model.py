@@ -1,9 +1,10 @@
 """A quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on each text.  Expectation-maximisation treats the
-quality as hidden and each labeller as a noisy channel with a distribution of votes for good and for
-bad texts; it runs on the counts of vote patterns over all documents, of which there are at most
-3 ** 8 however large the corpus.  Posteriors of the patterns are soft labels for a linear scorer over
+Heuristic labellers, each for one kind of damage, vote bad or nothing on each text.  Several may vote
+on one text, and a text may suffer from one kind alone, so silence of a labeller is weak evidence.
+Expectation-maximisation treats the quality as hidden and estimates how often each labeller votes on
+bad texts and on good ones; it runs on the counts of vote patterns over all documents, of which there
+are at most 2 ** 8 however large the corpus.  Posteriors of the patterns are soft labels for a linear scorer over
 hashed features (word shapes, neighbouring shapes, short words), trained by logistic regression on
 the ``SAMPLE_DOCS`` documents with the smallest hashes.  A text of score 0.5 or more is kept.
 """
@@ -25,6 +26,7 @@ from .common import cut, table
 
 SAMPLE_DOCS = 4000
 DIMENSIONS = 1 << 14
+FALSE_VOTES = 0.001
 SYMBOLS = b"#*$%&|<>"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = b"abcdefghijklmnopqrstuvwxyz"
@@ -35,34 +37,36 @@ LABELLERS = ("symbols", "capitals", "exclamations", "sentences", "repetition", "
 
 
 def votes(data: bytes) -> int:
-    """The labellers' votes as digits of a number in base 3: 0 bad, 1 none, 2 good."""
+    """The labellers' votes as bits of a number; a set bit is a vote for bad."""
     words = data.split()
     n, size = len(words), len(data)
     if not n:
-        return 0
+        return (1 << len(LABELLERS)) - 1
     symbols = size - len(data.translate(None, SYMBOLS))
     upper, lower = (size - len(data.translate(None, x)) for x in (_UPPER, _LOWER))
     shouts = data.count(b"!")
-    stops = data.count(b".") + data.count(b"?")
+    stops = data.count(b".") + data.count(b"?") + shouts
     bare = sum(not w.translate(None, b"|*#-_=~<>&$%!.,;:") for w in words)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    different = len(set(words)) / n
     held = sum(map(len, words)) / n
     got = (
-        0 if symbols > 0.03 * size else 2 if symbols < 0.005 * size else 1,
-        0 if upper > 0.3 * (upper + lower) and upper > 10 else 2 if upper < 0.15 * (upper + lower) else 1,
-        0 if shouts > 0.1 * n and shouts > 3 else 2 if shouts < 0.02 * n else 1,
-        1 if n < 20 else 0 if stops < 0.005 * n else 2,
-        1 if n < 50 else 0 if different < 0.3 else 2 if different > 0.4 else 1,
-        0 if bare > 0.15 * n else 2 if bare < 0.02 * n else 1,
-        0 if not 2 < held < 20 else 2 if 3 < held < 12 else 1,
-        1 if len(lines) < 4 else 0 if len(set(lines)) < 0.6 * len(lines) else 2,
+        symbols > 0.03 * size and symbols > 3,
+        upper > 0.4 * (upper + lower) and upper > 20,
+        shouts > 0.1 * n and shouts > 3,
+        n >= 100 and stops < 0.003 * n,
+        n >= 30 and len(set(words)) < 0.25 * n and len(set(words)) < 2000,
+        bare > 0.15 * n and bare > 3,
+        not 1.5 < held < 30 and n >= 20,
+        len(lines) >= 6 and len(set(lines)) < 0.5 * len(lines),
     )
-    return sum(v * 3**k for k, v in enumerate(got))
+    return sum(1 << k for k, v in enumerate(got) if v)
 
 
 def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[list[int], list[float]]:
-    """Hashed features and their shares: shapes, pairs of neighbouring shapes, and words of three bytes at most."""
+    """Hashed features: shapes, pairs of neighbouring shapes, and words of three bytes at most.
+
+    Values are roots of shares; ten words are added to the count, so that a few words say little.
+    """
     words = data.split()
     n = len(words)
     if not n:
@@ -72,36 +76,34 @@ def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[list[int], list
     for kind, c in ((b"1", Counter(shapes)), (b"2", Counter(zip(shapes, shapes[1:]))), (b"w", Counter(w for w in words if len(w) < 4))):
         for x, k in c.items():
             got[zlib.crc32(kind + (b"\0".join(x) if kind == b"2" else x)[:64]) % dimensions] += k
-    return list(got), [math.sqrt(k / n) for k in got.values()]
+    return list(got), [math.sqrt(k / (n + 10)) for k in got.values()]
 
 
-def estimate(patterns: dict[int, int], rounds: int = 100, believed: float = 0.8) -> tuple[dict[int, float], np.ndarray]:
-    """Posterior of good for each vote pattern, and P(vote | quality) by labeller: expectation-maximisation.
+def estimate(patterns: dict[int, int], rounds: int = 100) -> tuple[dict[int, float], np.ndarray]:
+    """Posterior of good for each vote pattern, and P(vote | bad), P(vote | good) by labeller: expectation-maximisation.
 
-    The start believes every labeller with the same odds, which fixes which hidden class is good.
+    The start takes texts with a vote for bad ones, which fixes which hidden class is which.  A labeller
+    is held to vote on ``FALSE_VOTES`` of the good texts at most; without that bound a kind of damage that
+    one labeller alone sees would pass for its error.
     """
     keys = sorted(patterns)
     k = len(LABELLERS)
-    digit = np.array([[p // 3**j % 3 for j in range(k)] for p in keys]).reshape(-1, k)
+    vote = np.array([[p >> j & 1 for j in range(k)] for p in keys], float).reshape(-1, k)
     weight = np.array([patterns[p] for p in keys], float)
-    balance = (digit - 1).sum(axis=1)
-    post = 1 / (1 + np.exp(-balance * math.log(believed / (1 - believed))))
-    table_ = np.full((2, k, 3), 1 / 3)
+    post = np.where(vote.any(axis=1), 0.1, 0.95)
+    rate = np.zeros((2, k))
     for _ in range(rounds):
         mass = np.stack([weight * (1 - post), weight * post])
         prior = (mass.sum(axis=1) + 1) / (weight.sum() + 2)
-        for y in range(2):
-            for v in range(3):
-                table_[y, :, v] = (mass[y] @ (digit == v)) + 1
-        table_ /= table_.sum(axis=2, keepdims=True)
-        log = np.log(table_)
-        like = np.stack([log[y, np.arange(k), digit].sum(axis=1) + math.log(prior[y]) for y in range(2)])
-        new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
-        if len(new) == 0 or np.abs(new - post).max() < 1e-9:
-            post = new
-            break
+        rate[0] = (mass[0] @ vote + 1) / (mass[0].sum() + 5)
+        rate[1] = np.minimum((mass[1] @ vote + 0.1) / (mass[1].sum() + 100), FALSE_VOTES)
+        log = np.log(prior)[:, None] + np.log(rate) @ vote.T + np.log1p(-rate) @ (1 - vote.T)
+        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
+        done = len(new) == 0 or np.abs(new - post).max() < 1e-9
         post = new
-    return dict(zip(keys, post.tolist())), table_
+        if done:
+            break
+    return dict(zip(keys, post.tolist())), rate
 
 
 def fit_linear(rows: list[tuple[list[int], list[float], float]], dimensions: int = DIMENSIONS, rounds: int = 15, rate: float = 0.3, ridge: float = 1e-5) -> np.ndarray:
