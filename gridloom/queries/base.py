@@ -28,6 +28,11 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fp():
+    """The column of footprints; made on use, as columns need a session."""
+    return F.col("fp")
+
+
 def footprints(spark, sf_dir: str) -> DataFrame:
     """(k, fp) of the suppliers."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")

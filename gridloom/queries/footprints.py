@@ -4,18 +4,17 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
 from ..operators.spatial_join import footprint_pairs
-from .base import CUS, SUP, customer_points, flat, footprints, query, table
+from .base import CUS, SUP, customer_points, flat, footprints, fp, query, table
 
-fp = F.col("fp")
 FLAT = "tlx, dx, 0.0::DOUBLE AS rx, tly, 0.0::DOUBLE AS ry, dy"
 
 
 @query(f"WITH {SUP} SELECT k, tlx, dx, 0.0::DOUBLE AS rx, tly, 0.0::DOUBLE AS ry, dy, rsx, rsy, rsx * 0.5 AS sizex, rsy * 0.5 AS sizey, rsx * 0.5 * rsy * 0.5 AS area, 2 * (rsx * 0.5 + rsy * 0.5) AS length, least(rsx, rsy) * 0.25 AS semiminor, greatest(rsx, rsy) * 0.25 AS semimajor, 0.5::DOUBLE AS scalex, -0.5::DOUBLE AS scaley, 0.5::DOUBLE AS pxsizex, 0.0::DOUBLE AS angle FROM fp".replace("rsx * 0.5", "rsx * 0.5::DOUBLE").replace("rsy * 0.5", "rsy * 0.5::DOUBLE").replace("0.25", "0.25::DOUBLE"))
 def fp_accessors(spark, sf_dir):
-    sx, sy = fpx.size(fp)
-    lo, hi = fpx.semiaxes(fp)
-    cx, cy = fpx.scale(fp)
-    return footprints(spark, sf_dir).select("k", *flat(fp), sx.alias("sizex"), sy.alias("sizey"), fpx.area(fp).alias("area"), fpx.length(fp).alias("length"), lo.alias("semiminor"), hi.alias("semimajor"), cx.alias("scalex"), cy.alias("scaley"), fpx.pxsize(fp)[0].alias("pxsizex"), fpx.angle(fp).alias("angle"))
+    sx, sy = fpx.size(fp())
+    lo, hi = fpx.semiaxes(fp())
+    cx, cy = fpx.scale(fp())
+    return footprints(spark, sf_dir).select("k", *flat(fp()), sx.alias("sizex"), sy.alias("sizey"), fpx.area(fp()).alias("area"), fpx.length(fp()).alias("length"), lo.alias("semiminor"), hi.alias("semimajor"), cx.alias("scalex"), cy.alias("scaley"), fpx.pxsize(fp())[0].alias("pxsizex"), fpx.angle(fp()).alias("angle"))
 
 
 _CORNERS = {"tl": ("0", "0"), "bl": ("0", "1"), "br": ("1", "1"), "tr": ("1", "0"), "t": ("0.5", "0"), "l": ("0", "0.5"), "b": ("0.5", "1"), "r": ("1", "0.5"), "c": ("0.5", "0.5")}
@@ -23,12 +22,12 @@ _CORNERS = {"tl": ("0", "0"), "bl": ("0", "1"), "br": ("1", "1"), "tr": ("1", "0
 
 @query(f"WITH {SUP} SELECT k, " + ", ".join(f"tlx + rsx * {x}::DOUBLE * dx AS {n}_x, tly + rsy * {y}::DOUBLE * dy AS {n}_y" for n, (x, y) in _CORNERS.items()) + " FROM fp")
 def fp_corners(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", *[c[i].alias(f"{n}_{'xy'[i]}") for n, c in fpx.corners(fp).items() for i in (0, 1)])
+    return footprints(spark, sf_dir).select("k", *[c[i].alias(f"{n}_{'xy'[i]}") for n, c in fpx.corners(fp()).items() for i in (0, 1)])
 
 
 @query(f"WITH {SUP} SELECT k, minx, miny, maxx, maxy, minx AS e0, maxx AS e1, miny AS e2, maxy AS e3 FROM fp")
 def fp_bounds(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", *[c.alias(n) for n, c in zip(("minx", "miny", "maxx", "maxy"), fpx.bounds(fp))], *[c.alias(f"e{i}") for i, c in enumerate(fpx.extent(fp))])
+    return footprints(spark, sf_dir).select("k", *[c.alias(n) for n, c in zip(("minx", "miny", "maxx", "maxy"), fpx.bounds(fp()))], *[c.alias(f"e{i}") for i, c in enumerate(fpx.extent(fp()))])
 
 
 _RP = {"rtl": ("0", "0"), "rbl": ("0", "rsy - 1"), "rbr": ("rsx - 1", "rsy - 1"), "rtr": ("rsx - 1", "0"), "rt": ("(rsx - 1) // 2", "0"), "rl": ("0", "(rsy - 1) // 2"), "rb": ("(rsx - 1) // 2", "rsy - 1"), "rr": ("rsx - 1", "(rsy - 1) // 2"), "rc": ("(rsx - 1) // 2", "(rsy - 1) // 2")}
@@ -36,24 +35,24 @@ _RP = {"rtl": ("0", "0"), "rbl": ("0", "rsy - 1"), "rbr": ("rsx - 1", "rsy - 1")
 
 @query(f"WITH {SUP} SELECT k, " + ", ".join(f"CAST({v[i]} AS INTEGER) AS {n}{'xy'[i]}" for n, v in _RP.items() for i in (0, 1)) + ", CAST(least(rsx, rsy) // 2 AS INTEGER) AS rsemiminor, CAST(greatest(rsx, rsy) // 2 AS INTEGER) AS rsemimajor FROM fp")
 def fp_raster_indices(spark, sf_dir):
-    lo, hi = fpx.rsemiaxes(fp)
-    return footprints(spark, sf_dir).select("k", *[v[i].alias(f"{n}{'xy'[i]}") for n, v in fpx.raster_points(fp).items() for i in (0, 1)], lo.alias("rsemiminor"), hi.alias("rsemimajor"))
+    lo, hi = fpx.rsemiaxes(fp())
+    return footprints(spark, sf_dir).select("k", *[v[i].alias(f"{n}{'xy'[i]}") for n, v in fpx.raster_points(fp()).items() for i in (0, 1)], lo.alias("rsemiminor"), hi.alias("rsemimajor"))
 
 
 @query(f"WITH {SUP} SELECT k, rsx * dx AS lrvec_x, 0.0::DOUBLE AS lrvec_y, 0.0::DOUBLE AS tbvec_x, rsy * dy AS tbvec_y, rsx * dx AS diagvec_x, rsy * dy AS diagvec_y, dx AS pxlrvec_x, 0.0::DOUBLE AS pxlrvec_y, 0.0::DOUBLE AS pxtbvec_x, dy AS pxtbvec_y, dx AS pxvec_x, dy AS pxvec_y FROM fp")
 def fp_pixel_vectors(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", *[v[i].alias(f"{n}_{'xy'[i]}") for n, v in fpx.vectors(fp).items() for i in (0, 1)])
+    return footprints(spark, sf_dir).select("k", *[v[i].alias(f"{n}_{'xy'[i]}") for n, v in fpx.vectors(fp()).items() for i in (0, 1)])
 
 
 @query(f"WITH {SUP} SELECT k, CAST(rsx AS BIGINT) * rsy AS rarea, CAST(rsx AS BIGINT) * rsy - CAST(greatest(0, rsx - 2) AS BIGINT) * greatest(0, rsy - 2) AS rlength FROM fp")
 def fp_rarea_rlength(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", fpx.rarea(fp).alias("rarea"), fpx.rlength(fp).alias("rlength"))
+    return footprints(spark, sf_dir).select("k", fpx.rarea(fp()).alias("rarea"), fpx.rlength(fp()).alias("rlength"))
 
 
 @query(f"WITH {SUP}, a AS (SELECT k, CASE WHEN k % 2 = 0 THEN 45 ELSE 90 END AS deg, rsx, rsy FROM fp) SELECT k, CAST(deg AS DOUBLE) AS angle, round(rsx * 0.5::DOUBLE, 6) AS sizex, round(rsy * 0.5::DOUBLE, 6) AS sizey, 0.5::DOUBLE AS scalex, -0.5::DOUBLE AS scaley FROM a")
 def fp_rotated_scale_angle(spark, sf_dir):
     t = F.radians(F.when(F.col("k") % 2 == 0, 45.0).otherwise(90.0))
-    turned = fpx.make(fp["tlx"], fp["dx"] * F.cos(t), -fp["dy"] * F.sin(t), fp["tly"], fp["dx"] * F.sin(t), fp["dy"] * F.cos(t), fp["rsx"], fp["rsy"])
+    turned = fpx.make(fp()["tlx"], fp()["dx"] * F.cos(t), -fp()["dy"] * F.sin(t), fp()["tly"], fp()["dx"] * F.sin(t), fp()["dy"] * F.cos(t), fp()["rsx"], fp()["rsy"])
     g = F.col("g")
     r = lambda c: F.round(c, 6)
     s, c = fpx.size(g), fpx.scale(g)
@@ -62,18 +61,18 @@ def fp_rotated_scale_angle(spark, sf_dir):
 
 @query(f"WITH {SUP} SELECT k, CASE WHEN true THEN format('Footprint(tl=({{:.6f}}, {{:.6f}}), scale=({{:.6f}}, {{:.6f}}), rsize=({{}}, {{}}))', tlx, tly, dx, dy, rsx, rsy) END AS text FROM fp")
 def fp_text(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", fpx.text(fp).alias("text"))
+    return footprints(spark, sf_dir).select("k", fpx.text(fp()).alias("text"))
 
 
 @query(f"WITH {SUP} SELECT k, [dx, 0.0::DOUBLE, tlx, 0.0::DOUBLE, dy, tly] AS aff6, [tlx, dx, 0.0::DOUBLE, tly, 0.0::DOUBLE, dy] AS gt FROM fp")
 def fp_affine_order(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", fpx.affine(fp).alias("aff6"), fpx.gt(fp).alias("gt"))
+    return footprints(spark, sf_dir).select("k", fpx.affine(fp()).alias("aff6"), fpx.gt(fp()).alias("gt"))
 
 
 def _derived(name, sql, make):
     @query(sql, name)
     def run(spark, sf_dir):
-        return footprints(spark, sf_dir).select("k", make(fp).alias("fp")).select("k", *flat(fp))
+        return footprints(spark, sf_dir).select("k", make(fp()).alias("fp")).select("k", *flat(fp()))
 
 
 _derived("fp_dilate", f"WITH {SUP} SELECT k, tlx - 3 * dx AS tlx, dx, 0.0::DOUBLE AS rx, tly - 1 * dy AS tly, 0.0::DOUBLE AS ry, dy, rsx + 5 AS rsx, rsy + 5 AS rsy FROM fp", lambda f: fpx.dilate(f, 3, 2, 1, 4))
@@ -101,7 +100,7 @@ def fp_share_area(spark, sf_dir):
 @query(_PAIRS + ", i AS (SELECT k1, k2, tlx + floor((minx - tlx) / dx) * dx AS x, tly + floor((maxy - tly) / dy) * dy AS y, maxx, miny, dx, dy FROM pairs) SELECT k1, k2, x AS tlx, dx, 0.0::DOUBLE AS rx, y AS tly, 0.0::DOUBLE AS ry, dy, CAST(greatest(1, ceil((maxx - x) / dx)) AS INTEGER) AS rsx, CAST(greatest(1, ceil((miny - y) / dy)) AS INTEGER) AS rsy FROM i")
 def fp_intersection_pairs(spark, sf_dir):
     p = footprint_pairs(footprints(spark, sf_dir), "k")
-    return p.select("k1", "k2", fpx.intersection(F.col("fp1"), fpx.bounds(F.col("fp2"))).alias("fp")).select("k1", "k2", *flat(fp))
+    return p.select("k1", "k2", fpx.intersection(F.col("fp1"), fpx.bounds(F.col("fp2"))).alias("fp")).select("k1", "k2", *flat(fp()))
 
 
 @query(f"WITH {SUP} SELECT a.k AS k1, b.k AS k2 FROM fp a, fp b WHERE a.k < b.k AND a.k % 10 = 0 AND b.k % 10 = 5 AND ((b.tlx - a.tlx) / 0.5) % 1 = 0 AND ((b.tly - a.tly) / 0.5) % 1 = 0")
@@ -109,53 +108,53 @@ def fp_same_grid(spark, sf_dir):
     f = footprints(spark, sf_dir)
     # all footprints of this layer have one pixel size; pairs meet by the fraction of their corner
     part = lambda g: (F.pmod(g["tlx"], F.lit(0.5)), F.pmod(g["tly"], F.lit(0.5)))
-    a = f.where("k % 10 = 0").select(F.col("k").alias("k1"), fp.alias("fp1"), *[c.alias(f"a{i}") for i, c in enumerate(part(fp))])
-    b = f.where("k % 10 = 5").select(F.col("k").alias("k2"), fp.alias("fp2"), *[c.alias(f"b{i}") for i, c in enumerate(part(fp))])
+    a = f.where("k % 10 = 0").select(F.col("k").alias("k1"), fp().alias("fp1"), *[c.alias(f"a{i}") for i, c in enumerate(part(fp()))])
+    b = f.where("k % 10 = 5").select(F.col("k").alias("k2"), fp().alias("fp2"), *[c.alias(f"b{i}") for i, c in enumerate(part(fp()))])
     j = a.join(b, (F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1")) & (F.col("k1") < F.col("k2")))
     return j.where(fpx.same_grid(F.col("fp1"), F.col("fp2"))).select("k1", "k2")
 
 
 @query(f"WITH {SUP} SELECT k, true AS same, false AS other, k % 2 = 0 AS nearly, true AS exact FROM fp")
 def fp_equality(spark, sf_dir):
-    near = fpx.moved(fp, F.when(F.col("k") % 2 == 0, 1e-8).otherwise(1.0), 0, fp["rsx"], fp["rsy"])
-    return footprints(spark, sf_dir).select("k", fpx.equals(fp, fp).alias("same"), fpx.equals(fp, fpx.dilate(fp, 1)).alias("other"), fpx.almost_equals(fp, near, 7.0).alias("nearly"), (fpx.key(fp) == fpx.key(fp)).alias("exact"))
+    near = fpx.moved(fp(), F.when(F.col("k") % 2 == 0, 1e-8).otherwise(1.0), 0, fp()["rsx"], fp()["rsy"])
+    return footprints(spark, sf_dir).select("k", fpx.equals(fp(), fp()).alias("same"), fpx.equals(fp(), fpx.dilate(fp(), 1)).alias("other"), fpx.almost_equals(fp(), near, 7.0).alias("nearly"), (fpx.key(fp()) == fpx.key(fp())).alias("exact"))
 
 
 @query(f"WITH {SUP} SELECT k, CAST(floor((tlx + 3.3 - tlx) / dx) AS INTEGER) AS col, CAST(floor((tly - 2.2 - tly) / dy) AS INTEGER) AS row FROM fp")
 def spatial_to_raster(spark, sf_dir):
-    c, r = fpx.spatial_to_raster(fp, fp["tlx"] + 3.3, fp["tly"] - 2.2)
+    c, r = fpx.spatial_to_raster(fp(), fp()["tlx"] + 3.3, fp()["tly"] - 2.2)
     return footprints(spark, sf_dir).select("k", c.alias("col"), r.alias("row"))
 
 
 @query(f"WITH {SUP} SELECT k, tlx + 3 * dx AS x, tly + 7 * dy AS y FROM fp")
 def raster_to_spatial(spark, sf_dir):
-    x, y = fpx.raster_to_spatial(fp, 3, 7)
+    x, y = fpx.raster_to_spatial(fp(), 3, 7)
     return footprints(spark, sf_dir).select("k", x.alias("x"), y.alias("y"))
 
 
 def mesh(df):
     """(k, fp, col, row) of all pixels of each footprint."""
-    d = df.withColumn("row", F.explode(F.sequence(F.lit(0), fp["rsy"] - 1)))
-    return d.withColumn("col", F.explode(F.sequence(F.lit(0), fp["rsx"] - 1)))
+    d = df.withColumn("row", F.explode(F.sequence(F.lit(0), fp()["rsy"] - 1)))
+    return d.withColumn("col", F.explode(F.sequence(F.lit(0), fp()["rsx"] - 1)))
 
 
 @query(f"WITH {SUP} SELECT k, col, row, tlx + col * dx AS x, tly + row * dy AS y FROM (SELECT *, CAST(unnest(range(rsx)) AS INTEGER) AS col FROM (SELECT *, CAST(unnest(range(rsy)) AS INTEGER) AS row FROM fp))")
 def meshgrid_spatial(spark, sf_dir):
-    x, y = fpx.at(fp, F.col("col"), F.col("row"))
+    x, y = fpx.at(fp(), F.col("col"), F.col("row"))
     return mesh(footprints(spark, sf_dir)).select("k", "col", "row", x.alias("x"), y.alias("y"))
 
 
 @query(f"WITH {SUP} SELECT k, col, row, CAST(floor((col * dx + 2) / (2 * dx)) AS INTEGER) AS ocol, CAST(floor((row * dy - 2) / (2 * dy)) AS INTEGER) AS orow FROM (SELECT *, CAST(unnest(range(rsx)) AS INTEGER) AS col FROM (SELECT *, CAST(unnest(range(rsy)) AS INTEGER) AS row FROM fp))")
 def meshgrid_raster_in(spark, sf_dir):
-    other = fpx.make(fp["tlx"] - 2, fp["dx"] * 2, 0.0, fp["tly"] + 2, 0.0, fp["dy"] * 2, fp["rsx"], fp["rsy"])
-    c, r = fpx.spatial_to_raster(other, *fpx.at(fp, F.col("col"), F.col("row")))
+    other = fpx.make(fp()["tlx"] - 2, fp()["dx"] * 2, 0.0, fp()["tly"] + 2, 0.0, fp()["dy"] * 2, fp()["rsx"], fp()["rsy"])
+    c, r = fpx.spatial_to_raster(other, *fpx.at(fp(), F.col("col"), F.col("row")))
     return mesh(footprints(spark, sf_dir)).select("k", "col", "row", c.alias("ocol"), r.alias("orow"))
 
 
 @query(f"WITH {SUP} SELECT k, 0 AS x0, CAST(rsx - 3 AS INTEGER) AS x1, CAST(2 AS INTEGER) AS y0, CAST(rsy AS INTEGER) AS y1 FROM fp")
 def slice_in_clip(spark, sf_dir):
-    a = fpx.moved(fp, -3, 2, fp["rsx"], fp["rsy"])
-    return footprints(spark, sf_dir).select("k", *[c.alias(n) for n, c in fpx.slice_in(a, fp, clip=True).items()])
+    a = fpx.moved(fp(), -3, 2, fp()["rsx"], fp()["rsy"])
+    return footprints(spark, sf_dir).select("k", *[c.alias(n) for n, c in fpx.slice_in(a, fp(), clip=True).items()])
 
 
 @query(f"WITH {SUP}, {CUS} SELECT f.k AS k1, c.k AS k2, f.tlx + floor((c.x - f.tlx) / 0.5) * 0.5 AS tlx, f.tly + floor((c.y - f.tly) / -0.5) * -0.5 AS tly FROM fp f JOIN cus c ON c.x > f.minx AND c.x < f.maxx AND c.y > f.miny AND c.y < f.maxy")
@@ -164,11 +163,11 @@ def fp_intersection_points(spark, sf_dir):
 
     a = footprints(spark, sf_dir).select(F.col("k").alias("k1"), "fp")
     b = customer_points(spark, sf_dir).select(F.col("k").alias("k2"), "x", "y")
-    j = overlap_join(a, b, fpx.bounds(fp), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), 16.0, strict=False)
-    m = fpx.bounds(fp)
+    j = overlap_join(a, b, fpx.bounds(fp()), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), 16.0, strict=False)
+    m = fpx.bounds(fp())
     j = j.where((F.col("x") > m[0]) & (F.col("x") < m[2]) & (F.col("y") > m[1]) & (F.col("y") < m[3]))
-    c, r = fpx.spatial_to_raster(fp, F.col("x"), F.col("y"))
-    x, y = fpx.at(fp, c, r)
+    c, r = fpx.spatial_to_raster(fp(), F.col("x"), F.col("y"))
+    x, y = fpx.at(fp(), c, r)
     return j.select("k1", "k2", x.alias("tlx"), y.alias("tly"))
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..footprint import Footprint
 from ..functions import footprint as fpx
 from ..operators import focal, raster, rasterize, recipe, spatial_join, tiling
-from .base import CUS, MOSAIC, ORD, PART, SUP, customer_points, flat, footprints, mosaic, order_pixels, part_boxes, query, table
+from .base import CUS, MOSAIC, ORD, PART, SUP, customer_points, flat, footprints, fp, mosaic, order_pixels, part_boxes, query, table
 
-fp = F.col("fp")
 MOS_FP = Footprint.of((0, 1000), (128, 1000), (128, 1000))
 
 
@@ -246,7 +245,7 @@ _WIN = f"WITH {SUP}, w AS (SELECT k, CAST(k % 50 AS INTEGER) AS x0, CAST(k % 50
 
 def _windows(spark, sf_dir):
     k = F.col("k")
-    w = footprints(spark, sf_dir).select("k", (k % 50).cast("int").alias("x0"), (k % 50 + fp["rsx"]).cast("int").alias("x1"), (k % 30).cast("int").alias("y0"), (k % 30 + fp["rsy"]).cast("int").alias("y1"))
+    w = footprints(spark, sf_dir).select("k", (k % 50).cast("int").alias("x0"), (k % 50 + fp()["rsx"]).cast("int").alias("x1"), (k % 30).cast("int").alias("y0"), (k % 30 + fp()["rsy"]).cast("int").alias("y1"))
     return spatial_join.tiles_of_windows(w, 8, 8)
 
 
@@ -278,7 +277,7 @@ def topk_dense_tiles(spark, sf_dir):
 
 @query(f"WITH {SUP} SELECT k, CAST(rsx AS BIGINT) * rsy AS rarea FROM fp ORDER BY rarea DESC, k LIMIT 5")
 def topk_area(spark, sf_dir):
-    return footprints(spark, sf_dir).select("k", fpx.rarea(fp).alias("rarea")).orderBy(F.desc("rarea"), "k").limit(5)
+    return footprints(spark, sf_dir).select("k", fpx.rarea(fp()).alias("rarea")).orderBy(F.desc("rarea"), "k").limit(5)
 
 
 @query(_WIN + ", f AS (SELECT tx, ty, min(k) AS prod FROM t GROUP BY 1, 2) SELECT tx, ty, prod, row_number() OVER (ORDER BY prod, -ty, tx) - 1 AS rank FROM f")
