@@ -7,11 +7,16 @@ three hashes that follow a bound make a band's key.  Lines of Jaccard similarity
 with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
 
 Candidates.  A key's lines are not paired with each other.  They are compared with the key's first
-line; those that match leave, and the others are compared with their next 4, 16, … lines, until no
-key has two lines left.  A class of thousands of near copies costs one comparison a line and key, and
-only lines that really differ cost more.  Every comparison is the exact Jaccard similarity of the two
-sets of all shingles.  Components of the links are found by distributed union-find, and the first line of
-each, by document and line number, stays.  Lines under ``LEAST`` characters are left alone.
+line, and those that do not match with ``REPS`` more.  The links so far make components; a key whose
+lines are all in one is done.  The lines outside their key's largest component are mostly ones that
+share a passage and differ otherwise.  Pairs of these are found by a prefix filter, which is exact: every
+pair that is similar enough shares one of its rarest shingles, while a passage that many lines hold is
+common and pairs nothing.  So a class of thousands of near copies costs a few comparisons a line and key,
+and lines that only share a passage cost none with each other.  Every comparison is the exact Jaccard
+similarity of the two sets of all shingles.  A link from a line outside the largest component to one
+inside is missed where only lines that were not compared make it.  Components of all links are found by distributed
+union-find, and the first line of each, by document and line number, stays.  Lines under ``LEAST``
+characters are left alone.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ WIDTH = 8
 BANDS, ROWS = 8, 3
 LEAST = 20
 SIMILAR = 0.8
+REPS = 4
 
 
 def normal(line: Column) -> Column:
@@ -85,34 +91,65 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame
     return s.where(F.col("n") >= F.lit(least) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
 
+def rare_pairs(lines: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that can have a Jaccard similarity of ``least`` or more, of ``lines`` (h, root, line) with different roots.
+
+    Prefix filter: with shingles in one order, rarest first, two lines that similar share one of the
+    first shingles of the longer, as many as it can lack, plus one; of the shorter fewer do.  Shingles
+    of one line only lead the order and meet nothing, so they are only counted.
+    """
+    sets = cut(lines.select("h", "root", shingles(F.col("line")).alias("s")))
+    flat = sets.select("h", F.explode("s").alias("t"))
+    shared = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ordered = flat.join(shared, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("c"))
+    known = sets.select("h", "root", F.size("s").alias("n")).join(ordered, "h")
+
+    def leading(part: float, names: tuple[str, str, str]) -> DataFrame:
+        many = F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1 - (F.col("n") - F.size("c"))
+        first = F.slice("c", F.lit(1), F.greatest(many, F.lit(0)).cast("int"))
+        return known.select(*[F.col(c).alias(x) for c, x in zip(("h", "root", "n"), names)], F.explode(first["t"]).alias("t"))
+
+    shorter, longer = leading(2 * least / (1 + least), ("a", "ra", "na")), leading(least, ("b", "rb", "nb"))
+    fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    fits = fits & (F.col("ra") != F.col("rb")) & (F.col("na") >= F.col("nb") * least - 1e-9)
+    met = shorter.join(longer, (shorter["t"] == longer["t"]) & fits)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Links (a, b) between the hashes of different lines of ``lines`` (h, line and more); see the module's text."""
     keyed = cut(banded(lines.select("line")).groupBy("h").agg(F.first("keys").alias("keys")))
     flat = keyed.select("h", F.explode("keys").alias("key"))
     many = flat.groupBy("key").agg(F.min("h").alias("rep"), F.max("h").alias("top")).where("rep <> top").select("key", "rep")
     met = cut(flat.join(many, "key"))
+    drop_cut(keyed)
     wanted = met.select("h").distinct()
     texts = cut(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     linked = None
     rows, reps = met.select("key", "h"), met.where("h <> rep").select("key", "h", "rep")
-    old = met
-    take = 1
-    while True:
+    for take in (REPS, 0):
         pairs = reps.select(F.greatest("h", "rep").alias("a"), F.least("h", "rep").alias("b")).distinct()
         ok = cut(similar_pairs(pairs, texts, least))
         linked = ok if linked is None else linked.unionByName(ok)
-        done = reps.join(ok, (F.greatest("h", "rep") == ok["a"]) & (F.least("h", "rep") == ok["b"]), "left_semi").select("key", "h")
-        done = done.unionByName(reps.select("key", F.col("rep").alias("h"))).distinct()
-        left = rows.join(done, ["key", "h"], "left_anti")
-        some = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        left = cut(left.join(some, "key", "left_semi"))
-        drop_cut(old)
-        old = left
-        if left.isEmpty():
-            return linked
-        take *= 4
-        rank = left.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("r") <= take)
-        rows, reps = left, left.join(rank.select("key", F.col("h").alias("rep")), "key").where("h <> rep")
+        if take:
+            done = reps.join(ok, (F.greatest("h", "rep") == ok["a"]) & (F.least("h", "rep") == ok["b"]), "left_semi").select("key", "h")
+            done = done.unionByName(reps.select("key", F.col("rep").alias("h"))).distinct()
+            left = cut(rows.join(done, ["key", "h"], "left_anti"))
+            rank = left.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("r") <= take)
+            reps = left.join(rank.select("key", F.col("h").alias("rep")), "key").where("h <> rep")
+    # of keys with fewer lines left, all that is left has been compared
+    open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPS + 1).select("key")
+    rooted = met.select("key", "h").join(open_, "key", "left_semi").join(components(linked), F.col("h") == F.col("node"), "left")
+    rooted = cut(rooted.select("key", "h", F.coalesce("root", "h").alias("root")))
+    drop_cut(met)
+    drop_cut(left)
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.root").alias("main"))
+    others = rooted.join(main, "key").where("root <> main").select("h", "root").distinct()
+    pairs = cut(rare_pairs(others.join(texts, "h"), least))
+    found = cut(similar_pairs(pairs, texts, least))
+    drop_cut(texts)
+    return linked.unionByName(found)
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
