@@ -34,9 +34,13 @@ def not_disjoint(g: Column, box: Box) -> Column:
     return near & F.when(g["type"].isin("Polygon", "MultiPolygon"), exact).otherwise(F.lit(True))
 
 
+def _half(axis: str, bound: float, above: bool):
+    return lambda ring: gm.clip_ring(ring, axis, bound, above)
+
+
 def _clipped(ring: Column, box: Box) -> Column:
     for axis, bound, above in (("x", box[0], True), ("x", box[2], False), ("y", box[1], True), ("y", box[3], False)):
-        ring = F.transform(F.array(ring), lambda r, a=axis, b=bound, k=above: gm.clip_ring(r, a, b, k))[0]
+        ring = F.transform(F.array(ring), _half(axis, bound, above))[0]
     return ring
 
 
