@@ -6,15 +6,15 @@ are rare, as in scripts without blanks).  Eight bounds are spread over the hashe
 three hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
 with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
 
-Candidates.  A key's lines are not paired with each other.  They are compared with the key's first
-line, and those that do not match with ``REPS`` more.  The links so far make components; a key whose
-lines are all in one is done.  The lines outside their key's largest component are mostly ones that
-share a passage and differ otherwise.  Pairs of these are found by a prefix filter, which is exact: every
-pair that is similar enough shares one of its rarest shingles, while a passage that many lines hold is
-common and pairs nothing.  So a class of thousands of near copies costs a few comparisons a line and key,
-and lines that only share a passage cost none with each other.  Every comparison is the exact Jaccard
-similarity of the two sets of all shingles.  A link from a line outside the largest component to one
-inside is missed where only lines that were not compared make it.  Components of all links are found by distributed
+Candidates.  Links are those of all similar pairs that share a key, as far as components tell.  A key's
+lines are not all paired with each other at once.  They are compared with the key's first line, and
+those that do not match with ``REPS`` more.  The links so far make components; a key whose lines are all
+in one is done.  In the others, every pair of lines in different components is still open, and one line
+of it at least is outside the key's largest component.  Keys of up to ``SMALL`` lines pair these
+directly.  In larger keys a prefix filter finds them, which is exact: every pair that is similar enough shares
+one of its rarest shingles, while a passage that many lines hold is common and pairs little.  So a class
+of thousands of near copies costs a few comparisons a line and key.  Every comparison is the exact
+Jaccard similarity of the two sets of all shingles.  Components of all links are found by distributed
 union-find, and the first line of each, by document and line number, stays.  Lines under ``LEAST``
 characters are left alone.
 """
@@ -31,6 +31,7 @@ BANDS, ROWS = 8, 3
 LEAST = 20
 SIMILAR = 0.8
 REPS = 4
+SMALL = 16
 
 
 def normal(line: Column) -> Column:
@@ -92,28 +93,38 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame
 
 
 def rare_pairs(lines: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that can have a Jaccard similarity of ``least`` or more, of ``lines`` (h, root, line) with different roots.
+    """Pairs (a, b) that can have a Jaccard similarity of ``least`` or more, of ``lines`` (h, root, out, line).
 
-    Prefix filter: with shingles in one order, rarest first, two lines that similar share one of the
-    first shingles of the longer, as many as it can lack, plus one; of the shorter fewer do.  Shingles
-    of one line only lead the order and meet nothing, so they are only counted.
+    Their roots differ and one of them at least is ``out``.  Prefix filter: with shingles in one order,
+    rarest first, two lines that similar share one of the first shingles of the longer, as many as it can
+    lack, plus one; of the shorter fewer do.  Shingles of one line only lead the order and meet nothing,
+    so they are only counted.
     """
-    sets = cut(lines.select("h", "root", shingles(F.col("line")).alias("s")))
+    sets = cut(lines.select("h", "root", "out", shingles(F.col("line")).alias("s")))
     flat = sets.select("h", F.explode("s").alias("t"))
     shared = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     ordered = flat.join(shared, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("c"))
-    known = sets.select("h", "root", F.size("s").alias("n")).join(ordered, "h")
+    joined = sets.select("h", "root", "out", F.size("s").alias("n")).join(ordered, "h")
 
-    def leading(part: float, names: tuple[str, str, str]) -> DataFrame:
-        many = F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1 - (F.col("n") - F.size("c"))
-        first = F.slice("c", F.lit(1), F.greatest(many, F.lit(0)).cast("int"))
-        return known.select(*[F.col(c).alias(x) for c, x in zip(("h", "root", "n"), names)], F.explode(first["t"]).alias("t"))
+    def many(part: float) -> Column:
+        return F.greatest(F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1 - (F.col("n") - F.col("m")), F.lit(0)).cast("int")
 
-    shorter, longer = leading(2 * least / (1 + least), ("a", "ra", "na")), leading(least, ("b", "rb", "nb"))
+    known = joined.withColumn("m", F.size("c"))
+    known = cut(known.select("h", "root", "out", "n", "m", F.slice("c", F.lit(1), many(least))["t"].alias("c")))
+    drop_cut(sets)
+
+    def leading(part: float, names: tuple[str, str, str], out: bool | None) -> DataFrame:
+        some = known if out is None else known.where(F.col("out") == out)
+        return some.select(*[F.col(c).alias(x) for c, x in zip(("h", "root", "n"), names)], F.explode(F.slice("c", F.lit(1), many(part))).alias("t"))
+
+    found = None
     fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = fits & (F.col("ra") != F.col("rb")) & (F.col("na") >= F.col("nb") * least - 1e-9)
-    met = shorter.join(longer, (shorter["t"] == longer["t"]) & fits)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for short, long in ((True, None), (False, True)):
+        shorter, longer = leading(2 * least / (1 + least), ("a", "ra", "na"), short), leading(least, ("b", "rb", "nb"), long)
+        met = shorter.join(longer, (shorter["t"] == longer["t"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
 
 
 def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -137,16 +148,19 @@ def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
             left = cut(rows.join(done, ["key", "h"], "left_anti"))
             rank = left.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("r") <= take)
             reps = left.join(rank.select("key", F.col("h").alias("rep")), "key").where("h <> rep")
-    # of keys with fewer lines left, all that is left has been compared
-    open_ = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPS + 1).select("key")
-    rooted = met.select("key", "h").join(open_, "key", "left_semi").join(components(linked), F.col("h") == F.col("node"), "left")
-    rooted = cut(rooted.select("key", "h", F.coalesce("root", "h").alias("root")))
-    drop_cut(met)
     drop_cut(left)
+    rooted = cut(met.select("key", "h").join(components(linked), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root")))
+    drop_cut(met)
     parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.root").alias("main"))
-    others = rooted.join(main, "key").where("root <> main").select("h", "root").distinct()
-    pairs = cut(rare_pairs(others.join(texts, "h"), least))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    still = cut(rooted.join(open_.select("key", "size", F.col("m.root").alias("main")), "key").withColumn("out", F.col("root") != F.col("main")))
+    drop_cut(rooted)
+    few = still.where(F.col("size") <= SMALL)
+    x, y = few.where("out").select("key", F.col("h").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("h").alias("y"), F.col("root").alias("ry"))
+    direct = x.join(y, "key").where("rx <> ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    large = still.where(F.col("size") > SMALL).groupBy("h", "root").agg(F.max("out").alias("out"))
+    pairs = cut(rare_pairs(large.join(texts, "h"), least).unionByName(direct).distinct())
+    drop_cut(still)
     found = cut(similar_pairs(pairs, texts, least))
     drop_cut(texts)
     return linked.unionByName(found)

@@ -258,6 +258,30 @@ def test_line_recall(spark):
     assert sum(of[lines[a]] == of[lines[b]] for a, b in pairs) >= 0.9 * len(pairs)
 
 
+def test_all_links_of_shared_keys(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6))
+    lines = []
+    for _ in range(150):
+        # neighbours of a chain are alike, its ends are not; some chains are long
+        w = [word() for _ in range(40)]
+        for _ in range(3 if len(lines) < 400 else 40):
+            lines.append(" ".join(w))
+            at = int(rng.integers(0, 38))
+            w[at : at + 2] = [word(), word()]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    of = {r["doc_id"]: r["class_id"] for r in line_dedup.line_classes(df).collect()}
+    hashed = df.select("doc_id", F.col("text").alias("line"), F.xxhash64("text").alias("h"))
+    met = collections.defaultdict(list)
+    for r in hashed.join(line_dedup.banded(hashed.select("line")), "h").select("doc_id", F.explode(F.array_distinct("keys")).alias("key")).collect():
+        met[r["key"]].append(r["doc_id"])
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in lines]
+    pairs = {p for v in met.values() for p in itertools.combinations(sorted(v), 2)}
+    alike = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 300 and any(len(v) > 16 for v in met.values())
+    assert [p for p in alike if of[p[0]] != of[p[1]]] == []
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there, World!"), (1, 1, "assistant", "> hello there world\nHi."), (1, 2, "user", ">> Hello there, World!\n> Hi.\nGood"), (1, 3, "user", "New topic"), (1, 4, "user", "> not said by anyone\nok"), (2, 0, "user", None), (None, 0, "user", "x"), (1, 5, "assistant", "> Good\nfine"), (1, 5, "assistant", "> Good\nfine")]
     got = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
