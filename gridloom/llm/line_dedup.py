@@ -15,8 +15,8 @@ directly.  In larger keys a prefix filter finds them, which is exact: every pair
 one of its rarest shingles, while a passage that many lines hold is common and pairs little.  So a class
 of thousands of near copies costs a few comparisons a line and key.  Every comparison is the exact
 Jaccard similarity of the two sets of all shingles.  Components of all links are found by distributed
-union-find, and the first line of each, by document and line number, stays.  Lines under ``LEAST``
-characters are left alone.
+union-find, and the first line of each, by document and line number, stays.  Lines of ``WIDTH``
+characters or fewer have one shingle, so only equal ones are alike.  Blank lines are left alone.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from .common import components, cut, drop_cut, table
 
 WIDTH = 8
 BANDS, ROWS = 8, 3
-LEAST = 20
 SIMILAR = 0.8
 REPS = 4
 SMALL = 16
@@ -54,7 +53,7 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line) of the lines that take part, and the number of all lines with each."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")).select("id", "line_no", normal(F.col("line")).alias("line")).where(F.char_length("line") >= LEAST)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")).select("id", "line_no", normal(F.col("line")).alias("line")).where(F.col("line").rlike(r"\S"))
 
 
 def marks(line: Column, width: int = WIDTH) -> Column:
@@ -167,7 +166,7 @@ def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """(id, line_no, class_id, kept) for each line of ``LEAST`` characters or more.
+    """(id, line_no, class_id, kept) for each line that is not blank.
 
     class_id is a hash that the lines of one component share; kept is true for the component's first
     line by id and line number.

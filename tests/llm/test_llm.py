@@ -239,6 +239,12 @@ def test_lines(spark, docs, empty):
     assert line_dedup.line_report(empty).count() == 0
 
 
+def test_short_and_blank_lines(spark):
+    d = spark.createDataFrame([(1, "Les.\nHome\n\n \t\nHome "), (2, "Les.\n\n\t\nHomes\nx"), (3, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in line_dedup.line_report(d).collect()}
+    assert got == {1: (5, [4]), 2: (5, [0]), 3: (1, [0])}
+
+
 def test_line_recall(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lines = line_dedup.exploded(docs, "doc_id", "text").select("line").distinct().collect()
