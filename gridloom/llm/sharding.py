@@ -5,8 +5,9 @@ Groups are dealt by hash into ``parts``; each part sorts its groups by size and
 bundles of a fixed capacity, at most ``bundles`` of that capacity in all: a group goes to the bundle
 whose remaining capacity is the tightest that holds it, found in a balanced tree.  Best fit leaves at
 most one bundle of a part less than half full, so there are fewer than ``2 * bundles + parts``
-bundles whatever the input.  That bounded list is packed the same way into shards of one capacity,
-and the capacity is the smallest, by bisection, for which the shards suffice.
+bundles whatever the input.  A bundle larger than an equal share of what is left has a shard of its own.
+The rest of that bounded list is packed the same way into the other shards, of one capacity, and the
+capacity is the smallest, by bisection, for which the shards suffice.
 """
 
 from __future__ import annotations
@@ -93,6 +94,15 @@ def fewest_capacity(sizes: list[int], bins: int) -> tuple[int, list[int]]:
     return hi, best
 
 
+def near_equal(sizes: list[int], bins: int) -> list[int]:
+    """The bin of each of ``sizes``, which come in decreasing order: one of its own for each above an equal share of it and what follows, best fit for the rest."""
+    sizes, alone, rest = list(sizes), 0, sum(sizes)
+    while alone < min(bins - 1, len(sizes)) and sizes[alone] * (bins - alone) > rest:
+        rest -= sizes[alone]
+        alone += 1
+    return [*range(alone), *(alone + k for k in fewest_capacity(sizes[alone:], bins - alone)[1])]
+
+
 def bundled(groups: DataFrame, capacity: int, parts: int = PARTS) -> DataFrame:
     """(gkey, part, bundle, bytes) from (gkey, bytes): each part packed by itself, in one pass over its sorted groups."""
 
@@ -120,8 +130,8 @@ def bundled(groups: DataFrame, capacity: int, parts: int = PARTS) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", *keep: str, parts: int = PARTS, bundles: int = BUNDLES) -> DataFrame:
     """(id, *keep, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``.
 
-    size is the UTF-8 bytes of the text plus 1.  Law ``bytes``: the shards' sizes are near equal, up
-    to what one group of equal texts forces.  Null texts form one group of size 1 each and have the
+    size is the UTF-8 bytes of the text plus 1.  Law ``bytes``: the shards' sizes are near equal; a
+    group of equal texts above an equal share has a shard of its own and the others share the rest.  Null texts form one group of size 1 each and have the
     checksum of an empty text.  Null ids and repeated rows are placed like others; slots are gapless
     from 0 in each shard, in order of id.
     """
@@ -141,7 +151,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     packed = cut(bundled(groups, max(1, -(-total // bundles)), parts))
     # bounded: fewer than 2 * bundles + parts rows, see the module's docstring
     small = packed.groupBy("part", "bundle").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "part", "bundle").collect()
-    _, bins = fewest_capacity([r["bytes"] for r in small], shards)
+    bins = near_equal([r["bytes"] for r in small], shards)
     at = spark.createDataFrame([(r["part"], r["bundle"], s) for r, s in zip(small, bins)], "part int, bundle long, shard int")
     home = packed.join(F.broadcast(at), ["part", "bundle"]).select("gkey", "shard")
     placed = rows.join(home, "gkey").select(*names, "size", "text_crc32", "shard")

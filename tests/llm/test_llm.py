@@ -160,6 +160,20 @@ def test_best_fit():
     assert max(bins) < 8 and capacity <= sum(sizes) / 8 * 1.01
 
 
+def test_hot_groups_leave_the_rest_near_equal(spark):
+    for hot in ([1000], [429], [3000, 700], [10**6] * 9, []):
+        sizes = sorted(hot + [1] * 2048, reverse=True)
+        got = collections.Counter()
+        for s, b in zip(sizes, sharding.near_equal(sizes, 8)):
+            got[b] += s
+        rest = [n for _, n in got.most_common()][min(len(hot), 7) :]
+        assert set(got) <= set(range(8)) and (len(hot) > 7 or (len(got) == 8 and max(rest) - min(rest) <= 0.02 * max(rest)))
+    docs = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"text {i:05d}") for i in range(6000)], "doc_id long, text string")
+    size = {r["shard"]: r["n"] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    low = sorted(size.values())[:7]
+    assert len(size) == 8 and low[-1] <= 1.05 * low[0]
+
+
 def test_token_counts(docs, local):
     from tokenizers import Tokenizer, models
 
