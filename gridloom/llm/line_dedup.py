@@ -81,13 +81,12 @@ def banded(lines: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose lines' sets of shingles have a Jaccard similarity of ``least`` or more."""
-    ta, tb = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    # lengths bound the similarity from above; most unlike lines end here
-    la, lb = F.char_length("la"), F.char_length("lb")
-    full = pairs.join(ta, "a").join(tb, "b").where(F.least(la, lb) >= F.lit(least / 2) * F.greatest(la, lb))
-    s = full.select("a", "b", shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
-    s = s.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
+    """Those of ``pairs`` (a, b) of ``texts`` (h, line, n: distinct shingles) whose lines' sets of shingles have a Jaccard similarity of ``least`` or more."""
+    ta, tb = texts.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("n").alias("nx")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("n").alias("ny"))
+    # the numbers of distinct shingles bound the similarity from above; most unlike lines end here
+    full = pairs.join(ta, "a").join(tb, "b").where(F.least("nx", "ny") >= F.lit(least) * F.greatest("nx", "ny") - 1e-9)
+    s = full.select("a", "b", "nx", "ny", shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
+    s = s.select("a", "b", "nx", "ny", F.size(F.array_intersect("x", "y")).alias("n"))
     return s.where(F.col("n") >= F.lit(least) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
 
 
@@ -134,7 +133,7 @@ def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
     met = cut(flat.join(many, "key"))
     drop_cut(keyed)
     wanted = met.select("h").distinct()
-    texts = cut(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    texts = cut(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("n", F.size(shingles(F.col("line")))))
     linked = None
     rows, reps = met.select("key", "h"), met.where("h <> rep").select("key", "h", "rep")
     for take in (REPS, 0):
@@ -158,7 +157,7 @@ def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
     x, y = few.where("out").select("key", F.col("h").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("h").alias("y"), F.col("root").alias("ry"))
     direct = x.join(y, "key").where("rx <> ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     large = still.where(F.col("size") > SMALL).groupBy("h", "root").agg(F.max("out").alias("out"))
-    pairs = cut(rare_pairs(large.join(texts, "h"), least).unionByName(direct).distinct())
+    pairs = cut(rare_pairs(large.join(texts.drop("n"), "h"), least).unionByName(direct).distinct())
     drop_cut(still)
     found = cut(similar_pairs(pairs, texts, least))
     drop_cut(texts)

@@ -259,6 +259,11 @@ def test_short_and_blank_lines(spark):
     assert got == {1: (5, [4]), 2: (5, [0]), 3: (1, [0])}
 
 
+def test_lines_of_one_repeated_phrase(spark):
+    d = spark.createDataFrame([(1, "-" * 20), (2, "-" * 80), (3, "ab cd " * 6 + "ab"), (4, "ab cd " * 30 + "ab")], "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(d).collect()} == {1: [], 2: [0], 3: [], 4: [0]}
+
+
 def test_line_recall(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lines = line_dedup.exploded(docs, "doc_id", "text").select("line").distinct().collect()
