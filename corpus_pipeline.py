@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, mixing, quality_model, sharding, simhash
+from gridloom.llm import decontaminate, mixing, near_copies, quality_model, sharding
 from gridloom.llm.common import cut, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays, that of the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontaminated),
     ("mixing sources", mixed),
     ("sharding", sharded),

@@ -187,11 +187,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Rows that repeat that id and text, or a component whose ids are all null, keep one row as well.
     """
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("__gl_h"))
+    return keep_first(docs, near_duplicates(keyed, id_col, text_col, radius, "__gl_h"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stand for the components of ``found`` (id, __gl_h, component_root, component_id)."""
     from pyspark.sql import Window
 
     h = F.xxhash64(text_col)
-    keyed = docs.select(F.col(id_col), F.col(text_col), h.alias("__gl_h"))
-    found = near_duplicates(keyed, id_col, text_col, radius, "__gl_h")
     first = (
         found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
         .groupBy("component_root")

@@ -321,6 +321,33 @@ def test_ranks(spark):
         assert r["r"] == list(range(len(r["r"])))
 
 
+def test_near_dedup_stage(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["", " ", "one two"]
+    for t in [" ".join(f"v{x}" for x in rng.integers(0, 9999, 120)) for _ in range(40)]:
+        for _ in range(int(rng.integers(1, 5))):
+            w = t.split()
+            texts.append(t := " ".join(w[:k] + ["new"] + w[k:]) if (k := int(rng.integers(0, 100))) % 2 else " ".join(w[:k] + ["x", "y"] + w[k + 2 :]))
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in p.near_dedup(spark, d, SF).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
