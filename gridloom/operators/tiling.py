@@ -89,15 +89,22 @@ def tile_occurrence(df: DataFrame, size, occurrence, effect: str = "extend", loc
     return tile(grown, size, tuple(over), effect, locus, fp).withColumn(fp, F.col("__fp")).drop("__fp")
 
 
-def is_tiling(tiles: DataFrame, boundless: bool = False, fp: str = "fp") -> DataFrame:
-    """(covered, overlapping, outside) of a tiling with columns ``fp`` and ``tile``: pixels of the footprint
-    that no tile holds, pixels that several hold, and tiles that reach out of it.  Counted by pixel."""
+def is_tiling(tiles: DataFrame, boundless: bool = False, fp: str = "fp", by: str | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """(uncovered, overlapping, outside) of a tiling with columns ``fp`` and ``tile``: pixels of the footprint
+    that no tile holds, pixels that several hold, and tiles that reach out of it.  Counted by pixel.
+
+    With ``by`` the tilings of many footprints are checked, each by itself, and the counts added up;
+    ``whole`` (by, fp) has the footprints, which may have no tile."""
+    k = F.lit(0) if by is None else F.col(by)
     s = fpx.slice_in(F.col("tile"), F.col(fp))
-    t = tiles.select(F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"), *[c.alias(k) for k, c in s.items()])
-    out = t.agg(F.sum(((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > F.col("w")) | (F.col("y1") > F.col("h"))).cast("long")).alias("outside"))
-    px = t.select("w", "h", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1").withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    n = px.where("x >= 0 and y >= 0 and x < w and y < h").groupBy("x", "y", "w", "h").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg((F.max(F.col("w").cast("long") * F.col("h")) - F.count(F.lit(1))).alias("uncovered"), F.sum((F.col("n") > 1).cast("long")).alias("overlapping")).crossJoin(out)
+    t = tiles.select(k.alias("k"), F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"), *[c.alias(k) for k, c in s.items()])
+    out = t.agg(F.coalesce(F.sum(((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > F.col("w")) | (F.col("y1") > F.col("h"))).cast("long")), F.lit(0)).alias("outside"))
+    px = t.select("k", "w", "h", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1").withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
+    n = px.where("x >= 0 and y >= 0 and x < w and y < h").groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    n = n.agg(F.count(F.lit(1)).alias("held"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("overlapping"))
+    full = t if whole is None else whole.select(k.alias("k"), F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"))
+    area = full.groupBy("k").agg(F.max(F.col("w").cast("long") * F.col("h")).alias("area")).agg(F.coalesce(F.sum("area"), F.lit(0)).alias("area"))
+    return n.crossJoin(area).crossJoin(out).select((F.col("area") - F.col("held")).alias("uncovered"), "overlapping", "outside")
 
 
 def pixel_occurrence(tiles: DataFrame, fp: str = "fp") -> DataFrame:

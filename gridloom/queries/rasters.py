@@ -67,8 +67,8 @@ def pixel_occurrence(spark, sf_dir):
 
 @query("SELECT CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS overlapping, CAST(0 AS BIGINT) AS outside")
 def tiling_validator(spark, sf_dir):
-    one = footprints(spark, sf_dir).where("k = 1")
-    return tiling.is_tiling(tiling.tile(one, (6, 4), (0, 0), "shrink"))
+    all_ = footprints(spark, sf_dir)
+    return tiling.is_tiling(tiling.tile(all_, (6, 4), (0, 0), "shrink"), by="k", whole=all_)
 
 
 # --- reads and writes ----------------------------------------------------------------------------

@@ -118,3 +118,16 @@ def test_spatial_references(spark):
         assert srs.transform(r, r)(1, 2) == (1, 2)
     utm = spark.range(1).select(*srs.forward(srs.parse("+proj=utm +zone=31 +ellps=WGS84"), F.lit(3.0), F.lit(0.0))).first()
     assert math.isclose(utm[0], 500000) and abs(utm[1]) < 1e-6 and ll.kind == "longlat"
+
+
+def test_tiling_validator_sees_every_footprint(spark, monkeypatch):
+    from gridloom.operators import tiling
+    from gridloom.queries import QUERIES
+
+    run = lambda: tuple(QUERIES["tiling_validator"](spark, "/root/testdata/sf0.001").first())
+    assert run() == (0, 0, 0)
+    tile = tiling.tile
+    monkeypatch.setattr(tiling, "tile", lambda *a: tile(*a).where("k <> 2"))
+    assert run()[0] > 0
+    monkeypatch.setattr(tiling, "tile", lambda *a: tile(*a).union(tile(*a).where("k = 3 and row = 0 and col = 0")))
+    assert run() == (0, 24, 0)
