@@ -6,22 +6,23 @@ are rare, as in scripts without blanks).  Eight bounds are spread over the hashe
 three hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
 with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
 
-Candidates.  Links are those of all similar pairs that share a key, as far as components tell.  A key's
-lines are not all paired with each other at once.  They are compared with the key's first line, and
-those that do not match with ``REPS`` more.  The links so far make components; a key whose lines are all
-in one is done.  In the others, every pair of lines in different components is still open, and one line
-of it at least is outside the key's largest component.  Keys of up to ``SMALL`` lines pair these
-directly.  In larger keys a prefix filter finds them, which is exact: every pair that is similar enough shares
-one of its rarest shingles, while a passage that many lines hold is common and pairs little.  So a class
-of thousands of near copies costs a few comparisons a line and key.  Every comparison is the exact
-Jaccard similarity of the two sets of all shingles.  Components of all links are found by distributed
-union-find, and the first line of each, by document and line number, stays.  Lines of ``WIDTH``
-characters or fewer have one shingle, so only equal ones are alike.  Blank lines are left alone.
+Links are those of all similar pairs that share a key, as far as components tell, but a key's lines are
+not all paired with each other.  First each line is compared with its key's hub, the line that shares
+keys with most others; a class of near copies of one line is joined by that.  In keys of more than
+``SMALL`` lines whose lines are then in several components, lines outside the largest one are compared
+with one of its lines and all lines with one outside it; these rounds go on while they join more than a
+``PROGRESS`` of what is outside.  Last, every pair of lines of one key in different components, one of
+which at least is outside the key's largest component, is held against a bound: the sketches of two
+lines differ in no more bits than their sets of shingles differ in hashes, which similarity limits.  The
+bound is part of the join, so pairs beyond it are no rows.  Pairs within it are compared.  Every
+comparison is the exact Jaccard similarity of the sets of all shingles.  Components of all links are
+found by distributed union-find, and the first line of each, by document and line number, stays.  Lines
+of ``WIDTH`` characters or fewer have one shingle, so only equal ones are alike.  Blank lines are left alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop_cut, table
@@ -29,8 +30,9 @@ from .common import components, cut, drop_cut, table
 WIDTH = 8
 BANDS, ROWS = 8, 3
 SIMILAR = 0.8
-REPS = 4
-SMALL = 16
+WORDS = 16
+SMALL = 32
+PROGRESS = 0.05
 
 
 def normal(line: Column) -> Column:
@@ -65,103 +67,123 @@ def marks(line: Column, width: int = WIDTH) -> Column:
 
 
 def banded(lines: DataFrame) -> DataFrame:
-    """(h, keys): the band keys of each line.
+    """``lines`` (line and more) with the line's hash ``h`` and its band keys ``keys`` in place of the line.
 
     The bounds of the bands are sorted in among the hashes, so a band's key is the hash of the slice
     after its bound; the first elements follow the last ones again.  A slice of bounds alone has no key.
     """
     step = 1 << 61
-    bounds = F.array(*[F.lit(b * step) for b in range(-BANDS // 2, BANDS // 2)])
-    hashed = lines.select(F.xxhash64("line").alias("h"), F.sort_array(F.array_union(bounds, marks(F.col("line")))).alias("s"))
-    ring = hashed.select("h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
-    cuts = [F.slice("s", F.array_position("s", F.lit(b * step)) + 1, F.lit(ROWS)) for b in range(-BANDS // 2, BANDS // 2)]
-    cut_ = ring.select("h", F.array(*cuts).alias("cuts"))
-    keys = [F.when(F.size(F.array_except(F.col("cuts")[b], bounds)) > 0, F.xxhash64(F.col("cuts")[b])) for b in range(BANDS)]
-    return cut_.select("h", F.array_compact(F.array(*keys)).alias("keys"))
+    at = [b * step for b in range(-BANDS // 2, BANDS // 2)]
+    others = [c for c in lines.columns if c != "line"]
+    hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.array_union(F.array(*map(F.lit, at)), marks(F.col("line")))).alias("s"))
+    ring = hashed.select(*others, "h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
+    cut_ = ring.select(*others, "h", F.array(*[F.slice("s", F.array_position("s", F.lit(b)) + 1, F.lit(ROWS)) for b in at]).alias("cuts"))
+    # between a bound and the one ROWS further on lie the bounds between them, so a slice that ends there has no hash
+    keys = [F.when(F.col("cuts")[b][ROWS - 1] != at[(b + ROWS) % BANDS], F.xxhash64(F.col("cuts")[b])) for b in range(BANDS)]
+    return cut_.select(*others, "h", F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) of ``texts`` (h, line, n: distinct shingles) whose lines' sets of shingles have a Jaccard similarity of ``least`` or more."""
-    ta, tb = texts.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("n").alias("nx")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("n").alias("ny"))
-    # the numbers of distinct shingles bound the similarity from above; most unlike lines end here
-    full = pairs.join(ta, "a").join(tb, "b").where(F.least("nx", "ny") >= F.lit(least) * F.greatest("nx", "ny") - 1e-9)
-    s = full.select("a", "b", "nx", "ny", shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
-    s = s.select("a", "b", "nx", "ny", F.size(F.array_intersect("x", "y")).alias("n"))
-    return s.where(F.col("n") >= F.lit(least) * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b")
-
-
-def rare_pairs(lines: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) that can have a Jaccard similarity of ``least`` or more, of ``lines`` (h, root, out, line).
-
-    Their roots differ and one of them at least is ``out``.  Prefix filter: with shingles in one order,
-    rarest first, two lines that similar share one of the first shingles of the longer, as many as it can
-    lack, plus one; of the shorter fewer do.  Shingles of one line only lead the order and meet nothing,
-    so they are only counted.
+def sketches(sets: DataFrame) -> DataFrame:
+    """(h, n, w0, w1, ...) of ``sets`` (h, s): the size of s, and the parities of ``64 * WORDS`` classes of its hashes as bits.
+
+    A hash that one of two sets lacks changes one bit, so two sets differ in as many hashes as their
+    sketches in bits, or more.
     """
-    sets = cut(lines.select("h", "root", "out", shingles(F.col("line")).alias("s")))
-    flat = sets.select("h", F.explode("s").alias("t"))
-    shared = flat.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ordered = flat.join(shared, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("c"))
-    joined = sets.select("h", "root", "out", F.size("s").alias("n")).join(ordered, "h")
-
-    def many(part: float) -> Column:
-        return F.greatest(F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1 - (F.col("n") - F.col("m")), F.lit(0)).cast("int")
-
-    known = joined.withColumn("m", F.size("c"))
-    known = cut(known.select("h", "root", "out", "n", "m", F.slice("c", F.lit(1), many(least))["t"].alias("c")))
-    drop_cut(sets)
-
-    def leading(part: float, names: tuple[str, str, str], out: bool | None) -> DataFrame:
-        some = known if out is None else known.where(F.col("out") == out)
-        return some.select(*[F.col(c).alias(x) for c, x in zip(("h", "root", "n"), names)], F.explode(F.slice("c", F.lit(1), many(part))).alias("t"))
-
-    found = None
-    fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    fits = fits & (F.col("ra") != F.col("rb")) & (F.col("na") >= F.col("nb") * least - 1e-9)
-    for short, long in ((True, None), (False, True)):
-        shorter, longer = leading(2 * least / (1 + least), ("a", "ra", "na"), short), leading(least, ("b", "rb", "nb"), long)
-        met = shorter.join(longer, (shorter["t"] == longer["t"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        found = met if found is None else found.unionByName(met)
-    return found.distinct()
-
-
-def line_links(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between the hashes of different lines of ``lines`` (h, line and more); see the module's text."""
-    keyed = cut(banded(lines.select("line")).groupBy("h").agg(F.first("keys").alias("keys")))
+    x = F.col("x")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))
+    words = [F.coalesce(F.bit_xor(F.when(F.pmod(x, F.lit(WORDS)) == k, bit)), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
+    return sets.select("h", F.explode("s").alias("x")).groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n"), *words)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b and more) of ``texts`` (h, line) whose lines' sets of shingles have a Jaccard similarity of ``least`` or more."""
+    x, y = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
+    full = pairs.join(x, "a").join(y, "b")
+    s = full.select(*pairs.columns, shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
+    s = s.select(*pairs.columns, (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("n"))
+    return s.where(F.col("n") >= F.lit(least) * (F.col("both") - F.col("n")) - 1e-9).select(*pairs.columns)
+
+
+def open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, h, size, score, root, main) of the keys whose lines are in more than one component; ``main`` is the largest one."""
+    rows = met.join(roots, "h", "left").select("key", "h", "score", F.coalesce("root", "h").alias("root"))
+    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
+    return rows.join(keys.where("parts > 1 and size > 2").drop("parts"), "key")
+
+
+def hubs(rows: DataFrame, by: Column) -> DataFrame:
+    """(key, hub, hub_root): of each key, the line of the highest ``by``."""
+    top = rows.groupBy("key").agg(F.max(F.struct(by.alias("by"), "h", "root")).alias("m"))
+    return top.select("key", F.col("m.h").alias("hub"), F.col("m.root").alias("hub_root"))
+
+
+def line_roots(lines: DataFrame, keyed: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(h, root) of the lines that are similar to another: ``lines`` (h, line), ``keyed`` (h, keys); see the module's text."""
     flat = keyed.select("h", F.explode("keys").alias("key"))
-    many = flat.groupBy("key").agg(F.min("h").alias("rep"), F.max("h").alias("top")).where("rep <> top").select("key", "rep")
-    met = cut(flat.join(many, "key"))
-    drop_cut(keyed)
-    wanted = met.select("h").distinct()
-    texts = cut(lines.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")).withColumn("n", F.size(shingles(F.col("line")))))
-    linked = None
-    rows, reps = met.select("key", "h"), met.where("h <> rep").select("key", "h", "rep")
-    for take in (REPS, 0):
-        pairs = reps.select(F.greatest("h", "rep").alias("a"), F.least("h", "rep").alias("b")).distinct()
-        ok = cut(similar_pairs(pairs, texts, least))
-        linked = ok if linked is None else linked.unionByName(ok)
-        if take:
-            done = reps.join(ok, (F.greatest("h", "rep") == ok["a"]) & (F.least("h", "rep") == ok["b"]), "left_semi").select("key", "h")
-            done = done.unionByName(reps.select("key", F.col("rep").alias("h"))).distinct()
-            left = cut(rows.join(done, ["key", "h"], "left_anti"))
-            rank = left.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("h"))).where(F.col("r") <= take)
-            reps = left.join(rank.select("key", F.col("h").alias("rep")), "key").where("h <> rep")
-    drop_cut(left)
-    rooted = cut(met.select("key", "h").join(components(linked), F.col("h") == F.col("node"), "left").select("key", "h", F.coalesce("root", "h").alias("root")))
+    many = flat.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top").select("key", "n")
+    met = cut(flat.join(many, "key").distinct())
+    scores = cut(met.groupBy("h").agg(F.sum("n").alias("score")))
+    texts = cut(lines.join(scores, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    rows = cut(met.select("key", "h").join(scores, "h"))
     drop_cut(met)
-    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    still = cut(rooted.join(open_.select("key", "size", F.col("m.root").alias("main")), "key").withColumn("out", F.col("root") != F.col("main")))
-    drop_cut(rooted)
-    few = still.where(F.col("size") <= SMALL)
-    x, y = few.where("out").select("key", F.col("h").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("h").alias("y"), F.col("root").alias("ry"))
-    direct = x.join(y, "key").where("rx <> ry").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    large = still.where(F.col("size") > SMALL).groupBy("h", "root").agg(F.max("out").alias("out"))
-    pairs = cut(rare_pairs(large.join(texts.drop("n"), "h"), least).unionByName(direct).distinct())
-    drop_cut(still)
+    drop_cut(scores)
+    stars = rows.join(hubs(rows.withColumn("root", F.col("h")), F.col("score")), "key").where("h <> hub")
+    found = cut(similar_pairs(stars.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct(), texts, least))
+    roots = cut(components(found).select(F.col("node").alias("h"), "root"))
+    drop_cut(found)
+    number = 0
+    while True:
+        number += 1
+        at = cut(open_rows(rows, roots).where(F.col("size") > SMALL))
+        out = at.where("root <> main")
+        here = F.xxhash64("h", F.lit(number))
+        to_main, to_out = out.join(hubs(at.where("root = main"), here), "key"), at.join(hubs(out, here), "key").where("root <> hub_root")
+        pairs = to_main.select("h", "root", "hub", "hub_root").unionByName(to_out.select("h", "root", "hub", "hub_root"))
+        found = cut(similar_pairs(pairs.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b"), F.col("root").alias("ra"), F.col("hub_root").alias("rb")).distinct(), texts, least))
+        linked, left = found.select("ra", "rb").distinct().count(), out.select("root").distinct().count()
+        old, roots = roots, cut(with_links(roots, found))
+        for done in (old, at, found):
+            drop_cut(done)
+        if linked <= PROGRESS * left:
+            break
+    pairs = cut(open_pairs(open_rows(rows, roots), texts, least))
+    drop_cut(rows)
     found = cut(similar_pairs(pairs, texts, least))
+    drop_cut(pairs)
     drop_cut(texts)
-    return linked.unionByName(found)
+    return with_links(roots, found)
+
+
+def open_pairs(at: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, ra, rb): the pairs of lines of one key in different components whose sketches allow a similarity of ``least``."""
+    some = texts.join(at.select("h").distinct(), "h", "left_semi").select("h", shingles(F.col("line")).alias("s"))
+    at = cut(at.join(sketches(some), "h"))
+    names = ["h", "root", "n", *[f"w{k}" for k in range(WORDS)]]
+    x = at.where("root <> main").select("key", *[F.col(c).alias(f"x{c}") for c in names])
+    y = at.select("key", "main", *[F.col(c).alias(f"y{c}") for c in names])
+    apart = sum((F.bit_count(F.col(f"xw{k}").bitwiseXOR(F.col(f"yw{k}"))) for k in range(WORDS)), F.lit(0))
+    once = (F.col("yroot") == F.col("main")) | (F.col("xh") < F.col("yh"))
+    near = (F.col("xroot") != F.col("yroot")) & once & (F.least("xn", "yn") >= F.greatest("xn", "yn") * least - 1e-9)
+    near = near & (apart <= (F.col("xn") + F.col("yn")) * ((1 - least) / (1 + least)) + 1e-9)
+    return x.join(y, (x["key"] == y["key"]) & near).select(F.greatest("xh", "yh").alias("a"), F.least("xh", "yh").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb")).distinct()
+
+
+def with_links(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (h, root) after the union of the components of ``found`` (ra, rb: roots, lines without one among them)."""
+    more = components(found, "ra", "rb")
+    old = roots.unionByName(more.join(roots, more["node"] == roots["h"], "left_anti").select(F.col("node").alias("h"), F.col("node").alias("root")))
+    return old.join(more.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("h", F.coalesce("to", "root").alias("root"))
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, line_no, class_id) of each line that is not blank, and (class_id, head, size) of each class; head is its first line."""
+    base = cut(banded(exploded(docs, id_col, text_col)))
+    lines = exploded(docs, id_col, text_col).select(F.xxhash64("line").alias("h"), "line")
+    roots = line_roots(lines, base.select("h", "keys"), least)
+    at = cut(base.select("id", "line_no", "h").join(roots, "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("class_id")))
+    drop_cut(base)
+    return at, at.groupBy("class_id").agg(F.min(F.struct("id", "line_no")).alias("head"), F.count(F.lit(1)).alias("size"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -170,28 +192,23 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_id is a hash that the lines of one component share; kept is true for the component's first
     line by id and line number.
     """
-    lines = exploded(docs, id_col, text_col).withColumn("h", F.xxhash64("line"))
-    at = cut(lines.select("id", "line_no", "h"))
-    roots = components(line_links(lines.select("h", "line"), least))
-    first = at.groupBy("h").agg(F.min(F.struct("id", "line_no")).alias("first"))
-    rooted = first.join(roots, first["h"] == roots["node"], "left").select("h", "first", F.coalesce("root", "h").alias("class_id"))
-    rooted = cut(rooted)
-    head = rooted.groupBy("class_id").agg(F.min("first").alias("head"))
-    known = rooted.join(head, "class_id").select("h", "class_id", "head")
-    out = at.join(known, "h")
+    at, heads = classed(docs, id_col, text_col, least)
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
-    return out.select(F.col("id").alias(id_col), "line_no", "class_id", kept.alias("kept"))
+    return at.join(heads, "class_id").select(F.col("id").alias(id_col), "line_no", "class_id", kept.alias("kept"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """(id, n_lines, n_kept, dropped) for each id in ``docs``: line counts, and the numbers, from 0, of the lines to drop.
 
     A null text has no lines, an empty one has one line.  Rows that repeat an id are one document:
-    their counts add up.  A null id is an id.
+    their counts add up.  A null id is an id.  Very long lines and texts are compared whole.  Of equal
+    lines the first by id and line number stays.  Columns other than the two named are not read.
     """
-    found = line_classes(docs, id_col, text_col, least).where(~F.col("kept")).groupBy(F.col(id_col).alias("i")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    n = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n)
+    at, heads = classed(docs, id_col, text_col, least)
+    later = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no")))
+    gone = at.join(heads.where("size > 1"), "class_id").where(later)
+    found = gone.groupBy(F.col("id").alias("i")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
+    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n")))
     all_ = docs.groupBy(id_col).agg(F.sum(n).cast("long").alias("n_lines"))
     out = all_.join(found, all_[id_col].eqNullSafe(found["i"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
