@@ -2,20 +2,13 @@
 
 Lines are trimmed of blanks.  A line's shingles are its windows of ``WIDTH`` characters, hashed.
 Signature: one-permutation MinHash over the shingles that start a word (over all shingles where words
-are rare, as in scripts without blanks).  Eight bounds are spread over the hashes' range, and the
-three hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
-with probability 0.8^3, so they meet in some band with 1 - (1 - 0.8^3)^8 = 0.997.
-
-Links are those of all similar pairs that share a key, as far as components tell, but a key's lines are
-not all paired with each other.  First each line is compared with its key's hub, the line that shares
-keys with most others; a class of near copies of one line is joined by that.  In keys of more than
-``SMALL`` lines whose lines are then in several components, lines outside the largest one are compared
-with one of its lines and all lines with one outside it; these rounds go on while they join more than a
-``PROGRESS`` of what is outside.  Last, every pair of lines of one key in different components, one of
-which at least is outside the key's largest component, is held against a bound: the sketches of two
-lines differ in no more bits than their sets of shingles differ in hashes, which similarity limits.  The
-bound is part of the join, so pairs beyond it are no rows.  Pairs within it are compared.  Every
-comparison is the exact Jaccard similarity of the sets of all shingles.  Components of all links are
+are rare, as in scripts without blanks).  Seven bounds are spread over the hashes' range, and the
+four hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
+with probability 0.8^4, so they meet in some band with 1 - (1 - 0.8^4)^7 = 0.975; at 0.85 with 0.994.
+
+Links are those of all similar pairs that share a key, as far as components tell; ``classes`` says how they
+are found without pairing a key's lines with each other.  Every comparison is the exact Jaccard
+similarity of the sets of all shingles.  Components of all links are
 found by distributed union-find, and the first line of each, by document and line number, stays.  Lines
 of ``WIDTH`` characters or fewer have one shingle, so only equal ones are alike.  Blank lines are left alone.
 """
@@ -25,14 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_cut, table
+from .classes import similar_classes
+from .common import cut, drop_cut, table
 
 WIDTH = 8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 7, 4
 SIMILAR = 0.8
-WORDS = 16
-SMALL = 32
-PROGRESS = 0.05
 
 
 def normal(line: Column) -> Column:
@@ -55,7 +46,8 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line_no, line) of the lines that take part, and the number of all lines with each."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")).select("id", "line_no", normal(F.col("line")).alias("line")).where(F.col("line").rlike(r"\S"))
+    # the outer form, as the plain one would add a filter that splits all texts once more
+    return docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("line_no", "line")).select("id", "line_no", normal(F.col("line")).alias("line")).where(F.col("line").rlike(r"\S"))
 
 
 def marks(line: Column, width: int = WIDTH) -> Column:
@@ -72,8 +64,7 @@ def banded(lines: DataFrame) -> DataFrame:
     The bounds of the bands are sorted in among the hashes, so a band's key is the hash of the slice
     after its bound; the first elements follow the last ones again.  A slice of bounds alone has no key.
     """
-    step = 1 << 61
-    at = [b * step for b in range(-BANDS // 2, BANDS // 2)]
+    at = [b * ((1 << 64) // BANDS) - (1 << 63) for b in range(BANDS)]
     others = [c for c in lines.columns if c != "line"]
     hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.array_union(F.array(*map(F.lit, at)), marks(F.col("line")))).alias("s"))
     ring = hashed.select(*others, "h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
@@ -83,104 +74,11 @@ def banded(lines: DataFrame) -> DataFrame:
     return cut_.select(*others, "h", F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """(h, n, w0, w1, ...) of ``sets`` (h, s): the size of s, and the parities of ``64 * WORDS`` classes of its hashes as bits.
-
-    A hash that one of two sets lacks changes one bit, so two sets differ in as many hashes as their
-    sketches in bits, or more.
-    """
-    x = F.col("x")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))
-    words = [F.coalesce(F.bit_xor(F.when(F.pmod(x, F.lit(WORDS)) == k, bit)), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
-    return sets.select("h", F.explode("s").alias("x")).groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n"), *words)
-
-
-def similar_pairs(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b and more) of ``texts`` (h, line) whose lines' sets of shingles have a Jaccard similarity of ``least`` or more."""
-    x, y = texts.select(F.col("h").alias("a"), F.col("line").alias("la")), texts.select(F.col("h").alias("b"), F.col("line").alias("lb"))
-    full = pairs.join(x, "a").join(y, "b")
-    s = full.select(*pairs.columns, shingles(F.col("la")).alias("x"), shingles(F.col("lb")).alias("y"))
-    s = s.select(*pairs.columns, (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("n"))
-    return s.where(F.col("n") >= F.lit(least) * (F.col("both") - F.col("n")) - 1e-9).select(*pairs.columns)
-
-
-def open_rows(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, h, size, score, root, main) of the keys whose lines are in more than one component; ``main`` is the largest one."""
-    rows = met.join(roots, "h", "left").select("key", "h", "score", F.coalesce("root", "h").alias("root"))
-    parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    keys = parts.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"))
-    return rows.join(keys.where("parts > 1 and size > 2").drop("parts"), "key")
-
-
-def hubs(rows: DataFrame, by: Column) -> DataFrame:
-    """(key, hub, hub_root): of each key, the line of the highest ``by``."""
-    top = rows.groupBy("key").agg(F.max(F.struct(by.alias("by"), "h", "root")).alias("m"))
-    return top.select("key", F.col("m.h").alias("hub"), F.col("m.root").alias("hub_root"))
-
-
-def line_roots(lines: DataFrame, keyed: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(h, root) of the lines that are similar to another: ``lines`` (h, line), ``keyed`` (h, keys); see the module's text."""
-    flat = keyed.select("h", F.explode("keys").alias("key"))
-    many = flat.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top").select("key", "n")
-    met = cut(flat.join(many, "key").distinct())
-    scores = cut(met.groupBy("h").agg(F.sum("n").alias("score")))
-    texts = cut(lines.join(scores, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
-    rows = cut(met.select("key", "h").join(scores, "h"))
-    drop_cut(met)
-    drop_cut(scores)
-    stars = rows.join(hubs(rows.withColumn("root", F.col("h")), F.col("score")), "key").where("h <> hub")
-    found = cut(similar_pairs(stars.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b")).distinct(), texts, least))
-    roots = cut(components(found).select(F.col("node").alias("h"), "root"))
-    drop_cut(found)
-    number = 0
-    while True:
-        number += 1
-        at = cut(open_rows(rows, roots).where(F.col("size") > SMALL))
-        out = at.where("root <> main")
-        here = F.xxhash64("h", F.lit(number))
-        to_main, to_out = out.join(hubs(at.where("root = main"), here), "key"), at.join(hubs(out, here), "key").where("root <> hub_root")
-        pairs = to_main.select("h", "root", "hub", "hub_root").unionByName(to_out.select("h", "root", "hub", "hub_root"))
-        found = cut(similar_pairs(pairs.select(F.greatest("h", "hub").alias("a"), F.least("h", "hub").alias("b"), F.col("root").alias("ra"), F.col("hub_root").alias("rb")).distinct(), texts, least))
-        linked, left = found.select("ra", "rb").distinct().count(), out.select("root").distinct().count()
-        old, roots = roots, cut(with_links(roots, found))
-        for done in (old, at, found):
-            drop_cut(done)
-        if linked <= PROGRESS * left:
-            break
-    pairs = cut(open_pairs(open_rows(rows, roots), texts, least))
-    drop_cut(rows)
-    found = cut(similar_pairs(pairs, texts, least))
-    drop_cut(pairs)
-    drop_cut(texts)
-    return with_links(roots, found)
-
-
-def open_pairs(at: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb): the pairs of lines of one key in different components whose sketches allow a similarity of ``least``."""
-    some = texts.join(at.select("h").distinct(), "h", "left_semi").select("h", shingles(F.col("line")).alias("s"))
-    at = cut(at.join(sketches(some), "h"))
-    names = ["h", "root", "n", *[f"w{k}" for k in range(WORDS)]]
-    x = at.where("root <> main").select("key", *[F.col(c).alias(f"x{c}") for c in names])
-    y = at.select("key", "main", *[F.col(c).alias(f"y{c}") for c in names])
-    apart = sum((F.bit_count(F.col(f"xw{k}").bitwiseXOR(F.col(f"yw{k}"))) for k in range(WORDS)), F.lit(0))
-    once = (F.col("yroot") == F.col("main")) | (F.col("xh") < F.col("yh"))
-    near = (F.col("xroot") != F.col("yroot")) & once & (F.least("xn", "yn") >= F.greatest("xn", "yn") * least - 1e-9)
-    near = near & (apart <= (F.col("xn") + F.col("yn")) * ((1 - least) / (1 + least)) + 1e-9)
-    return x.join(y, (x["key"] == y["key"]) & near).select(F.greatest("xh", "yh").alias("a"), F.least("xh", "yh").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb")).distinct()
-
-
-def with_links(roots: DataFrame, found: DataFrame) -> DataFrame:
-    """``roots`` (h, root) after the union of the components of ``found`` (ra, rb: roots, lines without one among them)."""
-    more = components(found, "ra", "rb")
-    old = roots.unionByName(more.join(roots, more["node"] == roots["h"], "left_anti").select(F.col("node").alias("h"), F.col("node").alias("root")))
-    return old.join(more.withColumnRenamed("root", "to"), F.col("root") == F.col("node"), "left").select("h", F.coalesce("to", "root").alias("root"))
-
-
 def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
     """(id, line_no, class_id) of each line that is not blank, and (class_id, head, size) of each class; head is its first line."""
     base = cut(banded(exploded(docs, id_col, text_col)))
-    lines = exploded(docs, id_col, text_col).select(F.xxhash64("line").alias("h"), "line")
-    roots = line_roots(lines, base.select("h", "keys"), least)
+    lines = exploded(docs, id_col, text_col).select(F.xxhash64("line").alias("h"), F.col("line").alias("text"))
+    roots = similar_classes(lines, base.select("h", "keys"), shingles, least)
     at = cut(base.select("id", "line_no", "h").join(roots, "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("class_id")))
     drop_cut(base)
     return at, at.groupBy("class_id").agg(F.min(F.struct("id", "line_no")).alias("head"), F.count(F.lit(1)).alias("size"))
@@ -208,7 +106,8 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no")))
     gone = at.join(heads.where("size > 1"), "class_id").where(later)
     found = gone.groupBy(F.col("id").alias("i")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(text_col), "\n")))
+    text = F.col(text_col)
+    n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     all_ = docs.groupBy(id_col).agg(F.sum(n).cast("long").alias("n_lines"))
     out = all_.join(found, all_[id_col].eqNullSafe(found["i"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))

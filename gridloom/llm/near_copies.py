@@ -1,15 +1,15 @@
-"""Near copies by the exact Jaccard similarity of word shingles, without a loss of pairs.
-
-A document's set holds the hashes of its windows of ``SHINGLE_WORDS`` words, lower-cased; a text with fewer
-words is one shingle, and texts without words are alike.  Prefix filter: with shingles in one order, two
-sets of Jaccard similarity ``SIMILAR`` share one of the first of each, as many as the set can lack, plus
-one.  That holds for any order; here shingles that a sample of the documents repeats come last, so a
-passage that many documents hold pairs little.
-
-Documents that share a leading shingle are compared with its first document.  These links make
-components; shingles whose documents are in more than one still have open pairs, one side of which at
-least is outside the shingle's largest component, and all of these are compared.  So a class of
-thousands of near copies costs a few comparisons a document and shingle.
+"""Near copies: SimHash fingerprints and the segment-popcount range join, then the exact similarity.
+
+Documents are compared by the Jaccard similarity of their sets of ``SHINGLE_WORDS``-word shingles, in lower
+case; a text with fewer words is one shingle, and texts without words are alike.  Two texts are near
+copies at ``SIMILAR`` or more.
+
+First pass: ``simhash.links`` finds fingerprints of the same shingles within ``simhash.RADIUS`` bits; of the
+texts of one fingerprint each is paired with the first, and pairs are verified exactly.  At similarity
+0.8 fingerprints differ in some ten bits of 64, and a range join that wide compares nearly everything
+with everything.  So the rest comes from a second pass: MinHash keys of the same shingles, ``BANDS`` of
+``ROWS`` each, which two texts of similarity 0.8 share with probability 1 - (1 - 0.8^5)^14 = 0.997.  It
+starts from the first pass's components and compares texts of different ones only (``classes``).
 """
 
 from __future__ import annotations
@@ -17,102 +17,88 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from .classes import similar_classes, similar_pairs
 from .common import components, cut, drop_cut
-from .simhash import keep_first
+from .simhash import RADIUS, keep_first, links, majority
 
 SHINGLE_WORDS = 5
 SIMILAR = 0.8
-SAMPLE = 8
-COMMON = 300_000
+BANDS, ROWS = 14, 5
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """The distinct hashes of the word windows of UTF-8 ``text``, sorted."""
+def shingle_hashes(text: bytes | None) -> np.ndarray:
+    """The hashes of the word windows of UTF-8 ``text``, repeats included."""
     words = (text or b"").lower().split()
     digest, k = xxhash.xxh64_intdigest, SHINGLE_WORDS
-    found = {digest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    n = max(1, len(words) - k + 1)
+    return np.fromiter((digest(b" ".join(words[i : i + k])) for i in range(n)), np.uint64, n)
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """(id, *keep, h, s) for each row of ``docs``: the set of shingles and its hash."""
-    names = [id_col, *keep]
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a one-permutation MinHash of the distinct ``hashes``, sorted: ``ROWS`` hashes from the band's bound on, around the end."""
+    bounds = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS)
+    at = np.searchsorted(hashes, bounds)[:, None] + np.arange(ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes()) for row in hashes[at % len(hashes)]], np.uint64).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(len(names)).cast(pa.binary())]
-            h = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], h, pa.array(sets, pa.list_(pa.int64()))], [*names, "h", "s"])
 
-    schema = docs.select(*names).schema.add("h", "long").add("s", ArrayType(LongType()))
-    return docs.select(*names, F.col(text_col).alias("__gl_text")).mapInArrow(run, schema)
+@F.pandas_udf(ArrayType(LongType()))
+def shingle_set(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.unique(shingle_hashes(t.encode())).view(np.int64) for t in texts])
 
 
-def leading(sets: DataFrame, common: np.ndarray, least: float) -> DataFrame:
-    """(h, n, c): the size of each set, and its first shingles in the order where ``common`` (sorted) comes last."""
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, fingerprint, keys) for each row of ``docs``: the hash of its text, the fingerprint and the band keys of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, first = [], []
-            for x in b.column(1):
-                s = x.values.to_numpy()
-                late = np.isin(s, common, assume_unique=True)
-                n.append(len(s))
-                first.append(np.r_[s[~late], s[late]][: len(s) - int(np.ceil(len(s) * least - 1e-9)) + 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["h", "n", "c"])
+            hashes = [shingle_hashes(t.as_py()) for t in b.column(2).cast(pa.binary())]
+            prints = pa.array([majority(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), prints, pa.array([np.unique(band_keys(np.unique(h))) for h in hashes], pa.list_(pa.int64()))], [id_col, "h", "fingerprint", "keys"])
+
+    src = docs.select(id_col, text_hash(text_col).alias("h"), F.col(text_col).alias("__gl_text"))
+    return src.mapInArrow(run, docs.select(id_col).schema.add("h", "long").add("fingerprint", "long").add("keys", ArrayType(LongType())))
+
+
+def text_hash(text_col: str):
+    """A null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """(id, h, component_root, component_id) for each row of ``docs``: the text's hash, the class and the smallest id in it."""
+    rows = cut(marked(docs, id_col, text_col))
+    source = docs.select(text_hash(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    first = cut(rows.groupBy("fingerprint").agg(F.min("h").alias("a")))
+    apart = components(links(first.select("fingerprint"), radius))
+    # a fingerprint's texts against its first text, and that against the first text of its component's root
+    own = rows.join(first, "fingerprint").where("h <> a").select("a", F.col("h").alias("b"))
+    to = first.withColumnRenamed("fingerprint", "root").withColumnRenamed("a", "b")
+    across = first.join(apart, F.col("fingerprint") == F.col("node")).select("a", "root").join(to, "root").where("a <> b").select("a", "b")
+    pairs = cut(own.unionByName(across).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    texts = cut(source.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")))
+    roots = cut(components(cut(similar_pairs(pairs, texts, shingle_set, least))).select(F.col("node").alias("h"), "root"))
+    for done in (first, pairs, texts):
+        drop_cut(done)
+    roots = similar_classes(source, rows.select("h", "keys"), shingle_set, least, roots)
+    found = cut(rows.select(id_col, "h").join(roots, "h", "left").select(id_col, "h", F.coalesce("root", "h").alias("component_root")))
+    drop_cut(rows)
+    ids = found.groupBy("component_root").agg(F.min(id_col).alias("component_id"))
+    return found.join(ids, "component_root").select(id_col, "h", "component_root", "component_id")
 
-    return sets.select("h", "s").mapInArrow(run, "h long, n int, c array<long>")
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, with one row of each class of near copies: that of the smallest id.
 
-def similar(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets have a Jaccard similarity of ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = cut(rows.select("h", "s").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s")))
-    x, y = sets.select(F.col("h").alias("a"), F.col("s").alias("x")), sets.select(F.col("h").alias("b"), F.col("s").alias("y"))
-    s = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("both"), F.size(F.array_intersect("x", "y")).alias("n"))
-    out = cut(s.where(F.col("n") >= F.lit(least) * (F.col("both") - F.col("n")) - 1e-9).select("a", "b"))
-    drop_cut(sets)
-    return out
-
-
-def links(rows: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of sets of ``rows`` (h, s) of similarity ``least`` or more."""
-    some = rows.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("h", F.explode("s").alias("t")).distinct()
-    often = some.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 2").orderBy(F.desc("f"), "t").limit(COMMON)
-    common = np.sort(np.array([r["t"] for r in often.select("t").collect()], np.int64))
-    known = leading(rows, common, least).groupBy("h").agg(F.first("n").alias("n"), F.first("c").alias("c"))
-    flat = cut(known.select("h", "n", F.explode("c").alias("t")))
-    shared = flat.groupBy("t").agg(F.min(F.struct("h", "n")).alias("rep"), F.max("h").alias("top")).where("rep.h <> top").select("t", "rep")
-    met = cut(flat.join(shared, "t"))
-    drop_cut(flat)
-    fits = lambda m, n: F.least(m, n) >= F.lit(least) * F.greatest(m, n) - 1e-9
-    pairs = met.where((F.col("h") != F.col("rep.h")) & fits(F.col("n"), F.col("rep.n")))
-    linked = similar(cut(pairs.select(F.greatest("h", "rep.h").alias("a"), F.least("h", "rep.h").alias("b")).distinct()), rows, least)
-    rooted = cut(met.select("t", "h", "n").join(components(linked), F.col("h") == F.col("node"), "left").select("t", "h", "n", F.coalesce("root", "h").alias("root")))
-    drop_cut(met)
-    parts = rooted.groupBy("t", "root").agg(F.count(F.lit(1)).alias("m"))
-    open_ = parts.groupBy("t").agg(F.max(F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", F.col("main.root").alias("main"))
-    still = cut(rooted.join(open_, "t"))
-    drop_cut(rooted)
-    x = still.where("root <> main").select("t", F.col("h").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = still.select("t", F.col("h").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    pairs = x.join(y, "t").where((F.col("rx") != F.col("ry")) & fits(F.col("nx"), F.col("ny")))
-    pairs = cut(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    drop_cut(still)
-    return linked.unionByName(similar(pairs, rows, least))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, with one row of each component of near copies: that of the smallest id."""
-    rows = cut(shingled(docs.withColumn("__gl_h", F.xxhash64(text_col)), id_col, text_col, "__gl_h"))
-    roots = components(links(rows, least))
-    found = rows.drop("s").join(roots, F.col("h") == F.col("node"), "left").withColumn("component_root", F.coalesce("root", "h"))
-    ids = found.groupBy("component_root").agg(F.min(id_col).alias("component_id"))
-    found = found.select(id_col, "__gl_h", "component_root").join(ids, "component_root")
-    return keep_first(docs, found, id_col, text_col)
+    Null texts are empty ones and all alike.  Of rows that repeat an id and a text one stays; so does one
+    row of a class whose ids are all null.  Very long texts are compared whole.
+    """
+    found = near_classes(docs.select(id_col, text_col), id_col, text_col, least, radius)
+    return keep_first(docs, found, id_col, text_hash(text_col))

@@ -8,7 +8,8 @@ of the conversation that wrote it.  The message answers the original of its shal
 
 Messages are then ordered by thread: a message without a link starts one, replies follow the start of
 the thread they belong to, in order of turn.  Threads are found by pointer doubling, so their depth
-costs a logarithmic number of joins, each written to the shared folder.  Texts lose their quoted lines.
+costs a logarithmic number of joins, each written to the shared folder.  Texts lose the lines that were
+linked and keep quotes without an original.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, ranked, table
 
 MARKS = r"^(?:[ \t]*>)+"
+#: turns of one block of a passage's history
+TURNS = 1024
 
 
 def level(line: Column) -> Column:
@@ -30,51 +33,79 @@ def plain(line: Column) -> Column:
     return F.regexp_replace(line, MARKS, "")
 
 
+def text_key(text_col: str) -> Column:
+    """Tells the texts of one conversation and turn apart; null is a text too."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
 def normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, k, run, level, norm) of each line: ``run`` numbers the passages of a message."""
+    """``lines`` that are not blank, with ``run``, which numbers the passages of a message."""
     w = Window.partitionBy("conv_id", "turn", "k").orderBy("line_no")
     new = (F.col("level") != F.coalesce(F.lag("level").over(w), F.lit(-1))) | F.col("blank") | F.coalesce(F.lag("blank").over(w), F.lit(False))
     return lines.withColumn("run", F.sum(new.cast("int")).over(w)).where(~F.col("blank"))
 
 
+def latest_before(asked: DataFrame, original: DataFrame, block: int = TURNS) -> DataFrame:
+    """``asked`` (conv_id, hash, t and more) plus ``orig``: the latest turn before t with the same hash in ``original`` (conv_id, hash, t).
+
+    One sorted history of a passage in a conversation, not its quotes paired with its originals.  The
+    history is cut into blocks of turns, so a long one is many windows; what lies in earlier blocks comes
+    from a table of the blocks' last originals.
+    """
+    names = [c for c in asked.columns if c not in ("conv_id", "hash", "t")]
+    blk = F.floor(F.col("t") / block)
+    old = original.where("t is not null").select("conv_id", "hash", "t").distinct().withColumn("blk", blk)
+    last = old.groupBy("conv_id", "hash", "blk").agg(F.max("t").alias("last"))
+    both = last.unionByName(asked.select("conv_id", "hash", blk.alias("blk")).distinct().withColumn("last", F.lit(None).cast("long")))
+    both = both.groupBy("conv_id", "hash", "blk").agg(F.max("last").alias("last"))
+    w = Window.partitionBy("conv_id", "hash").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.select(F.col("conv_id").alias("b_conv"), F.col("hash").alias("b_hash"), F.col("blk").alias("b_blk"), F.max("last").over(w).alias("before"))
+    # at equal turns the quote (-1) comes before the original (0): a message is never its own original
+    events = asked.withColumn("blk", blk).withColumn("q", F.lit(-1)).unionByName(old.withColumn("q", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("conv_id", "hash", "blk").orderBy("t", "q").rowsBetween(Window.unboundedPreceding, -1)
+    seen = events.withColumn("near", F.last(F.when(F.col("q") == 0, F.col("t")), ignorenulls=True).over(w)).where("q = -1 and t is not null")
+    found = seen.join(before, seen["conv_id"].eqNullSafe(before["b_conv"]) & (seen["hash"] == before["b_hash"]) & (seen["blk"] == before["b_blk"]))
+    found = found.select("conv_id", "hash", "t", *names, F.coalesce("near", "before").alias("orig"))
+    return found.unionByName(asked.where("t is null").withColumn("orig", F.lit(None).cast("long")))
+
+
 def link(talk: DataFrame, conv: str = "conv_id", turn: str = "turn", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, reply_to, n_quotes, n_linked) of every message that quotes.
+    """(conv_id, turn, k, reply_to, n_quotes, n_linked, linked) of every message that quotes.
 
-    Messages that repeat (conversation, turn) are told apart by their text's hash.
+    ``k`` is the hash of the text, which tells messages of one conversation and turn apart; rows that
+    repeat a message are one.  ``linked`` has the numbers of the lines whose original was found.
     """
     lines = talk.select(
-        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.xxhash64(text_col).alias("k"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")
+        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), text_key(text_col).alias("k"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")
     ).select("conv_id", "turn", "k", "line_no", level(F.col("line")).alias("level"), F.trim(normal(plain(F.col("line")))).alias("norm"))
     lines = lines.withColumn("blank", F.col("norm") == "")
-    quoting = lines.where("level > 0 and not blank").select("conv_id", "turn", "k").distinct()
+    quoting = lines.where("level > 0 and not blank").select("conv_id").distinct()
     # conversations without a quote need no originals
-    convs = quoting.select("conv_id").distinct()
-    rows = cut(passages(lines.join(convs, lines["conv_id"].eqNullSafe(convs["conv_id"]), "left_semi")))
+    convs = quoting.select(F.col("conv_id").alias("q_conv"))
+    some = lines.join(convs, lines["conv_id"].eqNullSafe(convs["q_conv"]), "left_semi").dropDuplicates(["conv_id", "turn", "k", "line_no"])
+    rows = cut(passages(some))
     text_of = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "norm"))), lambda x: x["norm"]), " ")
     run = rows.groupBy("conv_id", "turn", "k", "run", "level").agg(F.xxhash64(text_of()).alias("hash"))
     whole = rows.where("level = 0").groupBy("conv_id", "turn", "k").agg(F.xxhash64(text_of()).alias("hash"))
-    line = rows.select("conv_id", "turn", "k", "run", "level", F.xxhash64("norm").alias("hash"))
-    original = (
-        run.where("level = 0").select("conv_id", "turn", "hash").unionByName(whole.select("conv_id", "turn", "hash")).unionByName(line.where("level = 0").select("conv_id", "turn", "hash"))
-    )
-    # the turns that wrote a passage, as one sorted history: a union and a window, so a common passage is never paired with all its quotes
-    asked = run.where("level > 0").withColumn("whole", F.lit(1)).unionByName(line.where("level > 0").withColumn("whole", F.lit(0)))
-    events = original.distinct().select("conv_id", "hash", F.col("turn").alias("t"), F.lit(0).alias("q"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("int").alias("run"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("whole"))
-    events = events.unionByName(asked.select("conv_id", "hash", F.col("turn").alias("t"), F.lit(-1).alias("q"), "k", F.col("run").cast("int").alias("run"), "level", "whole"))
-    # at equal turns the quote (-1) comes before the original (0): a message is never its own original
-    w = Window.partitionBy("conv_id", "hash").orderBy("t", "q").rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("orig", F.last(F.when(F.col("q") == 0, F.col("t")), ignorenulls=True).over(w)).where("q = -1")
+    line = rows.select("conv_id", "turn", "k", "run", "level", "line_no", F.xxhash64("norm").alias("hash"))
+    original = run.where("level = 0").select("conv_id", "turn", "hash").unionByName(whole.select("conv_id", "turn", "hash")).unionByName(line.where("level = 0").select("conv_id", "turn", "hash"))
+    asked = run.where("level > 0").withColumn("line_no", F.lit(None).cast("int")).unionByName(line.where("level > 0"))
+    seen = latest_before(asked.withColumnRenamed("turn", "t"), original.withColumnRenamed("turn", "t"))
+    of_run, of_lines = F.col("line_no").isNull() & F.col("orig").isNotNull(), F.col("line_no").isNotNull()
     best = seen.groupBy("conv_id", "t", "k", "run", "level").agg(
-        F.max(F.when(F.col("orig").isNotNull(), F.struct("whole", "orig"))).alias("o")
-    )
+        F.max(F.when(of_run, F.col("orig"))).alias("whole"), F.max(F.when(of_lines, F.col("orig"))).alias("part"),
+        F.collect_list(F.when(of_lines, F.col("line_no"))).alias("all"), F.collect_list(F.when(of_lines & F.col("orig").isNotNull(), F.col("line_no"))).alias("some"),
+    )
+    best = best.select("conv_id", "t", "k", "level", F.coalesce("whole", "part").alias("orig"), F.when(F.col("whole").isNotNull(), F.col("all")).otherwise(F.col("some")).alias("lines"))
     return best.groupBy("conv_id", F.col("t").alias("turn"), "k").agg(
-        F.min_by(F.col("o.orig"), F.when(F.col("o").isNotNull(), F.struct("level", -F.col("o.orig")))).alias("reply_to"),
+        F.min_by("orig", F.when(F.col("orig").isNotNull(), F.struct("level", -F.col("orig")))).alias("reply_to"),
         F.count(F.lit(1)).alias("n_quotes"),
-        F.count("o").alias("n_linked"),
+        F.count("orig").alias("n_linked"),
+        F.flatten(F.collect_list("lines")).alias("linked"),
     )
 
 
@@ -96,27 +127,30 @@ def thread_roots(replies: DataFrame) -> DataFrame:
 
 
 def conversations(talk: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, position, reply_to, depth, n_quotes, n_linked, text) for each message, quotes removed.
-
-    position orders a conversation from 0: by the first turn of the thread, then by turn.  A message
-    that quotes nothing it can be linked to has reply_to null and depth 0.  Null texts stay null and
-    quote nothing; a null conversation is one conversation, a null turn comes first and is never an
-    original; repeated messages are all kept.
+    """(conv_id, turn, role, position, reply_to, depth, n_quotes, n_linked, text) for each message, without the quotes that were linked.
+
+    position orders a conversation from 0: by the first turn of the thread, then by turn, then by the
+    text's hash.  A message that quotes nothing it can be linked to has reply_to null and depth 0.
+    Quoted lines without an original stay in the text, as nothing else holds them; blank quoted lines go
+    with the linked ones.  Null texts stay null and quote nothing; empty texts stay empty; a null
+    conversation is one conversation, a null turn comes first and is never an original; repeated
+    messages are all kept and linked alike; very long texts are parsed whole.  Other columns are not read.
     """
     links = cut(link(talk, conv, turn, text_col))
     roots = thread_roots(links.where("reply_to is not null").select("conv_id", "turn", "reply_to"))
-    names = talk.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k"))
+    names = talk.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text_col).alias("text"), text_key(text_col).alias("k"))
     a = links.select(*[F.col(c).alias(f"l_{c}") for c in links.columns])
     b = roots.select(F.col("conv_id").alias("r_c"), F.col("turn").alias("r_t"), "root", "depth")
     out = names.join(a, names["conv_id"].eqNullSafe(a["l_conv_id"]) & names["turn"].eqNullSafe(a["l_turn"]) & (names["k"] == a["l_k"]), "left")
     out = out.join(b, out["conv_id"].eqNullSafe(b["r_c"]) & (out["turn"] == b["r_t"]) & F.col("l_reply_to").isNotNull(), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(MARKS)), "\n")
-    text = F.when(F.col("l_n_quotes").isNull(), F.col("text")).otherwise(F.btrim(kept, F.lit("\n ")))
+    void = lambda x: (level(x) > 0) & (F.trim(normal(plain(x))) == "")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("l_linked", i) & ~void(x))
+    text = F.when(F.col("l_n_linked") > 0, F.btrim(F.array_join(kept, "\n"), F.lit("\n "))).otherwise(F.col("text"))
     out = out.select(
         "conv_id", "turn", "role", F.col("l_reply_to").alias("reply_to"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.coalesce("l_n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("l_n_linked", F.lit(0)).cast("long").alias("n_linked"),
         text.alias("text"), F.coalesce("root", "turn").alias("__gl_root"), "k",
-    )
+    )
     out = ranked(out, ["conv_id"], ["__gl_root", "turn", "k"], "position")
     return out.select("conv_id", "turn", "role", "position", "reply_to", "depth", "n_quotes", "n_linked", "text")
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut
@@ -33,6 +33,15 @@ CELL_ROWS = 4096
 _CHUNK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that are set in over half of ``hashes``."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), _CHUNK):
+        some = np.ascontiguousarray(hashes[k : k + _CHUNK], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def simhash(text: bytes | None) -> int:
     """Signed 64-bit fingerprint of UTF-8 ``text``; 0 if it has no word."""
     words = (text or b"").lower().split()
@@ -47,12 +56,7 @@ def simhash(text: bytes | None) -> int:
         stop = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
         ends = stop[SHINGLE_WORDS - 1 :].tolist()
         starts = [0, *(stop[: n - SHINGLE_WORDS] + 1).tolist()]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(starts), _CHUNK):
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + _CHUNK], ends[k : k + _CHUNK])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(starts)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+    return majority(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
@@ -187,25 +191,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Rows that repeat that id and text, or a component whose ids are all null, keep one row as well.
     """
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("__gl_h"))
-    return keep_first(docs, near_duplicates(keyed, id_col, text_col, radius, "__gl_h"), id_col, text_col)
-
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("h"))
+    return keep_first(docs, near_duplicates(keyed, id_col, text_col, radius, "h"), id_col, F.xxhash64(text_col))
 
-def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that stand for the components of ``found`` (id, __gl_h, component_root, component_id)."""
-    from pyspark.sql import Window
 
-    h = F.xxhash64(text_col)
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
+    """The rows of ``docs`` that stand for the components of ``found`` (id, h, component_root, component_id), h being their ``text_hash``."""
     first = (
         found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
         .groupBy("component_root")
-        .agg(F.min(F.struct(F.col(id_col).alias("i"), F.col("__gl_h").alias("h"))).alias("k"))
+        .agg(F.min(F.struct(F.col(id_col).alias("i"), "h")).alias("k"))
         .select(F.col("k.i").alias("__gl_i"), F.col("k.h").alias("__gl_kh"))
     )
-    rows = docs.withColumn("__gl_h", h)
+    rows = docs.withColumn("__gl_h", text_hash)
     out = rows.join(first, rows[id_col].eqNullSafe(first["__gl_i"]) & (rows["__gl_h"] == first["__gl_kh"]))
-    w = Window.partitionBy(id_col, "__gl_h").orderBy(F.lit(1))
-    return out.withColumn("__gl_n", F.row_number().over(w)).where("__gl_n = 1").select(*docs.columns)
+    return out.dropDuplicates([id_col, "__gl_h"]).select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
