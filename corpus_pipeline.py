@@ -19,7 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays, that of the smallest doc_id."""
+    """One document of each class of near copies (five-word shingles, similarity 0.8 or more) stays, that of the smallest doc_id.
+
+    SimHash with the segment-popcount join finds the closest copies; ``near_copies`` says how the rest is found.
+    """
     return near_copies.keep_one(docs)
 
 
@@ -40,7 +43,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminated),
     ("mixing sources", mixed),
     ("sharding", sharded),
