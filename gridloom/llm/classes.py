@@ -24,6 +24,7 @@ from .common import components, cut, drop_cut
 WORDS = 16
 SMALL = 32
 PROGRESS = 0.05
+#: from a text to the sorted array of its distinct shingles' hashes
 Shingles = Callable[[Column], Column]
 
 
@@ -33,11 +34,11 @@ def sketches(texts: DataFrame, shingles: Shingles) -> DataFrame:
     A hash that one of two sets lacks changes one bit, so two sets differ in as many hashes as their
     sketches in bits, or more.
     """
-    x = F.col("x")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 58).cast("int"))
-    words = [F.coalesce(F.bit_xor(F.when(F.pmod(x, F.lit(WORDS)) == k, bit)), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
     # the outer form, as the plain one would add a filter that makes all shingles once more
-    return texts.select("h", F.explode_outer(shingles(F.col("text"))).alias("x")).groupBy("h").agg(F.count("x").cast("int").alias("n"), *words)
+    x = texts.select("h", F.explode_outer(shingles(F.col("text"))).alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("x", 58).cast("int"))
+    words = [F.coalesce(F.bit_xor(F.when(F.pmod("x", F.lit(WORDS)) == k, bit)), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
+    return x.groupBy("h").agg(F.count("x").cast("int").alias("n"), *words)
 
 
 def alike(x: str, y: str, least: float) -> Column:
@@ -93,9 +94,10 @@ def similar_classes(source: DataFrame, keyed: DataFrame, shingles: Shingles, lea
     """
     flat = keyed.select("h", F.explode_outer("keys").alias("key")).where("key is not null")
     many = flat.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top").select("key", "n")
-    met = cut(flat.join(many, "key").distinct())
+    met = cut(flat.join(many.hint("shuffle_hash"), "key").distinct())
     scores = cut(met.groupBy("h").agg(F.sum("n").alias("score")))
-    texts = cut(source.join(scores, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")))
+    # every text moves here; the hash join spares sorting them, and a row of ``scores`` is small
+    texts = cut(source.join(scores.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")))
     marks = cut(sketches(texts, shingles))
     rows = cut(met.select("key", "h").join(scores, "h"))
     drop_cut(met)
@@ -116,6 +118,9 @@ def similar_classes(source: DataFrame, keyed: DataFrame, shingles: Shingles, lea
     while True:
         number += 1
         at = cut(open_rows(rows, roots).where(F.col("size") > SMALL))
+        if at.isEmpty():
+            drop_cut(at)
+            break
         out = at.where("root <> main")
         here = F.xxhash64("h", F.lit(number))
         to_main, to_out = out.join(hubs(at.where("root = main"), here), "key"), at.join(hubs(out, here), "key").where("root <> hub_root")

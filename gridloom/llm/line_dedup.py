@@ -74,14 +74,19 @@ def banded(lines: DataFrame) -> DataFrame:
     return cut_.select(*others, "h", F.array_compact(F.array(*keys)).alias("keys"))
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """(id, line_no, class_id) of each line that is not blank, and (class_id, head, size) of each class; head is its first line."""
+def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(id, line_no, class_id) of each line that is not blank."""
     base = cut(banded(exploded(docs, id_col, text_col)))
     lines = exploded(docs, id_col, text_col).select(F.xxhash64("line").alias("h"), F.col("line").alias("text"))
     roots = similar_classes(lines, base.select("h", "keys"), shingles, least)
     at = cut(base.select("id", "line_no", "h").join(roots, "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("class_id")))
     drop_cut(base)
-    return at, at.groupBy("class_id").agg(F.min(F.struct("id", "line_no")).alias("head"), F.count(F.lit(1)).alias("size"))
+    return at
+
+
+def heads(at: DataFrame) -> DataFrame:
+    """(class_id, head): the first line of each class."""
+    return at.groupBy("class_id").agg(F.min(F.struct("id", "line_no")).alias("head"))
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -90,9 +95,9 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_id is a hash that the lines of one component share; kept is true for the component's first
     line by id and line number.
     """
-    at, heads = classed(docs, id_col, text_col, least)
+    at = classed(docs, id_col, text_col, least)
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
-    return at.join(heads, "class_id").select(F.col("id").alias(id_col), "line_no", "class_id", kept.alias("kept"))
+    return at.join(heads(at), "class_id").select(F.col("id").alias(id_col), "line_no", "class_id", kept.alias("kept"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -102,9 +107,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their counts add up.  A null id is an id.  Very long lines and texts are compared whole.  Of equal
     lines the first by id and line number stays.  Columns other than the two named are not read.
     """
-    at, heads = classed(docs, id_col, text_col, least)
+    at = classed(docs, id_col, text_col, least)
+    # of lines that are alone in their class nothing more is needed than a count
+    several = at.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("class_id")
+    some = cut(at.join(several.hint("shuffle_hash"), "class_id"))
     later = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no")))
-    gone = at.join(heads.where("size > 1"), "class_id").where(later)
+    gone = some.join(heads(some), "class_id").where(later)
     found = gone.groupBy(F.col("id").alias("i")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
     text = F.col(text_col)
     n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
