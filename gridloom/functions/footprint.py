@@ -333,6 +333,47 @@ def intersection(fp: Column, box: tuple[Column, Column, Column, Column]) -> Colu
     return bind(shared, place)
 
 
+def overlap(fp: Column, ring: Column) -> Column:
+    """The smallest footprint on the grid of ``fp``, which may be turned, over what it shares with a convex closed ring of points.
+
+    The ring is carried to raster coordinates, cut down to the raster and bounded.  Null where they share
+    no area.
+    """
+    from .geometry import clip_ring
+
+    def place(f: Column) -> Column:
+        def carried(p: Column) -> Column:
+            u, v = inverse(f, p["x"], p["y"])
+            return F.struct(u.alias("x"), v.alias("y"), F.lit(0.0).alias("z"))
+
+        r = F.transform(F.array(F.transform(ring, carried)), lambda x: x)[0]
+        cut = lambda axis, end: lambda t: clip_ring(t["r"], axis, t["b"], not end)
+        for axis in ("x", "y"):
+            for end in (0, 1):
+                bound = f["rsx" if axis == "x" else "rsy"].cast("double") if end else F.lit(0.0)
+                r = F.transform(F.array(F.struct(r.alias("r"), bound.alias("b"))), cut(axis, end))[0]
+        of = lambda k, axis: k(F.transform(r, lambda p: p[axis]))
+        box = F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"), density(f, floor_one=True).alias("d"))
+
+        def whole(b: Column) -> Column:
+            snap = lambda c: F.rint(c * b["d"]) / b["d"]
+            x0, y0 = F.floor(snap(b["x0"])), F.floor(snap(b["y0"]))
+            w, h = F.greatest(F.lit(1), F.ceil(snap(b["x1"])) - x0), F.greatest(F.lit(1), F.ceil(snap(b["y1"])) - y0)
+            return F.when((b["x0"] < b["x1"]) & (b["y0"] < b["y1"]), moved(f, x0, y0, w, h))
+
+        return bind(box, whole)
+
+    return bind(fp, place)
+
+
+def grid_fraction(fp: Column) -> tuple[Column, Column]:
+    """Where the nearest grid point before the origin lies, in pixels within [0, 1): equal for footprints on one grid of one pixel size."""
+    u, v = inverse(fp, 0.0, 0.0)
+    d = density(fp, floor_one=True)
+    part = lambda c: bind(F.struct(c.alias("c"), d.alias("d")), lambda t: F.pmod(F.rint(F.pmod(t["c"], F.lit(1.0)) * t["d"]) / t["d"], F.lit(1.0)))
+    return part(u), part(v)
+
+
 def move(fp: Column, tl, tr=None, br=None) -> Column:
     """``fp`` with new corners: translated; turned and scaled alike in both directions; or scaled in each."""
     tlx, tly = map(_c, tl)
@@ -366,6 +407,8 @@ def conv2d(fp: Column, kernel, stride=1, padding=0, dilation=1, backward: bool =
     n, shift, factor = [], [], []
     for i, rs in enumerate((fp["rsx"], fp["rsy"])):
         wide = 1 + (k[i] - 1) * d[i]
+        if not backward:
+            rs = F.when(rs + 2 * p[i] >= wide, rs).otherwise(F.raise_error(F.lit("the kernel is wider than the padded raster")).cast("int"))
         if backward:
             n.append((rs - 1) * s[i] - 2 * p[i] + wide)
             shift.append((p[i] - (wide - 1) / 2) / s[i])

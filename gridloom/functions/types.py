@@ -28,6 +28,7 @@ FIELD_TYPES = {
     "string": "string", "str": "string", "integerlist": "array<int>", "integer64list": "array<bigint>", "int list": "array<bigint>",
     "reallist": "array<double>", "float list": "array<double>", "stringlist": "array<string>", "str list": "array<string>",
 }
+# Colour interpretations, mask flags and geometry types by name.
 INTERPRETATIONS = (
     "undefined", "grayindex", "paletteindex", "redband", "greenband", "blueband", "alphaband", "hueband", "saturationband", "lightnessband",
     "cyanband", "magentaband", "yellowband", "blackband",
@@ -46,6 +47,70 @@ def pixel_type(name: str) -> str:
     return PIXEL_TYPES[name]
 
 
+# The types that raster files hold, and those that are widened or narrowed to one of them.
+FILE_TYPES = ("uint8", "int16", "int32", "uint16", "uint32", "float32", "float64", "complex64", "complex128")
+WIDENED = {"float16": "float32", "int8": "int16"}
+NARROWED = {"float128": "float64", "complex256": "complex128", "uint64": "float64", "int64": "float64"}
+OPEN_FLAGS = {"raster": 2, "vector": 4, "gnm": 8, "readonly": 0, "update": 1, "shared": 32, "verbose_error": 64, "internal": 128}
+
+
+def equivalent(name: str) -> str:
+    """The file type of a pixel type without any loss or change of width; booleans are stored as bytes."""
+    if name == "bool":
+        return "uint8"
+    if name in FILE_TYPES:
+        return name
+    raise ValueError(f"no equivalent of {name!r}")
+
+
+def upcast(name: str) -> str:
+    """The file type that holds all values of a pixel type."""
+    return WIDENED[name] if name in WIDENED else equivalent(name)
+
+
+def downcast(name: str) -> str:
+    """The file type that holds a pixel type's values best, with loss where it must be."""
+    return NARROWED[name] if name in NARROWED else upcast(name)
+
+
+def is_file_type(name: str, how: str = "equivalent") -> bool:
+    """Whether a pixel type has a file type under one of the three rules."""
+    try:
+        {"equivalent": equivalent, "upcast": upcast, "downcast": downcast}[how](name)
+    except ValueError:
+        return False
+    return True
+
+
+def pixel_types_of(spark_type: str) -> list[str]:
+    """The pixel types that a Spark type holds."""
+    return [n for n in (*PIXEL_TYPES, *COMPLEX_TYPES) if pixel_type(n) == spark_type]
+
+
+def open_flags(text: str) -> int:
+    """Bit set of the names of open flags, separated by commas or blanks."""
+    out = 0
+    for word in text.replace(",", " ").split():
+        if word.lower() not in OPEN_FLAGS:
+            raise ValueError(f"no open flag {word!r}")
+        out |= OPEN_FLAGS[word.lower()]
+    return out
+
+
+def open_flags_of_mode(mode: str) -> int:
+    if mode not in ("r", "w"):
+        raise ValueError("mode is r or w")
+    return OPEN_FLAGS["update" if mode == "w" else "readonly"]
+
+
+def field_type_name(data_type: T.DataType) -> str:
+    """The canonical name of a field type for a Spark type."""
+    names = {"int": "integer", "bigint": "integer64", "double": "real", "string": "string", "binary": "binary", "date": "date", "timestamp_ntz": "datetime", "array<int>": "integerlist", "array<bigint>": "integer64list", "array<double>": "reallist", "array<string>": "stringlist"}
+    if data_type.simpleString() not in names:
+        raise ValueError(f"no field type for {data_type.simpleString()}")
+    return names[data_type.simpleString()]
+
+
 def field(name: str, kind: str, nullable: bool = True, precision: int | None = None, width: int | None = None, default=None) -> T.StructField:
     if kind.lower() not in FIELD_TYPES:
         raise ValueError(f"no field type {kind!r}")

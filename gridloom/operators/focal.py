@@ -1,12 +1,16 @@
-"""Neighbourhood operators over pixel tables.
+"""Neighbourhood operators.
 
-Neighbours come from two passes of ``lag`` and ``lead``: along rows, then along columns over the
-values that the first pass gathered.  Windows are partitioned by row and by column of a block of the
-raster, never by the raster.
+Over tables of tiles, each tile gets the edges of its eight neighbours, so one shuffle of little more
+than the raster serves, and arrays do the rest.  Over sparse tables of pixels, neighbours come from two
+passes of ``lag`` and ``lead``: along rows, then along columns over the values that the first gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +48,59 @@ def focal_range(px: DataFrame) -> DataFrame:
     """(px, py, span): largest less smallest value of a pixel and its four neighbours."""
     plus = F.array_compact(F.array(*[F.col("z")[k] for k in (1, 3, 4, 5, 7)]))
     return neighbours(px).select("px", "py", (F.array_max(plus) - F.array_min(plus)).alias("span"))
+
+
+# --- over tiles ----------------------------------------------------------------------------------
+
+
+def with_edges(tiles: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(tx, ty, dx, dy, part): each whole tile (0, 0), and the rows, columns and corners that its neighbours lie next to."""
+    w, h = size
+    d = F.col("data")
+    rows = (F.size(d) / w).cast("int")
+    column = lambda x: F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.get(d, r * w + x))
+    row = lambda y: F.slice(d, y * w + 1, F.lit(w))
+    corner = lambda x, y: F.array(F.get(d, y * w + x))
+    last_c, last_r = F.lit(w - 1), rows - 1
+    # the tile lies at (dx, dy) of the one that gets the part
+    parts = {
+        (0, 0): d, (-1, 0): column(last_c), (1, 0): column(F.lit(0)), (0, -1): row(last_r), (0, 1): row(F.lit(0)),
+        (-1, -1): corner(last_c, last_r), (1, -1): corner(F.lit(0), last_r), (-1, 1): corner(last_c, F.lit(0)), (1, 1): corner(F.lit(0), F.lit(0)),
+    }
+    sent = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), v.cast("array<double>").alias("part")) for (dx, dy), v in parts.items()])
+    t = tiles.select("tx", "ty", F.explode(sent).alias("s"))
+    return t.select((F.col("tx") - F.col("s.dx")).cast("int").alias("tx"), (F.col("ty") - F.col("s.dy")).cast("int").alias("ty"), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"), F.col("s.part").alias("part"))
+
+
+def over_tiles(tiles: DataFrame, size: tuple[int, int], f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(tx, ty, data) of ``f`` applied to each full tile with a border of one pixel, NaN where there is no neighbour."""
+    w, h = size
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = {(x, y): np.asarray(p, float) for x, y, p in zip(pdf["dx"], pdf["dy"], pdf["part"])}
+        if (0, 0) not in got:
+            return pd.DataFrame({"tx": pd.Series([], dtype="int32"), "ty": pd.Series([], dtype="int32"), "data": pd.Series([], dtype=object)})
+        a = np.full((h + 2, w + 2), np.nan)
+        a[1:-1, 1:-1] = got[0, 0].reshape(h, w)
+        at = {-1: 0, 0: slice(1, -1), 1: -1}
+        for (x, y), part in got.items():
+            if (x, y) != (0, 0):
+                a[at[y], at[x]] = part if x == 0 or y == 0 else part[0]
+        return pd.DataFrame({"tx": [pdf["tx"].iloc[0]], "ty": [pdf["ty"].iloc[0]], "data": [f(a).ravel().tolist()]})
+
+    return with_edges(tiles, size).groupBy("tx", "ty").applyInPandas(run, "tx int, ty int, data array<double>")
+
+
+def slope_array(z: np.ndarray, resx: float, resy: float, horn: bool = False) -> np.ndarray:
+    """Slopes in degrees of an array with a border of one pixel; 0 where a neighbour is missing."""
+    c = lambda y, x: z[1 + y : z.shape[0] - 1 + y, 1 + x : z.shape[1] - 1 + x]
+    west = c(0, -1) if horn else c(1, 0)
+    dx = ((c(-1, 1) + 2 * c(0, 1) + c(1, 1)) - (c(-1, -1) + 2 * west + c(1, -1))) / (8 * resx)
+    dy = ((c(1, -1) + 2 * c(1, 0) + c(1, 1)) - (c(-1, -1) + 2 * c(-1, 0) + c(-1, 1))) / (8 * resy)
+    whole = ~np.isnan(sum(c(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)))
+    return np.where(whole, np.degrees(np.arctan(np.hypot(dx, dy))), 0.0)
+
+
+def slope_tiles(tiles: DataFrame, size: tuple[int, int], resx: float, resy: float, horn: bool = False) -> DataFrame:
+    """(tx, ty, data): slopes of tiles, as ``slopes``."""
+    return over_tiles(tiles, size, lambda z: slope_array(z, resx, resy, horn))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..footprint import Footprint
@@ -17,8 +17,8 @@ def edges(shapes: DataFrame, key: str, geom: str = "geom") -> DataFrame:
     return p.select(key, a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
-def burn_polygons(shapes: DataFrame, fp: Footprint, key: str, geom: str = "geom") -> DataFrame:
-    """(key, px, py): the pixels of the north-up ``fp`` whose centre lies in a polygon, holes left out.
+def burn_polygons(shapes: DataFrame, fp: Footprint, key: str, geom: str = "geom", all_touched: bool = False) -> DataFrame:
+    """(key, px, py): the pixels of the north-up ``fp`` whose centre lies in a polygon, holes left out; with ``all_touched`` also those that a side passes.
 
     Each side is cut by the centre lines of the rows that it spans; the crossings of a row, in order,
     pair up to spans of pixels.
@@ -34,7 +34,8 @@ def burn_polygons(shapes: DataFrame, fp: Footprint, key: str, geom: str = "geom"
     w = Window.partitionBy(key, "py").orderBy("u")
     span = cut.withColumn("end", F.lead("u").over(w)).withColumn("n", F.row_number().over(w)).where("n % 2 = 1")
     a, b = F.greatest(F.ceil(F.col("u") - 0.5).cast("int"), F.lit(0)), F.least(F.ceil(F.col("end") - 0.5).cast("int") - 1, F.lit(fp.rsx - 1))
-    return span.withColumn("a", a).withColumn("b", b).where("a <= b").select(key, F.explode(F.sequence("a", "b")).alias("px"), "py")
+    filled = span.withColumn("a", a).withColumn("b", b).where("a <= b").select(key, F.explode(F.sequence("a", "b")).alias("px"), "py")
+    return filled.unionByName(burn_lines(shapes, fp, key, geom, True)).distinct() if all_touched else filled
 
 
 def labelled(burnt: DataFrame, order: str) -> DataFrame:
@@ -42,17 +43,42 @@ def labelled(burnt: DataFrame, order: str) -> DataFrame:
     return burnt.groupBy("px", "py").agg(F.max(order).alias("label"))
 
 
-def burn_lines(lines: DataFrame, fp: Footprint, key: str, geom: str = "geom") -> DataFrame:
-    """(key, px, py): the pixels that each side passes, one for each step along its longer direction."""
+def label_type(count: int) -> str:
+    """The smallest unsigned pixel type that holds labels from 1 to ``count``."""
+    return "uint8" if count < 1 << 8 else "uint16" if count < 1 << 16 else "uint32"
+
+
+def touched(e: DataFrame, fp: Footprint, key: str) -> DataFrame:
+    """(key, px, py): every pixel that a side (u1, v1, u2, v2) passes through.
+
+    The side is cut where it crosses columns and rows; the middle of each stretch tells the pixel.
+    """
+
+    def crossings(a: str, b: str) -> Column:
+        lo, hi = F.least(a, b), F.greatest(a, b)
+        first, last = F.floor(lo).cast("int") + 1, F.ceil(hi).cast("int") - 1
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: (k - F.col(a)) / (F.col(b) - F.col(a)))).otherwise(F.array().cast("array<double>"))
+
+    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("u1", "u2"), crossings("v1", "v2"))))
+    t = e.withColumn("ts", ts).select("*", F.posexplode("ts").alias("i", "t0")).withColumn("t1", F.get("ts", F.col("i") + 1)).where("t1 is not null")
+    mid = (F.col("t0") + F.col("t1")) / 2
+    return t.select(key, F.floor(F.col("u1") + mid * (F.col("u2") - F.col("u1"))).cast("int").alias("px"), F.floor(F.col("v1") + mid * (F.col("v2") - F.col("v1"))).cast("int").alias("py"))
+
+
+def burn_lines(lines: DataFrame, fp: Footprint, key: str, geom: str = "geom", all_touched: bool = False) -> DataFrame:
+    """(key, px, py): the pixels that each side passes, one for each step along its longer direction; with ``all_touched`` all of them."""
     e = edges(lines, key, geom)
     u = lambda x: (F.col(x) - fp.tlx) / fp.dx
     v = lambda y: (F.col(y) - fp.tly) / fp.dy
     e = e.select(key, u("x1").alias("u1"), v("y1").alias("v1"), u("x2").alias("u2"), v("y2").alias("v2"))
+    inside = (F.col("px") >= 0) & (F.col("px") < fp.rsx) & (F.col("py") >= 0) & (F.col("py") < fp.rsy)
+    if all_touched:
+        return touched(e, fp, key).where(inside).distinct()
     n = F.greatest(F.abs(F.floor("u2") - F.floor("u1")), F.abs(F.floor("v2") - F.floor("v1"))).cast("int")
     e = e.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     t = F.when(F.col("n") == 0, 0.0).otherwise(F.col("i") / F.col("n"))
     p = e.select(key, F.floor(F.col("u1") + t * (F.col("u2") - F.col("u1"))).cast("int").alias("px"), F.floor(F.col("v1") + t * (F.col("v2") - F.col("v1"))).cast("int").alias("py"))
-    return p.where((F.col("px") >= 0) & (F.col("px") < fp.rsx) & (F.col("py") >= 0) & (F.col("py") < fp.rsy)).distinct()
+    return p.where(inside).distinct()
 
 
 def mask_components(mask: DataFrame) -> DataFrame:
@@ -86,8 +112,12 @@ def stitched(sides: list[tuple[int, int, str]]) -> list[list[tuple[int, int]]]:
         a, b = step[s]
         from_.setdefault((x + a[0], y + a[1]), []).append((x + b[0], y + b[1]))
     rings = []
+    starts = sorted(from_, reverse=True)
     while from_:
-        start = min(from_)
+        start = starts[-1]
+        if start not in from_:
+            starts.pop()
+            continue
         ring, at, came = [start], start, None
         while True:
             outs = from_[at]
@@ -162,3 +192,60 @@ def line_segments(mask: DataFrame) -> DataFrame:
     c1, c2 = m.select(F.col("px").alias("ax"), F.col("py").alias("by")), m.select(F.col("px").alias("bx"), F.col("py").alias("ay"))
     slant = s.where(diagonal).join(c1, ["ax", "by"], "left_anti").join(c2, ["bx", "ay"], "left_anti")
     return s.where(~diagonal).select("ax", "ay", "bx", "by").unionByName(slant.select("ax", "ay", "bx", "by"))
+
+
+def merged_lines(segments: DataFrame, fp: Footprint, offset: float = 0.5) -> DataFrame:
+    """(line, n, wkt): segments (ax, ay, bx, by) put together to lines, from one end or fork to the next; closed loops end where they begin.
+
+    Segments that meet alone at a point are linked, and the components of these links are the lines, each
+    of which is laid out in one task, as it is one row of the result.  ``offset`` is that of a pixel's
+    point from its corner, in pixels: 0.5 is its middle.
+    """
+    ends = F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
+    s = segments.withColumn("edge", F.xxhash64("ax", "ay", "bx", "by"))
+    at = s.select("edge", F.explode(ends).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("edge").alias("a"), F.max("edge").alias("b"))
+    root = components(at.where("n = 2 and a <> b").select("a", "b"))
+    lines = s.join(root, F.col("edge") == F.col("node"), "left").select(F.coalesce("root", "edge").alias("line"), "ax", "ay", "bx", "by")
+
+    def lay(pdf):
+        import pandas as pd
+
+        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for ax, ay, bx, by in zip(pdf["ax"], pdf["ay"], pdf["bx"], pdf["by"]):
+            near.setdefault((ax, ay), []).append((bx, by))
+            near.setdefault((bx, by), []).append((ax, ay))
+        here = min((p for p in near if len(near[p]) == 1), default=min(near))
+        path = [here]
+        while near[here]:
+            nxt = min(near[here])
+            near[here].remove(nxt)
+            near[nxt].remove(here)
+            path.append(nxt)
+            here = nxt
+        text = ", ".join(f"{x:.17g} {y:.17g}" for x, y in (fp.at(px + offset, py + offset) for px, py in path))
+        return pd.DataFrame({"line": [pdf["line"].iloc[0]], "n": [len(path) - 1], "wkt": [f"LINESTRING ({text})"]})
+
+    return lines.groupBy("line").applyInPandas(lay, "line long, n long, wkt string")
+
+
+def without_corners(mask: DataFrame) -> DataFrame:
+    """A thinned mask whose 2 x 2 blocks have lost the pixel that only they hold together: the lower right one where it has no neighbour outside the block, else another such one."""
+    m = mask.select("px", "py").distinct()
+    block = F.array(*[F.struct((F.col("px") - x).alias("bx"), (F.col("py") - y).alias("by"), F.lit(3 - 2 * y - x).alias("i")) for x in (0, 1) for y in (0, 1)])
+    full = m.select("px", "py", F.explode(block).alias("b")).groupBy("b.bx", "b.by").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("b.i", "px", "py")).alias("own")).where("n = 4")
+    own = full.select("bx", "by", F.explode("own").alias("o")).select("bx", "by", "o.i", F.col("o.px").alias("px"), F.col("o.py").alias("py"))
+    around = F.array(*[F.struct((F.col("px") + x).alias("qx"), (F.col("py") + y).alias("qy")) for x in (-1, 0, 1) for y in (-1, 0, 1) if (x, y) != (0, 0)])
+    out = own.select("bx", "by", "i", "px", "py", F.explode(around).alias("q")).select("bx", "by", "i", "px", "py", "q.qx", "q.qy")
+    out = out.where(~((F.col("qx") - F.col("bx")).isin(0, 1) & (F.col("qy") - F.col("by")).isin(0, 1)))
+    held = out.join(m.select(F.col("px").alias("qx"), F.col("py").alias("qy")), ["qx", "qy"], "left_semi").select("bx", "by", "i").distinct()
+    free = own.join(held, ["bx", "by", "i"], "left_anti").groupBy("bx", "by").agg(F.min(F.struct("i", "px", "py")).alias("m"))
+    return m.join(free.select(F.col("m.px").alias("px"), F.col("m.py").alias("py")).distinct(), ["px", "py"], "left_anti")
+
+
+def find_lines(mask: DataFrame, fp: Footprint, offset: float = 0.5, merge: bool = True) -> DataFrame:
+    """(line, n, wkt) of the lines of a mask (px, py): thinned, rid of corner blocks, joined from pixel to pixel, merged.  Single pixels make no line."""
+    s = line_segments(without_corners(thin(mask)))
+    if merge:
+        return merged_lines(s, fp, offset)
+    x = lambda a, b: F.format_string("%s %s", *[c.cast("string") for c in (F.lit(fp.tlx) + (F.col(a) + offset) * fp.dx + (F.col(b) + offset) * fp.rx, F.lit(fp.tly) + (F.col(a) + offset) * fp.ry + (F.col(b) + offset) * fp.dy)])
+    return s.select(F.xxhash64("ax", "ay", "bx", "by").alias("line"), F.lit(1).cast("long").alias("n"), F.concat(F.lit("LINESTRING ("), x("ax", "ay"), F.lit(", "), x("bx", "by"), F.lit(")")).alias("wkt"))

@@ -2,52 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import geometry as gm
+from ..functions import plane
 from ..functions.types import field_names
 
-Box = tuple[float, float, float, float]
-
-
-def mask_box(mask) -> Box | None:
-    """(minx, miny, maxx, maxy) of a mask: an extent (minx, maxx, miny, maxy), a footprint, or None."""
-    if mask is None:
-        return None
-    if hasattr(mask, "bounds"):
-        return mask.bounds
-    a, b, c, d = mask
-    if a > b or c > d:
-        raise ValueError("an extent is (minx, maxx, miny, maxy)")
-    return a, c, b, d
-
-
-def not_disjoint(g: Column, box: Box) -> Column:
-    """Whether a geometry meets a box.  Its own box decides for points and rectangles and bounds all others;
-    rings are then cut down to the box, and a polygon may also hold it whole."""
-    b = gm.bbox(g)
-    near = (b[0] <= box[2]) & (b[2] >= box[0]) & (b[1] <= box[3]) & (b[3] >= box[1])
-    left = lambda r: F.size(_clipped(r, box)) > 0
-    exact = F.exists(F.flatten(g["parts"]), left)
-    return near & F.when(g["type"].isin("Polygon", "MultiPolygon"), exact).otherwise(F.lit(True))
-
-
-def _half(axis: str, bound: float, above: bool):
-    return lambda ring: gm.clip_ring(ring, axis, bound, above)
-
-
-def _clipped(ring: Column, box: Box) -> Column:
-    for axis, bound, above in (("x", box[0], True), ("x", box[2], False), ("y", box[1], True), ("y", box[3], False)):
-        ring = F.transform(F.array(ring), _half(axis, bound, above))[0]
-    return ring
-
-
-def clip(g: Column, box: Box) -> Column:
-    """Polygons cut down to a box; rings that vanish are dropped."""
-    parts = F.transform(g["parts"], lambda part: F.filter(F.transform(part, lambda r: _clipped(r, box)), lambda r: F.size(r) > 0))
-    return F.struct(g["type"].alias("type"), g["has_z"].alias("has_z"), F.filter(parts, lambda p: F.size(p) > 0).alias("parts"))
+def mask_of(mask) -> gm.Mask | None:
+    """The mask's polygon: an extent (minx, maxx, miny, maxy), a footprint, turned or not, a polygon as a GeoJSON-like dict or object, or None."""
+    if mask is None or isinstance(mask, gm.Mask):
+        return mask
+    if hasattr(mask, "corners"):
+        return gm.Mask([mask.corners])
+    if isinstance(mask, (tuple, list)):
+        a, b, c, d = mask
+        if a > b or c > d:
+            raise ValueError("an extent is (minx, maxx, miny, maxy)")
+        return gm.Mask([[(a, c), (b, c), (b, d), (a, d)]])
+    g = mask if isinstance(mask, dict) else mask.__geo_interface__
+    if g["type"] != "Polygon":
+        raise ValueError("a mask is a polygon")
+    return gm.Mask([[tuple(p[:2]) for p in r] for r in g["coordinates"]])
 
 
 def read(features: DataFrame, fields=-1, mask=None, do_clip: bool = False, slicing: slice = slice(0, None, 1), allow_none: bool = False, geom: str = "geom", fid: str = "fid") -> DataFrame:
@@ -59,9 +36,9 @@ def read(features: DataFrame, fields=-1, mask=None, do_clip: bool = False, slici
     wanted, _ = field_names(fields, names)
     if not allow_none:
         features = features.withColumn(geom, F.when(F.col(geom).isNull(), F.raise_error(F.lit("a geometry is null"))).otherwise(F.col(geom)))
-    box = mask_box(mask)
-    if box is not None:
-        features = features.where(F.col(geom).isNotNull() & not_disjoint(F.col(geom), box))
+    where = mask_of(mask)
+    if where is not None:
+        features = features.where(F.col(geom).isNotNull() & gm.intersects(F.col(geom), where))
     start, stop, step = slicing.start or 0, slicing.stop, slicing.step or 1
     if start < 0 or (stop is not None and stop < 0) or step < 1:
         raise ValueError("slices run forward from 0")
@@ -75,8 +52,11 @@ def read(features: DataFrame, fields=-1, mask=None, do_clip: bool = False, slici
             f = ranked(features.withColumn("__one", F.lit(0)), ["__one"], [fid], "__i").drop("__one")
             keep = (F.col("__i") >= start) & ((F.col("__i") - start) % step == 0)
             features = f.where(keep if stop is None else keep & (F.col("__i") < stop)).drop("__i")
-    g = clip(F.col(geom), box) if do_clip and box is not None else F.col(geom)
-    return features.select(fid, g.alias(geom), *wanted)
+    if not do_clip or where is None:
+        return features.select(fid, geom, *wanted)
+    # convex polygons are cut by a box as expressions; all others go through Arrow batches, where the rest is null
+    features = plane.with_cuts(features, gm.to_cut(F.col(geom), where), where.rings, "__gl_cut")
+    return features.select(fid, gm.clip(F.col(geom), where, F.col("__gl_cut")).alias(geom), *wanted)
 
 
 def get(features: DataFrame, index: int, **how) -> DataFrame:
@@ -116,6 +96,8 @@ def insert(features: DataFrame, rows: DataFrame, schema: StructType | None = Non
     if fid in rows.columns:
         new = rows.select(F.col(fid).cast("long").alias(fid), g.alias(geom), *cols)
     else:
-        w = Window.orderBy(F.monotonically_increasing_id())
-        new = rows.select(g.alias(geom), *cols).withColumn("__n", F.row_number().over(w)).join(F.broadcast(top)).withColumn(fid, F.col("__top") + F.col("__n")).drop("__n", "__top")
+        from ..plans.lineage import ranked
+
+        new = ranked(rows.select(g.alias(geom), *cols).withColumn("__m", F.monotonically_increasing_id()), [], ["__m"], "__n", 1).drop("__m")
+        new = new.withColumn(fid, F.lit(top.first()[0]) + F.col("__n")).drop("__n")
     return features.unionByName(new.select(*features.columns))

@@ -44,12 +44,19 @@ SUP = """sup AS (SELECT s_suppkey AS k, s_suppkey * 4.0::DOUBLE AS tlx, 0.5::DOU
 fp AS (SELECT *, tlx AS minx, tlx + rsx * dx AS maxx, tly + rsy * dy AS miny, tly AS maxy FROM sup)"""
 
 
+def mosaic_tiles(spark, sf_dir: str, rows: tuple[int, int] | None = None) -> DataFrame:
+    """(tx, ty, data) of the embeddings read as 8 x 8 tiles, 16 in a row; ``rows`` limits the pixel rows that are read, half-open."""
+    t = table(spark, sf_dir, "embeddings")
+    if rows is not None:
+        t = t.where((F.col("vec_id") >= rows[0] // 8 * 16) & (F.col("vec_id") < -(-rows[1] // 8) * 16))
+    return t.select((F.col("vec_id") % 16).cast("int").alias("tx"), F.floor(F.col("vec_id") / 16).cast("int").alias("ty"), F.col("embedding").alias("data"))
+
+
 def mosaic(spark, sf_dir: str) -> DataFrame:
-    """(px, py, value) of the embeddings read as 8 x 8 tiles, 16 in a row."""
+    """(px, py, value) of all tiles."""
     from ..operators.raster import pixels
 
-    t = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 16).cast("int").alias("tx"), F.floor(F.col("vec_id") / 16).cast("int").alias("ty"), F.col("embedding").alias("data"))
-    return pixels(t, 8, 8).select(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "value")
+    return pixels(mosaic_tiles(spark, sf_dir), 8, 8).select(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), "value")
 
 
 MOSAIC = """emb AS (SELECT vec_id, embedding, unnest(range(64)) AS p FROM embeddings),
@@ -74,16 +81,29 @@ CUS = """cus AS (SELECT c_custkey AS k, (c_custkey % 128) + 0.25::DOUBLE AS x, (
 
 
 def part_boxes(spark, sf_dir: str) -> DataFrame:
-    """(fid, geom, p_name, p_size): rectangles around a tenth of the parts, which is how this layer is defined."""
+    """(fid, geom, p_name, p_size): rectangles around the parts."""
     k, h = F.col("p_partkey"), F.col("p_size") / 8.0
     x, y = (k % 128).cast("double"), ((k * 5) % 128).cast("double")
-    return table(spark, sf_dir, "part").where(k % 10 == 0).select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
+    return table(spark, sf_dir, "part").select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
 
 
-PART = """prt AS (SELECT p_partkey AS fid, (p_partkey % 128)::DOUBLE AS x, ((p_partkey * 5) % 128)::DOUBLE AS y, p_size / 8.0::DOUBLE AS h, p_name, p_size FROM part WHERE p_partkey % 10 = 0),
+PART = """prt AS (SELECT p_partkey AS fid, (p_partkey % 128)::DOUBLE AS x, ((p_partkey * 5) % 128)::DOUBLE AS y, p_size / 8.0::DOUBLE AS h, p_name, p_size FROM part),
 box AS (SELECT fid, x - h AS minx, x + h AS maxx, y - h AS miny, y + h AS maxy, p_name, p_size FROM prt)"""
 
 
 def flat(fp, prefix: str = "") -> list:
     """The fields of a footprint as columns."""
     return [fp[n].alias(prefix + n) for n in fpx.FIELDS]
+
+
+def shared(spark, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    import uuid
+
+    from ..plans.lineage import shared_dir
+    from ..sources import files
+
+    folder = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
+    fs, p = files.at(folder)
+    fs.create_dir(p, recursive=True)
+    return f"{folder}/{name}"

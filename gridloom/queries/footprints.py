@@ -103,21 +103,24 @@ def fp_intersection_pairs(spark, sf_dir):
     return p.select("k1", "k2", fpx.intersection(F.col("fp1"), fpx.bounds(F.col("fp2"))).alias("fp")).select("k1", "k2", *flat(fp()))
 
 
-@query(f"WITH {SUP} SELECT a.k AS k1, b.k AS k2 FROM fp a, fp b WHERE a.k < b.k AND a.k % 10 = 0 AND b.k % 10 = 5 AND ((b.tlx - a.tlx) / 0.5) % 1 = 0 AND ((b.tly - a.tly) / 0.5) % 1 = 0")
+@query(f"WITH {SUP} SELECT k, min(k) OVER (PARTITION BY (tlx / 0.5) % 1, (tly / 0.5) % 1) AS first, true AS same FROM fp")
 def fp_same_grid(spark, sf_dir):
+    """The first footprint on each one's grid: groups by pixel vectors and place within a pixel, checked against their first."""
     f = footprints(spark, sf_dir)
-    # all footprints of this layer have one pixel size; pairs meet by the fraction of their corner
-    part = lambda g: (F.pmod(g["tlx"], F.lit(0.5)), F.pmod(g["tly"], F.lit(0.5)))
-    a = f.where("k % 10 = 0").select(F.col("k").alias("k1"), fp().alias("fp1"), *[c.alias(f"a{i}") for i, c in enumerate(part(fp()))])
-    b = f.where("k % 10 = 5").select(F.col("k").alias("k2"), fp().alias("fp2"), *[c.alias(f"b{i}") for i, c in enumerate(part(fp()))])
-    j = a.join(b, (F.col("a0") == F.col("b0")) & (F.col("a1") == F.col("b1")) & (F.col("k1") < F.col("k2")))
-    return j.where(fpx.same_grid(F.col("fp1"), F.col("fp2"))).select("k1", "k2")
+    u, v = fpx.grid_fraction(fp())
+    keyed = f.select("k", "fp", *[fp()[n].alias(n) for n in ("dx", "rx", "ry", "dy")], u.alias("u"), v.alias("v"))
+    keys = ["dx", "rx", "ry", "dy", "u", "v"]
+    heads = keyed.groupBy(*keys).agg(F.min("k").alias("first"), F.min_by("fp", "k").alias("head"))
+    return keyed.join(heads, keys).select("k", "first", fpx.same_grid(F.col("head"), fp()).alias("same"))
 
 
-@query(f"WITH {SUP} SELECT k, true AS same, false AS other, k % 2 = 0 AS nearly, true AS exact FROM fp")
+@query(f"WITH {SUP} SELECT a.k, b.k AS other, a.tlx = b.tlx AND a.tly = b.tly AND a.rsx = b.rsx AND a.rsy = b.rsy AS same, a.k % 2 = 0 AS nearly, a.k = b.k AS exact FROM fp a JOIN fp b ON b.k = a.k OR b.k = a.k + 25")
 def fp_equality(spark, sf_dir):
+    # footprints 25 apart differ in their corner; one of two is shifted by less than the precision
+    f = footprints(spark, sf_dir)
     near = fpx.moved(fp(), F.when(F.col("k") % 2 == 0, 1e-8).otherwise(1.0), 0, fp()["rsx"], fp()["rsy"])
-    return footprints(spark, sf_dir).select("k", fpx.equals(fp(), fp()).alias("same"), fpx.equals(fp(), fpx.dilate(fp(), 1)).alias("other"), fpx.almost_equals(fp(), near, 7.0).alias("nearly"), (fpx.key(fp()) == fpx.key(fp())).alias("exact"))
+    pairs = f.withColumn("other", F.explode(F.array("k", F.col("k") + 25))).join(f.select(F.col("k").alias("other"), F.col("fp").alias("fp2")), "other")
+    return pairs.select("k", "other", fpx.equals(fp(), F.col("fp2")).alias("same"), fpx.almost_equals(fp(), near, 7.0).alias("nearly"), (fpx.key(fp()) == fpx.key(F.col("fp2"))).alias("exact"))
 
 
 @query(f"WITH {SUP} SELECT k, CAST(floor((tlx + 3.3 - tlx) / dx) AS INTEGER) AS col, CAST(floor((tly - 2.2 - tly) / dy) AS INTEGER) AS row FROM fp")
@@ -157,12 +160,12 @@ def slice_in_clip(spark, sf_dir):
     return footprints(spark, sf_dir).select("k", *[c.alias(n) for n, c in fpx.slice_in(a, fp(), clip=True).items()])
 
 
-@query(f"WITH {SUP}, {CUS} SELECT f.k AS k1, c.k AS k2, f.tlx + floor((c.x - f.tlx) / 0.5) * 0.5 AS tlx, f.tly + floor((c.y - f.tly) / -0.5) * -0.5 AS tly FROM fp f JOIN cus c ON c.x > f.minx AND c.x < f.maxx AND c.y > f.miny AND c.y < f.maxy")
+@query(f"WITH {SUP}, {CUS} SELECT f.k AS k1, c.k AS k2, f.tlx + floor((c.x - f.tlx) / 0.5) * 0.5 AS tlx, f.tly + floor((c.y - f.tly) / -0.5) * -0.5 AS tly FROM fp f JOIN (SELECT k, x, y + 80 AS y FROM cus) c ON c.x > f.minx AND c.x < f.maxx AND c.y > f.miny AND c.y < f.maxy")
 def fp_intersection_points(spark, sf_dir):
     from ..plans.grid import overlap_join
 
     a = footprints(spark, sf_dir).select(F.col("k").alias("k1"), "fp")
-    b = customer_points(spark, sf_dir).select(F.col("k").alias("k2"), "x", "y")
+    b = customer_points(spark, sf_dir).select(F.col("k").alias("k2"), "x", (F.col("y") + 80).alias("y"))
     j = overlap_join(a, b, fpx.bounds(fp()), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), 16.0, strict=False)
     m = fpx.bounds(fp())
     j = j.where((F.col("x") > m[0]) & (F.col("x") < m[2]) & (F.col("y") > m[1]) & (F.col("y") < m[3]))
@@ -178,3 +181,37 @@ def sr_mode_resolution(spark, sf_dir):
     k = F.col("n_nationkey")
     stored = F.when(k % 2 == 0, "stored")
     return table(spark, sf_dir, "nation").select(k.alias("k"), virtual(stored, fallback=F.when(k % 3 == 0, "fallback")).alias("virtual_fallback"), virtual(stored, forced=F.when(k % 5 == 0, "forced")).alias("virtual_forced"))
+
+
+_DIAMOND = f"WITH {SUP}, d AS (SELECT r_regionkey AS r, 40.0::DOUBLE + 60 * r_regionkey AS cx, 176.0::DOUBLE AS cy, 30.25::DOUBLE AS w FROM region), p AS (SELECT f.*, d.*, greatest(0, miny - cy, cy - maxy) AS oy, greatest(0, minx - cx, cx - maxx) AS ox FROM fp f, d), i AS (SELECT k, r, tlx, tly, greatest(minx, cx - (w - oy)) AS x0, least(maxx, cx + (w - oy)) AS x1, greatest(miny, cy - (w - ox)) AS y0, least(maxy, cy + (w - ox)) AS y1 FROM p WHERE ox + oy < w), s AS (SELECT k, r, floor((x0 - tlx) / 0.5) AS a, floor((tly - y1) / 0.5) AS b, ceil((x1 - tlx) / 0.5) AS c, ceil((tly - y0) / 0.5) AS e, tlx, tly FROM i) SELECT k, r, tlx + a * 0.5 AS tlx, tly - b * 0.5 AS tly, CAST(greatest(1, c - a) AS INTEGER) AS rsx, CAST(greatest(1, e - b) AS INTEGER) AS rsy FROM s"
+
+
+def _diamonds(spark, sf_dir):
+    from ..functions import geometry as gm
+
+    x, y, w = 40.0 + 60 * F.col("r_regionkey"), F.lit(176.0), 30.25
+    ring = F.array(gm.point(x, y + w), gm.point(x - w, y), gm.point(x, y - w), gm.point(x + w, y), gm.point(x, y + w))
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), ring.alias("ring"))
+
+
+@query(_DIAMOND)
+def fp_intersection_diamonds(spark, sf_dir):
+    """Footprints cut by rings that lie across their grid."""
+    from ..plans.grid import overlap_join
+
+    d = _diamonds(spark, sf_dir)
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    j = overlap_join(footprints(spark, sf_dir), d, fpx.bounds(fp()), (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)), 32.0)
+    j = j.select("k", "r", fpx.overlap(fp(), F.col("ring")).alias("fp")).where("fp is not null")
+    return j.select("k", "r", *[fp()[n].alias(n) for n in ("tlx", "tly", "rsx", "rsy")])
+
+
+@query(f"WITH {SUP}, t AS (SELECT *, tlx + 5 AS bx0, tlx + 5 + 0.5 * rsx AS bx1 FROM fp) SELECT k, tlx + 4.0 AS tlx, tly - 2.0 AS tly, CAST(10 AS INTEGER) AS rsx, CAST(6 AS INTEGER) AS rsy FROM t")
+def fp_intersection_turned(spark, sf_dir):
+    """A footprint turned by a quarter: columns run down, rows run right; cut by a box of its own."""
+    from ..functions import geometry as gm
+
+    turned = fpx.make(fp()["tlx"], 0.0, 0.5, fp()["tly"], -0.5, 0.0, 40, 40)
+    x, y = fp()["tlx"], fp()["tly"]
+    ring = gm.box(x + 4.25, y - 7, x + 7, y - 2)["parts"][0][0]
+    return footprints(spark, sf_dir).select("k", fpx.overlap(turned, ring).alias("fp")).select("k", *[fp()[n].alias(n) for n in ("tlx", "tly", "rsx", "rsy")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..footprint import Footprint
 from ..functions import footprint as fpx
 from ..operators import focal, raster, rasterize, recipe, spatial_join, tiling
-from .base import CUS, MOSAIC, ORD, PART, SUP, customer_points, flat, footprints, fp, mosaic, order_pixels, part_boxes, query, table
+from .base import CUS, MOSAIC, ORD, PART, SUP, customer_points, flat, footprints, fp, mosaic, mosaic_tiles, order_pixels, part_boxes, query, table
 
 MOS_FP = Footprint.of((0, 1000), (128, 1000), (128, 1000))
 
@@ -86,7 +86,8 @@ def tiles_of_pixels(spark, sf_dir):
 
 @query(f"WITH {MOSAIC} SELECT CAST(px - 20 AS INTEGER) AS px, CAST(py - 30 AS INTEGER) AS py, value FROM mosaic WHERE px >= 20 AND px < 60 AND py >= 30 AND py < 80")
 def raster_read_window(spark, sf_dir):
-    return raster.read(mosaic(spark, sf_dir), MOS_FP, MOS_FP.clip(20, 30, 60, 80))
+    t = raster.read_tiles(mosaic_tiles(spark, sf_dir, (30, 80)), (8, 8), MOS_FP, MOS_FP.clip(20, 30, 60, 80))
+    return t.select("px", "py", "value")
 
 
 _GRID = "g AS (SELECT CAST(i % {0} AS INTEGER) AS px, CAST(i // {0} AS INTEGER) AS py FROM range({0} * {1}) t(i))"
@@ -97,7 +98,8 @@ def raster_read_padded_nodata(spark, sf_dir):
     px = order_pixels(spark, sf_dir)
     px = px.withColumn("value", F.when(F.col("value") > 300000, -9.0).otherwise(F.col("value")))
     src = Footprint.of((0, 64), (64, 64), (64, 64))
-    return raster.read(px, src, src.dilate(8), src_nodata=-9.0, dst_nodata=-1.0)
+    t = raster.tiles_of_bands(px.withColumn("band", F.lit(0)), src, (16, 16), -9.0)
+    return raster.read_tiles(t, (16, 16), src, src.dilate(8), src_nodata=-9.0, dst_nodata=-1.0).select("px", "py", "value")
 
 
 @query(f"WITH {MOSAIC} SELECT unnest([0, 1, 2]) AS channel, px, py, unnest([value * 2, value, value * 2]) AS value FROM mosaic")
@@ -115,7 +117,7 @@ def _resample(name, kind, sql):
     def run(spark, sf_dir):
         # half a pixel across, a quarter down, on pixels of twice the size
         dst = Footprint.of((10.5, 989.75), (60, 60), (30, 30))
-        r = raster.read(mosaic(spark, sf_dir), MOS_FP, dst, dst_nodata=-99.0, interpolation=kind)
+        r = raster.read_tiles(mosaic_tiles(spark, sf_dir, (0, 80)), (8, 8), MOS_FP, dst, dst_nodata=-99.0, interpolation=kind, block=16)
         return r.select("px", "py", F.round("value", 6).alias("value"))
 
 
@@ -123,8 +125,12 @@ _resample("raster_resample_nearest", "cv_nearest", f"WITH {MOSAIC}, {_GRID.forma
 _LIN = f"WITH {MOSAIC}, {_GRID.format(30, 30)}, n AS (SELECT g.px, g.py, 10 + 2 * g.px + dx AS sx, 10 + 2 * g.py + dy AS sy, 0.5::DOUBLE * (CASE WHEN dy = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END) AS w FROM g, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy)) SELECT n.px, n.py, round(CASE WHEN count(value) < 4 THEN -99 ELSE sum(w * value) END, 6) AS value FROM n LEFT JOIN mosaic m ON m.px = n.sx AND m.py = n.sy GROUP BY 1, 2"
 _resample("raster_resample_linear", "cv_linear", _LIN)
 _resample("raster_resample_area", "cv_area", _LIN)
-_resample("raster_resample_cubic", "cv_cubic", None)
-_resample("raster_resample_lanczos", "cv_lanczos4", None)
+_KERNEL = f"WITH {MOSAIC}, {_GRID.format(30, 30)}, {{weights}}, n AS (SELECT g.px, g.py, 10 + 2 * g.px + a.d AS sx, 10 + 2 * g.py + b.d AS sy, a.wx * b.wy AS w FROM g, k a, k b) SELECT n.px, n.py, round(CASE WHEN count(value) < {{n}} THEN -99 ELSE sum(w * value) END, 6) AS value FROM n LEFT JOIN mosaic m ON m.px = n.sx AND m.py = n.sy GROUP BY 1, 2"
+# weights of the cubic kernel with parameter -0.75 at 0.5 and at 0.25
+_CUBIC = "k AS (SELECT * FROM (VALUES (-1, -0.09375::DOUBLE, -0.10546875::DOUBLE), (0, 0.59375, 0.87890625), (1, 0.59375, 0.26171875), (2, -0.09375, -0.03515625)) t(d, wx, wy))"
+_LANCZOS = "l AS (SELECT d, 4 * sin(pi() * (0.5::DOUBLE - d)) * sin(pi() * (0.5::DOUBLE - d) / 4) / pow(pi() * (0.5::DOUBLE - d), 2) AS x, 4 * sin(pi() * (0.25::DOUBLE - d)) * sin(pi() * (0.25::DOUBLE - d) / 4) / pow(pi() * (0.25::DOUBLE - d), 2) AS y FROM range(-3, 5) t(d)), k AS (SELECT d, x / sum(x) OVER () AS wx, y / sum(y) OVER () AS wy FROM l)"
+_resample("raster_resample_cubic", "cv_cubic", _KERNEL.format(weights=_CUBIC, n=16))
+_resample("raster_resample_lanczos", "cv_lanczos4", _KERNEL.format(weights=_LANCZOS, n=64))
 
 
 @query(f"WITH {ORD} SELECT px, py, 7.0::DOUBLE AS value FROM ord")
@@ -168,7 +174,8 @@ def _slopes(name, horn):
 
     @query(sql, name)
     def run(spark, sf_dir):
-        return focal.slopes(mosaic(spark, sf_dir), 1.0, -1.0, horn).select("px", "py", F.round("slope", 6).alias("slope"))
+        t = raster.pixels(focal.slope_tiles(mosaic_tiles(spark, sf_dir), (8, 8), 1.0, -1.0, horn), 8, 8)
+        return t.select(F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.round("value", 6).alias("slope"))
 
 
 _slopes("slopes", False)
@@ -196,12 +203,12 @@ def burn_polygons_label(spark, sf_dir):
     return rasterize.labelled(rasterize.burn_polygons(part_boxes(spark, sf_dir).select("fid", "geom"), BURN_FP, "fid"), "fid")
 
 
-@query(f"WITH {CUS}, l AS (SELECT k, x, y, 3 + k % 5 AS n FROM cus WHERE k % 7 = 0) SELECT DISTINCT k, CAST(floor(x) + i AS INTEGER) AS px, CAST(floor(128 - y) + i * (k % 2) AS INTEGER) AS py FROM (SELECT *, unnest(range(n + 1)) AS i FROM l) WHERE floor(x) + i < 128 AND floor(128 - y) + i * (k % 2) < 128")
+@query(f"WITH {CUS}, l AS (SELECT k, x, y, 3 + k % 5 AS n FROM cus) SELECT DISTINCT k, CAST(floor(x) + i AS INTEGER) AS px, CAST(floor(128 - y) + i * (k % 2) AS INTEGER) AS py FROM (SELECT *, unnest(range(n + 1)) AS i FROM l) WHERE floor(x) + i < 128 AND floor(128 - y) + i * (k % 2) < 128")
 def burn_lines(spark, sf_dir):
     from ..functions import geometry as gm
 
     n, k = 3 + F.col("k") % 5, F.col("k")
-    pts = customer_points(spark, sf_dir).where("k % 7 = 0")
+    pts = customer_points(spark, sf_dir)
     ln = pts.select("k", gm.geom("LineString", F.array(gm.point(F.col("x"), F.col("y")), gm.point(F.col("x") + n, F.col("y") - n * (k % 2)))).alias("geom"))
     return rasterize.burn_lines(ln, BURN_FP, "k").select("k", "px", "py")
 
@@ -227,6 +234,27 @@ def find_lines_segments(spark, sf_dir):
     return rasterize.line_segments(order_pixels(spark, sf_dir).where("value > 300000")).withColumnRenamed("by", "by_")
 
 
+@query()
+def find_lines_merged(spark, sf_dir):
+    return rasterize.find_lines(order_pixels(spark, sf_dir).where("value > 250000"), Footprint.of((0, 64), (64, 64), (64, 64)))
+
+
+@query(f"WITH {CUS}, l AS (SELECT k, x, y, 3 + k % 5 AS n FROM cus) SELECT DISTINCT k, CAST(c AS INTEGER) AS px, CAST(r AS INTEGER) AS py FROM (SELECT k, x, y, n, unnest(range(CAST(floor(x) AS BIGINT), CAST(floor(x + n) AS BIGINT) + 1)) AS c, floor(128 - y) AS r FROM l) WHERE c < 128 AND r >= 0 AND r < 128")
+def burn_lines_all_touched(spark, sf_dir):
+    from ..functions import geometry as gm
+
+    n = 3 + F.col("k") % 5
+    ln = customer_points(spark, sf_dir).select("k", gm.geom("LineString", F.array(gm.point(F.col("x"), F.col("y")), gm.point(F.col("x") + n, F.col("y")))).alias("geom"))
+    return rasterize.burn_lines(ln, BURN_FP, "k", all_touched=True).select("k", "px", "py")
+
+
+@query(f"WITH {PART}, b AS (SELECT * FROM box) SELECT fid, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM b, range(128) u(x), range(128) v(y) WHERE x < maxx AND x + 1 > minx AND 127 - y < maxy AND 128 - y > miny AND minx <> floor(minx) AND maxx <> floor(maxx) AND miny <> floor(miny) AND maxy <> floor(maxy)")
+def burn_polygons_all_touched(spark, sf_dir):
+    # sides on the lines between pixels belong to either; boxes that have one are left to the tests
+    b = part_boxes(spark, sf_dir).where("p_size % 8 <> 0")
+    return rasterize.burn_polygons(b.select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
+
+
 @query()
 def find_lines_thin(spark, sf_dir):
     return rasterize.line_segments(rasterize.thin(order_pixels(spark, sf_dir).where("value > 250000")))
@@ -262,9 +290,7 @@ def missing_tiles_antijoin(spark, sf_dir):
 
 @query(f"WITH {MOSAIC} SELECT px // 32 AS tx, py // 32 AS ty, max(value) AS value, count(*) AS n FROM mosaic GROUP BY 1, 2")
 def merge_tiles_max(spark, sf_dir):
-    m = mosaic(spark, sf_dir)
-    t = m.groupBy(F.floor(F.col("px") / 32).cast("int").alias("tx"), F.floor(F.col("py") / 32).cast("int").alias("ty"))
-    return t.agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return recipe.merge_tiles(mosaic(spark, sf_dir), (32, 32), lambda v: {"value": F.max(v), "n": F.count(v)})
 
 
 @query("SELECT vec_id % 16 AS tx, vec_id // 16 AS ty, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))), 6) AS density FROM embeddings ORDER BY density DESC, vec_id LIMIT 10")
@@ -282,17 +308,19 @@ def topk_area(spark, sf_dir):
 
 @query(_WIN + ", f AS (SELECT tx, ty, min(k) AS prod FROM t GROUP BY 1, 2) SELECT tx, ty, prod, row_number() OVER (ORDER BY prod, -ty, tx) - 1 AS rank FROM f")
 def compute_priority_order(spark, sf_dir):
-    from ..plans.lineage import ranked
+    return recipe.computation_order(_windows(spark, sf_dir))
 
-    f = _windows(spark, sf_dir).groupBy("tx", "ty").agg(F.min("k").alias("prod"))
-    f = f.withColumn("__all", F.lit(0)).withColumn("__north", -F.col("ty"))
-    return ranked(f, ["__all"], ["prod", "__north", "tx"], "rank").select("tx", "ty", "prod", "rank")
 
-
-@query(f"WITH {MOSAIC}, {_NB} SELECT px, py, CASE WHEN coalesce(ok AND okc AND okn AND oks, false) THEN round(degrees(atan(sqrt(pow(((ne + 2 * e + se) - (nw + 2 * s + sw)) / 8, 2) + pow(((sw + 2 * s + se) - (nw + 2 * n + ne)) / -8, 2)))), 5) ELSE 0.0::DOUBLE END AS value FROM f WHERE py < 200")
+@query(f"WITH {MOSAIC}, {_NB} SELECT px, py, CASE WHEN coalesce(ok AND okc AND okn AND oks, false) THEN round(degrees(atan(sqrt(pow(((ne + 2 * e + se) - (nw + 2 * s + sw)) / 8, 2) + pow(((sw + 2 * s + se) - (nw + 2 * n + ne)) / -8, 2)))), 5) ELSE 0.0::DOUBLE END AS value FROM f")
 def recipe_slopes_halo(spark, sf_dir):
-    r = recipe.Recipe(Footprint.of((0, 200), (128, 200), (128, 200)), recipe.slope_tile, {"z": mosaic(spark, sf_dir)}, convert={"z": lambda f: f.dilate(1)}, tile=(32, 32), nodata=math.nan)
-    return r.pixels(spark).select("px", "py", F.round("value", 5).alias("value"))
+    # the raster ends with the last row of tiles, which is not full
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    rows = (last // 16 + 1) * 8
+    fp_ = Footprint.of((0, rows), (128, rows), (128, rows))
+    z = recipe.Primitive(mosaic_tiles(spark, sf_dir), fp_, (8, 8))
+    r = recipe.Recipe(fp_, recipe.slope_tile, {"z": z}, convert={"z": lambda f: f.dilate(1)}, tile=(32, 32), nodata=math.nan)
+    px = r.pixels(spark).where((F.floor(F.col("py") / 8) * 16 + F.floor(F.col("px") / 8)) <= last)
+    return px.select("px", "py", F.round("value", 5).alias("value"))
 
 
 @query(f"WITH {ORD}, {_GRID.format(64, 64)} SELECT g.px, g.py, coalesce(value, 0) * 2 + 1 AS value FROM g LEFT JOIN ord o ON o.px = g.px AND o.py = g.py")
@@ -313,3 +341,71 @@ def recipe_cached_reuse(spark, sf_dir):
     some = r.tiles(spark).where("tx < 2")
     r.pixels(spark, some).count()
     return r.pixels(spark)
+
+
+# --- files and the catalogue ---------------------------------------------------------------------
+
+ORD_FP = Footprint.of((0, 64), (64, 64), (64, 64))
+
+
+def order_tiles(spark, sf_dir, bands: int = 1):
+    px = order_pixels(spark, sf_dir)
+    px = px.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(bands)]))).withColumn("value", F.col("value") * (F.col("band") + 1))
+    return raster.tiles_of_bands(px, ORD_FP, (16, 16), -1.0, bands)
+
+
+@query(f"WITH {ORD}, {_GRID.format(64, 64)} SELECT CAST(b AS INTEGER) AS band, g.px, g.py, coalesce(value * (b + 1), -1) AS value FROM g CROSS JOIN range(2) t(b) LEFT JOIN ord o ON o.px = g.px AND o.py = g.py")
+def geotiff_round_trip(spark, sf_dir):
+    from ..functions.types import channels_schema
+    from ..sources import geotiff
+    from .base import shared
+
+    path = shared(spark, "orders.tif")
+    geotiff.write(order_tiles(spark, sf_dir, 2), path, ORD_FP, "float64", channels_schema(2, {"nodata": -1}), block=16)
+    return raster.pixels_of_bands(geotiff.read(spark, path), ORD_FP, (16, 16))
+
+
+@query(f"WITH {ORD}, g AS (SELECT CAST(i % 12 AS INTEGER) AS px, CAST(i // 12 AS INTEGER) AS py FROM range(12 * 20) t(i)) SELECT g.px, g.py, coalesce(value * 2, -5) AS value FROM g LEFT JOIN ord o ON o.px = g.px + 10 AND o.py = g.py + 25")
+def catalogue_raster_window(spark, sf_dir):
+    """A window of a file, its second channel, with another value for pixels without data."""
+    from ..catalogue import Dataset
+    from ..functions.types import channels_schema
+    from ..sources import geotiff
+    from .base import shared
+
+    path = shared(spark, "orders.tif")
+    geotiff.write(order_tiles(spark, sf_dir, 2), path, ORD_FP, "float64", channels_schema(2, {"nodata": -1}), block=16)
+    ds = Dataset(spark)
+    return ds.open_raster("orders", path).read(ORD_FP.clip(10, 25, 22, 45), -1, -5).select("px", "py", "value")
+
+
+@query(f"WITH {_GRID.format(300, 280)} SELECT px, py, CASE WHEN px >= 250 AND px < 290 AND py >= 240 AND py < 270 AND px + py < 540 THEN (px - 250) * 100 + (py - 240) ELSE 7 END::DOUBLE AS value FROM g")
+def catalogue_set_data(spark, sf_dir):
+    """A new file, filled, then written to through a mask where four tiles meet."""
+    import numpy as np
+
+    from ..catalogue import Dataset
+    from .base import shared
+
+    fp_ = Footprint.of((0, 280), (300, 280), (300, 280))
+    ds = Dataset(spark)
+    r = ds.create_raster("r", shared(spark, "new.tif"), fp_, "float32", 1)
+    r.fill(7)
+    y, x = np.mgrid[:30, :40]
+    r.set_data(x * 100.0 + y, fp_.clip(250, 240, 290, 270), mask=x + 250 + y + 240 < 540)
+    return r.read().select("px", "py", "value")
+
+
+@query(f"WITH {MOSAIC} SELECT CAST(px - 8 AS INTEGER) AS px, CAST(py - 8 AS INTEGER) AS py, value * 2 + 1 AS value FROM mosaic WHERE px >= 8 AND px < 56 AND py >= 8 AND py < 40")
+def recipe_of_recipe(spark, sf_dir):
+    """A window of a recipe without a cache whose primitive is another recipe; computation tiles lie across cache tiles."""
+    from ..catalogue import Dataset
+
+    f = MOS_FP.clip(0, 0, 128, 64)
+    base = recipe.Recipe(f, lambda a, b, arrays, _: arrays["m"] * 2, {"m": recipe.Primitive(mosaic_tiles(spark, sf_dir, (0, 64)), f, (8, 8))}, tile=(24, 20), computation=(16, 16))
+    ds = Dataset(spark)
+    from ..catalogue import RecipeRaster
+
+    first = ds._add("first", RecipeRaster(ds, base, None))
+    second = ds.create_raster_recipe("second", f, "float64", 1, compute_array=lambda a, b, arrays, _: arrays["first"] + 1, queue_data_per_primitive={"first": first.queue_data}, computation_tiles=(32, 32))
+    return second.read(f.clip(8, 8, 56, 40)).select("px", "py", "value")

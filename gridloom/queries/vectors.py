@@ -105,3 +105,177 @@ def type_lattice_cast(spark, sf_dir):
 
     c = lambda n, t: F.col(n).cast(pixel_type(t)).alias(t)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", c("l_quantity", "uint8"), c("l_extendedprice", "float32"), c("l_linenumber", "int64"))
+
+
+# --- shapes other than rectangles ----------------------------------------------------------------
+
+
+def _rect(x0, y0, x1, y1, hole: bool = False):
+    """A closed ring; holes turn the other way."""
+    ring = [(x0, y1), (x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return F.array(*[gm.point(x, y) for x, y in (ring[::-1] if hole else ring)])
+
+
+def _shape(kind, *parts):
+    return F.struct(F.lit(kind).alias("type"), F.lit(False).alias("has_z"), F.array(*[F.array(*p) for p in parts]).alias("parts"))
+
+
+def _boxes(spark, sf_dir):
+    b = part_boxes(spark, sf_dir)
+    return b.select("fid", *[x.alias(n) for x, n in zip(gm.bbox(F.col("geom")), ("minx", "miny", "maxx", "maxy"))])
+
+
+def _c(*names):
+    return [F.col(n) for n in names]
+
+
+def frames(spark, sf_dir):
+    """(fid, geom): squares with a hole of half their width."""
+    b = _boxes(spark, sf_dir)
+    x0, y0, x1, y1 = _c("minx", "miny", "maxx", "maxy")
+    q = (x1 - x0) / 4
+    return b.select("fid", _shape("Polygon", [_rect(x0, y0, x1, y1), _rect(x0 + q, y0 + q, x1 - q, y1 - q, True)]).alias("geom"))
+
+
+_CUT = "greatest(0, least({x1}, 60) - greatest({x0}, 20)) * greatest(0, least({y1}, 70) - greatest({y0}, 30))"
+_whole = _CUT.format(x0="minx", x1="maxx", y0="miny", y1="maxy")
+_hole = _CUT.format(x0="minx + h / 2", x1="maxx - h / 2", y0="miny + h / 2", y1="maxy - h / 2")
+_H = PART + ", hb AS (SELECT *, (maxx - minx) / 2 AS h FROM box)"
+
+
+@query(f"WITH {_H} SELECT fid, {_whole} - {_hole} AS area FROM hb WHERE {_IN} AND ({_whole} - {_hole} > 0)")
+def vector_clip_holes(spark, sf_dir):
+    c = vector.read(frames(spark, sf_dir), None, BOX, do_clip=True).select("fid", gm.area(F.col("geom")).alias("area"))
+    return c.where("area > 0")
+
+
+@query(f"WITH {_H} SELECT fid FROM hb WHERE maxx >= 50 AND minx <= 51 AND maxy >= 40 AND miny <= 41 AND NOT (minx + h / 2 < 50 AND maxx - h / 2 > 51 AND miny + h / 2 < 40 AND maxy - h / 2 > 41)")
+def vector_filter_holes(spark, sf_dir):
+    """A mask inside a hole meets nothing."""
+    return vector.read(frames(spark, sf_dir), None, (50.0, 51.0, 40.0, 41.0)).select("fid")
+
+
+_up = "greatest(0, least(minx + h, 60) - greatest(minx, 20)) * greatest(0, least(maxy, 70) - greatest(miny + h, 30))"
+_low = "greatest(0, least(maxx, 60) - greatest(minx, 20)) * greatest(0, least(miny + h, 70) - greatest(miny, 30))"
+
+
+@query(f"WITH {_H} SELECT fid, {_up} + {_low} AS area FROM hb WHERE {_up} + {_low} > 0")
+def vector_clip_concave(spark, sf_dir):
+    """L-shaped polygons: a square without its upper right quarter."""
+    x0, y0, x1, y1 = _c("minx", "miny", "maxx", "maxy")
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    ring = F.array(*[gm.point(x, y) for x, y in ((x0, y1), (x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1))])
+    shapes = _boxes(spark, sf_dir).select("fid", _shape("Polygon", [ring]).alias("geom"))
+    c = vector.read(shapes, None, BOX, do_clip=True).select("fid", gm.area(F.col("geom")).alias("area"))
+    return c.where("area > 0")
+
+
+_left = _CUT.format(x0="minx", x1="maxx", y0="miny", y1="maxy")
+_right = _CUT.format(x0="minx + 40", x1="maxx + 40", y0="miny", y1="maxy")
+
+
+@query(f"WITH {_H} SELECT fid, CAST(({_left} > 0) AS INTEGER) + CAST(({_right} > 0) AS INTEGER) AS n, {_left} + {_right} AS area FROM hb WHERE {_left} + {_right} > 0")
+def vector_clip_parts(spark, sf_dir):
+    """Two squares, 40 apart, that are one feature."""
+    x0, y0, x1, y1 = _c("minx", "miny", "maxx", "maxy")
+    shapes = _boxes(spark, sf_dir).select("fid", _shape("MultiPolygon", [_rect(x0, y0, x1, y1)], [_rect(x0 + 40, y0, x1 + 40, y1)]).alias("geom"))
+    # a part that only touches the mask leaves a part without area
+    c = vector.read(shapes, None, BOX, do_clip=True)
+    n = F.size(F.filter(c["geom"]["parts"], lambda p: F.abs(gm.ring_area(p[0])) > 0))
+    return c.select("fid", n.alias("n"), gm.area(F.col("geom")).alias("area")).where("area > 0")
+
+
+def lines(spark, sf_dir):
+    """(fid, geom): lines to the right of the customers, with a step up in the middle."""
+    x, y, n = F.col("x"), F.col("y"), 3 + F.col("k") % 40
+    pts = F.array(gm.point(x, y), gm.point(x + n, y), gm.point(x + n, y + 1), gm.point(x + 2 * n, y + 1))
+    return customer_points(spark, sf_dir).select(F.col("k").alias("fid"), _shape("LineString", [pts]).alias("geom"))
+
+
+_LINES = f"{CUS}, ln AS (SELECT k AS fid, x, y, 3 + k % 40 AS n FROM cus), sg AS (SELECT fid, greatest(x, 20) AS a, least(x + n, 60) AS b, y >= 30 AND y < 70 AS inside FROM ln UNION ALL SELECT fid, greatest(x + n, 20), least(x + 2 * n, 60), y + 1 >= 30 AND y + 1 < 70 FROM ln), st AS (SELECT fid, least(y + 1, 70) - greatest(y, 30) AS len FROM ln WHERE x + n > 20 AND x + n < 60)"
+
+
+@query(f"WITH {_LINES}, u AS (SELECT fid, b - a AS len FROM sg WHERE inside AND b > a UNION ALL SELECT fid, len FROM st WHERE len > 0) SELECT fid, sum(len) AS length FROM u GROUP BY fid")
+def vector_clip_lines(spark, sf_dir):
+    """What a box leaves of lines, by its length."""
+    c = vector.read(lines(spark, sf_dir), None, BOX, do_clip=True)
+    step = lambda r: F.aggregate(F.sequence(F.lit(0), F.size(r) - 2), F.lit(0.0), lambda a, i: a + F.abs(F.get(r, i + 1)["x"] - F.get(r, i)["x"]) + F.abs(F.get(r, i + 1)["y"] - F.get(r, i)["y"]))
+    total = F.aggregate(F.flatten(c["geom"]["parts"]), F.lit(0.0), lambda a, r: a + step(r))
+    return c.select("fid", total.alias("length")).where("length > 0")
+
+
+@query(f"WITH {_LINES} SELECT DISTINCT fid FROM (SELECT fid FROM sg WHERE inside AND b >= a UNION ALL SELECT fid FROM st WHERE len >= 0)")
+def vector_filter_lines(spark, sf_dir):
+    return vector.read(lines(spark, sf_dir), None, BOX).select("fid")
+
+
+@query(f"WITH {CUS} SELECT k AS fid, x, y FROM cus WHERE abs(x - 64) + abs(y - 64) <= 40.125")
+def vector_filter_diamond(spark, sf_dir):
+    """Points within a polygon that is no box."""
+    pts = customer_points(spark, sf_dir).select(F.col("k").alias("fid"), gm.geom("Point", F.array(gm.point(F.col("x"), F.col("y")))).alias("geom"))
+    w = 40.125
+    mask = {"type": "Polygon", "coordinates": [[(64, 64 + w), (64 - w, 64), (64, 64 - w), (64 + w, 64), (64, 64 + w)]]}
+    p = F.col("geom")["parts"][0][0][0]
+    return vector.read(pts, None, mask, do_clip=True).select("fid", p["x"].alias("x"), p["y"].alias("y"))
+
+
+# --- text and files ------------------------------------------------------------------------------
+
+
+@query(f"WITH {_H} SELECT fid, h * h * 4 - h * h AS area, CAST(2 AS INTEGER) AS rings FROM hb")
+def wkt_round_trip(spark, sf_dir):
+    g = frames(spark, sf_dir).select("fid", gm.from_wkt(gm.to_wkt(F.col("geom"))).alias("geom"))
+    return g.select("fid", gm.area(F.col("geom")).alias("area"), F.size(F.col("geom")["parts"][0]).alias("rings"))
+
+
+_FILE = f"WITH {_H} SELECT CAST(row_number() OVER (ORDER BY fid) - 1 AS BIGINT) AS fid, h * h * 4 - h * h AS area, p_name, p_size FROM hb"
+
+
+def _layer(spark, sf_dir):
+    return frames(spark, sf_dir).join(part_boxes(spark, sf_dir).drop("geom"), "fid")
+
+
+@query(_FILE)
+def shapefile_round_trip(spark, sf_dir):
+    from ..sources import shapefile
+    from .base import shared
+
+    path = shared(spark, "frames.shp")
+    shapefile.write(_layer(spark, sf_dir), path, "Polygon")
+    return shapefile.read(spark, path).select("fid", gm.area(F.col("geom")).alias("area"), "p_name", "p_size")
+
+
+@query(f"WITH {_H} SELECT fid, h * h * 4 - h * h AS area, p_name, CAST(p_size AS BIGINT) AS p_size FROM hb")
+def geojson_file_round_trip(spark, sf_dir):
+    from ..sources import geojson
+    from .base import shared
+
+    path = shared(spark, "frames.json")
+    geojson.write(_layer(spark, sf_dir), path)
+    return geojson.read(spark, path).select("fid", gm.area(F.col("geom")).alias("area"), "p_name", "p_size")
+
+
+@query(f"WITH {CUS} SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS fid, x, y, c_name FROM cus WHERE x >= 20 AND x <= 60 AND y >= 30 AND y <= 70")
+def catalogue_vector(spark, sf_dir):
+    """A layer made, filled, closed, opened and read through a catalogue, within a mask."""
+    from ..catalogue import Dataset
+    from .base import shared
+
+    path = shared(spark, "points.shp")
+    rows = customer_points(spark, sf_dir).select(F.col("k").alias("fid"), gm.geom("Point", F.array(gm.point(F.col("x"), F.col("y")))).alias("geom"), "c_name")
+    with Dataset(spark) as ds:
+        made = ds.create_vector("points", path, "point", [{"name": "c_name", "type": "string"}])
+        made.insert(vector.read(rows, -1, BOX))
+        made.close()
+        v = ds.open_vector("again", path)
+        p = F.col("geom")["parts"][0][0][0]
+        return v.read("c_name").select("fid", p["x"].alias("x"), p["y"].alias("y"), "c_name")
+
+
+@query("SELECT unnest(['bool', 'uint8', 'int8', 'int16', 'uint16', 'int32', 'uint32', 'int64', 'uint64', 'float16', 'float32', 'float64', 'float128', 'complex64']) AS name, unnest(['uint8', 'uint8', NULL, 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, NULL, 'float32', 'float64', NULL, 'complex64']) AS equivalent, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, 'float32', 'float32', 'float64', NULL, 'complex64']) AS upcast, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', 'float64', 'float64', 'float32', 'float32', 'float64', 'float64', 'complex64']) AS downcast")
+def type_families(spark, sf_dir):
+    from ..functions import types as ty
+
+    names = ["bool", "uint8", "int8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float16", "float32", "float64", "float128", "complex64"]
+    to = lambda how, n: getattr(ty, how)(n) if ty.is_file_type(n, how) else None
+    return spark.createDataFrame([(n, to("equivalent", n), to("upcast", n), to("downcast", n)) for n in names], "name string, equivalent string, upcast string, downcast string")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,7 +100,14 @@ def recentred(r: Reference, center: tuple[float, float] | None = None, unit: str
     return r if unit is None else replace(r, unit=UNITS[unit])
 
 
-def _arc(r: Reference, lat, sin=F.sin):
+class Numbers:
+    """The functions of expressions that the formulas use, for plain numbers."""
+
+    sin, cos, tan, atan, atan2, sqrt, radians, degrees, pow = math.sin, math.cos, math.tan, math.atan, math.atan2, math.sqrt, math.radians, math.degrees, math.pow
+    lit = staticmethod(lambda v: v)
+
+
+def _arc(r: Reference, lat, sin):
     e2 = r.e2
     c0 = 1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256
     c2 = 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024
@@ -108,24 +116,24 @@ def _arc(r: Reference, lat, sin=F.sin):
     return r.a * (c0 * lat - c2 * sin(2 * lat) + c4 * sin(4 * lat) - c6 * sin(6 * lat))
 
 
-def forward(r: Reference, lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Projected coordinates of degrees."""
+def forward(r: Reference, lon, lat, m=F) -> tuple:
+    """Projected coordinates of degrees: columns, or numbers with ``m=Numbers``."""
     if r.kind == "longlat":
         return lon, lat
-    lam, phi = F.radians(lon - r.lon0), F.radians(lat)
+    lam, phi = m.radians(lon - r.lon0), m.radians(lat)
     if r.kind == "tmerc":
         e2 = r.e2
         ep = e2 / (1 - e2)
-        n = r.a / F.sqrt(1 - e2 * F.sin(phi) ** 2)
-        t, c, a = F.tan(phi) ** 2, ep * F.cos(phi) ** 2, F.cos(phi) * lam
+        n = r.a / m.sqrt(1 - e2 * m.sin(phi) ** 2)
+        t, c, a = m.tan(phi) ** 2, ep * m.cos(phi) ** 2, m.cos(phi) * lam
         x = r.k * n * (a + (1 - t + c) * a**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a**5 / 120)
-        y = r.k * (_arc(r, phi) - _arc(r, math.radians(r.lat0), math.sin) + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a**6 / 720))
+        y = r.k * (_arc(r, phi, m.sin) - _arc(r, math.radians(r.lat0), math.sin) + n * m.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a**6 / 720))
         return (x + r.x0) / r.unit, (y + r.y0) / r.unit
     n, f, rho0, e = _cone(r)
-    es = e * F.sin(phi)
-    t = F.tan(math.pi / 4 - phi / 2) / F.pow((1 - es) / (1 + es), F.lit(e / 2))
-    rho = r.a * f * r.k * F.pow(t, F.lit(n))
-    return (rho * F.sin(n * lam) + r.x0) / r.unit, (rho0 - rho * F.cos(n * lam) + r.y0) / r.unit
+    es = e * m.sin(phi)
+    t = m.tan(math.pi / 4 - phi / 2) / m.pow((1 - es) / (1 + es), m.lit(e / 2))
+    rho = r.a * f * r.k * m.pow(t, m.lit(n))
+    return (rho * m.sin(n * lam) + r.x0) / r.unit, (rho0 - rho * m.cos(n * lam) + r.y0) / r.unit
 
 
 def _cone(r: Reference) -> tuple[float, float, float, float]:
@@ -138,32 +146,32 @@ def _cone(r: Reference) -> tuple[float, float, float, float]:
     return n, f, r.a * f * r.k * t(p0) ** n, e
 
 
-def backward(r: Reference, x: Column, y: Column) -> tuple[Column, Column]:
-    """Degrees of projected coordinates."""
+def backward(r: Reference, x, y, m=F) -> tuple:
+    """Degrees of projected coordinates: columns, or numbers with ``m=Numbers``."""
     if r.kind == "longlat":
         return x, y
     x, y = x * r.unit - r.x0, y * r.unit - r.y0
     e2 = r.e2
     if r.kind == "tmerc":
         ep = e2 / (1 - e2)
-        m = _arc(r, math.radians(r.lat0), math.sin) + y / r.k
-        mu = m / (r.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+        arc = _arc(r, math.radians(r.lat0), math.sin) + y / r.k
+        mu = arc / (r.a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
         e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-        p = mu + (1.5 * e1 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu) + 1097 * e1**4 / 512 * F.sin(8 * mu)
-        s = 1 - e2 * F.sin(p) ** 2
-        n, q = r.a / F.sqrt(s), r.a * (1 - e2) / F.pow(s, F.lit(1.5))
-        t, c = F.tan(p) ** 2, ep * F.cos(p) ** 2
+        p = mu + (1.5 * e1 - 27 * e1**3 / 32) * m.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * m.sin(4 * mu) + 151 * e1**3 / 96 * m.sin(6 * mu) + 1097 * e1**4 / 512 * m.sin(8 * mu)
+        s = 1 - e2 * m.sin(p) ** 2
+        n, q = r.a / m.sqrt(s), r.a * (1 - e2) / m.pow(s, m.lit(1.5))
+        t, c = m.tan(p) ** 2, ep * m.cos(p) ** 2
         d = x / (n * r.k)
-        lat = p - n * F.tan(p) / q * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d**6 / 720)
-        lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d**5 / 120) / F.cos(p)
-        return F.degrees(lon) + r.lon0, F.degrees(lat)
+        lat = p - n * m.tan(p) / q * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d**4 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d**6 / 720)
+        lon = (d - (1 + 2 * t + c) * d**3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d**5 / 120) / m.cos(p)
+        return m.degrees(lon) + r.lon0, m.degrees(lat)
     n, f, rho0, e = _cone(r)
-    rho = math.copysign(1, n) * F.sqrt(x * x + (rho0 - y) ** 2)
-    t = F.pow(rho / (r.a * f * r.k), F.lit(1 / n))
-    lam = F.atan2(math.copysign(1, n) * x, math.copysign(1, n) * (rho0 - y)) / n
-    chi = math.pi / 2 - 2 * F.atan(t)
-    lat = chi + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12) * F.sin(2 * chi) + (7 * e2**2 / 48 + 29 * e2**3 / 240) * F.sin(4 * chi) + 7 * e2**3 / 120 * F.sin(6 * chi)
-    return F.degrees(lam) + r.lon0, F.degrees(lat)
+    rho = math.copysign(1, n) * m.sqrt(x * x + (rho0 - y) ** 2)
+    t = m.pow(rho / (r.a * f * r.k), m.lit(1 / n))
+    lam = m.atan2(math.copysign(1, n) * x, math.copysign(1, n) * (rho0 - y)) / n
+    chi = math.pi / 2 - 2 * m.atan(t)
+    lat = chi + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12) * m.sin(2 * chi) + (7 * e2**2 / 48 + 29 * e2**3 / 240) * m.sin(4 * chi) + 7 * e2**3 / 120 * m.sin(6 * chi)
+    return m.degrees(lam) + r.lon0, m.degrees(lat)
 
 
 def transform(from_: Reference, to: Reference) -> Callable[[Column, Column], tuple[Column, Column]]:
@@ -171,3 +179,109 @@ def transform(from_: Reference, to: Reference) -> Callable[[Column, Column], tup
     if from_ == to:
         return lambda x, y: (x, y)
     return lambda x, y: forward(to, *backward(from_, x, y))
+
+
+def transform_points(from_: Reference, to: Reference) -> Callable[[Sequence], np.ndarray]:
+    """The function that takes points, in the last dimension (x, y) or (x, y, z), of one reference to another; z stays."""
+
+    def run(points: Sequence) -> np.ndarray:
+        a = np.array(points, float)
+        if a.shape[-1:] not in ((2,), (3,)):
+            raise ValueError("points are (x, y) or (x, y, z)")
+        if from_ != to:
+            flat = a.reshape(-1, a.shape[-1])
+            for p in flat:
+                p[:2] = forward(to, *backward(from_, p[0], p[1], Numbers), Numbers)
+        return a
+
+    return run
+
+
+# The parameters of both text forms by the fields of ``Reference``.
+WKT_PROJECTION = {"tmerc": "Transverse_Mercator", "lcc": "Lambert_Conformal_Conic_2SP"}
+WKT_PARAMETERS = {"latitude_of_origin": "lat0", "central_meridian": "lon0", "scale_factor": "k", "standard_parallel_1": "lat1", "standard_parallel_2": "lat2", "false_easting": "x0", "false_northing": "y0"}
+PROJ4_PARAMETERS = {"lat_0": "lat0", "lon_0": "lon0", "k": "k", "lat_1": "lat1", "lat_2": "lat2", "x_0": "x0", "y_0": "y0"}
+
+
+def to_wkt(r: Reference) -> str:
+    """WKT 1 that ``parse`` reads back to the same reference."""
+    geo = f'GEOGCS["unnamed",DATUM["unknown",SPHEROID["unnamed",{r.a!r},{r.rf!r}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+    if r.kind == "longlat":
+        return geo
+    own = {k: getattr(r, f) for k, f in WKT_PARAMETERS.items() if r.kind == "lcc" or not k.startswith("standard")}
+    for k in ("false_easting", "false_northing"):
+        own[k] /= r.unit
+    return f'PROJCS["unnamed",{geo},PROJECTION["{WKT_PROJECTION[r.kind]}"],' + ",".join(f'PARAMETER["{k}",{v!r}]' for k, v in own.items()) + f',UNIT["unnamed",{r.unit!r}]]'
+
+
+def to_proj4(r: Reference) -> str:
+    own = {k: getattr(r, f) for k, f in PROJ4_PARAMETERS.items() if r.kind == "lcc" or r.kind == "tmerc" and k not in ("lat_1", "lat_2")}
+    return " ".join([f"+proj={r.kind}", *[f"+{k}={v!r}" for k, v in own.items()], f"+a={r.a!r}", f"+rf={r.rf!r}", *([f"+to_meter={r.unit!r}"] if r.kind != "longlat" else []), "+no_defs"])
+
+
+def wkt_of_any(text: str) -> str:
+    """WKT of a reference's text, or of the file that it names."""
+    from . import files
+
+    if "+proj" not in text and "[" not in text and files.exists(text):
+        text = files.read_all(text).decode()
+    return to_wkt(parse(text))
+
+
+def wkt_of_file(path: str, center: tuple[float, float] | None = None, unit: str | None = None) -> str:
+    """WKT of the reference of a raster or vector file, with another origin or unit."""
+    from . import geojson, geotiff, shapefile
+
+    low = path.lower()
+    text = geotiff.read_info(path).wkt if low.endswith((".tif", ".tiff")) else shapefile.read_info(path).wkt if low.endswith(".shp") else geojson.reference(path)
+    if text is None:
+        raise ValueError(f"{path} names no reference")
+    return to_wkt(recentred(parse(text), center, unit))
+
+
+@dataclass
+class Analysis:
+    """Whether a transformation can carry footprints over a rectangle, and what speaks against it."""
+
+    finite: bool = False
+    inverse: bool = False
+    angles: bool = False
+    ratio: bool = False
+    messages: tuple[str, ...] = ()
+
+    @property
+    def ok(self) -> bool:
+        return self.finite and self.inverse and self.angles and self.ratio
+
+
+def analyse(there: Callable, back: Callable, bounds: tuple[float, float, float, float], significant: float = 9.0) -> Analysis:
+    """Carry a rectangle (minx, miny, maxx, maxy) there and back: finite, the same again, right angles, and the same proportion, up to precision."""
+    from ..footprint import corner_slack, ratio_slack
+
+    a, b, c, d = bounds
+    if not a < c or not b < d:
+        return Analysis(messages=("the rectangle is empty",))
+    first = np.array([(a, d), (a, b), (c, b), (c, d)], float)  # tl, bl, br, tr
+    said, out = [], Analysis()
+    second = np.array(there(first))[:, :2]
+    third = np.array(back(second))[:, :2]
+    out.finite = bool(np.isfinite(second).all() and np.isfinite(third).all())
+    if not out.finite:
+        said.append("a transformed point is not finite")
+    else:
+        precision = max(1.0, float(np.abs(first).max())) * 10.0**-significant
+        off = float(np.abs(first - third).max())
+        out.inverse = off <= precision
+        if not out.inverse:
+            said.append(f"there and back again is off by {off}, beyond {precision}")
+        slack = [corner_slack(second[k - 1], second[k], second[(k + 1) % 4], significant) for k in range(4)]
+        out.angles = all(lo < 90 < hi for lo, hi in slack)
+        if not out.angles:
+            said.append(f"corners have angles within {slack}, not 90")
+        lo, hi = ratio_slack(first, significant)
+        ratio = float(np.linalg.norm(second[3] - second[0]) / np.linalg.norm(second[1] - second[0]))
+        out.ratio = lo < ratio < hi
+        if not out.ratio:
+            said.append(f"the proportion is {ratio}, not within {lo} and {hi}")
+    out.messages = tuple(said)
+    return out
