@@ -13,7 +13,7 @@ with the row, so nothing is joined.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -83,17 +83,31 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -
 
     src = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("words"))
     schema = items.select(F.col(id_col).alias("item")).schema.add("words", "binary")
-    return src.mapInArrow(run, schema).where(F.col("item").isNotNull()).distinct()
+    return src.mapInArrow(run, schema).distinct()
 
 
 def _searchers(rows) -> list[Searcher]:
     by: dict[int, list] = defaultdict(list)
-    for r in rows:
-        p = tuple(bytes(r["words"]).split())
-        by[len(p)].append((p, r["item"]))
+    known: dict[bytes, bytes] = {}  # a word is held once, however many windows have it
+    for words, item in rows:
+        p = tuple(known.setdefault(w, w) for w in words.split())
+        by[len(p)].append((p, item))
     return [Searcher(m, ps) for m, ps in sorted(by.items())]
 
 
+#: the tables of the part that this process searched last; a worker process serves many tasks
+_BUILT: dict[str, list[Searcher]] = {}
+
+
+def _tables(name: str, packed) -> list[Searcher]:
+    if name not in _BUILT:
+        import pickle
+
+        _BUILT.clear()
+        _BUILT[name] = _searchers(pickle.loads(packed.value))
+    return _BUILT[name]
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted(spans):
@@ -121,11 +135,13 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", part: int
     rows = docs
     parts = _parts(found, part)
     for number, some in enumerate(parts):
+        # bounded: about ``part`` windows of ten words
         tables = spark.sparkContext.broadcast(pickle.dumps([(bytes(r["words"]), r["item"]) for r in some.collect()]))
+        name = uuid.uuid4().hex
         width, first = len(docs.columns), number == 0
 
-        def run(batches: Iterator[pa.RecordBatch], tables=tables, first=first) -> Iterator[pa.RecordBatch]:
-            search_ = _searchers([{"words": w, "item": i} for w, i in pickle.loads(tables.value)])
+        def run(batches: Iterator[pa.RecordBatch], tables=tables, name=name, first=first) -> Iterator[pa.RecordBatch]:
+            search_ = _tables(name, tables)
             for b in batches:
                 n, spans, got = [], [], []
                 olds = None if first else (b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())
@@ -139,7 +155,7 @@ def search(docs: DataFrame, items: DataFrame, text_col: str = "text", part: int
                             who.update(items_)
                     n.append(len(words))
                     spans.append([{"s": s, "e": e} for s, e in _merged(hit)])
-                    got.append(sorted(who))
+                    got.append(sorted(who, key=lambda x: (x is None, x)))
                 item_type = b.schema.field(width + 2).type if not first else None
                 arrays = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))), pa.array(got, item_type or pa.list_(arrow_item))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], *arrays], [*b.schema.names[:width], "__gl_n_words", "__gl_spans", "__gl_items"])
@@ -156,7 +172,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
 
     Null and empty texts have no words and no hits; items that are null or have no words match
-    nothing, items with a null id are left out, repeated items count once for each id.
+    nothing, as does an empty table of items; repeated items count once for each id.  Items with a null
+    id hit like others, count as one item and have no part in the hash.  Repeated rows are judged alike,
+    very long texts are searched whole, and other columns are not read.
     """
     s = search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, **how)
     hit = F.aggregate("__gl_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])

@@ -125,8 +125,10 @@ def schedule(plan_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *keep: str, weights: Sequence[int] = WEIGHTS, most: int = MOST, block: int = BLOCK_WORDS) -> DataFrame:
-    """(id, *keep, size, source_size, target, taken) for each row of ``docs``.
+    """(id, *keep, size, source_size, target, taken, first_slot, slots) for each row of ``docs``.
 
+    first_slot is the first slot of the schedule that takes words of the row, null
+    if none does; rows in its order are the mix, in any stretch of which sources have their shares.
     taken counts the row's words in all slots of the schedule, repeats included, and never exceeds
     ``most`` times its size.  Null texts have size 0 and are never taken; a null source is a source,
     the last one; a null id is hashed as an empty one; repeated rows each have their own place in the
@@ -141,8 +143,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # how often a block is taken whole, and how much of it the slot that ends a target takes
     width = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     uses = slots.join(p.select("skey", "source_size"), "skey").groupBy("skey", "block").agg(
-        F.sum(F.when(F.col("take") >= width, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("take") < width, F.col("take"))).alias("part")
-    )
+        F.sum(F.when(F.col("take") >= width, 1).otherwise(0)).alias("whole"), F.max(F.when(F.col("take") < width, F.col("take"))).alias("part"),
+        F.min(F.when(F.col("take") >= width, F.col("slot"))).alias("whole_slot"), F.min(F.when(F.col("take") < width, F.col("slot"))).alias("part_slot"),
+        F.array_sort(F.collect_list("slot")).alias("slots"),  # no more than ``most`` and one
+    )
     laid = streams(rows.where("size > 0"), id_col)
     end = F.col("start") + F.col("size")
     first = F.floor(F.col("start") / block)
@@ -152,29 +156,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = pieces.select(*names, "size", "skey", "start", "block", a.alias("pa"), b.alias("pb"))
     cut_off = F.greatest(F.least(F.col("pb"), F.coalesce("part", F.lit(0))) - F.col("pa"), F.lit(0))
     words = F.coalesce("whole", F.lit(0)) * (F.col("pb") - F.col("pa")) + cut_off
-    taken = pieces.join(uses, ["skey", "block"], "left").groupBy(*names, "size", "skey", "start").agg(F.sum(words).cast("long").alias("taken")).drop("start")
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.unionByName(none).join(goal, "skey").select(*names, "size", "source_size", "target", "taken")
+    slot = F.least("whole_slot", F.when(cut_off > 0, F.col("part_slot")))
+    taken = pieces.join(uses, ["skey", "block"], "left").groupBy(*names, "size", "skey", "start").agg(F.sum(words).cast("long").alias("taken"), F.min(slot).alias("first_slot"), F.min_by("slots", "block").alias("slots")).drop("start")
+    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long")).withColumn("slots", F.lit(None).cast("array<long>"))
+    return taken.unionByName(none).join(goal, "skey").select(*names, "size", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of ``docs``, columns unchanged, each as often as the mix takes it.
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it, in the order of the schedule.
 
     A row appears once for every time that the mix takes all of it, and once more if it takes half of
-    it or more besides.  Rows without words are not taken.
+    it or more besides: a source misses its target by half of one row's words at most, as only the row
+    at the end of its stream is taken in part.  Each repeat has the slot of its own pass.  Rows without
+    words are not taken.
     """
     h = F.xxhash64(text_col)
     found = mix(docs.select(F.col(id_col), F.col(text_col), F.col(source_col), h.alias("__gl_h")), id_col, text_col, source_col, "__gl_h", **how)
     # rows that repeat both id and text share what was taken of them
-    times = found.groupBy(id_col, "__gl_h").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__gl_times")).where("__gl_times > 0")
-    times = times.select(F.col(id_col).alias("__gl_i"), F.col("__gl_h").alias("__gl_kh"), "__gl_times")
+    times = found.groupBy(id_col, "__gl_h").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__gl_times"), F.min("slots").alias("__gl_slots")).where("__gl_times > 0")
+    times = times.select(F.col(id_col).alias("__gl_i"), F.col("__gl_h").alias("__gl_kh"), "__gl_times", "__gl_slots")
     rows = docs.withColumn("__gl_h", h)
     out = rows.join(times, rows[id_col].eqNullSafe(times["__gl_i"]) & (rows["__gl_h"] == times["__gl_kh"]))
-    return out.withColumn("__gl_k", F.explode(F.sequence(F.lit(1), F.col("__gl_times")))).select(*docs.columns)
+    out = out.withColumn("__gl_k", F.explode(F.sequence(F.lit(1), F.col("__gl_times"))))
+    out = out.withColumn("__gl_slot", F.get("__gl_slots", F.least(F.col("__gl_k"), F.size("__gl_slots")) - 1))
+    return out.repartitionByRange("__gl_slot", "__gl_h").sortWithinPartitions("__gl_slot", "__gl_h").select(*docs.columns)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("slots")
 
 
 _SQL = """
@@ -193,11 +202,25 @@ l AS (SELECT max(CAST(lft AS DOUBLE) / wleft) AS level FROM (
 g AS (SELECT skey, source_size, least(3.0::DOUBLE * source_size, coalesce(level * w, 3.0::DOUBLE * source_size)) AS target FROM o, l),
 p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size
                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
-q AS (SELECT p.doc_id, p.size, g.source_size, g.target, p.start, CAST(round_even(g.target, 0) AS BIGINT) AS want
-      FROM p JOIN g USING (skey))
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE CAST((want // source_size) * size
-            + greatest(0, least(size, want % source_size - start)) AS BIGINT) END AS taken
-FROM q
+q AS (SELECT p.doc_id, p.skey, p.size, g.source_size, g.target, p.start, CAST(round_even(g.target, 0) AS BIGINT) AS want
+      FROM p JOIN g USING (skey)),
+n AS (SELECT skey, source_size, CAST(round_even(target, 0) AS BIGINT) AS want, CAST(ceil(source_size / 256) AS BIGINT) AS blocks FROM g WHERE source_size > 0),
+pl AS (SELECT *, want // source_size * blocks + CAST(ceil((want % source_size) / 256) AS BIGINT) AS slots FROM n),
+li AS (SELECT *, sum(slots) OVER (ORDER BY skey ROWS UNBOUNDED PRECEDING) AS upto, sum(slots) OVER () AS total FROM pl),
+pt AS (SELECT t AS slot, floor(t / 1048576) * 0.607787409740351::DOUBLE + (t % 1048576) * 0.6180339887498949::DOUBLE AS y FROM range((SELECT CAST(coalesce(max(total), 0) AS BIGINT) FROM li)) r(t)),
+hi AS (SELECT slot, skey, slots, row_number() OVER (PARTITION BY skey ORDER BY slot) - 1 AS rank FROM (SELECT slot, y - floor(y) AS x FROM pt) p
+       JOIN li ON x >= CAST(upto - slots AS DOUBLE) / total AND x < CAST(upto AS DOUBLE) / total),
+hv AS (SELECT skey, count(*) AS have FROM hi GROUP BY skey),
+sl AS (SELECT slot, skey, rank FROM hi WHERE rank < slots UNION ALL
+       SELECT total, skey, unnest(range(CAST(coalesce(have, 0) AS BIGINT), CAST(slots AS BIGINT))) FROM li LEFT JOIN hv USING (skey) WHERE coalesce(have, 0) < slots),
+tk AS (SELECT slot, skey, rank % blocks AS block, least(256, source_size - rank % blocks * 256) AS width,
+              least(least(256, source_size - rank % blocks * 256), want - (rank // blocks * source_size + rank % blocks * 256)) AS take FROM sl JOIN pl USING (skey)),
+pc AS (SELECT p.skey, p.doc_id, p.size, p.start, unnest(range(CAST(start // 256 AS BIGINT), CAST((start + size - 1) // 256 + 1 AS BIGINT))) AS block FROM p WHERE size > 0),
+fs AS (SELECT pc.skey, pc.doc_id, pc.size, pc.start, CAST(min(CASE WHEN take >= width OR take > greatest(start - pc.block * 256, 0) THEN slot END) AS BIGINT) AS first_slot
+       FROM pc JOIN tk ON tk.skey = pc.skey AND tk.block = pc.block GROUP BY 1, 2, 3, 4)
+SELECT q.doc_id, q.size, q.source_size, q.target,
+       CASE WHEN q.size = 0 THEN 0 ELSE CAST((want // source_size) * q.size
+            + greatest(0, least(q.size, want % source_size - q.start)) AS BIGINT) END AS taken, fs.first_slot
+FROM q LEFT JOIN fs ON fs.doc_id IS NOT DISTINCT FROM q.doc_id AND fs.size = q.size AND fs.start = q.start AND fs.skey = q.skey
 """
 SQL = {"op2_source_mix": _SQL}

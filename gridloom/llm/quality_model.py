@@ -33,15 +33,17 @@ _LOWER = b"abcdefghijklmnopqrstuvwxyz"
 #: letters to a or A, digits to 0, bytes of other characters to a
 _SHAPE = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c > 127 else ord("0") if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
+#: stands for the votes on a text without words, which is bad beyond estimation
+BLANK = -1
 LABELLERS = ("symbols", "capitals", "exclamations", "sentences", "repetition", "bare marks", "word length", "repeated lines")
 
 
 def votes(data: bytes) -> int:
-    """The labellers' votes as bits of a number; a set bit is a vote for bad."""
+    """The labellers' votes as bits of a number; a set bit is a vote for bad.  Of a text without words none can say anything."""
     words = data.split()
     n, size = len(words), len(data)
     if not n:
-        return (1 << len(LABELLERS)) - 1
+        return BLANK
     symbols = size - len(data.translate(None, SYMBOLS))
     upper, lower = (size - len(data.translate(None, x)) for x in (_UPPER, _LOWER))
     shouts = data.count(b"!")
@@ -129,7 +131,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 
     voted = cut(src.select("h", "t").mapInArrow(vote, "pattern int, h long"))
     counted = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted.pop(BLANK, None)  # they would distort the labellers' rates
     posterior, _ = estimate(counted)
+    posterior[BLANK] = 0.0
     # the hash below which the sample lies; equal texts are one text
     least = voted.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
@@ -158,7 +162,9 @@ def score(data: bytes, weights: np.ndarray) -> float:
 def scored(docs: DataFrame, weights: np.ndarray, posterior: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, weak, score, kept) for each row of ``docs``: the labellers' posterior, the scorer's probability and the verdict.
 
-    Null and empty texts score 0 and go; repeated rows are scored alike.
+    Null, empty and blank texts score 0 and go; they take no part in the estimation.  Repeated rows are
+    scored alike, null ids are ids, very long texts are read whole, and other columns are not read.
+    Without a document there is nothing to learn, and every weight is 0.
     """
     src = docs.select(F.col(id_col), F.col(text_col).alias("__gl_text"))
 

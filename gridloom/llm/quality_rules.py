@@ -6,8 +6,9 @@ feature, neighbouring labels have a weight for each pair, and Viterbi decoding f
 sequence.  A text is kept if content lines hold at least ``SHARE`` of its word characters.
 
 Training: maximum likelihood by gradient ascent over forward-backward marginals, on the labelled
-documents with the smallest hashes, ``SAMPLE_DOCS`` at most.  A line of a good document is content
-unless several documents of the sample have it; a line of a bad one is boilerplate.
+documents with the smallest hashes, ``SAMPLE_DOCS`` at most and ``LINES`` lines of each.  Labels of lines
+come from the document's label and from what the line looks like (``line_label``), so one document has
+lines of both labels.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType
 from .common import table
 
 SAMPLE_DOCS = 1500
+LINES = 2000
 SHARE = 0.5
 SYMBOLS = b"#*$%&|<>"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -162,11 +164,35 @@ class Field:
         return self
 
 
+BIT = {name: 1 << k for k, name in enumerate(FEATURES)}
+_DAMAGE = sum(BIT[n] for n in ("symbols over 10 %", "capitals over half", "two exclamation marks", "few different words"))
+_MARKED = BIT["symbols over 2 %"] | BIT["two bars"] | BIT["link or tag"] | _DAMAGE
+
+
+def line_label(good: bool, mark: int, repeated: bool) -> int:
+    """The label that a line is trained with; documents of either kind have lines of both labels.
+
+    A line that several documents of the sample have, or that repeats an earlier one, is boilerplate
+    anywhere, and so are menu lines: bars, or a few words that end no sentence.  In a good document all
+    else is content.  In a bad one, content is what reads like a sentence of some length without marks of
+    damage.
+    """
+    menu = mark & BIT["two bars"] or mark & BIT["under 3 words"] and not mark & BIT["ends a sentence"]
+    if repeated or mark & BIT["repeats a line"] or menu:
+        return BOILERPLATE
+    if good:
+        return CONTENT
+    return CONTENT if mark & BIT["ends a sentence"] and not mark & (BIT["under 8 words"] | _MARKED) else BOILERPLATE
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, common: int = 4) -> Field:
-    """A field fitted on the labelled sample, see the module's docstring.  Without labels every line is content."""
+    """A field fitted on the labelled sample, see the module's docstring.  Without labels every line is content.
+
+    One row of each labelled doc_id is read, so repeated ids add nothing.
+    """
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", F.col("text").alias("t"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("good").alias("good"), F.min("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -180,16 +206,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, common:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "good", "marks", "hashes"])
 
     schema = rows.select("doc_id", "good").schema.add("marks", ArrayType(IntegerType())).add("hashes", ArrayType(LongType()))
-    got = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["marks"]))
+    # bounded by the sample; a stretch of ``LINES`` lines of a longer document stands for it
+    described = rows.mapInArrow(run, schema).select("doc_id", "good", *[F.slice(c, 1, LINES).alias(c) for c in ("marks", "hashes")])
+    got = sorted(described.collect(), key=lambda r: r["doc_id"])
     often = Counter(h for r in got for h in set(r["hashes"]))
-    seqs = [(r["marks"], [CONTENT if r["good"] and often[h] < common else BOILERPLATE for h in r["hashes"]]) for r in got if r["marks"]]
+    seqs = [(r["marks"], [line_label(bool(r["good"]), m, often[h] >= common) for m, h in zip(r["marks"], r["hashes"])]) for r in got if r["marks"]]
     return Field().fit(seqs)
 
 
 def judge(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_share) for each row of ``docs``.
 
-    Null and empty texts have no words and fail.  Repeated rows are judged alike.
+    Null, empty and blank texts have no words and fail.  Repeated rows are judged alike, null ids are ids,
+    very long texts are read whole, and other columns are not read.  Of equally good label sequences the
+    one with content is taken.
     """
     src = docs.select(F.col(id_col), F.col(text_col).alias("__gl_text"))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -17,4 +17,4 @@ QUERIES = {
         quotes.op10_quotation_links,
     )
 }
-SQL = {**mixing.SQL, **decontaminate.SQL}
+SQL = {**mixing.SQL, **decontaminate.SQL, **quotes.SQL}

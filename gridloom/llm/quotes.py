@@ -157,3 +157,46 @@ def conversations(talk: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 def op10_quotation_links(spark, sf_dir: str) -> DataFrame:
     return conversations(table(spark, sf_dir, "conversations"))
+
+
+_MARKS = r"^(?:[ \t]*>)+"
+_LEVEL = "len(regexp_extract({0}, '" + _MARKS + "')) - len(replace(regexp_extract({0}, '" + _MARKS + "'), '>', ''))"
+_NORM = "trim(regexp_replace(lower(regexp_replace({0}, '" + _MARKS + r"', '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+SQL = {
+    "op10_quotation_links": f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, md5(coalesce(text, '')) AS k FROM conversations),
+d AS (SELECT DISTINCT conv_id, turn, k, string_split(text, chr(10)) AS ls FROM m WHERE text IS NOT NULL),
+l AS (SELECT conv_id, turn, k, unnest(ls) AS ln, unnest(range(0, len(ls))) AS line_no FROM d),
+b AS (SELECT conv_id, turn, k, line_no, {_LEVEL.format("ln")} AS level, {_NORM.format("ln")} AS norm FROM l),
+q AS (SELECT DISTINCT conv_id AS c FROM b WHERE level > 0 AND norm <> ''),
+s AS (SELECT b.*, norm = '' AS blank FROM b JOIN q ON b.conv_id IS NOT DISTINCT FROM c),
+e AS (SELECT *, CASE WHEN level <> coalesce(lag(level) OVER w, -1) OR blank OR coalesce(lag(blank) OVER w, false) THEN 1 ELSE 0 END AS new
+      FROM s WINDOW w AS (PARTITION BY conv_id, turn, k ORDER BY line_no)),
+r AS (SELECT * FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn, k ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM e) WHERE NOT blank),
+rn AS (SELECT conv_id, turn, k, run, level, string_agg(norm, ' ' ORDER BY line_no) AS p FROM r GROUP BY ALL),
+wh AS (SELECT conv_id, turn, k, string_agg(norm, ' ' ORDER BY line_no) AS p FROM r WHERE level = 0 GROUP BY ALL),
+o AS (SELECT DISTINCT conv_id, turn, p FROM (SELECT conv_id, turn, p FROM rn WHERE level = 0 UNION ALL SELECT conv_id, turn, p FROM wh
+      UNION ALL SELECT conv_id, turn, norm FROM r WHERE level = 0) WHERE turn IS NOT NULL),
+a AS (SELECT conv_id, turn, k, run, level, NULL::BIGINT AS line_no, p FROM rn WHERE level > 0
+      UNION ALL SELECT conv_id, turn, k, run, level, line_no, norm FROM r WHERE level > 0),
+f AS (SELECT a.conv_id, a.turn, a.k, a.run, a.level, a.line_no, a.p, max(o.turn) AS orig FROM a
+      LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM a.conv_id AND o.p = a.p AND o.turn < a.turn GROUP BY ALL),
+g AS (SELECT conv_id, turn, k, run, level, max(CASE WHEN line_no IS NULL THEN orig END) AS whole, max(CASE WHEN line_no IS NOT NULL THEN orig END) AS part,
+      list(line_no) FILTER (WHERE line_no IS NOT NULL) AS every, list(line_no) FILTER (WHERE line_no IS NOT NULL AND orig IS NOT NULL) AS found FROM f GROUP BY ALL),
+h AS (SELECT conv_id, turn, k, level, coalesce(whole, part) AS orig, CASE WHEN whole IS NOT NULL THEN every ELSE found END AS ls FROM g),
+x AS (SELECT conv_id, turn, k, arg_min(orig, level * 1000000000000 - orig) FILTER (WHERE orig IS NOT NULL) AS reply_to, count(*) AS n_quotes, count(orig) AS n_linked,
+      flatten(list(ls) FILTER (WHERE ls IS NOT NULL)) AS linked FROM h GROUP BY ALL),
+p AS (SELECT conv_id, turn, min(reply_to) AS up FROM x WHERE reply_to IS NOT NULL GROUP BY ALL),
+t AS (SELECT conv_id, turn, up AS root, 1 AS depth FROM p
+      UNION ALL SELECT t.conv_id, t.turn, p.up, depth + 1 FROM t JOIN p ON p.conv_id IS NOT DISTINCT FROM t.conv_id AND p.turn = t.root),
+z AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM t GROUP BY ALL),
+y AS (SELECT m.conv_id, m.turn, m.role, m.k, m.text, string_split(m.text, chr(10)) AS ls, x.reply_to, x.n_quotes, x.n_linked, x.linked, z.root, z.depth
+      FROM m LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM m.conv_id AND x.turn IS NOT DISTINCT FROM m.turn AND x.k = m.k
+      LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM m.conv_id AND z.turn = m.turn AND x.reply_to IS NOT NULL)
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(root, turn) NULLS FIRST, turn NULLS FIRST, k) - 1 AS position,
+       reply_to, CAST(coalesce(depth, 0) AS BIGINT) AS depth, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+       CASE WHEN n_linked > 0 THEN trim(array_to_string([v FOR v, i IN ls IF NOT list_contains(linked, i - 1)
+            AND NOT ({_LEVEL.format("v")} > 0 AND {_NORM.format("v")} = '')], chr(10)), chr(10) || ' ') ELSE text END AS text
+FROM y
+"""
+}

@@ -16,8 +16,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,13 +104,16 @@ def ratios(random_: Counter, ordinary: Counter, smooth: float = 0.5) -> dict[str
 
 
 def random_spans(text: str, ratio: dict[str, float], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of key characters that look random and do not overlap a span in ``taken``."""
+    """Runs of key characters that look random and do not overlap a span in ``taken``, which is sorted."""
+    starts, reach = [a for a, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
     found = []
     for m in RUN.finditer(text):
         s = m.group()
         total = sum(map(ratio.get, map("".join, zip(s, s[1:]))))
-        if total >= TOTAL_RATIO and total >= MEAN_RATIO * (len(s) - 1) and not any(a < m.end() and m.start() < e for a, _, e in taken):
-            found.append((m.start(), 3, m.end()))
+        if total >= TOTAL_RATIO and total >= MEAN_RATIO * (len(s) - 1):
+            before = bisect_left(starts, m.end())  # spans that begin before the run ends; one of them may reach into it
+            if not before or reach[before - 1] <= m.start():
+                found.append((m.start(), 3, m.end()))
     return found
 
 
@@ -117,7 +122,12 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, ratio: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans) for each row of ``docs``; a null text is an empty one."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans) for each row of ``docs``.
+
+    A null text is an empty one, in which nothing is found.  Repeated rows are scanned alike, null ids
+    are ids, very long texts are scanned whole, and other columns are not read.  Where a base pattern
+    and a random run overlap, the base pattern stays.
+    """
     src = docs.select(F.col(id_col), F.col(text_col).alias("__gl_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,11 +76,18 @@ class Trie:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(id, n_words, n_tokens) for each row of ``docs``; null and empty texts have none."""
+    """(id, n_words, n_tokens) for each row of ``docs``.
+
+    Null, empty and blank texts have none; repeated rows count alike and null ids are ids.  Very long
+    texts are counted whole, a slice of the batch at a time.  Bytes that are no UTF-8 count as the
+    replacement character.  Other columns are not read.  The file at ``path`` is read by the driver, and
+    its pieces, some 32,000, go to the executors.
+    """
     src = docs.select(F.col(id_col), F.col(text_col).alias("__gl_text"))
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary(path))
+        trie = Trie(pieces.value)
         memo: dict[bytes, int] = {}
         for b in batches:
             words_of, counts, held = [], [], 0
@@ -91,7 +98,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(memo) + len(new) > MEMO:
                     memo.clear()
                     new = {w for ws in words_of for w in ws}
-                order = sorted((w.decode(), w) for w in new)
+                order = sorted((w.decode("utf-8", "replace"), w) for w in new)
                 memo.update(zip((w for _, w in order), trie.count([MARK + s for s, _ in order])))
                 for ws in words_of:
                     counts.append(sum(map(memo.__getitem__, ws)))
