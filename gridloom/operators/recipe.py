@@ -32,7 +32,8 @@ TILES = "tx int, ty int, data array<array<double>>"
 
 def concat_arrays(fp: Footprint, parts: dict[Footprint, np.ndarray], raster=None) -> np.ndarray:
     """Parts pasted into one array at their places; later parts cover earlier ones."""
-    out = np.zeros(fp.shape, next(iter(parts.values())).dtype)
+    some = next(iter(parts.values()))
+    out = np.zeros((*fp.shape, *some.shape[2:]), some.dtype)
     for p, a in parts.items():
         x, y = (round(v) for v in fp.inverse(p.tlx, p.tly))
         out[y : y + p.rsy, x : x + p.rsx] = a

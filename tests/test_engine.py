@@ -17,7 +17,6 @@ from gridloom.sources import srs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"fp_share_area", "fp_intersection_pairs"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +33,7 @@ def plain(v):
     return repr(float(v) + 0.0) if isinstance(v, float) else repr(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.sql(SQL[name])
