@@ -198,7 +198,9 @@ def test_reads_open_only_tiles_of_the_window(spark, tmp_path):
     t = spark.range(400).select((F.col("id") % 20).cast("int").alias("tx"), F.floor(F.col("id") / 20).cast("int").alias("ty"), F.array_repeat(F.lit(1.0), 64).alias("data"))
     t.write.parquet(f"{tmp_path}/t")
     fp = Footprint.of((0, 160), (160, 160), (160, 160))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = raster.read_tiles(spark.read.parquet(f"{tmp_path}/t"), (8, 8), fp, fp.clip(20, 30, 40, 50))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     scan = next(line for line in plan.split("\n") if "FileScan" in line)
     filters = re.sub(r"#\d+", "", scan.split("DataFilters: [")[1].split("]")[0])
     assert "GreaterThanOrEqual(tx,2)" in scan and all(f in filters for f in ("(tx >= 2)", "(tx <= 4)", "(ty >= 3)", "(ty <= 6)")), scan
