@@ -133,7 +133,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     size is the UTF-8 bytes of the text plus 1.  Law ``bytes``: the shards' sizes are near equal; a
     group of equal texts above an equal share has a shard of its own and the others share the rest.  Null texts form one group of size 1 each and have the
     checksum of an empty text.  Null ids and repeated rows are placed like others; slots are gapless
-    from 0 in each shard, in order of id.
+    from 0 in each shard, in order of id, then size, then checksum.  Groups of equal size are packed in
+    order of their hash.  Very long texts are groups like others, and other columns are not read.
     """
     spark = docs.sparkSession
     text = F.col(text_col)

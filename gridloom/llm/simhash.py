@@ -5,9 +5,10 @@ fingerprint becomes a point with 32 small coordinates.  The Manhattan distance o
 exceeds the Hamming distance of their fingerprints.  Coordinates are held in unary (0 -> 00, 1 -> 01,
 2 -> 11), which makes the Manhattan distance the bit count of an exclusive or.
 
-Range join: the 32 coordinates are dealt into ``radius + 1`` blocks.  Points within ``radius`` agree
-entirely in one block at least, so each block is a grid whose cell is the point's coordinates there,
-and a range query needs one cell of each grid.  Inside a cell the Manhattan distance over all
+Range join: the 32 coordinates are dealt into ``radius + 1`` blocks or, where there are many points,
+some more.  Points within ``radius`` agree entirely in all blocks but ``radius``, so each choice of as many
+blocks is a grid whose cell is the point's coordinates there, and a range query needs one cell of each
+grid.  Inside a cell the Manhattan distance over all
 coordinates selects candidates and the Hamming distance decides.  A cell only reports a spanning
 forest of its links, never all pairs.  Cells above ``cell_rows`` points are cut into chunks and every
 pair of chunks meets in a task of its own, so no task holds more than about two chunks.
@@ -15,6 +16,8 @@ pair of chunks meets in a task of its own, so no task holds more than about two
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop_cut
 
 SEED = 42
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEGMENTS = 32
 CELL_ROWS = 4096
+#: some ten microseconds of comparisons a point and pass
+MEETINGS = 4000
 _CHUNK = 1 << 16
 
 
@@ -74,16 +79,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, schema)
 
 
-def _blocks(radius: int) -> list[int]:
-    """Signed bit masks of the blocks of segments."""
-    per, more = divmod(SEGMENTS, radius + 1)
-    masks, at = [], 0
-    for k in range(radius + 1):
+def grids(radius: int, points: int) -> list[int]:
+    """Signed bit masks of the coordinates of each grid.
+
+    With the segments dealt into n blocks, points within ``radius`` agree in n - radius of them at least,
+    so each choice of that many blocks is a grid.  More blocks make more grids of smaller cells; n is the
+    first for which a point meets ``MEETINGS`` others or fewer, were segments of random fingerprints, whose
+    counts agree with probability 3/8.
+    """
+    for n in range(radius + 1, radius + 5):
+        agree = n - radius
+        met = math.comb(n, agree) * points * 0.375 ** (SEGMENTS * agree / n)
+        if met <= MEETINGS:
+            break
+    per, more = divmod(SEGMENTS, n)
+    blocks, at = [], 0
+    for k in range(n):
         width = 2 * (per + (k < more))
-        mask = ((1 << width) - 1) << at
-        masks.append(mask - (1 << 64) if mask >= 1 << 63 else mask)
+        blocks.append(((1 << width) - 1) << at)
         at += width
-    return masks
+    masks = [sum(chosen) for chosen in itertools.combinations(blocks, agree)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
 def forest(fp: np.ndarray, unary: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +167,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -
     hi = F.shiftrightunsigned(x, 1)
     unary = x.bitwiseOR(hi).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(hi).bitwiseAND(m), 1))
     cells = prints.select("fingerprint", unary.alias("u")).select(
-        F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(k)) for k in _blocks(radius)])).alias("blk", "cell"), "fingerprint", "u"
+        F.posexplode(F.array(*[F.col("u").bitwiseAND(F.lit(k)) for k in grids(radius, prints.count())])).alias("blk", "cell"), "fingerprint", "u"
     )
     full = cells.groupBy("blk", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
     full = full.select("blk", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
@@ -172,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable over links of at most ``radius`` differing bits, the
     row's own included; component_root is the smallest fingerprint of the component.  Null and empty
     texts have fingerprint 0 and link like any other.  Rows with a null id take part and never become
-    a component's id, which is null if all its ids are.  Repeated rows are kept.
+    a component's id, which is null if all its ids are.  Repeated rows are kept.  A bit that half of the
+    hashes set is 0.  Very long texts are read whole, and other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col, *keep))
     prints = cut(marked.groupBy("fingerprint").agg(F.min(id_col).alias("__gl_min")))
@@ -181,6 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fingerprint", "__gl_min", F.coalesce("root", "fingerprint").alias("component_root")
     )
     rooted = cut(rooted)
+    drop_cut(prints)
     ids = rooted.groupBy("component_root").agg(F.min("__gl_min").alias("component_id"))
     known = rooted.join(ids, "component_root").select("fingerprint", "component_root", "component_id")
     return marked.join(known, "fingerprint").select(id_col, *keep, "fingerprint", "component_root", "component_id")

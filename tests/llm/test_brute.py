@@ -13,8 +13,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, token_counts
+from gridloom.llm import line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
 from gridloom.llm.classes import similar_classes
+from gridloom.plans.lineage import components
 
 from test_llm import SF, docs, empty, local  # noqa: F401  fixtures
 
@@ -308,6 +309,24 @@ def test_line_report_of_odd_rows(docs, local):  # noqa: F811
     assert line_dedup.dedup_lines(d).columns == d.columns
 
 
+def test_every_grid_choice_finds_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    prints = sorted({int(b) for b in base} | {int(b) ^ sum(1 << int(k) for k in rng.choice(63, 4, replace=False)) for b in base for _ in range(5)})
+    df = spark.createDataFrame([(x,) for x in prints], "fingerprint long")
+    u = Union()
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= 4:
+            u.join(a, b)
+    want = {x: u.find(x) for x in prints}
+    for n, many in ((5, 100), (15, 10**6), (35, 10**7), (70, 10**12)):
+        assert len(simhash.grids(4, many)) == n
+        monkeypatch.setattr(simhash, "grids", lambda radius, points, own=simhash.grids(4, many): own)
+        roots = {r["node"]: r["root"] for r in components(simhash.links(df, 4)).collect()}
+        monkeypatch.undo()
+        assert {x: roots.get(x, x) for x in prints} == want
+
+
 # --- conversations --------------------------------------------------------------------------------
 
 
