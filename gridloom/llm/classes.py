@@ -24,7 +24,7 @@ from .common import components, cut, drop_cut
 WORDS = 16
 SMALL = 32
 PROGRESS = 0.05
-#: from a text to the sorted array of its distinct shingles' hashes
+#: from a text to the array of its distinct shingles' hashes
 Shingles = Callable[[Column], Column]
 
 

@@ -31,17 +31,17 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column, width: int = WIDTH) -> Column:
-    """The distinct hashes of the character windows of ``line``, sorted.
+    """The distinct hashes of the character windows of ``line``.
 
     UTF-32 makes a window a slice of bytes; the outer ``transform`` binds the encoded line, which would
     otherwise be encoded again for every window.
     """
 
     def hashed(wide: Column) -> Column:
-        last = F.greatest((F.octet_length(wide) / 4).cast("int") - width, F.lit(0))
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(wide, i * 4 + 1, F.lit(4 * width))))
+        last = F.greatest(F.octet_length(wide) - 4 * width, F.lit(0)) + 1
+        return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substr(wide, at, F.lit(4 * width))))
 
-    return F.sort_array(F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0]))
+    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0])
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
