@@ -123,6 +123,11 @@ def rarea(fp: Column) -> Column:
     return fp["rsx"].cast("long") * fp["rsy"]
 
 
+def shape(fp: Column) -> Column:
+    """(rsy, rsx), as arrays have it."""
+    return F.array(fp["rsy"], fp["rsx"])
+
+
 def rlength(fp: Column) -> Column:
     inner = F.greatest(F.lit(0), fp["rsx"] - 2).cast("long") * F.greatest(F.lit(0), fp["rsy"] - 2)
     return rarea(fp) - inner

@@ -113,3 +113,35 @@ def pixel_occurrence(tiles: DataFrame, fp: str = "fp") -> DataFrame:
     t = tiles.select(*[c.alias(k) for k, c in s.items()]).where("x1 > x0 and y1 > y0")
     px = t.withColumn("py", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("px", F.explode(F.sequence("x0", F.col("x1") - 1)))
     return px.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
+
+
+def plain_offsets(n: int, size: int, overlap: int, effect: str) -> list[tuple[int, int]]:
+    """(at, len) of the tiles of one direction, as ``offsets``."""
+    if size <= 0 or not 0 <= overlap < size:
+        raise ValueError("illegal tile size or overlap")
+    step = size - overlap
+    count = 0 if n < size else (n - size) // step + 1
+    out = [(k * step, size) for k in range(count)]
+    gap = n - size - max(0, count - 1) * step
+    if gap == 0 or effect == "exclude":
+        return out
+    at = n - gap - overlap if gap > 0 else 0
+    if effect == "exception" or effect == "overlap" and gap < 0:
+        raise ValueError("the tiles do not fit the raster")
+    return out + [{"extend": (at, size), "overlap": (n - size, size), "shrink": (at, gap + overlap if gap > 0 else n)}[effect]]
+
+
+@F.udtf(returnType="row int, col int, x int, y int, w int, h int")
+class Tiles:
+    """The tiles of a raster of (rsx, rsy) pixels as a table function: row, column, corner and size of each."""
+
+    def eval(self, rsx: int, rsy: int, w: int, h: int, ox: int, oy: int, effect: str):
+        for j, (y, high) in enumerate(plain_offsets(rsy, h, oy, effect)):
+            for i, (x, wide) in enumerate(plain_offsets(rsx, w, ox, effect)):
+                yield j, i, x, y, wide, high
+
+
+def register(spark, name: str = "gridloom_tiles") -> str:
+    """Make ``Tiles`` known to SQL: ``SELECT ... FROM t, LATERAL gridloom_tiles(t.rsx, t.rsy, 256, 256, 0, 0, 'shrink')``."""
+    spark.udtf.register(name, Tiles)
+    return name

@@ -215,3 +215,14 @@ def fp_intersection_turned(spark, sf_dir):
     x, y = fp()["tlx"], fp()["tly"]
     ring = gm.box(x + 4.25, y - 7, x + 7, y - 2)["parts"][0][0]
     return footprints(spark, sf_dir).select("k", fpx.overlap(turned, ring).alias("fp")).select("k", *[fp()[n].alias(n) for n in ("tlx", "tly", "rsx", "rsy")])
+
+
+@query(f"WITH {SUP} SELECT k, rsx * dx * rsy * -dy AS area, 'Polygon' AS kind, tlx AS x0, tly AS y0, tlx + rsx * dx AS x2, tly + rsy * dy AS y2, CAST(5 AS INTEGER) AS points, [rsy, rsx] AS shape FROM fp")
+def fp_polygons(spark, sf_dir):
+    """Footprints as polygons, and as GeoJSON text."""
+    from ..functions import geometry as gm
+
+    p = footprints(spark, sf_dir).select("k", fpx.checked(fp()).alias("fp"))
+    p = p.select("k", gm.area(fpx.poly(fp())).alias("area"), fpx.geo_interface(fp()).alias("g"), F.size(fpx.ring(fp())).alias("points"), fpx.shape(fp()).alias("shape"))
+    j = lambda path: F.get_json_object("g", path).cast("double")
+    return p.select("k", "area", F.get_json_object("g", "$.type").alias("kind"), j("$.coordinates[0][0][0]").alias("x0"), j("$.coordinates[0][0][1]").alias("y0"), j("$.coordinates[0][2][0]").alias("x2"), j("$.coordinates[0][2][1]").alias("y2"), "points", "shape")

@@ -71,6 +71,13 @@ def tiling_validator(spark, sf_dir):
     return tiling.is_tiling(tiling.tile(all_, (6, 4), (0, 0), "shrink"), by="k", whole=all_)
 
 
+@query(f"WITH {SUP}, a AS (SELECT k, rsx, rsy, unnest(range(CAST(ceil(rsx / 6.0) AS BIGINT))) AS i FROM fp), b AS (SELECT *, unnest(range(CAST(ceil(rsy / 4.0) AS BIGINT))) AS j FROM a) SELECT k, CAST(j AS INTEGER) AS row, CAST(i AS INTEGER) AS col, CAST(i * 6 AS INTEGER) AS x, CAST(j * 4 AS INTEGER) AS y, CAST(least(6, rsx - i * 6) AS INTEGER) AS w, CAST(least(4, rsy - j * 4) AS INTEGER) AS h FROM b")
+def tile_udtf(spark, sf_dir):
+    f = footprints(spark, sf_dir).select("k", fp()["rsx"].alias("rsx"), fp()["rsy"].alias("rsy"))
+    name = tiling.register(spark)
+    return spark.sql(f"SELECT f.k, t.* FROM {{f}} f, LATERAL {name}(f.rsx, f.rsy, 6, 4, 0, 0, 'shrink') t", f=f)
+
+
 # --- reads and writes ----------------------------------------------------------------------------
 
 

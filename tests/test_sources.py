@@ -460,3 +460,22 @@ def test_type_names():
         ty.downcast("datetime64")
     for name in ("integer", "real", "stringlist", "date"):
         assert ty.field_type_name(ty.field("x", name).dataType) == name
+
+
+def test_text_and_names(spark):
+    turned = Footprint.on_grid((5, 9), 30, (0.5, -0.5), (4, 3))
+    one = spark.range(1).select(turned.lit().alias("fp")).select(fpx.text(F.col("fp")).alias("t"), fpx.shape(F.col("fp")).alias("s")).first()
+    assert one["t"] == "Footprint(tl=(5.000000, 9.000000), scale=(0.500000, -0.500000), angle=30.000000, rsize=(4, 3))" and one["s"] == [3, 4] == list(turned.shape)
+    assert srs.same(UTM, srs.to_wkt(srs.parse(UTM))) and not srs.same(UTM, "+proj=utm +zone=32 +ellps=WGS84")
+    with pytest.raises(Exception, match="legal"):
+        spark.range(1).select(fpx.checked(turned.lit())["rsx"]).collect()
+
+
+@pytest.mark.parametrize("effect", ["extend", "exclude", "overlap", "shrink"])
+def test_table_function_equals_expressions(spark, effect):
+    from gridloom.operators import tiling
+
+    cases = [(n, s, o) for n in range(1, 9) for s in range(1, 6) for o in range(s) if not (effect == "overlap" and n < s)]
+    df = spark.createDataFrame(cases, "n int, s int, o int")
+    for r in df.select("n", "s", "o", tiling.offsets(F.col("n"), F.col("s"), F.col("o"), effect).alias("t")).collect():
+        assert [(t["at"], t["len"]) for t in r["t"]] == tiling.plain_offsets(r["n"], r["s"], r["o"], effect)
