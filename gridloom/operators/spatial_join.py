@@ -27,9 +27,18 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom", cell: float = 8.0) -> DataFrame:
     """Pairs of points and polygons that hold them: cell equi-join, then the ring test with holes."""
     px = F.col(x), F.col(y), F.col(x), F.col(y)
-    pairs = overlap_join(points, polygons, px, gm.bbox(F.col(geom)), cell, strict=False)
-    rings = F.flatten(F.col(geom)["parts"])
-    return pairs.where(F.size(F.filter(rings, lambda r: in_ring(F.col(x), F.col(y), r))) % 2 == 1)
+    g = F.col(geom)
+    names = ["gl_x0", "gl_y0", "gl_x1", "gl_y1"]
+    boxed = polygons.select("*", *[c.alias(n) for c, n in zip(gm.bbox(g), names)])
+    x0, y0, x1, y1 = map(F.col, names)
+    ring = F.flatten(g["parts"])[0]
+    corners = F.forall(ring, lambda p: ((p["x"] == x0) | (p["x"] == x1)) & ((p["y"] == y0) | (p["y"] == y1)))
+    # the box decides for rectangles, and is told apart once a polygon rather than once a pair
+    is_box = (F.size(F.flatten(g["parts"])) == 1) & (F.size(ring) == 5) & corners & (F.abs(gm.ring_area(ring)) == (x1 - x0) * (y1 - y0))
+    pairs = overlap_join(points, boxed.withColumn("gl_box", is_box), px, (x0, y0, x1, y1), cell, strict=False)
+    in_box = (F.col(x) >= x0) & (F.col(x) < x1) & (F.col(y) >= y0) & (F.col(y) < y1)
+    odd = F.size(F.filter(F.flatten(g["parts"]), lambda r: in_ring(F.col(x), F.col(y), r))) % 2 == 1
+    return pairs.where(F.when(F.col("gl_box"), in_box).otherwise(odd)).select(*points.columns, *polygons.columns)
 
 
 def zonal(pixels: DataFrame, burnt: DataFrame, key: str) -> DataFrame:
