@@ -92,14 +92,15 @@ def similar_classes(source: DataFrame, keyed: DataFrame, shingles: Shingles, lea
     ``source`` (h, text) may repeat texts, as may ``keyed`` (h, keys: array of hashes).  ``known`` (h, root)
     has components to start from.
     """
-    flat = keyed.select("h", F.explode_outer("keys").alias("key")).where("key is not null")
+    # both uses need this partitioning, so they share one shuffle
+    flat = keyed.select("h", F.explode_outer("keys").alias("key")).where("key is not null").repartition("key")
     many = flat.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("top"), F.count(F.lit(1)).alias("n")).where("low <> top").select("key", "n")
-    met = cut(flat.join(many.hint("shuffle_hash"), "key").distinct())
-    scores = cut(met.groupBy("h").agg(F.sum("n").alias("score")))
+    met = cut(flat.join(many.hint("shuffle_hash"), "key").distinct(), dictionary=False)
+    scores = cut(met.groupBy("h").agg(F.sum("n").alias("score")), dictionary=False)
     # every text moves here; the hash join spares sorting them, and a row of ``scores`` is small
     texts = cut(source.join(scores.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text")))
-    marks = cut(sketches(texts, shingles))
-    rows = cut(met.select("key", "h").join(scores, "h"))
+    marks = cut(sketches(texts, shingles), dictionary=False)
+    rows = cut(met.select("key", "h").join(scores, "h"), dictionary=False)
     drop_cut(met)
     drop_cut(scores)
     roots = source.sparkSession.createDataFrame([], "h long, root long") if known is None else known
@@ -141,7 +142,7 @@ def similar_classes(source: DataFrame, keyed: DataFrame, shingles: Shingles, lea
 
 def open_pairs(at: DataFrame, marks: DataFrame, least: float) -> DataFrame:
     """(a, b, ra, rb): the pairs of texts of one key in different components whose sketches allow a similarity of ``least``."""
-    at = cut(at.select("key", "h", "root", "main").join(marks, "h"))
+    at = cut(at.select("key", "h", "root", "main").join(marks, "h"), dictionary=False)
     x, y = prefixed(at.where("root <> main").drop("main"), "x", "key"), prefixed(at, "y", "key")
     once = (F.col("yroot") == F.col("ymain")) | (F.col("xh") < F.col("yh"))
     near = (F.col("xroot") != F.col("yroot")) & once & alike("x", "y", least)

@@ -44,18 +44,28 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
     return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0])
 
 
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line) of the lines that take part, and the number of all lines with each."""
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, line_no, line, blank) of all lines, with the number of the text's lines; a null text is one row without a line."""
+    split = docs.select(F.col(id_col).alias("id"), F.split(F.col(text_col), "\n").alias("lines"))
     # the outer form, as the plain one would add a filter that splits all texts once more
-    return docs.select(F.col(id_col).alias("id"), F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("line_no", "line")).select("id", "line_no", normal(F.col("line")).alias("line")).where(F.col("line").rlike(r"\S"))
+    each = split.select("id", F.greatest(F.size("lines"), F.lit(0)).alias("n"), F.posexplode_outer("lines").alias("line_no", "line"))
+    each = each.select("id", "n", "line_no", normal(F.col("line")).alias("line"))
+    return each.withColumn("blank", ~F.coalesce(F.col("line").rlike(r"\S"), F.lit(False)))
+
+
+def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, line) of the lines that take part."""
+    return numbered(docs, id_col, text_col).where("not blank").select("id", "line_no", "line")
 
 
 def marks(line: Column, width: int = WIDTH) -> Column:
     """The hashes that a line's signature is taken from."""
-    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S.{{{width - 1}}}))\S+"), 1)
-    at_words = F.transform(at_words, lambda x: F.xxhash64(x))
-    return F.when(words * 16 >= F.octet_length(line), at_words).otherwise(shingles(line, width))
+    # dots written out are matched faster than a repeated one
+    at_words = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S{'.' * (width - 1)}))\S+"), 1), lambda x: F.xxhash64(x))
+    # blanks are counted only where that may matter, as it takes longer than the windows' own number
+    words, size = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1, F.octet_length(line)
+    # the outer ``transform`` binds the hashes, which would otherwise be made twice
+    return F.transform(F.array(at_words), lambda xs: F.when((F.size(xs) * 16 >= size) | (words * 16 >= size), xs).otherwise(shingles(line, width)))[0]
 
 
 def banded(lines: DataFrame) -> DataFrame:
@@ -71,17 +81,20 @@ def banded(lines: DataFrame) -> DataFrame:
     cut_ = ring.select(*others, "h", F.array(*[F.slice("s", F.array_position("s", F.lit(b)) + 1, F.lit(ROWS)) for b in at]).alias("cuts"))
     # between a bound and the one ROWS further on lie the bounds between them, so a slice that ends there has no hash
     keys = [F.when(F.col("cuts")[b][ROWS - 1] != at[(b + ROWS) % BANDS], F.xxhash64(F.col("cuts")[b])) for b in range(BANDS)]
-    return cut_.select(*others, "h", F.array_compact(F.array(*keys)).alias("keys"))
+    return cut_.select(*others, "h", F.array_except(F.array(*keys), F.array(F.lit(None).cast("long"))).alias("keys"))
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(id, line_no, class_id) of each line that is not blank."""
-    base = cut(banded(exploded(docs, id_col, text_col)))
+def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, line_no, class_id) of each line that is not blank, and (id, n), the number of lines, of each row."""
+    first = F.coalesce("line_no", F.lit(0)) == 0
+    base = cut(banded(numbered(docs, id_col, text_col).where(~F.col("blank") | first)), dictionary=False)
+    counts = cut(base.where(first).select("id", "n"))
+    rows = base.where("not blank")
     lines = exploded(docs, id_col, text_col).select(F.xxhash64("line").alias("h"), F.col("line").alias("text"))
-    roots = similar_classes(lines, base.select("h", "keys"), shingles, least)
-    at = cut(base.select("id", "line_no", "h").join(roots, "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("class_id")))
+    roots = similar_classes(lines, rows.select("h", "keys"), shingles, least)
+    at = cut(rows.select("id", "line_no", "h").join(roots, "h", "left").select("id", "line_no", F.coalesce("root", "h").alias("class_id")))
     drop_cut(base)
-    return at
+    return at, counts
 
 
 def heads(at: DataFrame) -> DataFrame:
@@ -95,7 +108,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     class_id is a hash that the lines of one component share; kept is true for the component's first
     line by id and line number.
     """
-    at = classed(docs, id_col, text_col, least)
+    at, counts = classed(docs, id_col, text_col, least)
+    drop_cut(counts)
     kept = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no"))
     return at.join(heads(at), "class_id").select(F.col("id").alias(id_col), "line_no", "class_id", kept.alias("kept"))
 
@@ -107,16 +121,14 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their counts add up.  A null id is an id.  Very long lines and texts are compared whole.  Of equal
     lines the first by id and line number stays.  Columns other than the two named are not read.
     """
-    at = classed(docs, id_col, text_col, least)
+    at, counts = classed(docs, id_col, text_col, least)
     # of lines that are alone in their class nothing more is needed than a count
     several = at.groupBy("class_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("class_id")
     some = cut(at.join(several.hint("shuffle_hash"), "class_id"))
     later = ~(F.col("id").eqNullSafe(F.col("head.id")) & (F.col("line_no") == F.col("head.line_no")))
     gone = some.join(heads(some), "class_id").where(later)
     found = gone.groupBy(F.col("id").alias("i")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    text = F.col(text_col)
-    n = F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    all_ = docs.groupBy(id_col).agg(F.sum(n).cast("long").alias("n_lines"))
+    all_ = counts.groupBy(F.col("id").alias(id_col)).agg(F.sum("n").cast("long").alias("n_lines"))
     out = all_.join(found, all_[id_col].eqNullSafe(found["i"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select(id_col, "n_lines", (F.col("n_lines") - F.size(dropped)).cast("long").alias("n_kept"), dropped.alias("dropped"))

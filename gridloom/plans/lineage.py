@@ -28,12 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors."""
+def cut(df: DataFrame, dictionary: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    Columns of hashes are written and read faster without a ``dictionary``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{uuid.uuid4().hex}"
     with _shuffles_end(spark):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -309,6 +310,47 @@ def test_line_report_of_odd_rows(docs, local):  # noqa: F811
     assert line_dedup.dedup_lines(d).columns == d.columns
 
 
+def test_line_counts_need_no_further_look_at_texts(spark, tmp_path):
+    rows = [(1, "one line of words\n\n one line of words "), (2, None), (3, ""), (None, "\n \n"), (1, "\t\nlast"), (4, "  \nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    report = line_dedup.line_report(docs)
+    assert not set(report.inputFiles()) & set(docs.inputFiles())
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_kept"], r["dropped"]) for r in report.collect())
+    assert got == [(0, 3, 3, []), (1, 5, 4, [2]), (2, 0, 0, []), (3, 1, 1, []), (4, 2, 2, [])]
+
+
+def test_band_keys_against_plain_ones(spark):
+    texts = ["some words that make a line of the usual kind, with ä and 𝄞 in it", "word word word word word word", "short", "exactly8", "一二三四五六七八九十" * 9, "x" * 70 + " y", "a b c d e f g h i j k l m"]
+
+    def signed(n: int) -> int:
+        return n - (1 << 64) if n >= 1 << 63 else n
+
+    def hashed(x: bytes, seed: int = 42) -> int:
+        return xxhash.xxh64_intdigest(x, seed)
+
+    wanted = {}
+    for t in texts:
+        marks = {hashed(t[m.start() : m.start() + 8].encode()) for m in re.finditer(r"\S+", t) if m.start() + 8 <= len(t)}
+        n = sum(m.start() + 8 <= len(t) for m in re.finditer(r"\S+", t))
+        if max(n, t.count(" ") + 1) * 16 < len(t.encode()):
+            marks = {hashed(t[i : i + 8].encode("utf-32-be")) for i in range(max(1, len(t) - 7))}
+        bounds = [b * ((1 << 64) // line_dedup.BANDS) - (1 << 63) for b in range(line_dedup.BANDS)]
+        ring, keys = sorted(bounds + [signed(m) for m in marks]), set()
+        for b in bounds:
+            after = [ring[(ring.index(b) + 1 + k) % len(ring)] for k in range(line_dedup.ROWS)]
+            if not set(after) <= set(bounds):
+                seed = 42
+                for x in after:
+                    seed = hashed(struct.pack("<q", x), seed)
+                keys.add(signed(seed))
+        wanted[t] = keys
+    df = spark.createDataFrame([(t, t) for t in texts], "id string, line string")
+    got = {r["id"]: r["keys"] for r in line_dedup.banded(df).collect()}
+    assert {t: set(k) for t, k in got.items()} == wanted
+    assert all(len(set(k)) == len(k) for k in got.values()) and wanted["short"] == set()
+
+
 def test_every_grid_choice_finds_all_links(spark, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
