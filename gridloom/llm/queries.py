@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import decontaminate, line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
+from . import alignment, decontaminate, line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         quality_model.op8_weak_label_quality,
         line_dedup.op9_fuzzy_lines,
         quotes.op10_quotation_links,
+        alignment.op13_tokenizer_alignment,
     )
 }
 SQL = {**mixing.SQL, **decontaminate.SQL, **quotes.SQL}
