@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import alignment, decontaminate, line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
+from . import alignment, decontaminate, hard_negatives, line_dedup, mixing, personal_data, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -15,7 +15,9 @@ QUERIES = {
         quality_model.op8_weak_label_quality,
         line_dedup.op9_fuzzy_lines,
         quotes.op10_quotation_links,
+        personal_data.op11_personal_data,
+        hard_negatives.op12_hard_negatives,
         alignment.op13_tokenizer_alignment,
     )
 }
-SQL = {**mixing.SQL, **decontaminate.SQL, **quotes.SQL}
+SQL = {**mixing.SQL, **decontaminate.SQL, **quotes.SQL, **hard_negatives.SQL}
