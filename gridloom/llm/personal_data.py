@@ -52,7 +52,7 @@ PROPOSERS = [
     (3, "", r"[0-9](?<![0-9+.,/(-][0-9])[0-9]{2}[.\x20-][0-9]{3}[.\x20-][0-9]{4}(?![0-9.,/-])"),
     (4, "", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     (4, "-", r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    (5, "", r"[A-Z](?<![^\W_][A-Z])[a-zà-ÿ]{1,19}(?:\x20[A-Z]\.)?\x20[A-Z][a-zà-ÿ]{1,24}(?![^\W_])"),
+    (5, "", r"[A-Z](?<![^\W_][A-Z])[a-zà-ÿ]{1,19}(?<!\bMr)(?<!\bMrs)(?<!\bMs)(?<!\bDr)(?<!\bHerr)(?<!\bFrau)(?<!\bSir)(?:\x20[A-Z]\.)?\x20[A-Z][a-zà-ÿ]{1,24}(?![^\W_])"),
 ]
 PROPOSERS = [(kind, (sign,) if isinstance(sign, str) else sign, re.compile(pattern)) for kind, sign, pattern in PROPOSERS]
 
@@ -82,7 +82,22 @@ CUES = frozenset(
     nombre nom passport phone reach señor señora sir social ssn tarjeta tel telefon telefono teléfono telephone téléphone visa write""".split()
 )
 OTHER = frozenset("article chapter figure fig id invoice isbn issn item line number order page pages part price ref section serial sum table total version vol volume".split())
-LABELLERS = ("form", "check digits", "plain digits", "given names", "no names", "domains", "issuers", "cues", "other words", "company")
+#: the labellers, and what is believed beforehand of the chance that one that votes votes for: on other spans, on personal data
+BELIEF = {
+    "form": (0.1, 0.95),
+    "check digits": (0.1, 0.99),
+    "plain digits": (0.02, 0.8),
+    "given names": (0.03, 0.8),
+    "no names": (0.02, 0.8),
+    "domains": (0.3, 0.9),
+    "issuers": (0.4, 0.9),
+    "cues": (0.6, 0.9),
+    "other words": (0.1, 0.7),
+    "company": (0.6, 0.9),
+}
+#: a belief's weight, as a multiple of the number of a kind's spans
+WEIGHT = 1.0
+LABELLERS = tuple(BELIEF)
 _NEAR = 48
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 
@@ -212,33 +227,31 @@ def features(text: str, span: tuple[int, int, int], votes: tuple[int, ...], befo
 
 
 def estimate(patterns: dict[int, int], rounds: int = 60) -> tuple[dict[int, float], dict[int, np.ndarray]]:
-    """Posterior of personal data for each vote pattern, and P(vote | class) by kind as arrays (class, labeller, vote): expectation-maximisation.
+    """Posterior of personal data for each vote pattern, and P(for | class, it votes) by kind as arrays (class, labeller): expectation-maximisation.
 
-    Kinds are estimated apart, as a labeller that knows cards may know nothing of names.  The start takes the
-    majority of votes for the truth, which fixes which hidden class is which.  Each rate carries a
-    belief that votes are rather right than wrong, worth some fifty spans.
+    Kinds are estimated apart, as a labeller that knows cards may know nothing of names.  Silence says
+    nothing.  ``BELIEF`` starts the rounds, which fixes which hidden class is which, and goes on to count as much as
+    ``WEIGHT`` of a kind's spans would, at every size of the corpus: without that, two labellers that
+    contradict each other could be believed either way.
     """
     posterior, rates = {}, {}
-    belief = np.array([[12.0, 36.0, 2.0], [1.0, 36.0, 13.0]])
+    belief = np.array(list(BELIEF.values())).T
     for kind in range(len(KINDS)):
         keys = sorted(p for p in patterns if unpacked(p)[0] == kind)
         votes = np.array([unpacked(p)[1] for p in keys]).reshape(-1, len(LABELLERS))
         weight = np.array([patterns[p] for p in keys], float)
-        post = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1)))
-        hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
-        rate = np.zeros((2, len(LABELLERS), 3))
+        held = 10 + WEIGHT * weight.sum()
+        rate, prior, post = belief.copy(), np.array([0.5, 0.5]), np.full(len(keys), -1.0)
         for _ in range(rounds):
-            mass = np.stack([weight * (1 - post), weight * post])
-            prior = (mass.sum(axis=1) + 1) / (weight.sum() + 2)
-            for c in (0, 1):
-                n = np.einsum("p,plv->lv", mass[c], hot) + belief[c]
-                rate[c] = n / n.sum(axis=1, keepdims=True)
-            log = np.log(prior)[:, None] + np.einsum("clv,plv->cp", np.log(rate), hot)
+            log = np.log(prior)[:, None] + np.log(rate) @ (votes == 1).T + np.log1p(-rate) @ (votes == -1).T
             new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
             done = not len(new) or np.abs(new - post).max() < 1e-9
             post = new
             if done:
                 break
+            mass = np.stack([weight * (1 - post), weight * post])
+            prior = (mass.sum(axis=1) + 1) / (weight.sum() + 2)
+            rate = (mass @ (votes == 1) + held * belief) / (mass @ (votes != 0) + held)
         posterior.update(zip(keys, post.tolist()))
         rates[kind] = rate
     return posterior, rates
