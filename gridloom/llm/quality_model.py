@@ -56,7 +56,7 @@ def votes(data: bytes) -> int:
         upper > 0.4 * (upper + lower) and upper > 20,
         shouts > 0.1 * n and shouts > 3,
         n >= 100 and stops < 0.003 * n,
-        n >= 30 and len(set(words)) < 0.25 * n and len(set(words)) < 2000,
+        n >= 30 and len(set(zip(words, words[1:]))) < 0.3 * n,
         bare > 0.15 * n and bare > 3,
         not 1.5 < held < 30 and n >= 20,
         len(lines) >= 6 and len(set(lines)) < 0.5 * len(lines),
@@ -77,7 +77,7 @@ def features(data: bytes, dimensions: int = DIMENSIONS) -> tuple[list[int], list
     got: Counter = Counter()
     for kind, c in ((b"1", Counter(shapes)), (b"2", Counter(zip(shapes, shapes[1:]))), (b"w", Counter(w for w in words if len(w) < 4))):
         for x, k in c.items():
-            got[zlib.crc32(kind + (b"\0".join(x) if kind == b"2" else x)[:64]) % dimensions] += k
+            got[zlib.crc32(kind + (b"\0".join(x) if kind == b"2" else x)) % dimensions] += k
     return list(got), [math.sqrt(k / (n + 10)) for k in got.values()]
 
 
