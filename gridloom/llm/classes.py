@@ -24,6 +24,8 @@ from .common import components, cut, drop_cut
 WORDS = 16
 SMALL = 32
 PROGRESS = 0.05
+#: texts of a key that one task holds against as many others
+CHUNK = 2048
 #: from a text to the array of its distinct shingles' hashes
 Shingles = Callable[[Column], Column]
 
@@ -141,12 +143,19 @@ def similar_classes(source: DataFrame, keyed: DataFrame, shingles: Shingles, lea
 
 
 def open_pairs(at: DataFrame, marks: DataFrame, least: float) -> DataFrame:
-    """(a, b, ra, rb): the pairs of texts of one key in different components whose sketches allow a similarity of ``least``."""
-    at = cut(at.select("key", "h", "root", "main").join(marks, "h"), dictionary=False)
-    x, y = prefixed(at.where("root <> main").drop("main"), "x", "key"), prefixed(at, "y", "key")
+    """(a, b, ra, rb): the pairs of texts of one key in different components whose sketches allow a similarity of ``least``.
+
+    A key of more than ``CHUNK`` texts is cut into chunks, and each pair of chunks meets on a key of its own.
+    """
+    at = cut(at.select("key", "h", "root", "main", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")).join(marks, "h"), dictionary=False)
+    mine, others = F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
+    left = at.where("root <> main").withColumn("i", mine).withColumn("j", F.explode(others)).drop("main", "chunks")
+    right = at.withColumn("j", mine).withColumn("i", F.explode(others)).drop("chunks")
+    x, y = prefixed(left, "x", "key", "i", "j"), prefixed(right, "y", "key", "i", "j")
     once = (F.col("yroot") == F.col("ymain")) | (F.col("xh") < F.col("yh"))
     near = (F.col("xroot") != F.col("yroot")) & once & alike("x", "y", least)
-    return x.join(y, (x["key"] == y["key"]) & near).select(F.greatest("xh", "yh").alias("a"), F.least("xh", "yh").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb")).distinct()
+    met = (x["key"] == y["key"]) & (x["i"] == y["i"]) & (x["j"] == y["j"])
+    return x.join(y, met & near).select(F.greatest("xh", "yh").alias("a"), F.least("xh", "yh").alias("b"), F.col("xroot").alias("ra"), F.col("yroot").alias("rb")).distinct()
 
 
 def with_links(roots: DataFrame, found: DataFrame) -> DataFrame:

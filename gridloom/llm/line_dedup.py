@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Lines are trimmed of blanks.  A line's shingles are its windows of ``WIDTH`` characters, hashed.
-Signature: one-permutation MinHash over the shingles that start a word (over all shingles where words
-are rare, as in scripts without blanks).  Seven bounds are spread over the hashes' range, and the
+Signature: one-permutation MinHash over all of them, whatever the line.  Seven bounds are spread over the hashes' range, and the
 four hashes that follow a bound make a band's key.  Lines of Jaccard similarity 0.8 agree in a band
 with probability 0.8^4, so they meet in some band with 1 - (1 - 0.8^4)^7 = 0.975; at 0.85 with 0.994.
 
@@ -30,8 +29,8 @@ def normal(line: Column) -> Column:
     return F.trim(line)
 
 
-def shingles(line: Column, width: int = WIDTH) -> Column:
-    """The distinct hashes of the character windows of ``line``.
+def hashes(line: Column, width: int = WIDTH) -> Column:
+    """The hashes of the character windows of ``line``, repeats included; a line of ``width`` characters or fewer is one window.
 
     UTF-32 makes a window a slice of bytes; the outer ``transform`` binds the encoded line, which would
     otherwise be encoded again for every window.
@@ -41,7 +40,11 @@ def shingles(line: Column, width: int = WIDTH) -> Column:
         last = F.greatest(F.octet_length(wide) - 4 * width, F.lit(0)) + 1
         return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substr(wide, at, F.lit(4 * width))))
 
-    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0])
+    return F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0]
+
+
+def shingles(line: Column, width: int = WIDTH) -> Column:
+    return F.array_distinct(hashes(line, width))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,16 +61,6 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return numbered(docs, id_col, text_col).where("not blank").select("id", "line_no", "line")
 
 
-def marks(line: Column, width: int = WIDTH) -> Column:
-    """The hashes that a line's signature is taken from."""
-    # dots written out are matched faster than a repeated one
-    at_words = F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(\S{'.' * (width - 1)}))\S+"), 1), lambda x: F.xxhash64(x))
-    # blanks are counted only where that may matter, as it takes longer than the windows' own number
-    words, size = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1, F.octet_length(line)
-    # the outer ``transform`` binds the hashes, which would otherwise be made twice
-    return F.transform(F.array(at_words), lambda xs: F.when((F.size(xs) * 16 >= size) | (words * 16 >= size), xs).otherwise(shingles(line, width)))[0]
-
-
 def banded(lines: DataFrame) -> DataFrame:
     """``lines`` (line and more) with the line's hash ``h`` and its band keys ``keys`` in place of the line.
 
@@ -76,7 +69,7 @@ def banded(lines: DataFrame) -> DataFrame:
     """
     at = [b * ((1 << 64) // BANDS) - (1 << 63) for b in range(BANDS)]
     others = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.array_union(F.array(*map(F.lit, at)), marks(F.col("line")))).alias("s"))
+    hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.array_union(F.array(*map(F.lit, at)), hashes(F.col("line")))).alias("s"))
     ring = hashed.select(*others, "h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
     cut_ = ring.select(*others, "h", F.array(*[F.slice("s", F.array_position("s", F.lit(b)) + 1, F.lit(ROWS)) for b in at]).alias("cuts"))
     # between a bound and the one ROWS further on lie the bounds between them, so a slice that ends there has no hash

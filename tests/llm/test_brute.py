@@ -280,8 +280,10 @@ def test_stars_of_near_copies_are_one_class_each(spark):
     assert len(set(of.values())) == 3 and len({(c, of[i]) for i, (c, _) in enumerate(rows)}) == 3
 
 
-def test_classes_without_a_centre(spark):
-    """A cloud of texts, some alike and some not, that all share one key: components equal those of all pairs."""
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_classes_without_a_centre(spark, monkeypatch, chunk):
+    """A cloud of texts, some alike and some not, that all share one key: components equal those of all pairs, in one chunk or many."""
+    monkeypatch.setattr("gridloom.llm.classes.CHUNK", chunk)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     texts = set()
@@ -331,10 +333,7 @@ def test_band_keys_against_plain_ones(spark):
 
     wanted = {}
     for t in texts:
-        marks = {hashed(t[m.start() : m.start() + 8].encode()) for m in re.finditer(r"\S+", t) if m.start() + 8 <= len(t)}
-        n = sum(m.start() + 8 <= len(t) for m in re.finditer(r"\S+", t))
-        if max(n, t.count(" ") + 1) * 16 < len(t.encode()):
-            marks = {hashed(t[i : i + 8].encode("utf-32-be")) for i in range(max(1, len(t) - 7))}
+        marks = {hashed(t[i : i + 8].encode("utf-32-be")) for i in range(max(1, len(t) - 7))}
         bounds = [b * ((1 << 64) // line_dedup.BANDS) - (1 << 63) for b in range(line_dedup.BANDS)]
         ring, keys = sorted(bounds + [signed(m) for m in marks]), set()
         for b in bounds:
@@ -348,7 +347,63 @@ def test_band_keys_against_plain_ones(spark):
     df = spark.createDataFrame([(t, t) for t in texts], "id string, line string")
     got = {r["id"]: r["keys"] for r in line_dedup.banded(df).collect()}
     assert {t: set(k) for t, k in got.items()} == wanted
-    assert all(len(set(k)) == len(k) for k in got.values()) and wanted["short"] == set()
+    assert all(len(set(k)) == len(k) for k in got.values())
+
+
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450)))
+#: alphabet, shortest and longest word, and the one change between two lines
+CHANGES = [
+    (LATIN, 3, 7, "character"),
+    (CYRILLIC, 6, 9, "character"),
+    (CYRILLIC, 6, 8, "word"),
+    (CYRILLIC, 6, 9, "blank"),
+    (LATIN, 13, 17, "character"),
+    (LATIN, 13, 16, "blank"),
+    ("".join(map(chr, range(0x4E00, 0x5200))), 20, 60, "character"),
+]
+
+
+@pytest.mark.parametrize("change", CHANGES, ids=lambda c: f"{hex(ord(c[0][0]))}-{c[1]}-{c[3]}")
+def test_similar_lines_share_a_key(spark, change):
+    """Of pairs of similarity 0.8 to 0.95 nine in ten or more share a key, whatever the script, the words' length and the change."""
+    alphabet, least, most, kind = change
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(alphabet, k=rng.randint(least, most)))
+    pairs = []
+    while len(pairs) < 400:
+        words = [word() for _ in range(rng.randint(2, 30))]
+        other, i = list(words), rng.randrange(len(words) - 1)
+        if kind == "character":
+            j = rng.randrange(len(other[i]))
+            other[i] = other[i][:j] + rng.choice(alphabet) + other[i][j + 1 :]
+        elif kind == "word":
+            other.insert(i, word())
+        else:
+            other[i : i + 2] = [other[i] + other[i + 1]]
+        x, y = " ".join(words), " ".join(other)
+        a, b = ({t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in (x, y))
+        if 0.8 <= len(a & b) / len(a | b) < (1 if least >= 20 else 0.95):
+            pairs.append((x, y))
+    df = spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "id long, line string")
+    keys = {r["id"]: set(r["keys"]) for r in line_dedup.banded(df).collect()}
+    assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(len(pairs))) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("size", [10, 20, 40, 80, 160])
+def test_recall_by_length_of_line(spark, size):
+    """Lines that lost or gained characters at their ends."""
+    rng = random.Random(size)
+    pairs = []
+    while len(pairs) < 400:
+        x = " ".join("".join(rng.choices(LATIN, k=rng.randint(2, 9))) for _ in range(40))[: size + 8].strip()
+        cut_ = max(1, (len(x) - 7) // 10)
+        y = (x[rng.randint(0, cut_) : len(x) - rng.randint(0, cut_)] + rng.choice(["", "x"])).strip()
+        a, b = ({t[k : k + 8] for k in range(max(1, len(t) - 7))} for t in (x, y))
+        if x != y and len(a & b) >= 0.8 * len(a | b):
+            pairs.append((x, y))
+    df = spark.createDataFrame([(2 * k + s, p[s]) for k, p in enumerate(pairs) for s in (0, 1)], "id long, line string")
+    keys = {r["id"]: set(r["keys"]) for r in line_dedup.banded(df).collect()}
+    assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(len(pairs))) >= 0.9 * len(pairs)
 
 
 def test_every_grid_choice_finds_all_links(spark, monkeypatch):
@@ -490,6 +545,15 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert p.run(spark, str(tmp_path)).count() == 0
 
 
+def test_repetition_at_every_length_and_shapes_beyond_a_prefix():
+    phrase = [f"w{k}".encode() for k in range(3000)]
+    bit = 1 << quality_model.LABELLERS.index("repetition")
+    assert quality_model.votes(b" ".join(phrase * 5)) & bit and quality_model.votes(b" ".join(phrase[:40] * 5)) & bit
+    assert not quality_model.votes(b" ".join(phrase)) & bit
+    long = b"a1" * 40
+    assert quality_model.features(long + b"!")[0] != quality_model.features(long + b"?")[0]
+
+
 @pytest.mark.parametrize("name", ["op1_simhash_near_dedup", "op5_secret_scan", "op8_weak_label_quality"])
 def test_reruns_agree(spark, name):
     from gridloom.llm import queries
