@@ -564,7 +564,7 @@ class Dataset:
             if isinstance(source, RecipeRaster):
                 bound[name] = source.recipe.primitive(self.spark, ids, **how)
             else:
-                bound[name] = rc.Primitive(source.tiles(), source.fp, source.size, ids, source.nodata, **how)
+                bound[name] = rc.Primitive(None, source.fp, source.size, ids, source.nodata, scan=source.tiles, **how)
         recipe = rc.Recipe(fp, compute, bound, {}, dict(convert), tuple(tile), None if computation is None else tuple(computation), merge, cache, ow, channels[0]["nodata"] or 0.0, dtype, channels, (*self.observers, *observers))
         return self._add(key, RecipeRaster(self, recipe, sr))
 

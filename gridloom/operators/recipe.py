@@ -3,7 +3,10 @@
 A recipe is lazy lineage.  Its primitives are tables of tiles.  For each computation tile ``convert`` says
 which window of each primitive it needs (a halo widens it); the window's tiles meet the computation tile
 by an equi-join on their indices, and the function sees whole arrays.  Computation tiles that lie across
-cache tiles are parts of them, which ``merge`` puts together.  With a cache, a tile is a partition of a
+cache tiles are parts of them, which ``merge`` puts together.
+
+A primitive may be a recipe itself, and several recipes may share one.  A read first carries its tiles backwards
+through that graph (``Demand``), so that each recipe computes the tiles that something downstream needs, once, and no others.  With a cache, a tile is a partition of a
 Parquet table, so writing it twice leaves one; only tiles that are missing or damaged are computed.
 """
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..footprint import Footprint
 from ..functions.types import channels_schema
+from ..plans.lineage import cut
 from .raster import KERNELS, pixels_of_bands, read_tiles, resample_array, resolve_nodata, snapped, tiles_of_bands
 from .spatial_join import missing_tiles
 
@@ -51,15 +55,30 @@ def slope_tile(fp, fps, arrays, raster=None):
 
 @dataclass
 class Primitive:
-    """A raster that a recipe reads: tiles (tx, ty, data) of ``size``, and how windows of it are read."""
+    """A raster that a recipe reads, and how windows of it are read.
+
+    Its tiles (tx, ty, data) of ``size`` are a table, or come from ``scan``, which takes a half-open window of
+    pixels and opens no more than that, or from ``recipe``, which computes those that are needed.
+    """
 
-    tiles: DataFrame
+    tiles: DataFrame | None
     fp: Footprint
     size: tuple[int, int]
     channels: Sequence[int] = (0,)
     nodata: float | None = None
     dst_nodata: float | None = None
     interpolation: str | None = "cv_area"
+    recipe: "Recipe | None" = None
+    scan: Callable[[tuple[int, int, int, int]], DataFrame] | None = None
+
+    def needed(self, need: DataFrame) -> DataFrame:
+        """The tiles from which those of ``need`` (tx, ty) are taken."""
+        if self.scan is None:
+            return self.tiles
+        (w, h), b = self.size, need.agg(F.min("tx").alias("l"), F.min("ty").alias("t"), F.max("tx").alias("r"), F.max("ty").alias("b")).first()
+        if b["l"] is None:
+            return need.sparkSession.createDataFrame([], TILES)
+        return self.scan((b["l"] * w, b["t"] * h, min(self.fp.rsx, (b["r"] + 1) * w), min(self.fp.rsy, (b["b"] + 1) * h)))
 
     @classmethod
     def of_pixels(cls, px: DataFrame, fp: Footprint, size: tuple[int, int] = (256, 256), missing: float = float("nan"), **how) -> "Primitive":
@@ -207,22 +226,21 @@ class Recipe:
     def _primitives(self) -> dict[str, Primitive]:
         return {k: p if isinstance(p, Primitive) else Primitive.of_pixels(p, self.primitive_fps.get(k, self.fp), self.tile) for k, p in self.primitives.items()}
 
-    def compute_tiles(self, wanted: DataFrame) -> DataFrame:
-        """(tx, ty, data) of the tiles in ``wanted`` (tx, ty), each computed once."""
-        prims = self._primitives()
-        plain = {k: {"fp": p.fp, "size": p.size, "channels": list(p.channels), "nodata": p.nodata, "dst_nodata": p.dst_nodata, "interpolation": p.interpolation} for k, p in prims.items()}
-        fp, tile, comp, convert, compute, merge = self.fp, self.tile, self.computation or self.tile, dict(self.convert), self.compute, self.merge
-        bands, dtype, missing = len(self.channels), self.dtype, self.nodata
+    def jobs(self, wanted: DataFrame) -> DataFrame:
+        """(cx, cy) of the computation tiles under the tiles ``wanted`` (tx, ty)."""
+        fp, (w, h), (cw, ch) = self.fp, self.tile, self.computation or self.tile
         wanted = wanted.select("tx", "ty").distinct()
-        w, h = tile
-        cw, ch = comp
-        if comp == tile:
-            jobs = wanted.select(F.col("tx").alias("cx"), F.col("ty").alias("cy"))
-        else:
-            lo = lambda t, n, c: F.floor(F.col(t) * n / c)
-            hi = lambda t, n, c, most: F.floor((F.least((F.col(t) + 1) * n, F.lit(most)) - 1) / c)
-            jobs = wanted.select(F.explode(F.sequence(lo("tx", w, cw), hi("tx", w, cw, fp.rsx))).alias("cx"), "ty").select("cx", F.explode(F.sequence(lo("ty", h, ch), hi("ty", h, ch, fp.rsy))).alias("cy"))
-            jobs = jobs.select(F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy")).distinct()
+        if (cw, ch) == (w, h):
+            return wanted.select(F.col("tx").alias("cx"), F.col("ty").alias("cy"))
+        lo = lambda t, n, c: F.floor(F.col(t) * n / c)
+        hi = lambda t, n, c, most: F.floor((F.least((F.col(t) + 1) * n, F.lit(most)) - 1) / c)
+        jobs = wanted.select(F.explode(F.sequence(lo("tx", w, cw), hi("tx", w, cw, fp.rsx))).alias("cx"), "ty").select("cx", F.explode(F.sequence(lo("ty", h, ch), hi("ty", h, ch, fp.rsy))).alias("cy"))
+        return jobs.select(F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy")).distinct()
+
+    def needs(self, wanted: DataFrame) -> DataFrame:
+        """(cx, cy, name, tx, ty): the tiles of each primitive that the computation tiles under ``wanted`` read, and one row with a null name for each of them."""
+        fp, comp, convert = self.fp, self.computation or self.tile, dict(self.convert)
+        plain = {k: {"fp": p.fp, "size": p.size, "interpolation": p.interpolation} for k, p in self._primitives().items()}
 
         def needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -239,11 +257,20 @@ class Recipe:
                 got = pd.DataFrame(out, columns=["cx", "cy", "name", "tx", "ty"])
                 yield got.astype({"tx": "Int32", "ty": "Int32"})
 
-        need = jobs.mapInPandas(needs, "cx int, cy int, name string, tx int, ty int")
+        return self.jobs(wanted).mapInPandas(needs, "cx int, cy int, name string, tx int, ty int")
+
+    def computed(self, wanted: DataFrame, need: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        """(tx, ty, data) of the tiles in ``wanted``, each computed once, from what ``needs`` says and the primitives' tiles."""
+        prims = self._primitives()
+        plain = {k: {"fp": p.fp, "size": p.size, "channels": list(p.channels), "nodata": p.nodata, "dst_nodata": p.dst_nodata, "interpolation": p.interpolation} for k, p in prims.items()}
+        fp, tile, comp, convert, compute, merge = self.fp, self.tile, self.computation or self.tile, dict(self.convert), self.compute, self.merge
+        bands, dtype, missing = len(self.channels), self.dtype, self.nodata
+        wanted = wanted.select("tx", "ty").distinct()
+        (w, h), (cw, ch) = tile, comp
         rows = need.where("name is null").select("cx", "cy", "name", "tx", "ty", F.lit(None).cast("array<array<double>>").alias("data"))
-        for name, p in prims.items():
-            data = F.col("data") if "array<array" in p.tiles.schema["data"].dataType.simpleString() else F.array("data")
-            t = p.tiles.select("tx", "ty", data.cast("array<array<double>>").alias("data"))
+        for name in prims:
+            data = F.col("data") if "array<array" in tables[name].schema["data"].dataType.simpleString() else F.array("data")
+            t = tables[name].select("tx", "ty", data.cast("array<array<double>>").alias("data"))
             rows = rows.unionByName(need.where(F.col("name") == name).join(t, ["tx", "ty"]).select("cx", "cy", "name", "tx", "ty", "data"))
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -323,17 +350,12 @@ class Recipe:
     def tile_table(self, spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
         """(tx, ty, data) of the wanted tiles, all by default; with a cache, missing tiles are computed and kept first."""
         wanted = self.tiles(spark) if wanted is None else wanted.select("tx", "ty").distinct()
-        if self.cache is None:
-            return self.compute_tiles(wanted)
-        ready = self.ready(spark)
-        todo = wanted if ready is None else missing_tiles(wanted, ready, "tx", "ty")
-        n = todo.count()
-        self._tell("cache_checked", n)
-        if n:
-            made = self.compute_tiles(todo).withColumn("sum", F.xxhash64("data"))
-            made.repartition("ty", "tx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ty", "tx").parquet(self.cache)
-            self._tell("tiles_computed", n)
-        return self.cached(spark).join(F.broadcast(wanted) if wanted.count() < 1 << 20 else wanted, ["tx", "ty"], "left_semi").select("tx", "ty", "data")
+        return Demand(spark, self, wanted).table()
+
+    def _kept(self, spark: SparkSession, made: DataFrame) -> None:
+        """Write tiles to the cache; a tile is a partition, which replaces the one before."""
+        made = made.withColumn("sum", F.xxhash64("data")).repartition("ty", "tx")
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ty", "tx").parquet(self.cache)
 
     # --- reads -----------------------------------------------------------------------------------
 
@@ -344,7 +366,7 @@ class Recipe:
 
     def primitive(self, spark: SparkSession, channels: Sequence[int] = (0,), **how) -> Primitive:
         """This recipe as a primitive of another one."""
-        return Primitive(self.tile_table(spark), self.fp, self.tile, channels, self.channels[0]["nodata"], **how)
+        return Primitive(None, self.fp, self.tile, channels, self.channels[0]["nodata"], recipe=self, **how)
 
     def read(self, spark: SparkSession, window: Footprint, channels: Sequence[int] = (0,), dst_nodata=None, interpolation: str | None = "cv_area") -> DataFrame:
         """(band, px, py, value) of every pixel of a window; tiles under it are computed by need."""
@@ -373,6 +395,82 @@ class Recipe:
             delivery.close()
 
 
+class Demand:
+    """What a read of some tiles of a recipe asks of every recipe behind it.
+
+    Recipes are visited from the one that is read to those that it reads, each after all its readers: what they ask of it is put
+    together (``asked``), tiles that its cache holds are taken off (``todo``), and the windows of what is left, carried through
+    ``convert``, are what it asks of its own primitives (``need``).  Then tiles are made in the opposite order, each once, also where
+    several recipes read the same one.  Tables of tile numbers are written, as they are used twice; so are the tiles of a recipe with several readers.
+    """
+
+    def __init__(self, spark: SparkSession, target: Recipe, wanted: DataFrame) -> None:
+        self.spark, self.target, self.order = spark, target, readers_first(target)
+        wants, self.readers = {id(target): [wanted.select("tx", "ty")]}, {}
+        self.asked: dict[int, DataFrame] = {}
+        self.todo: dict[int, DataFrame] = {}
+        self.need: dict[int, DataFrame] = {}
+        self.missing: dict[int, int] = {}
+        for r in self.order:
+            prims = r._primitives()
+            alone = len(self.order) == 1 and r.cache is None and all(p.scan is None for p in prims.values())
+            keep = (lambda df: df) if alone else cut
+            asked = wants[id(r)][0]
+            for more in wants[id(r)][1:]:
+                asked = asked.unionByName(more)
+            asked = todo = keep(asked.distinct())
+            if r.cache is not None:
+                ready = r.ready(spark)
+                todo = asked if ready is None else cut(missing_tiles(asked, ready, "tx", "ty"))
+                self.missing[id(r)] = todo.count()
+                r._tell("cache_checked", self.missing[id(r)])
+            need = keep(r.needs(todo))
+            self.asked[id(r)], self.todo[id(r)], self.need[id(r)] = asked, todo, need
+            for name, p in prims.items():
+                if p.recipe is not None:
+                    wants.setdefault(id(p.recipe), []).append(need.where(F.col("name") == name).select("tx", "ty"))
+                    self.readers[id(p.recipe)] = self.readers.get(id(p.recipe), 0) + 1
+
+    def table(self) -> DataFrame:
+        """(tx, ty, data) of the tiles that were asked for; caches are filled on the way."""
+        made: dict[int, DataFrame] = {}
+        for r in reversed(self.order):
+            k = id(r)
+            need = self.need[k]
+            tables = {n: made[id(p.recipe)] if p.recipe is not None else p.needed(need.where(F.col("name") == n)) for n, p in r._primitives().items()}
+            if r.cache is None:
+                out = r.computed(self.todo[k], need, tables)
+                made[k] = cut(out) if self.readers.get(k, 0) > 1 else out
+                continue
+            if self.missing[k]:
+                r._kept(self.spark, r.computed(self.todo[k], need, tables))
+                r._tell("tiles_computed", self.missing[k])
+            made[k] = r.cached(self.spark).join(self.asked[k], ["tx", "ty"], "left_semi").select("tx", "ty", "data")
+        return made[id(self.target)]
+
+
+def readers_first(target: Recipe) -> list[Recipe]:
+    """The recipes behind ``target``, itself included, each after all that read it."""
+    order: list[Recipe] = []
+    done: set[int] = set()
+    open_: set[int] = set()
+
+    def visit(r: Recipe) -> None:
+        if id(r) in open_:
+            raise ValueError("recipes read each other in a circle")
+        if id(r) not in done:
+            open_.add(id(r))
+            for p in r.primitives.values():
+                if isinstance(p, Primitive) and p.recipe is not None:
+                    visit(p.recipe)
+            open_.remove(id(r))
+            done.add(id(r))
+            order.append(r)
+
+    visit(target)
+    return order[::-1]
+
+
 def _part(fp: Footprint, size: tuple[int, int], tx: int, ty: int) -> Footprint:
     w, h = size
     return fp.clip(int(tx) * w, int(ty) * h, min((int(tx) + 1) * w, fp.rsx), min((int(ty) + 1) * h, fp.rsy))

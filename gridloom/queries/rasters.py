@@ -403,16 +403,38 @@ def catalogue_set_data(spark, sf_dir):
     return r.read().select("px", "py", "value")
 
 
-@query(f"WITH {MOSAIC} SELECT CAST(px - 8 AS INTEGER) AS px, CAST(py - 8 AS INTEGER) AS py, value * 2 + 1 AS value FROM mosaic WHERE px >= 8 AND px < 56 AND py >= 8 AND py < 40")
+_LAST = "rows AS (SELECT (max(vec_id) // 16 + 1) * 8 AS n FROM embeddings)"
+_ALL = f"{MOSAIC}, {_LAST}, g AS (SELECT CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM (SELECT unnest(range(n)) AS y FROM rows), range(128) t(x)), m AS (SELECT g.px, g.py, coalesce(value, 0) * 2 AS v FROM g LEFT JOIN mosaic USING (px, py))"
+
+
+def _mosaic_recipes(spark, sf_dir):
+    """The mosaic's footprint, and a recipe that doubles its pixels; those without a tile are 0."""
+    last = table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0]
+    rows = (last // 16 + 1) * 8
+    f = Footprint.of((0, rows), (128, rows), (128, rows))
+    return f, recipe.Recipe(f, lambda a, b, arrays, _: arrays["m"] * 2, {"m": recipe.Primitive(mosaic_tiles(spark, sf_dir), f, (8, 8))}, tile=(24, 20), computation=(16, 16))
+
+
+@query(f"WITH {_ALL} SELECT px, py, v + 1 AS value FROM m")
 def recipe_of_recipe(spark, sf_dir):
-    """A window of a recipe without a cache whose primitive is another recipe; computation tiles lie across cache tiles."""
-    from ..catalogue import Dataset
+    """A recipe without a cache whose primitive is another recipe, over the whole mosaic; computation tiles lie across cache tiles."""
+    from ..catalogue import Dataset, RecipeRaster
 
-    f = MOS_FP.clip(0, 0, 128, 64)
-    base = recipe.Recipe(f, lambda a, b, arrays, _: arrays["m"] * 2, {"m": recipe.Primitive(mosaic_tiles(spark, sf_dir, (0, 64)), f, (8, 8))}, tile=(24, 20), computation=(16, 16))
+    f, base = _mosaic_recipes(spark, sf_dir)
     ds = Dataset(spark)
-    from ..catalogue import RecipeRaster
-
     first = ds._add("first", RecipeRaster(ds, base, None))
     second = ds.create_raster_recipe("second", f, "float64", 1, compute_array=lambda a, b, arrays, _: arrays["first"] + 1, queue_data_per_primitive={"first": first.queue_data}, computation_tiles=(32, 32))
-    return second.read(f.clip(8, 8, 56, 40)).select("px", "py", "value")
+    return second.read().select("px", "py", "value")
+
+
+@query(
+    f"WITH {_ALL}, b AS (SELECT px, py, v, coalesce(lag(v) OVER r, 0) + coalesce(lead(v) OVER r, 0) AS s FROM m WINDOW r AS (PARTITION BY py ORDER BY px)) "
+    "SELECT px, py, round(coalesce(lag(s) OVER c, 0) + coalesce(lead(s) OVER c, 0) + v, 6) AS value FROM b WINDOW c AS (PARTITION BY px ORDER BY py)"
+)
+def recipe_graph(spark, sf_dir):
+    """Three recipes over the whole mosaic, the first one read by both others: sums of left and right neighbours, of these upper and lower ones, and the pixel itself."""
+    f, base = _mosaic_recipes(spark, sf_dir)
+    wide = lambda fp_: fp_.dilate(1)
+    sides = recipe.Recipe(f, lambda a, b, arrays, _: arrays["a"][1:-1, :-2] + arrays["a"][1:-1, 2:], {"a": base.primitive(spark)}, convert={"a": wide}, tile=(16, 16))
+    last = recipe.Recipe(f, lambda a, b, arrays, _: arrays["s"][:-2, 1:-1] + arrays["s"][2:, 1:-1] + arrays["a"], {"s": sides.primitive(spark), "a": base.primitive(spark)}, convert={"s": wide}, tile=(32, 32))
+    return last.pixels(spark).select("px", "py", F.round("value", 6).alias("value"))
