@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import asdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,15 @@ from .functions import types as ty
 from .operators import raster, rasterize, vector
 from .operators import recipe as rc
 from .sources import files, geojson, geotiff, shapefile, srs
+from .sources.versioned import Versioned
 
 TILE = 256
 # Drivers by their names, and how the memory driver is called for either kind.
 RASTER_DRIVERS = {"GTiff": "geotiff", "MEM": "memory", "numpy": "memory"}
 VECTOR_DRIVERS = {"ESRI Shapefile": "shapefile", "GeoJSON": "geojson", "Memory": "memory"}
+#: tables that are written to in place, by the tile or feature
+RASTER_DRIVERS["tiles"] = VECTOR_DRIVERS["table"] = "versioned"
+TILE_ROW = T.StructType().add("tx", T.IntegerType()).add("ty", T.IntegerType()).add("data", T.ArrayType(T.ArrayType(T.DoubleType())))
 
 
 class Ending:
@@ -189,7 +194,26 @@ class Raster(Source):
             new = new.join(rasterize.burn_polygons(shape, window, "k").select("px", "py").distinct(), ["px", "py"], "left_semi")
         place = F.element_at(F.array(*[F.lit(i) for i in ids]), F.col("band") + 1)
         new = new.where(~F.isnan("value")).select(place.alias("band"), (F.col("px") + x0).alias("px"), (F.col("py") + y0).alias("py"), "value")
-        self._write(raster.set_tiles(self.tiles(), self.size, self.fp, new, (x0, y0, x0 + window.rsx, y0 + window.rsy), self.nodata or 0.0, len(self)))
+        self._set(new, (x0, y0, x0 + window.rsx, y0 + window.rsy))
+
+    def set_pixels(self, new: DataFrame) -> None:
+        """Write a table of pixels (band, px, py, value) on the raster's own grid; those outside it, and null values, are passed over."""
+        from .plans.lineage import cut
+
+        self._writable()
+        inside = F.col("px").between(0, self.fp.rsx - 1) & F.col("py").between(0, self.fp.rsy - 1) & F.col("band").between(0, len(self) - 1) & F.col("value").isNotNull()
+        new = cut(new.where(inside).select(F.col("band").cast("int").alias("band"), F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.col("value").cast("double").alias("value")))
+        box = new.agg(F.min("px"), F.min("py"), F.max("px") + 1, F.max("py") + 1).first()
+        if box[0] is not None:
+            self._set(new, tuple(box))
+
+    def _set(self, new: DataFrame, window: tuple[int, int, int, int]) -> None:
+        """Pixels of a window in their place: only their tiles are written where the driver can, else the raster."""
+        if RASTER_DRIVERS[self.driver] != "versioned":
+            self._write(raster.set_tiles(self.tiles(), self.size, self.fp, new, window, self.nodata or 0.0, len(self)))
+            return
+        since, _ = self.store.version()
+        self.store.write(raster.changed_tiles(self._tiles(window, since), self.size, self.fp, new, self.nodata or 0.0, len(self)), since)
 
     def fill(self, value: float, channels=None) -> None:
         """Set channels to a value everywhere."""
@@ -199,9 +223,15 @@ class Raster(Source):
         bands = [F.array_repeat(F.lit(float(value)), (wide * high).cast("int")) if k in ids else F.get("data", F.lit(k)) for k in range(len(self))]
         self._write(self.tiles().select("tx", "ty", F.array(*bands).alias("data")))
 
+    def _delete_files(self) -> None:
+        self.store.delete() if RASTER_DRIVERS[self.driver] == "versioned" else files.delete(self.path)
+
     def _write(self, tiles: DataFrame) -> None:
         from .plans.lineage import cut
 
+        if RASTER_DRIVERS[self.driver] == "versioned":
+            self.store.replace(tiles)
+            return
         kept = cut(tiles)
         if RASTER_DRIVERS[self.driver] == "geotiff":
             geotiff.write(kept, self.path, self.fp_stored, self.dtype, self.channels, self.wkt_stored, self.size[0])
@@ -311,8 +341,14 @@ class Vector(Source):
             rows = rows.withColumn("geom", gm.transformed(F.col("geom"), srs.transform(srs.parse(self.dataset.sr_work), srs.parse(self.wkt_virtual))))
         if not self.dataset.allow_none_geometry:
             rows = rows.withColumn("geom", F.when(F.col("geom").isNull(), F.raise_error(F.lit("a geometry is null"))).otherwise(F.col("geom")))
-        kept = cut(vector.insert(self.stored(), rows, self.schema))
         kind = VECTOR_DRIVERS[self.driver]
+        if kind == "versioned":
+            # the largest fid is on the list of parts, so no feature is read
+            since, said = self.store.version()
+            top = max((p["high"]["fid"] for p in said["parts"]), default=-1)
+            self.store.write(vector.new_rows(rows, self.schema, top), since)
+            return
+        kept = cut(vector.insert(self.stored(), rows, self.schema))
         if kind == "shapefile":
             shapefile.delete(self.path)
             name, z = ty.geometry_type(self.type)
@@ -322,6 +358,13 @@ class Vector(Source):
         else:
             self._features = lambda: kept
 
+    def remove_rows(self, fids: DataFrame) -> None:
+        """Remove the features of a table of fids, from a layer that is written to in place."""
+        self._writable()
+        if VECTOR_DRIVERS[self.driver] != "versioned":
+            raise RuntimeError(f"driver {self.driver!r} removes no features")
+        self.store.remove(fids.select("fid"))
+
     def insert_data(self, geom, fields=(), index: int = -1) -> None:
         """Append one feature, or set the feature id: fields as a sequence in the layer's order or as a dict."""
         names = [f["name"] for f in self.fields]
@@ -336,7 +379,10 @@ class Vector(Source):
         self.insert(self.dataset.spark.createDataFrame([row], schema))
 
     def _delete_files(self) -> None:
-        shapefile.delete(self.path) if VECTOR_DRIVERS[self.driver] == "shapefile" else files.delete(self.path)
+        if VECTOR_DRIVERS[self.driver] == "versioned":
+            self.store.delete()
+        else:
+            shapefile.delete(self.path) if VECTOR_DRIVERS[self.driver] == "shapefile" else files.delete(self.path)
 
 
 # --- recipes -------------------------------------------------------------------------------------
@@ -481,6 +527,8 @@ class Dataset:
 
     def open_raster(self, key, path: str, driver: str = "GTiff", options: Sequence[str] = (), mode: str = "r") -> Raster:
         self._free(key)
+        if RASTER_DRIVERS.get(driver) == "versioned":
+            return self._add(key, self._open_tiles(driver, path, options, mode))
         if RASTER_DRIVERS.get(driver) != "geotiff":
             raise ValueError(f"driver {driver!r} opens no file")
         if not files.exists(path):
@@ -504,6 +552,12 @@ class Dataset:
         if RASTER_DRIVERS[driver] == "memory":
             empty = self._blank(stored, channels)
             return self._add(key, Raster(self, driver, "w", None, stored, dtype, channels, sr, empty, (TILE, TILE), options))
+        if RASTER_DRIVERS[driver] == "versioned":
+            if ow and Versioned(self.spark, path).exists():
+                Versioned(self.spark, path).delete()
+            about = {"fp": asdict(stored), "dtype": dtype, "channels": channels, "wkt": sr, "size": [TILE, TILE]}
+            Versioned.create(self.spark, path, TILE_ROW, ("tx", "ty"), about)
+            return self.open_raster(key, path, driver, options, "w")
         if files.exists(path):
             if not ow:
                 raise RuntimeError(f"{path} exists")
@@ -511,6 +565,24 @@ class Dataset:
         geotiff.write(self._blank(stored, channels)(), path, stored, dtype, channels, sr, TILE)
         return self.open_raster(key, path, driver, options, "w")
 
+    def _open_tiles(self, driver: str, path: str, options: Sequence[str], mode: str) -> Raster:
+        """A raster of a versioned table; an option ``version=n`` opens an older state, to be read.  Tiles that were never written are blank."""
+        store, version = Versioned(self.spark, path), _version_of(options)
+        if version is not None and mode == "w":
+            raise ValueError("an older version can't be written to")
+        about = store.about(version)
+        fp, size, channels = Footprint(**about["fp"]), tuple(about["size"]), about["channels"]
+        blank = self._blank(fp, channels)
+
+        def tiles(window=None, at: int | None = None) -> DataFrame:
+            ranges = None if window is None else {"tx": (window[0] // size[0], (window[2] - 1) // size[0]), "ty": (window[1] // size[1], (window[3] - 1) // size[1])}
+            there = store.read(version if at is None else at, ranges).withColumnRenamed("data", "__data")
+            return blank(window).join(there, ["tx", "ty"], "left").select("tx", "ty", F.coalesce("__data", "data").alias("data"))
+
+        found = Raster(self, driver, mode, path, fp, about["dtype"], channels, about["wkt"], tiles, size, options)
+        found.store = store
+        return found
+
     def _blank(self, fp: Footprint, channels: list[dict]) -> Callable[..., DataFrame]:
         def tiles(window=None) -> DataFrame:
             nx, ny = -(-fp.rsx // TILE), -(-fp.rsy // TILE)
@@ -573,6 +645,16 @@ class Dataset:
     def open_vector(self, key, path: str, layer: str | int | None = None, driver: str = "ESRI Shapefile", options: Sequence[str] = (), mode: str = "r") -> Vector:
         self._free(key)
         kind = VECTOR_DRIVERS.get(driver)
+        if kind == "versioned":
+            store, version = Versioned(self.spark, path), _version_of(options)
+            about = store.about(version)
+            if layer not in (None, 0, about["layer"]):
+                raise ValueError(f"no layer {layer!r}, only {about['layer']!r}")
+            if version is not None and mode == "w":
+                raise ValueError("an older version can't be written to")
+            found = Vector(self, driver, mode, path, about["layer"], about["type"], about["wkt"], T.StructType.fromJson(about["schema"]), lambda: store.read(version), options)
+            found.store = store
+            return self._add(key, found)
         if kind not in ("shapefile", "geojson"):
             raise ValueError(f"driver {driver!r} opens no file")
         name = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -604,6 +686,11 @@ class Dataset:
         self.virtual(sr)
         if kind == "memory":
             return self._add(key, Vector(self, driver, "w", None, layer or name, type, sr, schema, lambda: empty, options))
+        if kind == "versioned":
+            if ow and Versioned(self.spark, path).exists():
+                Versioned(self.spark, path).delete()
+            Versioned.create(self.spark, path, schema, ("fid",), {"layer": layer or name, "type": type, "wkt": sr, "schema": schema.jsonValue()})
+            return self.open_vector(key, path, None, driver, options, "w")
         there = shapefile.stem(path) + ".shp" if kind == "shapefile" else path
         if files.exists(there):
             if not ow:
@@ -621,6 +708,12 @@ class Dataset:
         return found
 
 
+def _version_of(options: Sequence[str]) -> int | None:
+    """The number that an option ``version=n`` names."""
+    named = [o.partition("=")[2] for o in options if o.partition("=")[0].lower() == "version"]
+    return int(named[-1]) if named else None
+
+
 def primitive_of(p) -> tuple[Source, dict]:
     """The source and the reading parameters of a primitive: a source, a method of one, or a partial call of such a method."""
     from functools import partial

@@ -295,16 +295,24 @@ def pixels_of_bands(tiles_: DataFrame, fp: Footprint, size: Size) -> DataFrame:
     return p.select("band", (F.col("tx") * w + F.col("p") % own).cast("int").alias("px"), (F.col("ty") * h + F.floor(F.col("p") / own)).cast("int").alias("py"), F.col("value").cast("double").alias("value"))
 
 
-def set_tiles(tiles_: DataFrame, size: Size, fp: Footprint, new: DataFrame, window: Window, nodata: float, bands: int) -> DataFrame:
-    """``tiles_`` with pixels (band, px, py, value) of a window in their place; tiles outside the window pass unopened."""
-    old = window_tiles(tiles_, size, window)
+def _laid(old: DataFrame, size: Size, fp: Footprint, new: DataFrame, nodata: float, bands: int) -> DataFrame:
     keys = ["band", "px", "py"]
     both = pixels_of_bands(old, fp, size).withColumn("is_new", F.lit(0)).unionByName(new.where("value is not null").select(*keys, "value").withColumn("is_new", F.lit(1)))
-    merged = both.groupBy(*keys).agg(F.max_by("value", "is_new").alias("value"))
+    return tiles_of_bands(both.groupBy(*keys).agg(F.max_by("value", "is_new").alias("value")), fp, size, nodata, bands)
+
+
+def changed_tiles(tiles_: DataFrame, size: Size, fp: Footprint, new: DataFrame, nodata: float, bands: int) -> DataFrame:
+    """The tiles that pixels (band, px, py, value) lie in, with these in their place; no other tiles."""
+    touched = new.where("value is not null").select(F.floor(F.col("px") / size[0]).cast("int").alias("tx"), F.floor(F.col("py") / size[1]).cast("int").alias("ty")).distinct()
+    return _laid(tiles_.join(touched, ["tx", "ty"], "left_semi"), size, fp, new, nodata, bands)
+
+
+def set_tiles(tiles_: DataFrame, size: Size, fp: Footprint, new: DataFrame, window: Window, nodata: float, bands: int) -> DataFrame:
+    """``tiles_`` with pixels (band, px, py, value) of a window in their place; tiles outside the window pass unopened."""
     x0, y0, x1, y1 = window
     tx, ty = F.col("tx"), F.col("ty")
     rest = tiles_.where(~((tx >= x0 // size[0]) & (tx <= (x1 - 1) // size[0]) & (ty >= y0 // size[1]) & (ty <= (y1 - 1) // size[1])))
-    return rest.select("tx", "ty", _bands(tiles_).cast("array<array<double>>").alias("data")).unionByName(tiles_of_bands(merged, fp, size, nodata, bands))
+    return rest.select("tx", "ty", _bands(tiles_).cast("array<array<double>>").alias("data")).unionByName(_laid(window_tiles(tiles_, size, window), size, fp, new, nodata, bands))
 
 
 def write(px: DataFrame, new: DataFrame, mask: DataFrame | None = None, at: tuple[int, int] = (0, 0)) -> DataFrame:

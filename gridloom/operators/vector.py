@@ -77,12 +77,11 @@ def bounds(features: DataFrame, geom: str = "geom") -> DataFrame:
     return features.agg(F.min(b[0]).alias("minx"), F.min(b[1]).alias("miny"), F.max(b[2]).alias("maxx"), F.max(b[3]).alias("maxy"))
 
 
-def insert(features: DataFrame, rows: DataFrame, schema: StructType | None = None, geom: str = "geom", fid: str = "fid") -> DataFrame:
-    """``features`` with ``rows`` appended: values are cast, missing fields take their defaults, null in a field that forbids it fails.
+def new_rows(rows: DataFrame, schema: StructType, top: int, geom: str = "geom", fid: str = "fid") -> DataFrame:
+    """``rows`` as a layer of ``schema`` takes them: values are cast, missing fields take their defaults, null in a field that forbids it fails.
 
-    Rows without a fid are numbered after the largest one, by their position in the input.
+    Rows without a fid are numbered after ``top``, by their position in the input.
     """
-    schema = schema or features.schema
     cols = []
     for f in schema:
         if f.name in (geom, fid):
@@ -91,13 +90,16 @@ def insert(features: DataFrame, rows: DataFrame, schema: StructType | None = Non
         if not f.nullable:
             v = F.when(v.isNull(), F.raise_error(F.lit(f"{f.name} is null")).cast(f.dataType)).otherwise(v)
         cols.append(v.alias(f.name))
-    top = features.agg(F.coalesce(F.max(fid), F.lit(-1)).alias("__top"))
     g = F.col(geom) if geom in rows.columns else F.lit(None).cast(schema[geom].dataType)
     if fid in rows.columns:
-        new = rows.select(F.col(fid).cast("long").alias(fid), g.alias(geom), *cols)
-    else:
-        from ..plans.lineage import ranked
+        return rows.select(F.col(fid).cast("long").alias(fid), g.alias(geom), *cols)
+    from ..plans.lineage import ranked
+
+    new = ranked(rows.select(g.alias(geom), *cols).withColumn("__m", F.monotonically_increasing_id()), [], ["__m"], "__n", 1).drop("__m")
+    return new.withColumn(fid, F.lit(top) + F.col("__n")).drop("__n")
 
-        new = ranked(rows.select(g.alias(geom), *cols).withColumn("__m", F.monotonically_increasing_id()), [], ["__m"], "__n", 1).drop("__m")
-        new = new.withColumn(fid, F.lit(top.first()[0]) + F.col("__n")).drop("__n")
-    return features.unionByName(new.select(*features.columns))
+
+def insert(features: DataFrame, rows: DataFrame, schema: StructType | None = None, geom: str = "geom", fid: str = "fid") -> DataFrame:
+    """``features`` with ``rows`` appended; see ``new_rows``."""
+    top = -1 if fid in rows.columns else features.agg(F.coalesce(F.max(fid), F.lit(-1))).first()[0]
+    return features.unionByName(new_rows(rows, schema or features.schema, top, geom, fid).select(*features.columns))

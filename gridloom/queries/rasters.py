@@ -386,21 +386,40 @@ def catalogue_raster_window(spark, sf_dir):
     return ds.open_raster("orders", path).read(ORD_FP.clip(10, 25, 22, 45), -1, -5).select("px", "py", "value")
 
 
-@query(f"WITH {_GRID.format(300, 280)} SELECT px, py, CASE WHEN px >= 250 AND px < 290 AND py >= 240 AND py < 270 AND px + py < 540 THEN (px - 250) * 100 + (py - 240) ELSE 7 END::DOUBLE AS value FROM g")
+@query(f"WITH {ORD}, {_GRID.format(64, 64)} SELECT CAST(b AS INTEGER) AS band, g.px, g.py, coalesce(CASE WHEN b = 1 THEN value END, 7)::DOUBLE AS value FROM g CROSS JOIN range(2) t(b) LEFT JOIN ord o ON o.px = g.px AND o.py = g.py")
 def catalogue_set_data(spark, sf_dir):
-    """A new file, filled, then written to through a mask where four tiles meet."""
-    import numpy as np
-
+    """A new file of two channels, filled; then pixels of a table are written to the second one."""
     from ..catalogue import Dataset
     from .base import shared
 
-    fp_ = Footprint.of((0, 280), (300, 280), (300, 280))
     ds = Dataset(spark)
-    r = ds.create_raster("r", shared(spark, "new.tif"), fp_, "float32", 1)
+    r = ds.create_raster("r", shared(spark, "new.tif"), ORD_FP, "float64", 2)
     r.fill(7)
-    y, x = np.mgrid[:30, :40]
-    r.set_data(x * 100.0 + y, fp_.clip(250, 240, 290, 270), mask=x + 250 + y + 240 < 540)
-    return r.read().select("px", "py", "value")
+    r.set_pixels(order_pixels(spark, sf_dir).withColumn("band", F.lit(1)))
+    return r.read().select("band", "px", "py", "value")
+
+
+_SET = "cus AS (SELECT CAST(c_custkey * 3 % 64 AS INTEGER) AS px, CAST(c_custkey * 5 % 48 AS INTEGER) AS py, max(c_acctbal) AS bal FROM customer GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH {ORD}, {_SET}, {_GRID.format(64, 64)}, v AS (SELECT g.px, g.py, coalesce(value, -1) AS old, coalesce(bal, value, -1) AS new FROM g LEFT JOIN ord ON ord.px = g.px AND ord.py = g.py LEFT JOIN cus ON cus.px = g.px AND cus.py = g.py) "
+    "SELECT CAST(k AS INTEGER) AS version, px, py, CASE WHEN k = 1 THEN old ELSE new END AS value FROM v CROSS JOIN (SELECT unnest([1, 2]) AS k)"
+)
+def versioned_tiles(spark, sf_dir):
+    """A raster that is written to in place: the orders' pixels, then the customers' laid over them, read as it was and as it is."""
+    from ..catalogue import Dataset
+    from .base import shared
+
+    path = shared(spark, "orders.tiles")
+    ds = Dataset(spark)
+    r = ds.create_raster("r", path, ORD_FP, "float64", 1, {"nodata": -1}, driver="tiles")
+    r.set_pixels(order_pixels(spark, sf_dir).withColumn("band", F.lit(0)))
+    k = F.col("c_custkey")
+    over = table(spark, sf_dir, "customer").groupBy((k * 3 % 64).alias("px"), (k * 5 % 48).alias("py")).agg(F.max("c_acctbal").alias("value"))
+    r.set_pixels(over.withColumn("band", F.lit(0)))
+    each = [ds.aopen_raster(path, "tiles", [f"version={v}"]).read().select(F.lit(v).alias("version"), "px", "py", "value") for v in r.store.versions()[1:]]
+    return each[0].unionByName(each[1])
 
 
 _LAST = "rows AS (SELECT (max(vec_id) // 16 + 1) * 8 AS n FROM embeddings)"

@@ -279,3 +279,26 @@ def type_families(spark, sf_dir):
     names = ["bool", "uint8", "int8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float16", "float32", "float64", "float128", "complex64"]
     to = lambda how, n: getattr(ty, how)(n) if ty.is_file_type(n, how) else None
     return spark.createDataFrame([(n, to("equivalent", n), to("upcast", n), to("downcast", n)) for n in names], "name string, equivalent string, upcast string, downcast string")
+
+
+@query(
+    f"WITH {CUS}, top AS (SELECT max(k) AS t FROM cus), s AS (SELECT t + row_number() OVER (ORDER BY s_suppkey) AS fid, s_suppkey + 0.5::DOUBLE AS x, s_nationkey::DOUBLE AS y, s_name AS c_name FROM supplier, top), "
+    "a AS (SELECT k AS fid, x, y, c_name FROM cus UNION ALL SELECT fid, x, y, c_name FROM s), o AS (SELECT DISTINCT o_custkey AS fid FROM orders) "
+    "SELECT fid, CASE WHEN fid IN (SELECT fid FROM o) THEN -x ELSE x END AS x, y, c_name FROM a WHERE fid NOT IN (SELECT n_nationkey * 10 FROM nation)"
+)
+def versioned_features(spark, sf_dir):
+    """A layer that is written to in place: customers, suppliers numbered after them, customers with orders moved, some features removed."""
+    from ..catalogue import Dataset
+    from .base import shared
+
+    point = lambda x, y: gm.geom("Point", F.array(gm.point(x, y))).alias("geom")
+    cus = customer_points(spark, sf_dir).select(F.col("k").alias("fid"), "x", "y", "c_name")
+    v = Dataset(spark).create_vector("v", shared(spark, "layer"), "point", [{"name": "c_name", "type": "string"}], driver="table")
+    v.insert(cus.select("fid", point(F.col("x"), F.col("y")), "c_name"))
+    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey")
+    v.insert(s.select(point((F.col("s_suppkey") + 0.5).cast("double"), F.col("s_nationkey").cast("double")), F.col("s_name").alias("c_name")))
+    busy = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("fid")).distinct()
+    v.insert(cus.join(busy, "fid", "left_semi").select("fid", point(-F.col("x"), F.col("y")), "c_name"))
+    v.remove_rows(table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).alias("fid")))
+    p = F.col("geom")["parts"][0][0][0]
+    return v.read("c_name").select("fid", p["x"].alias("x"), p["y"].alias("y"), "c_name")
