@@ -231,6 +231,48 @@ def polygonize_boundary_edges(spark, sf_dir):
     return rasterize.boundary_edges(order_pixels(spark, sf_dir).where("value > 200000"))
 
 
+def _rings_sql(least: int, levels: int = 13) -> str:
+    """Rings from the sides of pixels, by doubling how far each side sees along its ring."""
+    d = "d0 AS MATERIALIZED (SELECT c.node, c.nxt, CASE WHEN p.way <> c.way THEN c.node ELSE 9000000000000000000 END AS m FROM n c JOIN n p ON p.nxt = c.node)"
+    for k in range(levels):
+        d += f", d{k + 1} AS MATERIALIZED (SELECT a.node, b.nxt, least(a.m, b.m) AS m FROM d{k} a JOIN d{k} b ON b.node = a.nxt)"
+    return (
+        f"WITH {ORD}, mask AS MATERIALIZED (SELECT px, py FROM ord WHERE value > {least}), w(way, sx, sy, ex, ey, ox, oy) AS (VALUES (0, 0, 0, 1, 0, 0, -1), (1, 1, 0, 1, 1, 1, 0), (2, 1, 1, 0, 1, 0, 1), (3, 0, 1, 0, 0, -1, 0)), "
+        "u AS MATERIALIZED (SELECT px, py, way, px + sx AS x, py + sy AS y, px + ex AS x2, py + ey AS y2, CAST(py + sy AS BIGINT) * 8589934592 + (px + sx) * 4 + way AS node FROM mask, w WHERE (px + ox, py + oy) NOT IN (SELECT (px, py) FROM mask)), "
+        "n AS MATERIALIZED (SELECT u.*, b.node AS nxt FROM u JOIN u b ON b.x = u.x2 AND b.y = u.y2 QUALIFY row_number() OVER (PARTITION BY u.node ORDER BY CASE WHEN b.way = (u.way + 1) % 4 THEN 0 ELSE 1 END) = 1), "
+        f"{d}, r AS (SELECT n.*, d{levels}.m, d0.m < 9000000000000000000 AS corner FROM n JOIN d{levels} USING (node) JOIN d0 USING (node)) "
+        "SELECT CAST(min(py * 1000 + px) // 1000 AS INTEGER) AS py, CAST(min(py * 1000 + px) % 1000 AS INTEGER) AS px, CAST(sum(x * y2 - x2 * y) AS DOUBLE) / 2 AS area, count(*) AS length, count(*) FILTER (WHERE corner) AS corners FROM r GROUP BY m"
+    )
+
+
+@query(_rings_sql(200000))
+def find_polygon_rings(spark, sf_dir):
+    """Of each ring of a mask: its first pixel, area (holes negative), length and corners."""
+    m = rasterize.ring_measures(rasterize.polygon_rings(order_pixels(spark, sf_dir).where("value > 200000")))
+    return m.select("py", "px", "area", "length", "corners")
+
+
+def _thin_sql(least: int, rounds: int = 20) -> str:
+    """Guo and Hall's rule over and over, then the segments between the pixels that are left."""
+    x = {k: f"(s & {1 << (k - 1)} > 0)" for k in range(1, 9)}
+    x[9] = x[1]
+    one = lambda c: f"CAST({c} AS INTEGER)"
+    crossings = " + ".join(one(f"NOT {x[2 * i - 1]} AND ({x[2 * i]} OR {x[2 * i + 1]})") for i in range(1, 5))
+    pairs = f"least({' + '.join(one(f'{x[2 * k - 1]} OR {x[2 * k]}') for k in range(1, 5))}, {' + '.join(one(f'{x[2 * k]} OR {x[2 * k + 1]}') for k in range(1, 5))})"
+    last = [f"(({x[2]} OR {x[3]} OR NOT {x[8]}) AND {x[1]})", f"(({x[6]} OR {x[7]} OR NOT {x[4]}) AND {x[5]})"]
+    steps = f"t0 AS MATERIALIZED (SELECT px, py FROM ord WHERE value > {least})"
+    for k in range(2 * rounds):
+        steps += (
+            f", s{k} AS (SELECT t.px, t.py, CAST(coalesce(sum(b), 0) AS INTEGER) AS s FROM t{k} t LEFT JOIN (SELECT px - dx AS px, py - dy AS py, b FROM t{k}, off) o ON o.px = t.px AND o.py = t.py GROUP BY 1, 2)"
+            f", t{k + 1} AS MATERIALIZED (SELECT px, py FROM s{k} WHERE NOT (({crossings}) = 1 AND {pairs} BETWEEN 2 AND 3 AND NOT {last[k % 2]}))"
+        )
+    return (
+        f"WITH {ORD}, off(dx, dy, b) AS (VALUES (1, 0, 1), (1, -1, 2), (0, -1, 4), (-1, -1, 8), (-1, 0, 16), (-1, 1, 32), (0, 1, 64), (1, 1, 128)), {steps}, m AS MATERIALIZED (SELECT * FROM t{2 * rounds}), "
+        "s AS (SELECT a.px AS ax, a.py AS ay, b.px AS bx, b.py AS by_ FROM m a, (VALUES (1, 0), (0, 1), (1, 1), (-1, 1)) d(dx, dy), m b WHERE b.px = a.px + dx AND b.py = a.py + dy) "
+        'SELECT ax, ay, bx, by_ AS "by" FROM s WHERE ax = bx OR ay = by_ OR ((ax, by_) NOT IN (SELECT (px, py) FROM m) AND (bx, ay) NOT IN (SELECT (px, py) FROM m))'
+    )
+
+
 @query()
 def find_polygons(spark, sf_dir):
     return rasterize.find_polygons(order_pixels(spark, sf_dir).where("value > 200000"), Footprint.of((0, 64), (64, 64), (64, 64)))
@@ -262,7 +304,7 @@ def burn_polygons_all_touched(spark, sf_dir):
     return rasterize.burn_polygons(b.select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
 
 
-@query()
+@query(_thin_sql(250000))
 def find_lines_thin(spark, sf_dir):
     return rasterize.line_segments(rasterize.thin(order_pixels(spark, sf_dir).where("value > 250000")))
 
