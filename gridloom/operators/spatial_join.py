@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
 from ..functions import geometry as gm
-from ..plans.grid import overlap_join
+from ..plans.quadtree import overlap_join
 
 
-def footprint_pairs(df: DataFrame, key: str, fp: str = "fp", cell: float = 32.0) -> DataFrame:
+def footprint_pairs(df: DataFrame, key: str, fp: str = "fp") -> DataFrame:
     """(k1, fp1, k2, fp2), k1 < k2, of footprints that share area."""
     a, b = (df.select(F.col(key).alias(f"k{i}"), F.col(fp).alias(f"fp{i}")) for i in (1, 2))
-    pairs = overlap_join(a, b, fpx.bounds(F.col("fp1")), fpx.bounds(F.col("fp2")), cell)
+    pairs = overlap_join(a, b, fpx.bounds(F.col("fp1")), fpx.bounds(F.col("fp2")))
     return pairs.where((F.col("k1") < F.col("k2")) & fpx.share_area(F.col("fp1"), F.col("fp2")))
 
 
@@ -24,8 +24,8 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return n % 2 == 1
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom", cell: float = 8.0) -> DataFrame:
-    """Pairs of points and polygons that hold them: cell equi-join, then the ring test with holes."""
+def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", geom: str = "geom") -> DataFrame:
+    """Pairs of points and polygons that hold them: join on the leaves of a quadtree, then the ring test with holes."""
     px = F.col(x), F.col(y), F.col(x), F.col(y)
     g = F.col(geom)
     names = ["gl_x0", "gl_y0", "gl_x1", "gl_y1"]
@@ -35,7 +35,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y:
     corners = F.forall(ring, lambda p: ((p["x"] == x0) | (p["x"] == x1)) & ((p["y"] == y0) | (p["y"] == y1)))
     # the box decides for rectangles, and is told apart once a polygon rather than once a pair
     is_box = (F.size(F.flatten(g["parts"])) == 1) & (F.size(ring) == 5) & corners & (F.abs(gm.ring_area(ring)) == (x1 - x0) * (y1 - y0))
-    pairs = overlap_join(points, boxed.withColumn("gl_box", is_box), px, (x0, y0, x1, y1), cell, strict=False)
+    pairs = overlap_join(points, boxed.withColumn("gl_box", is_box), px, (x0, y0, x1, y1), strict=False)
     in_box = (F.col(x) >= x0) & (F.col(x) < x1) & (F.col(y) >= y0) & (F.col(y) < y1)
     odd = F.size(F.filter(F.flatten(g["parts"]), lambda r: in_ring(F.col(x), F.col(y), r))) % 2 == 1
     return pairs.where(F.when(F.col("gl_box"), in_box).otherwise(odd)).select(*points.columns, *polygons.columns)

@@ -1,8 +1,8 @@
-"""Grids of indices, and overlap joins rewritten to equi-joins on grid cells."""
+"""Grids of indices."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,47 +10,3 @@ def grid(spark: SparkSession, width: int, height: int) -> DataFrame:
     """(px, py) of all pixels: one distributed range, no row is made twice."""
     i = F.col("id")
     return spark.range(width * height).select((i % width).cast("int").alias("px"), F.floor(i / width).cast("int").alias("py"))
-
-
-def cells(df: DataFrame, box: tuple[Column, Column, Column, Column], cell: float, levels: list[int]) -> DataFrame:
-    """``df`` once for each grid cell that its box (minx, miny, maxx, maxy) touches, on its own level and on each coarser one of ``levels``.
-
-    On level n cells are ``cell * 2 ** n`` wide.  A box's own level is the first whose cells are as large
-    as the box, so it touches four of them at most.
-    """
-    d = df.select("*", *[c.alias(f"__{n}") for c, n in zip(box, ("minx", "miny", "maxx", "maxy"))])
-    d = d.withColumn("__own", own_level(cell))
-    d = d.withColumn("__level", F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("__own"))))
-    lo = lambda n: F.floor(F.col(f"__{n}") / (F.pow(F.lit(2.0), F.col("__level")) * cell)).cast("long")
-    d = d.withColumn("__cx", F.explode(F.sequence(lo("minx"), lo("maxx"))))
-    return d.withColumn("__cy", F.explode(F.sequence(lo("miny"), lo("maxy"))))
-
-
-def own_level(cell: float) -> Column:
-    wide = F.greatest(F.col("__maxx") - F.col("__minx"), F.col("__maxy") - F.col("__miny"))
-    return F.greatest(F.ceil(F.log2(F.greatest(wide, F.lit(cell)) / cell)), F.lit(0)).cast("int")
-
-
-def overlap_join(left: DataFrame, right: DataFrame, lbox, rbox, cell: float, strict: bool = True) -> DataFrame:
-    """Pairs whose boxes overlap: boxes are dealt to grid cells of their size, and pairs meet by an equi-join on level and cell.
-
-    A pair meets on the coarser of its two levels, in the cell of its common lower corner only.  The
-    levels, of which there are a few, are found by a pass over the boxes.  ``strict`` leaves out boxes
-    that merely touch.  Column names of the two sides must differ.
-    """
-    seen = None
-    for df, box in ((left, lbox), (right, rbox)):
-        own = df.select(*[c.alias(f"__{n}") for c, n in zip(box, ("minx", "miny", "maxx", "maxy"))]).select(own_level(cell).alias("n")).where("n is not null").distinct()
-        seen = own if seen is None else seen.unionByName(own)
-    levels = sorted(r["n"] for r in seen.distinct().collect())
-    a, b = cells(left, lbox, cell, levels), cells(right, rbox, cell, levels)
-    b = b.select([F.col(c).alias(f"__r{c}") if c.startswith("__") else F.col(c) for c in b.columns])
-    x, y = F.greatest("__minx", "__r__minx"), F.greatest("__miny", "__r__miny")
-    meet = (F.col("__level") == F.col("__r__level")) & (F.col("__cx") == F.col("__r__cx")) & (F.col("__cy") == F.col("__r__cy"))
-    size = F.pow(F.lit(2.0), F.col("__level")) * cell
-    home = (F.col("__level") == F.greatest("__own", "__r__own")) & (F.floor(x / size).cast("long") == F.col("__cx")) & (F.floor(y / size).cast("long") == F.col("__cy"))
-    if strict:
-        over = (x < F.least("__maxx", "__r__maxx")) & (y < F.least("__maxy", "__r__maxy"))
-    else:
-        over = (x <= F.least("__maxx", "__r__maxx")) & (y <= F.least("__maxy", "__r__maxy"))
-    return a.join(b, meet & home & over).select(*left.columns, *right.columns)

@@ -162,11 +162,11 @@ def slice_in_clip(spark, sf_dir):
 
 @query(f"WITH {SUP}, {CUS} SELECT f.k AS k1, c.k AS k2, f.tlx + floor((c.x - f.tlx) / 0.5) * 0.5 AS tlx, f.tly + floor((c.y - f.tly) / -0.5) * -0.5 AS tly FROM fp f JOIN (SELECT k, x, y + 80 AS y FROM cus) c ON c.x > f.minx AND c.x < f.maxx AND c.y > f.miny AND c.y < f.maxy")
 def fp_intersection_points(spark, sf_dir):
-    from ..plans.grid import overlap_join
+    from ..plans.quadtree import overlap_join
 
     a = footprints(spark, sf_dir).select(F.col("k").alias("k1"), "fp")
     b = customer_points(spark, sf_dir).select(F.col("k").alias("k2"), "x", (F.col("y") + 80).alias("y"))
-    j = overlap_join(a, b, fpx.bounds(fp()), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), 16.0, strict=False)
+    j = overlap_join(a, b, fpx.bounds(fp()), (F.col("x"), F.col("y"), F.col("x"), F.col("y")), strict=False)
     m = fpx.bounds(fp())
     j = j.where((F.col("x") > m[0]) & (F.col("x") < m[2]) & (F.col("y") > m[1]) & (F.col("y") < m[3]))
     c, r = fpx.spatial_to_raster(fp(), F.col("x"), F.col("y"))
@@ -197,11 +197,11 @@ def _diamonds(spark, sf_dir):
 @query(_DIAMOND)
 def fp_intersection_diamonds(spark, sf_dir):
     """Footprints cut by rings that lie across their grid."""
-    from ..plans.grid import overlap_join
+    from ..plans.quadtree import overlap_join
 
     d = _diamonds(spark, sf_dir)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    j = overlap_join(footprints(spark, sf_dir), d, fpx.bounds(fp()), (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)), 32.0)
+    j = overlap_join(footprints(spark, sf_dir), d, fpx.bounds(fp()), (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
     j = j.select("k", "r", fpx.overlap(fp(), F.col("ring")).alias("fp")).where("fp is not null")
     return j.select("k", "r", *[fp()[n].alias(n) for n in ("tlx", "tly", "rsx", "rsy")])
 
