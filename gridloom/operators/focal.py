@@ -1,6 +1,6 @@
 """Neighbourhood operators.
 
-Over tables of tiles, each tile gets the edges of its eight neighbours, so one shuffle of little more
+Over tables of tiles, blocks of tiles get the edges of the tiles around them, so one shuffle of little more
 than the raster serves, and arrays do the rest.  Over sparse tables of pixels, neighbours come from two
 passes of ``lag`` and ``lead``: along rows, then along columns over the values that the first gathered.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +53,15 @@ def focal_range(px: DataFrame) -> DataFrame:
 # --- over tiles ----------------------------------------------------------------------------------
 
 
-def with_edges(tiles: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """(tx, ty, dx, dy, part): each whole tile (0, 0), and the rows, columns and corners that its neighbours lie next to."""
+#: pixels of the side of a block, which is a square of tiles that one call of a function sees
+BLOCK = 256
+
+
+def in_blocks(tiles: DataFrame, size: tuple[int, int], k: tuple[int, int]) -> DataFrame:
+    """(bx, by, tx, ty, dx, dy, part): each whole tile (0, 0) in its block of ``k`` tiles, and the rows, columns and corners that tiles of other blocks lie next to.
+
+    A part that is sent on names the tile that it borders and the direction (dx, dy) that it lies in.
+    """
     w, h = size
     d = F.col("data")
     rows = (F.size(d) / w).cast("int")
@@ -62,33 +69,47 @@ def with_edges(tiles: DataFrame, size: tuple[int, int]) -> DataFrame:
     row = lambda y: F.slice(d, y * w + 1, F.lit(w))
     corner = lambda x, y: F.array(F.get(d, y * w + x))
     last_c, last_r = F.lit(w - 1), rows - 1
-    # the tile lies at (dx, dy) of the one that gets the part
     parts = {
         (0, 0): d, (-1, 0): column(last_c), (1, 0): column(F.lit(0)), (0, -1): row(last_r), (0, 1): row(F.lit(0)),
         (-1, -1): corner(last_c, last_r), (1, -1): corner(F.lit(0), last_r), (-1, 1): corner(last_c, F.lit(0)), (1, 1): corner(F.lit(0), F.lit(0)),
     }
-    sent = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), v.cast("array<double>").alias("part")) for (dx, dy), v in parts.items()])
-    t = tiles.select("tx", "ty", F.explode(sent).alias("s"))
-    return t.select((F.col("tx") - F.col("s.dx")).cast("int").alias("tx"), (F.col("ty") - F.col("s.dy")).cast("int").alias("ty"), F.col("s.dx").alias("dx"), F.col("s.dy").alias("dy"), F.col("s.part").alias("part"))
-
-
-def over_tiles(tiles: DataFrame, size: tuple[int, int], f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(tx, ty, data) of ``f`` applied to each full tile with a border of one pixel, NaN where there is no neighbour."""
+    block = lambda dx, dy: [F.floor((F.col(t) - o) / n).cast("int") for t, o, n in (("tx", dx, k[0]), ("ty", dy, k[1]))]
+    (ox, oy), sent = block(0, 0), []
+    for (dx, dy), v in parts.items():
+        bx, by = block(dx, dy)
+        s = F.struct(bx.alias("bx"), by.alias("by"), (F.col("tx") - dx).cast("int").alias("tx"), (F.col("ty") - dy).cast("int").alias("ty"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), v.cast("array<double>").alias("part"))
+        # tiles of one block need no strips of each other
+        sent.append(s if (dx, dy) == (0, 0) else F.when((bx != ox) | (by != oy), s))
+    return tiles.select(F.explode(F.array_compact(F.array(*sent))).alias("s")).select("s.*")
+
+
+def over_tiles(tiles: DataFrame, size: tuple[int, int], f: Callable[[np.ndarray], np.ndarray], side: int = BLOCK) -> DataFrame:
+    """(tx, ty, data) of ``f`` applied to full tiles with a border of one pixel, NaN where there is no neighbour.
+
+    ``f`` sees blocks of tiles with such a border and returns an array without it; a pixel's result may
+    only depend on its eight neighbours.
+    """
     w, h = size
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = {(x, y): np.asarray(p, float) for x, y, p in zip(pdf["dx"], pdf["dy"], pdf["part"])}
-        if (0, 0) not in got:
-            return pd.DataFrame({"tx": pd.Series([], dtype="int32"), "ty": pd.Series([], dtype="int32"), "data": pd.Series([], dtype=object)})
-        a = np.full((h + 2, w + 2), np.nan)
-        a[1:-1, 1:-1] = got[0, 0].reshape(h, w)
-        at = {-1: 0, 0: slice(1, -1), 1: -1}
-        for (x, y), part in got.items():
-            if (x, y) != (0, 0):
-                a[at[y], at[x]] = part if x == 0 or y == 0 else part[0]
-        return pd.DataFrame({"tx": [pdf["tx"].iloc[0]], "ty": [pdf["ty"].iloc[0]], "data": [f(a).ravel().tolist()]})
-
-    return with_edges(tiles, size).groupBy("tx", "ty").applyInPandas(run, "tx int, ty int, data array<double>")
+    kx, ky = max(1, side // w), max(1, side // h)
+
+    def run(table: pa.Table) -> pa.Table:
+        tx, ty, dx, dy, bx, by = (table.column(c).to_numpy() for c in ("tx", "ty", "dx", "dy", "bx", "by"))
+        part = table.column("part").combine_chunks()
+        flat, at = part.flatten().to_numpy(), np.r_[0, np.cumsum(part.value_lengths().to_numpy())]
+        x, y = tx - bx[0] * kx, ty - by[0] * ky
+        a = np.full((ky * h + 2, kx * w + 2), np.nan)
+        own = np.flatnonzero((dx == 0) & (dy == 0))
+        for i in own:
+            a[1 + y[i] * h : 1 + (y[i] + 1) * h, 1 + x[i] * w : 1 + (x[i] + 1) * w] = flat[at[i] : at[i + 1]].reshape(h, w)
+        for i in np.flatnonzero((dx != 0) | (dy != 0)):
+            rows = slice(1 + y[i] * h, 1 + (y[i] + 1) * h) if dy[i] == 0 else (y[i] * h if dy[i] < 0 else 1 + (y[i] + 1) * h)
+            cols = slice(1 + x[i] * w, 1 + (x[i] + 1) * w) if dx[i] == 0 else (x[i] * w if dx[i] < 0 else 1 + (x[i] + 1) * w)
+            a[rows, cols] = flat[at[i] : at[i + 1]] if dx[i] == 0 or dy[i] == 0 else flat[at[i]]
+        out = f(a).reshape(ky, h, kx, w).swapaxes(1, 2)[y[own], x[own]].reshape(-1)
+        data = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * (w * h)), pa.array(out))
+        return pa.table({"tx": pa.array(tx[own], pa.int32()), "ty": pa.array(ty[own], pa.int32()), "data": data})
+
+    return in_blocks(tiles, size, (kx, ky)).groupBy("bx", "by").applyInArrow(run, "tx int, ty int, data array<double>")
 
 
 def slope_array(z: np.ndarray, resx: float, resy: float, horn: bool = False) -> np.ndarray:

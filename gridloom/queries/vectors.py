@@ -302,3 +302,40 @@ def versioned_features(spark, sf_dir):
     v.remove_rows(table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 10).alias("fid")))
     p = F.col("geom")["parts"][0][0][0]
     return v.read("c_name").select("fid", p["x"].alias("x"), p["y"].alias("y"), "c_name")
+
+
+# Shifts of two datums to WGS 84, metres, arc seconds, millionths.
+_BRITISH, _GERMAN = (446.448, -125.157, 542.06, 0.1502, 0.247, 0.8421, -20.4894), (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)
+_AIRY, _BESSEL = (6377563.396, 299.3249646), (6377397.155, 299.1528128)
+
+
+def _datum_sql() -> str:
+    """Geodetic to geocentric, a shift of seven numbers, the inverse of another one, and Bowring's formula."""
+    import numpy as np
+
+    from ..sources import srs
+
+    there, back = srs._rotation(_BRITISH), np.linalg.inv(srs._rotation(_GERMAN))
+    (a1, f1), (a2, f2) = _AIRY, _BESSEL
+    e1, e2 = ((2 - 1 / f) / f for f in (f1, f2))
+    b2 = a2 * (1 - e2) ** 0.5
+    row = lambda m, k, v: " + ".join(f"({float(m[k, i])!r}::DOUBLE) * {c}" for i, c in enumerate(v))
+    return (
+        f"WITH {CUS}, d AS (SELECT k, x / 20 - 6 AS lon, 50 + y / 15 AS lat FROM cus), g AS (SELECT k, radians(lon) AS l, radians(lat) AS p FROM d), n AS (SELECT *, {a1!r}::DOUBLE / sqrt(1 - {e1!r}::DOUBLE * sin(p) * sin(p)) AS n FROM g), "
+        f"c AS (SELECT k, n * cos(p) * cos(l) AS x, n * cos(p) * sin(l) AS y, n * {1 - e1!r}::DOUBLE * sin(p) AS z FROM n), "
+        f"w AS (SELECT k, {row(there, 0, 'xyz')} + {_BRITISH[0]!r}::DOUBLE - {_GERMAN[0]!r}::DOUBLE AS x, {row(there, 1, 'xyz')} + ({_BRITISH[1]!r}::DOUBLE) - {_GERMAN[1]!r}::DOUBLE AS y, {row(there, 2, 'xyz')} + {_BRITISH[2]!r}::DOUBLE - {_GERMAN[2]!r}::DOUBLE AS z FROM c), "
+        f"v AS (SELECT k, {row(back, 0, 'xyz')} AS x, {row(back, 1, 'xyz')} AS y, {row(back, 2, 'xyz')} AS z FROM w), "
+        f"t AS (SELECT *, sqrt(x * x + y * y) AS r, atan2(z * {a2!r}::DOUBLE, sqrt(x * x + y * y) * {b2!r}::DOUBLE) AS t FROM v) "
+        f"SELECT k, round(degrees(atan2(y, x)), 8) AS lon, round(degrees(atan2(z + {e2 / (1 - e2) * b2!r}::DOUBLE * pow(sin(t), 3), r - {e2 * a2!r}::DOUBLE * pow(cos(t), 3))), 8) AS lat FROM t"
+    )
+
+
+@query(_datum_sql())
+def datum_change(spark, sf_dir):
+    """Points of one datum carried to another, features and all: Airy's ellipsoid to Bessel's by way of WGS 84."""
+    from ..sources import srs
+
+    a, b = srs.parse("+proj=longlat +datum=OSGB36 +no_defs"), srs.parse("+proj=longlat +datum=potsdam +no_defs")
+    p = customer_points(spark, sf_dir).select("k", gm.geom("Point", F.array(gm.point(F.col("x") / 20 - 6, 50 + F.col("y") / 15))).alias("geom"))
+    q = p.select("k", gm.transformed(F.col("geom"), srs.transform(a, b))["parts"][0][0][0].alias("q"))
+    return q.select("k", F.round(F.col("q")["x"], 8).alias("lon"), F.round(F.col("q")["y"], 8).alias("lat"))

@@ -11,7 +11,7 @@ from gridloom import env
 from gridloom.footprint import Footprint
 from gridloom.functions import footprint as fpx
 from gridloom.functions import types as ty
-from gridloom.operators import rasterize, tiling
+from gridloom.operators import focal, rasterize, tiling
 from gridloom.queries import QUERIES, SQL
 from gridloom.sources import srs
 
@@ -130,3 +130,48 @@ def test_tiling_validator_sees_every_footprint(spark, monkeypatch):
     assert run()[0] > 0
     monkeypatch.setattr(tiling, "tile", lambda *a: tile(*a).union(tile(*a).where("k = 3 and row = 0 and col = 0")))
     assert run() == (0, 24, 0)
+
+
+@pytest.mark.parametrize("side", [8, 16, 24, 256])
+def test_focal_blocks_of_every_size(spark, side):
+    """Blocks of one tile, of several and of all; a tile is missing in the middle."""
+    import numpy as np
+
+    z = np.random.default_rng(1).random((40, 56))
+    rows = [(x, y, z[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8].ravel().tolist()) for y in range(5) for x in range(7) if (x, y) != (3, 2)]
+    z[16:24, 24:32] = np.nan
+    want = focal.slope_array(np.pad(z, 1, constant_values=np.nan), 1.0, -1.0)
+    got = focal.over_tiles(spark.createDataFrame(rows, "tx int, ty int, data array<double>"), (8, 8), lambda a: focal.slope_array(a, 1.0, -1.0), side).collect()
+    assert len(got) == 34
+    for r in got:
+        assert np.array_equal(np.array(r["data"]).reshape(8, 8), want[r["ty"] * 8 : r["ty"] * 8 + 8, r["tx"] * 8 : r["tx"] * 8 + 8])
+
+
+def test_datums():
+    """There and back, a published pair of coordinates, and both text forms."""
+    import numpy as np
+
+    wgs, brit = srs.parse("+proj=longlat +datum=WGS84"), srs.parse("+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +datum=OSGB36 +units=m +no_defs")
+    points = np.array([(-5.0, 50.1, 0.0), (0.3, 52.6, 120.0), (-3.2, 58.5, 900.0), (1.7, 52.6, -20.0)])
+    there = srs.transform_points(wgs, brit)(points)
+    again = srs.transform_points(brit, wgs)(there)
+    # the projection and its inverse are series, good for some millimetres at four degrees from the meridian
+    assert np.abs(again[:, :2] - points[:, :2]).max() < 5e-8 and np.abs(again[:, 2] - points[:, 2]).max() < 1e-4
+    same = srs.transform_points(srs.parse("+proj=longlat +datum=OSGB36"), srs.parse("+proj=longlat +datum=potsdam"))
+    back = srs.transform_points(srs.parse("+proj=longlat +datum=potsdam"), srs.parse("+proj=longlat +datum=OSGB36"))
+    # the change of datum itself is exact to a micrometre on the ground, and to less than a tenth of a millimetre in height
+    assert np.abs(back(same(points))[:, :2] - points[:, :2]).max() < 1e-10 and np.abs(back(same(points))[:, 2] - points[:, 2]).max() < 1e-4
+    # the national survey's worked example of geodetic to geocentric coordinates on Airy's ellipsoid
+    airy = srs.parse("+proj=longlat +ellps=airy")
+    xyz = srs.geocentric(airy, 1 + 43 / 60 + 4.5177 / 3600, 52 + 39 / 60 + 27.2531 / 3600, 24.700, srs.Numbers)
+    assert np.allclose(xyz, (3874938.849, 116218.624, 5047168.208), atol=0.002)
+    assert np.allclose(srs.geodetic(airy, *xyz, srs.Numbers), (1.717921583, 52.657570306, 24.700), atol=1e-8)
+    for text in ("+proj=merc +lon_0=10 +k=0.999 +datum=potsdam", "+proj=lcc +lat_1=49 +lat_2=44 +lat_0=46.5 +lon_0=3 +towgs84=1,2,3"):
+        r = srs.parse(text)
+        assert srs.parse(srs.to_wkt(r)) == srs.parse(srs.to_proj4(r)) == r and r.datum is not None
+        lon, lat = srs.backward(r, *srs.forward(r, 12.5, 47.25, srs.Numbers), srs.Numbers)
+        assert abs(lon - 12.5) < 1e-9 and abs(lat - 47.25) < 1e-9
+    assert srs.transform_points(srs.parse("+proj=longlat +ellps=bessel"), wgs)([(7.0, 51.0)]).tolist() == [[7.0, 51.0]]
+    for bad in ("+proj=longlat +datum=nowhere", "+proj=longlat +ellps=egg", "+proj=longlat +towgs84=1,2"):
+        with pytest.raises(ValueError):
+            srs.parse(bad)
