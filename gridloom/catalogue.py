@@ -143,11 +143,12 @@ class Raster(Source):
         reach = 0 if self.fp.same_grid(fp) else raster.KERNELS.get(interpolation, 1) // 2 + 2
         us, vs = zip(*[self.fp.inverse(*c) for c in fp.corners])
         window = max(0, int(np.floor(min(us))) - reach), max(0, int(np.floor(min(vs))) - reach), min(self.fp.rsx, int(np.ceil(max(us))) + reach), min(self.fp.rsy, int(np.ceil(max(vs))) + reach)
-        got = raster.read_tiles(self.tiles(window), self.size, self.fp, fp, ids, self.nodata, dst_nodata, interpolation)
-        factors = [(self.channels[i]["scale"], self.channels[i]["offset"]) for i in ids] if self.driver == "numpy" else []
-        if any(f != (1.0, 0.0) for f in factors):
-            scale, offset = (F.element_at(F.array(*[F.lit(f[k]) for f in factors]), F.col("band") + 1) for k in (0, 1))
-            got = got.withColumn("value", F.when(F.col("value") == nodata, F.col("value")).otherwise(F.col("value") * scale + offset))
+        tiles = self.tiles(window)
+        # arrays are scaled before anything is compared with nodata or resampled, files never
+        if self.driver == "numpy" and any((c["scale"], c["offset"]) != (1.0, 0.0) for c in self.channels):
+            bands = [F.transform(F.get("data", F.lit(k)), lambda v, c=c: v * c["scale"] + c["offset"]) for k, c in enumerate(self.channels)]
+            tiles = tiles.withColumn("data", F.array(*bands))
+        got = raster.read_tiles(tiles, self.size, self.fp, fp, ids, self.nodata, dst_nodata, interpolation)
         return got
 
     def get_data(self, fp: Footprint | None = None, channels=None, dst_nodata=None, interpolation: str | None = "cv_area") -> np.ndarray:

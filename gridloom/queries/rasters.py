@@ -297,11 +297,10 @@ def burn_lines_all_touched(spark, sf_dir):
     return rasterize.burn_lines(ln, BURN_FP, "k", all_touched=True).select("k", "px", "py")
 
 
-@query(f"WITH {PART}, b AS (SELECT * FROM box) SELECT fid, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM b, range(128) u(x), range(128) v(y) WHERE x < maxx AND x + 1 > minx AND 127 - y < maxy AND 128 - y > miny AND minx <> floor(minx) AND maxx <> floor(maxx) AND miny <> floor(miny) AND maxy <> floor(maxy)")
+@query(f"WITH {PART} SELECT fid, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM box, range(128) u(x), range(128) v(y) WHERE x BETWEEN floor(minx) AND floor(maxx) AND y BETWEEN floor(128 - maxy) AND floor(128 - miny) AND NOT (x = maxx AND y = 128 - miny)")
 def burn_polygons_all_touched(spark, sf_dir):
-    # sides on the lines between pixels belong to either; boxes that have one are left to the tests
-    b = part_boxes(spark, sf_dir).where("p_size % 8 <> 0")
-    return rasterize.burn_polygons(b.select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
+    """A side on the line between two pixels touches the one on the right of it, or below; the lower right corner alone touches none."""
+    return rasterize.burn_polygons(part_boxes(spark, sf_dir).select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
 
 
 @query(_thin_sql(250000))

@@ -90,13 +90,16 @@ def spatial_join_points_polygons(spark, sf_dir):
     return spatial_join.points_in_polygons(p, part_boxes(spark, sf_dir).select("fid", "geom")).select("k", "fid")
 
 
-@query("SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS channel, unnest([-32767.0, 0.0, -32767.0])::DOUBLE AS nodata, 'grayindex' AS interpretation, 0.0::DOUBLE AS \"offset\", 2.0::DOUBLE AS scale, 'all_valid' AS mask")
+@query("WITH c AS (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS channel, unnest([-32767.0, 0.0, -32767.0])::DOUBLE AS nodata, 'grayindex' AS interpretation, 0.0::DOUBLE AS \"offset\", 2.0::DOUBLE AS scale, 'all_valid' AS mask) SELECT s_suppkey AS k, channel, nodata, interpretation, \"offset\", scale, mask, round(s_acctbal * scale + \"offset\", 4) AS value FROM supplier JOIN c ON channel = s_suppkey % 3")
 def channels_schema_broadcast(spark, sf_dir):
+    """The suppliers' balances as samples of three channels, scaled as their channel says."""
     from ..functions.types import CHANNEL, channels_schema
 
     rows = channels_schema(3, {"nodata": [-32767, 0, -32767], "interpretation": "grayindex", "scale": 2})
     df = spark.createDataFrame([(i, tuple(r[f.name] for f in CHANNEL)) for i, r in enumerate(rows)], f"channel int, c {CHANNEL.simpleString()}")
-    return df.select("channel", "c.*")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 3).cast("int").alias("channel"), "s_acctbal")
+    found = s.join(F.broadcast(df), "channel").select("k", "channel", "c.*", "s_acctbal")
+    return found.withColumn("value", F.round(F.col("s_acctbal") * F.col("scale") + F.col("offset"), 4)).drop("s_acctbal")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS SMALLINT) AS uint8, CAST(l_extendedprice AS FLOAT) AS float32, CAST(l_linenumber AS BIGINT) AS int64 FROM lineitem")
@@ -149,10 +152,10 @@ def vector_clip_holes(spark, sf_dir):
     return c.where("area > 0")
 
 
-@query(f"WITH {_H} SELECT fid FROM hb WHERE maxx >= 50 AND minx <= 51 AND maxy >= 40 AND miny <= 41 AND NOT (minx + h / 2 < 50 AND maxx - h / 2 > 51 AND miny + h / 2 < 40 AND maxy - h / 2 > 41)")
+@query(f"WITH {_H} SELECT fid FROM hb WHERE maxx >= 16.5 AND minx <= 17.5 AND maxy >= 84.5 AND miny <= 85.5 AND NOT (minx + h / 2 < 16.5 AND maxx - h / 2 > 17.5 AND miny + h / 2 < 84.5 AND maxy - h / 2 > 85.5)")
 def vector_filter_holes(spark, sf_dir):
-    """A mask inside a hole meets nothing."""
-    return vector.read(frames(spark, sf_dir), None, (50.0, 51.0, 40.0, 41.0)).select("fid")
+    """Of frames around one place, a mask there meets those whose hole does not hold it."""
+    return vector.read(frames(spark, sf_dir), None, (16.5, 17.5, 84.5, 85.5)).select("fid")
 
 
 _up = "greatest(0, least(minx + h, 60) - greatest(minx, 20)) * greatest(0, least(maxy, 70) - greatest(miny + h, 30))"
@@ -272,13 +275,19 @@ def catalogue_vector(spark, sf_dir):
         return v.read("c_name").select("fid", p["x"].alias("x"), p["y"].alias("y"), "c_name")
 
 
-@query("SELECT unnest(['bool', 'uint8', 'int8', 'int16', 'uint16', 'int32', 'uint32', 'int64', 'uint64', 'float16', 'float32', 'float64', 'float128', 'complex64']) AS name, unnest(['uint8', 'uint8', NULL, 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, NULL, 'float32', 'float64', NULL, 'complex64']) AS equivalent, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, 'float32', 'float32', 'float64', NULL, 'complex64']) AS upcast, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', 'float64', 'float64', 'float32', 'float32', 'float64', 'float64', 'complex64']) AS downcast")
+_FAMILIES = "SELECT unnest(['bool', 'uint8', 'int8', 'int16', 'uint16', 'int32', 'uint32', 'int64', 'uint64', 'float16', 'float32', 'float64', 'float128', 'complex64']) AS name, unnest(['uint8', 'uint8', NULL, 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, NULL, 'float32', 'float64', NULL, 'complex64']) AS equivalent, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', NULL, NULL, 'float32', 'float32', 'float64', NULL, 'complex64']) AS upcast, unnest(['uint8', 'uint8', 'int16', 'int16', 'uint16', 'int32', 'uint32', 'float64', 'float64', 'float32', 'float32', 'float64', 'float64', 'complex64']) AS downcast"
+_TYPES = "bool uint8 int8 int16 uint16 int32 uint32 int64 uint64 float16 float32 float64 float128 complex64".split()
+
+
+@query(f"WITH f AS ({_FAMILIES}), p AS (SELECT {_TYPES!r}[CAST(p_size % 14 AS INTEGER) + 1] AS name, count(*) AS n FROM part GROUP BY 1) SELECT name, equivalent, upcast, downcast, n FROM p JOIN f USING (name)")
 def type_families(spark, sf_dir):
+    """What the pixel types that a table names become in files, and how often each is named."""
     from ..functions import types as ty
 
-    names = ["bool", "uint8", "int8", "int16", "uint16", "int32", "uint32", "int64", "uint64", "float16", "float32", "float64", "float128", "complex64"]
     to = lambda how, n: getattr(ty, how)(n) if ty.is_file_type(n, how) else None
-    return spark.createDataFrame([(n, to("equivalent", n), to("upcast", n), to("downcast", n)) for n in names], "name string, equivalent string, upcast string, downcast string")
+    families = spark.createDataFrame([(n, to("equivalent", n), to("upcast", n), to("downcast", n)) for n in _TYPES], "name string, equivalent string, upcast string, downcast string")
+    named = table(spark, sf_dir, "part").select(F.get(F.array(*map(F.lit, _TYPES)), (F.col("p_size") % 14).cast("int")).alias("name"))
+    return named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(families), "name").select("name", "equivalent", "upcast", "downcast", "n")
 
 
 @query(
