@@ -171,10 +171,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are not taken.
     """
     h = F.xxhash64(text_col)
-    found = mix(docs.select(F.col(id_col), F.col(text_col), F.col(source_col), h.alias("__gl_h")), id_col, text_col, source_col, "__gl_h", **how)
+    named = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("__gl_t"), F.col(source_col).alias("__gl_s"), h.alias("__gl_h"))
+    found = mix(named, "__gl_id", "__gl_t", "__gl_s", "__gl_h", **how)
     # rows that repeat both id and text share what was taken of them
-    times = found.groupBy(id_col, "__gl_h").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__gl_times"), F.min("slots").alias("__gl_slots")).where("__gl_times > 0")
-    times = times.select(F.col(id_col).alias("__gl_i"), F.col("__gl_h").alias("__gl_kh"), "__gl_times", "__gl_slots")
+    times = found.groupBy("__gl_id", "__gl_h").agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__gl_times"), F.min("slots").alias("__gl_slots")).where("__gl_times > 0")
+    times = times.select(F.col("__gl_id").alias("__gl_i"), F.col("__gl_h").alias("__gl_kh"), "__gl_times", "__gl_slots")
     rows = docs.withColumn("__gl_h", h)
     out = rows.join(times, rows[id_col].eqNullSafe(times["__gl_i"]) & (rows["__gl_h"] == times["__gl_kh"]))
     out = out.withColumn("__gl_k", F.explode(F.sequence(F.lit(1), F.col("__gl_times"))))

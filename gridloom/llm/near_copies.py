@@ -72,7 +72,10 @@ def text_hash(text_col: str):
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, radius: int = RADIUS) -> DataFrame:
-    """(id, h, component_root, component_id) for each row of ``docs``: the text's hash, the class and the smallest id in it."""
+    """(id, h, component_root, component_id) for each row of ``docs``: the text's hash, the class and the smallest id in it.
+
+    The id may not be named like a column of the result.
+    """
     rows = cut(marked(docs, id_col, text_col))
     source = docs.select(text_hash(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = cut(rows.groupBy("fingerprint").agg(F.min("h").alias("a")))
@@ -100,5 +103,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     Null texts are empty ones and all alike.  Of rows that repeat an id and a text one stays; so does one
     row of a class whose ids are all null.  Very long texts are compared whole.
     """
-    found = near_classes(docs.select(id_col, text_col), id_col, text_col, least, radius)
+    named = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("__gl_t"))
+    found = near_classes(named, "__gl_id", "__gl_t", least, radius)
     return keep_first(docs, found, id_col, text_hash(text_col))

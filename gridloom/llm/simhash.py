@@ -209,16 +209,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     Rows that repeat that id and text, or a component whose ids are all null, keep one row as well.
     """
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(text_col).alias("h"))
-    return keep_first(docs, near_duplicates(keyed, id_col, text_col, radius, "h"), id_col, F.xxhash64(text_col))
+    keyed = docs.select(F.col(id_col).alias("__gl_id"), F.col(text_col).alias("__gl_t"), F.xxhash64(text_col).alias("h"))
+    return keep_first(docs, near_duplicates(keyed, "__gl_id", "__gl_t", radius, "h"), id_col, F.xxhash64(text_col))
 
 
 def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
-    """The rows of ``docs`` that stand for the components of ``found`` (id, h, component_root, component_id), h being their ``text_hash``."""
+    """The rows of ``docs`` that stand for the components of ``found`` (__gl_id, h, component_root, component_id), h being their ``text_hash``; names in ``docs`` may be any."""
     first = (
-        found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+        found.where(F.col("__gl_id").eqNullSafe(F.col("component_id")))
         .groupBy("component_root")
-        .agg(F.min(F.struct(F.col(id_col).alias("i"), "h")).alias("k"))
+        .agg(F.min(F.struct(F.col("__gl_id").alias("i"), "h")).alias("k"))
         .select(F.col("k.i").alias("__gl_i"), F.col("k.h").alias("__gl_kh"))
     )
     rows = docs.withColumn("__gl_h", text_hash)

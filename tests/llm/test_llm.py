@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontaminate, line_dedup, mixing, quality_model, quality_rules, queries, quotes, secrets, sharding, simhash, token_counts
+from gridloom.llm import decontaminate, line_dedup, mixing, near_copies, quality_model, quality_rules, queries, quotes, secrets, sharding, simhash, token_counts
 from gridloom.plans.lineage import components, ranked
 
 SF = "/root/testdata/sf0.001"
@@ -330,3 +330,19 @@ def test_pipeline(spark):
     ids = {r["doc_id"] for r in out.collect()}
     got = p.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} == ids and {r["shard"] for r in got} <= set(range(8))
+
+
+@pytest.mark.parametrize("name", ["h", "size", "fingerprint", "component_id", "key", "block"])
+def test_any_names_of_columns(spark, docs, name):
+    """Stages that return rows as they are take ids under names that they use inside, and another column of such a name."""
+    some = docs.select("doc_id", "text", "source").where("doc_id is not null").limit(60)
+    named = some.withColumnRenamed("doc_id", name).withColumn("root" if name != "root" else "h", F.lit(1))
+    stages = [
+        lambda d, i: near_copies.keep_one(d, i),
+        lambda d, i: simhash.keep_one(d, i),
+        lambda d, i: mixing.mixed_rows(d, i),
+    ]
+    for stage in stages:
+        got, want = stage(named, name), stage(some, "doc_id")
+        assert got.columns == named.columns
+        assert collections.Counter(r[0] for r in got.select(name).collect()) == collections.Counter(r[0] for r in want.select("doc_id").collect())
