@@ -41,6 +41,39 @@ def area(g: Column) -> Column:
     return F.aggregate(F.transform(g["parts"], part), F.lit(0.0), lambda a, x: a + x)
 
 
+def centroid(g: Column) -> Column:
+    """(x, y) of the middle of polygons, of each part the first ring less the others; null without an area.
+
+    Coordinates are taken from the first point, which keeps the digits of small shapes far from the origin.
+    """
+    origin = points(g)[0]
+
+    def moments(ring: Column, sign: Column) -> Column:
+        """(twice the area, and six times its product with x and y), whichever way the ring turns."""
+
+        def step(p: Column, i: Column) -> Column:
+            a, b = F.get(ring, i - 1), p
+            ax, ay, bx, by = a["x"] - origin["x"], a["y"] - origin["y"], b["x"] - origin["x"], b["y"] - origin["y"]
+            c = F.when(i > 0, ax * by - bx * ay).otherwise(0.0)
+            return F.struct(c.alias("c"), (c * F.coalesce(ax + bx, F.lit(0.0))).alias("x"), (c * F.coalesce(ay + by, F.lit(0.0))).alias("y"))
+
+        def turned(t: Column) -> Column:
+            turn = sign * F.when(t["c"] < 0, -1.0).otherwise(1.0)
+            return F.struct(*[(t[k] * turn).alias(k) for k in ("c", "x", "y")])
+
+        # the outer ``transform`` binds the sums, which would otherwise be made for every use of them
+        return F.transform(F.array(_summed(F.transform(ring, step))), turned)[0]
+
+    rings = F.flatten(F.transform(g["parts"], lambda part: F.transform(part, lambda r, i: moments(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
+    middle = lambda m: F.when(m["c"] != 0, F.struct((origin["x"] + m["x"] / (3 * m["c"])).alias("x"), (origin["y"] + m["y"] / (3 * m["c"])).alias("y")))
+    return F.transform(F.array(_summed(rings)), middle)[0]
+
+
+def _summed(values: Column) -> Column:
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("c", "x", "y")])
+    return F.aggregate(values, zero, lambda a, v: F.struct(*[(a[k] + v[k]).alias(k) for k in ("c", "x", "y")]))
+
+
 def clip_ring(ring: Column, axis: str, bound, keep_above: bool) -> Column:
     """A closed ring cut by a half plane across an axis: each side gives its kept start and its crossing."""
     other = "y" if axis == "x" else "x"

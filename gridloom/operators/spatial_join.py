@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..footprint import Footprint
 from ..functions import footprint as fpx
 from ..functions import geometry as gm
 from ..plans.quadtree import overlap_join
@@ -41,6 +42,19 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y:
     return pairs.where(F.when(F.col("gl_box"), in_box).otherwise(odd)).select(*points.columns, *polygons.columns)
 
 
+def features_by_tile(features: DataFrame, fp: Footprint, width: int, height: int, geom: str = "geom") -> DataFrame:
+    """(tx, ty, n): how many polygons have their middle in each tile of ``width`` x ``height`` pixels of a raster; those outside it count nowhere.
+
+    A middle on the line between tiles, up to a millionth of a pixel, belongs to the later one.
+    """
+    det = fp.dx * fp.dy - fp.rx * fp.ry
+    # exploded, so that the middle is made once and not for each use of it
+    c = features.select(F.explode(F.array(gm.centroid(F.col(geom)))).alias("c")).select((F.col("c.x") - fp.tlx).alias("x"), (F.col("c.y") - fp.tly).alias("y"))
+    u, v = (F.col("x") * fp.dy - F.col("y") * fp.rx) / det, (F.col("y") * fp.dx - F.col("x") * fp.ry) / det
+    at = c.select(F.floor(F.round(u, 6)).alias("px"), F.floor(F.round(v, 6)).alias("py")).where(F.col("px").between(0, fp.rsx - 1) & F.col("py").between(0, fp.rsy - 1))
+    return at.groupBy(F.floor(F.col("px") / width).cast("int").alias("tx"), F.floor(F.col("py") / height).cast("int").alias("ty")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def zonal(pixels: DataFrame, burnt: DataFrame, key: str) -> DataFrame:
     """(key, n, mean) of the pixels (px, py, value) under each burnt shape (key, px, py)."""
     return burnt.join(pixels, ["px", "py"]).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))

@@ -348,3 +348,29 @@ def datum_change(spark, sf_dir):
     p = customer_points(spark, sf_dir).select("k", gm.geom("Point", F.array(gm.point(F.col("x") / 20 - 6, 50 + F.col("y") / 15))).alias("geom"))
     q = p.select("k", gm.transformed(F.col("geom"), srs.transform(a, b))["parts"][0][0][0].alias("q"))
     return q.select("k", F.round(F.col("q")["x"], 8).alias("lon"), F.round(F.col("q")["y"], 8).alias("lat"))
+
+
+_COUNTS = f"{_H}, c AS (SELECT floor(round(minx + h * 5 / 6, 6)) AS px, floor(round(128 - (miny + h * 5 / 6), 6)) AS py FROM hb), t AS (SELECT CAST(floor(px / 8) AS INTEGER) AS tx, CAST(floor(py / 8) AS INTEGER) AS ty, count(*) AS n FROM c WHERE px BETWEEN 0 AND 127 AND py BETWEEN 0 AND 127 GROUP BY 1, 2)"
+
+
+def _tile_counts(spark, sf_dir):
+    """Counts by tile of L-shaped polygons, squares without their upper right quarter."""
+    from ..footprint import Footprint
+
+    x0, y0, x1, y1 = _c("minx", "miny", "maxx", "maxy")
+    mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+    ring = F.array(*[gm.point(x, y) for x, y in ((x0, y1), (x0, y0), (x1, y0), (x1, my), (mx, my), (mx, y1), (x0, y1))])
+    shapes = _boxes(spark, sf_dir).select("fid", _shape("Polygon", [ring]).alias("geom"))
+    return spatial_join.features_by_tile(shapes, Footprint.of((0, 128), (128, 128), (128, 128)), 8, 8)
+
+
+@query(f"WITH {_COUNTS} SELECT tx, ty, n FROM t")
+def features_by_tile(spark, sf_dir):
+    """How many polygons have their middle in each tile."""
+    return _tile_counts(spark, sf_dir)
+
+
+@query(f"WITH {_COUNTS} SELECT tx, ty, n FROM t ORDER BY n DESC, ty, tx LIMIT 10")
+def topk_tiles_by_features(spark, sf_dir):
+    """The ten tiles with the most polygons."""
+    return _tile_counts(spark, sf_dir).orderBy(F.desc("n"), "ty", "tx").limit(10)

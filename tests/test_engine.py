@@ -175,3 +175,22 @@ def test_datums():
     for bad in ("+proj=longlat +datum=nowhere", "+proj=longlat +ellps=egg", "+proj=longlat +towgs84=1,2"):
         with pytest.raises(ValueError):
             srs.parse(bad)
+
+
+def test_centroids(spark):
+    """A triangle, a square with a hole off its middle, two parts, rings that turn either way, far from the origin, and a shape without an area."""
+    from gridloom.functions import geometry as gm
+
+    far = 1e7
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    shapes = {
+        (1.0, 1.0): {"type": "Polygon", "coordinates": [[(0, 0), (3, 0), (0, 3), (0, 0)]]},
+        ((16 * 2 - 1 * 3.5) / 15, (16 * 2 - 1 * 3.5) / 15): {"type": "Polygon", "coordinates": [square(0, 0, 4), square(3, 3, 1)]},
+        ((1 * 0.5 + 4 * 11) / 5, (1 * 0.5 + 4 * 1) / 5): {"type": "MultiPolygon", "coordinates": [[square(0, 0, 1)], [square(10, 0, 2)[::-1]]]},
+        (far + 0.005, far + 0.005): {"type": "Polygon", "coordinates": [square(far, far, 0.01)]},
+    }
+    rows = [(gm.value_of(g),) for g in shapes.values()] + [(gm.value_of({"type": "Polygon", "coordinates": [[(0, 0), (1, 1), (0, 0)]]}),)]
+    got = [r["c"] for r in spark.createDataFrame(rows, f"geom {ty.GEOM.simpleString()}").select(gm.centroid(F.col("geom")).alias("c")).collect()]
+    assert got[-1] is None
+    for want, c in zip(shapes, got):
+        assert math.isclose(c["x"], want[0], abs_tol=1e-8) and math.isclose(c["y"], want[1], abs_tol=1e-8)
