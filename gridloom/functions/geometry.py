@@ -160,12 +160,12 @@ def _odd(sides: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(sides, hit)) % 2 == 1
 
 
-def intersects(g: Column, mask: Mask) -> Column:
-    """Whether a geometry has a point in common with the mask.
+def intersects(g: Column, mask: Mask, box: Column | None = None) -> Column:
+    """Whether a geometry has a point in common with the mask; ``box`` has its bounds (minx, miny, maxx, maxy), where they are known.
 
     The boxes decide first.  Else a side of each meets, or the first point of a path of one lies in the other.
     """
-    b, (x0, y0, x1, y1) = bbox(g), mask.box
+    b, (x0, y0, x1, y1) = bbox(g) if box is None else [box[k] for k in range(4)], mask.box
     near = (b[0] <= x1) & (b[2] >= x0) & (b[1] <= y1) & (b[3] >= y0)
     sides = mask.sides()
     own = segments(g)
@@ -320,28 +320,36 @@ def to_wkt(g: Column) -> Column:
     return F.concat(F.upper(g["type"]), F.lit(" "), body)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def from_geojson(text: Column) -> Column:
     """The struct for GeoJSON text of points, lines, polygons and their multiples; null for null."""
-    g = F.from_json(text, "type string, coordinates string")
+    return _bound(F.from_json(text, "type string, coordinates string"), _of_geojson)
+
+
+def _of_geojson(g: Column) -> Column:
     c, kind = g["coordinates"], g["type"]
     read = lambda depth: F.from_json(c, "array<" * depth + "double" + ">" * depth)
     pt = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"), F.coalesce(F.get(p, 2), F.lit(0.0)).alias("z"))
     ring = lambda r: F.transform(r, pt)
     parts = {
-        "Point": F.array(F.array(F.array(pt(read(1))))),
-        "LineString": F.array(F.array(ring(read(2)))),
-        "MultiPoint": F.transform(read(2), lambda p: F.array(F.array(pt(p)))),
-        "MultiLineString": F.transform(read(3), lambda r: F.array(ring(r))),
-        "Polygon": F.array(F.transform(read(3), ring)),
-        "MultiPolygon": F.transform(read(4), lambda p: F.transform(p, ring)),
+        "Point": (1, lambda v: F.array(F.array(F.array(pt(v))))),
+        "LineString": (2, lambda v: F.array(F.array(ring(v)))),
+        "MultiPoint": (2, lambda v: F.transform(v, lambda p: F.array(F.array(pt(p))))),
+        "MultiLineString": (3, lambda v: F.transform(v, lambda r: F.array(ring(r)))),
+        "Polygon": (3, lambda v: F.array(F.transform(v, ring))),
+        "MultiPolygon": (4, lambda v: F.transform(v, lambda p: F.transform(p, ring))),
     }
-    out, z = F.lit(None).cast("array<array<array<struct<x:double,y:double,z:double>>>>"), F.lit(False)
-    for name, v in parts.items():
-        out = F.when(kind == name, v).otherwise(out)
-    deep = {1: F.size(read(1)) > 2, 2: F.exists(read(2), lambda p: F.size(p) > 2), 3: F.exists(F.flatten(read(3)), lambda p: F.size(p) > 2), 4: F.exists(F.flatten(F.flatten(read(4))), lambda p: F.size(p) > 2)}
-    for name, depth in (("Point", 1), ("LineString", 2), ("MultiPoint", 2), ("MultiLineString", 3), ("Polygon", 3), ("MultiPolygon", 4)):
-        z = F.when(kind == name, deep[depth]).otherwise(z)
-    return F.when(kind.isNotNull(), F.struct(kind.alias("type"), F.coalesce(z, F.lit(False)).alias("has_z"), out.alias("parts")))
+    deep = lambda v, depth: F.size(v) > 2 if depth == 1 else F.exists(v, lambda p: deep(p, depth - 1))
+    # the numbers are parsed once, for the points and for whether one has a height
+    both = lambda depth, of: _bound(read(depth), lambda v: F.struct(deep(v, depth).alias("z"), of(v).alias("parts")))
+    out = F.lit(None).cast("struct<z:boolean,parts:array<array<array<struct<x:double,y:double,z:double>>>>>")
+    for name, (depth, of) in parts.items():
+        out = F.when(kind == name, both(depth, of)).otherwise(out)
+    return F.when(kind.isNotNull(), _bound(out, lambda o: F.struct(kind.alias("type"), F.coalesce(o["z"], F.lit(False)).alias("has_z"), o["parts"].alias("parts"))))
 
 
 def from_wkt(text: Column) -> Column:
@@ -349,16 +357,23 @@ def from_wkt(text: Column) -> Column:
 
     Brackets become GeoJSON's, so the text is read by the same parser.
     """
-    t = F.trim(F.upper(text))
+    return _bound(F.trim(F.upper(text)), _of_wkt)
+
+
+def _of_wkt(t: Column) -> Column:
     kind = F.regexp_extract(t, r"^([A-Z]+)", 1)
     name = F.element_at(F.create_map(*[F.lit(v) for k in ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon") for v in (k.upper(), k)]), kind)
     body = F.regexp_replace(F.regexp_extract(t, r"(\(.*\))", 1), r"\s+", " ")
     body = F.regexp_replace(body, r" ?([(),]) ?", "$1")
     # points lose brackets of their own in a multipoint, then each point gets its pair
-    body = F.when(kind == "MULTIPOINT", F.concat(F.lit("("), F.regexp_replace(body, r"[()]", ""), F.lit(")"))).otherwise(body)
+    multi = lambda b: F.when(kind == "MULTIPOINT", F.concat(F.lit("("), F.regexp_replace(b, r"[()]", ""), F.lit(")"))).otherwise(b)
+    return _bound(_bound(body, multi), lambda b: F.when(b != "", _numbers_of_wkt(kind, name, b)))
+
+
+def _numbers_of_wkt(kind: Column, name: Column, body: Column) -> Column:
     points = F.regexp_replace(body, r"\s*([-+0-9.E]+(?: [-+0-9.E]+)+)\s*", "[$1]")
     numbers = F.replace(points, F.lit(" "), F.lit(","))
     numbers = F.regexp_replace(F.regexp_replace(numbers, r"(?<![0-9])\.", "0."), r"\.(?![0-9])", ".0")
     numbers = F.replace(F.replace(F.replace(numbers, F.lit("("), F.lit("[")), F.lit(")"), F.lit("]")), F.lit("+"), F.lit(""))
-    coords = F.when(kind == "POINT", F.regexp_replace(numbers, r"^\[(.*)\]$", "$1")).otherwise(numbers)
-    return F.when(body != "", from_geojson(F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), coords, F.lit("}"))))
+    coords = _bound(numbers, lambda n: F.when(kind == "POINT", F.regexp_replace(n, r"^\[(.*)\]$", "$1")).otherwise(n))
+    return from_geojson(F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), coords, F.lit("}")))

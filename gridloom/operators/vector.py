@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from ..functions import geometry as gm
 from ..functions import plane
 from ..functions.types import field_names
+from ..plans.spread import once
 
 def mask_of(mask) -> gm.Mask | None:
     """The mask's polygon: an extent (minx, maxx, miny, maxy), a footprint, turned or not, a polygon as a GeoJSON-like dict or object, or None."""
@@ -34,11 +35,17 @@ def read(features: DataFrame, fields=-1, mask=None, do_clip: bool = False, slici
     """
     names = [c for c in features.columns if c not in (geom, fid)]
     wanted, _ = field_names(fields, names)
-    if not allow_none:
-        features = features.withColumn(geom, F.when(F.col(geom).isNull(), F.raise_error(F.lit("a geometry is null"))).otherwise(F.col(geom)))
     where = mask_of(mask)
+    g = F.col(geom)
+    if not allow_none:
+        g = F.when(g.isNull(), F.raise_error(F.lit("a geometry is null"))).otherwise(g)
     if where is not None:
-        features = features.where(F.col(geom).isNotNull() & gm.intersects(F.col(geom), where))
+        # the geometry, then its box, so that a filter makes neither again for each of its terms
+        features = once(features, **{geom: g})
+        features = once(features, __gl_box=F.when(F.col(geom).isNotNull(), F.array(*gm.bbox(F.col(geom)))))
+        features = features.where(F.col("__gl_box").isNotNull() & gm.intersects(F.col(geom), where, F.col("__gl_box"))).drop("__gl_box")
+    elif not allow_none:
+        features = features.withColumn(geom, g)
     start, stop, step = slicing.start or 0, slicing.stop, slicing.step or 1
     if start < 0 or (stop is not None and stop < 0) or step < 1:
         raise ValueError("slices run forward from 0")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
 from ..functions import geometry as gm
+from ..plans.spread import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def fp():
 def footprints(spark, sf_dir: str) -> DataFrame:
     """(k, fp) of the suppliers."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    return table(spark, sf_dir, "supplier").select(k.alias("k"), fpx.make(k * 4.0, 0.5, 0.0, 200.0 - n * 2.0, 0.0, -0.5, 20 + k % 7, 10 + n % 5).alias("fp"))
+    return spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(k.alias("k"), fpx.make(k * 4.0, 0.5, 0.0, 200.0 - n * 2.0, 0.0, -0.5, 20 + k % 7, 10 + n % 5).alias("fp"))
 
 
 SUP = """sup AS (SELECT s_suppkey AS k, s_suppkey * 4.0::DOUBLE AS tlx, 0.5::DOUBLE AS dx, 200.0::DOUBLE - s_nationkey * 2.0::DOUBLE AS tly, -0.5::DOUBLE AS dy,
@@ -74,7 +75,7 @@ ORD = """ord AS (SELECT CAST(o_orderkey % 64 AS INTEGER) AS px, CAST(o_custkey %
 
 def customer_points(spark, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("k"), ((k % 128) + 0.25).cast("double").alias("x"), ((k * 7) % 128 + 0.5).cast("double").alias("y"), "c_name", "c_acctbal", "c_mktsegment")
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("k"), ((k % 128) + 0.25).cast("double").alias("x"), ((k * 7) % 128 + 0.5).cast("double").alias("y"), "c_name", "c_acctbal", "c_mktsegment")
 
 
 CUS = """cus AS (SELECT c_custkey AS k, (c_custkey % 128) + 0.25::DOUBLE AS x, (c_custkey * 7) % 128 + 0.5::DOUBLE AS y, c_name, c_acctbal, c_mktsegment FROM customer)"""
@@ -84,7 +85,7 @@ def part_boxes(spark, sf_dir: str) -> DataFrame:
     """(fid, geom, p_name, p_size): rectangles around the parts."""
     k, h = F.col("p_partkey"), F.col("p_size") / 8.0
     x, y = (k % 128).cast("double"), ((k * 5) % 128).cast("double")
-    return table(spark, sf_dir, "part").select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
 
 
 PART = """prt AS (SELECT p_partkey AS fid, (p_partkey % 128)::DOUBLE AS x, ((p_partkey * 5) % 128)::DOUBLE AS y, p_size / 8.0::DOUBLE AS h, p_name, p_size FROM part),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as gm
 from ..operators import spatial_join, vector
+from ..plans.spread import once
 from .base import CUS, PART, customer_points, part_boxes, query, table
 
 BOX = (20.0, 60.0, 30.0, 70.0)  # minx, maxx, miny, maxy
@@ -124,8 +125,8 @@ def _shape(kind, *parts):
 
 
 def _boxes(spark, sf_dir):
-    b = part_boxes(spark, sf_dir)
-    return b.select("fid", *[x.alias(n) for x, n in zip(gm.bbox(F.col("geom")), ("minx", "miny", "maxx", "maxy"))])
+    b = once(part_boxes(spark, sf_dir), **dict(zip(("minx", "miny", "maxx", "maxy"), gm.bbox(F.col("geom")))))
+    return b.select("fid", "minx", "miny", "maxx", "maxy")
 
 
 def _c(*names):
