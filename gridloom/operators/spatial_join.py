@@ -82,8 +82,11 @@ def features_by_tile(features: DataFrame, fp: Footprint, width: int, height: int
 
 
 def zonal(pixels: DataFrame, burnt: DataFrame, key: str) -> DataFrame:
-    """(key, n, mean) of the pixels (px, py, value) under each burnt shape (key, px, py)."""
-    return burnt.join(pixels, ["px", "py"]).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    """(key, n, mean) of the pixels (px, py, value) under each burnt shape (key, px, py).
+
+    Pixels made of arrays are many more than their table's bytes tell, so they are never broadcast.
+    """
+    return burnt.join(pixels.hint("merge"), ["px", "py"]).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
 def tiles_of_windows(windows: DataFrame, width: int, height: int) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Copies of points and shapes joined together."""
+"""Copies of points and shapes joined together, pixels of zones."""
 
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as gm
 from gridloom.operators import spatial_join
+from gridloom.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_copies_of_points_and_shapes_are_joined_together(spark, monkeypatch):
@@ -18,3 +21,7 @@ def test_copies_of_points_and_shapes_are_joined_together(spark, monkeypatch):
     assert sorted(got) == [(k, f, k % 3 + 0.5) for k in range(300) for f in range(50) if k % 3 == 0 or (k % 3 == 1 and f % 2)]
     parts = spatial_join.gathered(points, ["x", "y"], "r", 20).select(F.size("r").alias("n")).collect()
     assert sum(r["n"] for r in parts) == 300 and max(r["n"] for r in parts) < 60
+
+
+def test_pixels_of_zones_are_never_broadcast(spark):
+    assert "BroadcastHashJoin" not in QUERIES["zonal_stats"](spark, SF)._jdf.queryExecution().executedPlan().toString()
