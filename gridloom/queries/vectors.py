@@ -124,21 +124,21 @@ def _shape(kind, *parts):
     return F.struct(F.lit(kind).alias("type"), F.lit(False).alias("has_z"), F.array(*[F.array(*p) for p in parts]).alias("parts"))
 
 
-def _boxes(spark, sf_dir):
+def _boxes(spark, sf_dir, *fields):
     b = once(part_boxes(spark, sf_dir), **dict(zip(("minx", "miny", "maxx", "maxy"), gm.bbox(F.col("geom")))))
-    return b.select("fid", "minx", "miny", "maxx", "maxy")
+    return b.select("fid", "minx", "miny", "maxx", "maxy", *fields)
 
 
 def _c(*names):
     return [F.col(n) for n in names]
 
 
-def frames(spark, sf_dir):
-    """(fid, geom): squares with a hole of half their width."""
-    b = _boxes(spark, sf_dir)
+def frames(spark, sf_dir, *fields):
+    """(fid, geom, fields): squares with a hole of half their width."""
+    b = _boxes(spark, sf_dir, *fields)
     x0, y0, x1, y1 = _c("minx", "miny", "maxx", "maxy")
     q = (x1 - x0) / 4
-    return b.select("fid", _shape("Polygon", [_rect(x0, y0, x1, y1), _rect(x0 + q, y0 + q, x1 - q, y1 - q, True)]).alias("geom"))
+    return b.select("fid", _shape("Polygon", [_rect(x0, y0, x1, y1), _rect(x0 + q, y0 + q, x1 - q, y1 - q, True)]).alias("geom"), *fields)
 
 
 _CUT = "greatest(0, least({x1}, 60) - greatest({x0}, 20)) * greatest(0, least({y1}, 70) - greatest({y0}, 30))"
@@ -236,7 +236,8 @@ _FILE = f"WITH {_H} SELECT CAST(row_number() OVER (ORDER BY fid) - 1 AS BIGINT)
 
 
 def _layer(spark, sf_dir):
-    return frames(spark, sf_dir).join(part_boxes(spark, sf_dir).drop("geom"), "fid")
+    """Frames with the fields of their parts, in one pass: a join would broadcast a table that its file's size makes look small."""
+    return frames(spark, sf_dir, "p_name", "p_size")
 
 
 @query(_FILE)

@@ -36,3 +36,8 @@ def test_wkt_is_parsed_once(spark):
     assert len(plan(g)) < 20_000
     got = [r["g"] and (r["g"]["type"], r["g"]["has_z"], [len(p) for p in r["g"]["parts"]]) for r in g.collect()]
     assert got == [("Polygon", False, [2]), ("MultiPoint", True, [1, 1]), ("Point", False, [1]), None, None]
+
+
+def test_the_layer_of_frames_takes_its_fields_along(spark):
+    d = vectors._layer(spark, SF)
+    assert "Join" not in plan(d) and d.columns == ["fid", "geom", "p_name", "p_size"]
