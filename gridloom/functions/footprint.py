@@ -209,26 +209,30 @@ def inverse(fp: Column, x, y) -> tuple[Column, Column]:
     return (u * fp["dy"] - v * fp["rx"]) / det, (v * fp["dx"] - u * fp["ry"]) / det
 
 
-def spatial_to_raster(fp: Column, x, y, op: str = "floor", dtype: str | None = None) -> tuple[Column, Column]:
-    """Pixel indices of a point; ``op`` is floor, ceil, rint or none, and does not apply to float types."""
+def spatial_to_raster(fp: Column, x, y, op: str = "floor", dtype: str | None = None, dense: Column | None = None) -> tuple[Column, Column]:
+    """Pixel indices of a point; ``op`` is floor, ceil, rint or none, and does not apply to float types.
+
+    ``dense`` is a column that holds ``density(fp)`` where a footprint has many points.
+    """
     dtype = dtype or current().default_index_dtype
-    d = density(fp)
+    d = density(fp) if dense is None else dense
     out = []
     for v in inverse(fp, x, y):
         if dtype in ("float", "double"):
             out.append(v.cast(dtype))
             continue
         rounding = {"floor": F.floor, "ceil": F.ceil, "rint": F.rint, "none": lambda z: z}[op]
-        out.append(bind(F.struct(v.alias("v"), d.alias("d")), lambda t: rounding(F.rint(t["v"] * t["d"]) / t["d"])).cast(dtype))
+        snapped = lambda v, d: rounding(F.rint(v * d) / d)
+        out.append((bind(F.struct(v.alias("v"), d.alias("d")), lambda t: snapped(t["v"], t["d"])) if dense is None else snapped(v, d)).cast(dtype))
     return out[0], out[1]
 
 
 raster_to_spatial = at
 
 
-def slice_in(fp: Column, other: Column, clip: bool = False) -> dict[str, Column]:
-    """Where ``fp``, on the grid of ``other``, lies in it: half-open ranges of columns and rows."""
-    x0, y0 = spatial_to_raster(other, fp["tlx"], fp["tly"], "rint")
+def slice_in(fp: Column, other: Column, clip: bool = False, dense: Column | None = None) -> dict[str, Column]:
+    """Where ``fp``, on the grid of ``other``, lies in it: half-open ranges of columns and rows; ``dense`` as in ``spatial_to_raster``."""
+    x0, y0 = spatial_to_raster(other, fp["tlx"], fp["tly"], "rint", dense=dense)
     v = {"x0": x0, "x1": x0 + fp["rsx"], "y0": y0, "y1": y0 + fp["rsy"]}
     if clip:
         v = {k: F.least(F.greatest(c, F.lit(0)), other["rsx" if k[0] == "x" else "rsy"]) for k, c in v.items()}

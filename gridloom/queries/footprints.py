@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
 from ..operators.spatial_join import footprint_pairs
+from ..plans.spread import once
 from .base import CUS, SUP, customer_points, flat, footprints, fp, query, table
 
 FLAT = "tlx, dx, 0.0::DOUBLE AS rx, tly, 0.0::DOUBLE AS ry, dy"
@@ -150,8 +151,10 @@ def meshgrid_spatial(spark, sf_dir):
 @query(f"WITH {SUP} SELECT k, col, row, CAST(floor((col * dx + 2) / (2 * dx)) AS INTEGER) AS ocol, CAST(floor((row * dy - 2) / (2 * dy)) AS INTEGER) AS orow FROM (SELECT *, CAST(unnest(range(rsx)) AS INTEGER) AS col FROM (SELECT *, CAST(unnest(range(rsy)) AS INTEGER) AS row FROM fp))")
 def meshgrid_raster_in(spark, sf_dir):
     other = fpx.make(fp()["tlx"] - 2, fp()["dx"] * 2, 0.0, fp()["tly"] + 2, 0.0, fp()["dy"] * 2, fp()["rsx"], fp()["rsy"])
-    c, r = fpx.spatial_to_raster(other, *fpx.at(fp(), F.col("col"), F.col("row")))
-    return mesh(footprints(spark, sf_dir)).select("k", "col", "row", c.alias("ocol"), r.alias("orow"))
+    # what a footprint's pixels share is made once a footprint
+    f = once(once(footprints(spark, sf_dir), other=other), dense=fpx.density(F.col("other")))
+    c, r = fpx.spatial_to_raster(F.col("other"), *fpx.at(fp(), F.col("col"), F.col("row")), dense=F.col("dense"))
+    return mesh(f).select("k", "col", "row", c.alias("ocol"), r.alias("orow"))
 
 
 @query(f"WITH {SUP} SELECT k, 0 AS x0, CAST(rsx - 3 AS INTEGER) AS x1, CAST(2 AS INTEGER) AS y0, CAST(rsy AS INTEGER) AS y1 FROM fp")

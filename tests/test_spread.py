@@ -1,13 +1,14 @@
 """Rows of small files over all tasks, expressions made once a row."""
 
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry as gm
-from gridloom.operators import vector
+from gridloom.operators import tiling, vector
 from gridloom.plans.spread import once, spread
-from gridloom.queries import vectors
+from gridloom.queries import QUERIES, vectors
 from gridloom.queries.base import footprints, part_boxes
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,9 @@ def test_wkt_is_parsed_once(spark):
 def test_the_layer_of_frames_takes_its_fields_along(spark):
     d = vectors._layer(spark, SF)
     assert "Join" not in plan(d) and d.columns == ["fid", "geom", "p_name", "p_size"]
+
+
+def test_what_the_pixels_of_a_footprint_share_is_made_once_a_footprint(spark):
+    d = QUERIES["meshgrid_raster_in"](spark, SF)
+    above = plan(d).split("explode(sequence(")[0]
+    assert "SQRT" not in above and "transform" not in above
