@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
+from ..plans.spread import once
 
 EFFECTS = ("extend", "exclude", "overlap", "shrink", "exception")
 LOCI = {"br": (1, 1), "tr": (1, -1), "tl": (-1, -1), "bl": (-1, 1)}
@@ -91,22 +92,34 @@ def tile_occurrence(df: DataFrame, size, occurrence, effect: str = "extend", loc
 
 def is_tiling(tiles: DataFrame, boundless: bool = False, fp: str = "fp", by: str | None = None, whole: DataFrame | None = None) -> DataFrame:
     """(uncovered, overlapping, outside) of a tiling with columns ``fp`` and ``tile``: pixels of the footprint
-    that no tile holds, pixels that several hold, and tiles that reach out of it.  Counted by pixel.
+    that no tile holds, pixels that several hold, and tiles that reach out of it.  Counted by rows of pixels.
 
     With ``by`` the tilings of many footprints are checked, each by itself, and the counts added up;
     ``whole`` (by, fp) has the footprints, which may have no tile."""
     k = F.lit(0) if by is None else F.col(by)
-    s = fpx.slice_in(F.col("tile"), F.col(fp))
-    t = tiles.select(k.alias("k"), F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"), *[c.alias(k) for k, c in s.items()])
+    t = _sliced(tiles.withColumn("k", k), fp).select("k", F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"), "x0", "x1", "y0", "y1")
     out = t.agg(F.coalesce(F.sum(((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > F.col("w")) | (F.col("y1") > F.col("h"))).cast("long")), F.lit(0)).alias("outside"))
-    px = t.select("k", "w", "h", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1").withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    n = px.where("x >= 0 and y >= 0 and x < w and y < h").groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    n = n.agg(F.count(F.lit(1)).alias("held"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("overlapping"))
+    # a row of pixels changes only where a tile begins or ends
+    zero = F.lit(0)
+    inner = t.select("k", F.greatest("x0", zero).alias("x0"), F.least("x1", "w").alias("x1"), F.greatest("y0", zero).alias("y0"), F.least("y1", "h").alias("y1")).where("x1 > x0 and y1 > y0")
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.lit(step).alias("step")) for x, step in (("x0", 1), ("x1", -1))]))
+    rows = inner.select("k", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1").select("k", "y", ends.alias("e"))
+    w = Window.partitionBy("k", "y").orderBy("x")
+    runs = rows.groupBy("k", "y", F.col("e.x").alias("x")).agg(F.sum("e.step").alias("step"))
+    runs = runs.select((F.lead("x").over(w) - F.col("x")).cast("long").alias("wide"), F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
+    held = lambda least: F.coalesce(F.sum(F.when(F.col("n") > least, F.col("wide"))), F.lit(0))
+    n = runs.agg(held(0).alias("held"), held(1).alias("overlapping"))
     full = t if whole is None else whole.select(k.alias("k"), F.col(fp)["rsx"].alias("w"), F.col(fp)["rsy"].alias("h"))
     area = full.groupBy("k").agg(F.max(F.col("w").cast("long") * F.col("h")).alias("area")).agg(F.coalesce(F.sum("area"), F.lit(0)).alias("area"))
     return n.crossJoin(area).crossJoin(out).select((F.col("area") - F.col("held")).alias("uncovered"), "overlapping", "outside")
 
 
+def _sliced(tiles: DataFrame, fp: str, clip: bool = False) -> DataFrame:
+    """``tiles`` with the ranges (x0, x1, y0, y1) of pixels of ``fp`` that each holds, made once a tile."""
+    dense = once(tiles, __dense=fpx.density(F.col(fp)))
+    return once(dense, **fpx.slice_in(F.col("tile"), F.col(fp), clip, F.col("__dense"))).drop("__dense")
+
+
 def pixel_occurrence(tiles: DataFrame, fp: str = "fp") -> DataFrame:
     """(px, py, n): how many tiles hold each pixel of their footprint."""
     s = fpx.slice_in(F.col("tile"), F.col(fp), clip=True)

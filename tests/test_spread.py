@@ -48,3 +48,23 @@ def test_what_the_pixels_of_a_footprint_share_is_made_once_a_footprint(spark):
     d = QUERIES["meshgrid_raster_in"](spark, SF)
     above = plan(d).split("explode(sequence(")[0]
     assert "SQRT" not in above and "transform" not in above
+
+
+def test_a_tiling_is_checked_by_rows(spark):
+    tile = lambda k, x, y, w, h, fw=9, fh=5: (k, (0.0, 1.0, 0.0, 0.0, 0.0, -1.0, fw, fh), (float(x), 1.0, 0.0, float(-y), 0.0, -1.0, w, h))
+    few = [tile(1, 0, 0, 5, 3), tile(1, 3, 1, 4, 4), tile(1, 3, 1, 2, 2), tile(1, -2, 4, 4, 3), tile(2, 8, 0, 3, 1), tile(2, 1, 1, 1, 1)]
+    kind = "tlx double, dx double, rx double, tly double, ry double, dy double, rsx int, rsy int"
+    made = lambda rows: spark.createDataFrame(rows, f"k int, fp struct<{kind}>, tile struct<{kind}>")
+    held, outside = Counter(), 0
+    for k, f, t in few:
+        x, y = int(t[0]), int(-t[3])
+        px = [(k, i, j) for i in range(x, x + t[6]) for j in range(y, y + t[7])]
+        inside = [p for p in px if 0 <= p[1] < 9 and 0 <= p[2] < 5]
+        held.update(inside)
+        outside += len(inside) < len(px)
+    want = (2 * 45 - len(held), sum(n > 1 for n in held.values()), outside)
+    assert tuple(tiling.is_tiling(made(few), by="k").first()) == want
+    # two tiles of 150 million columns each, one short of the end
+    wide = [tile(1, 0, 0, 150_000_000, 1, 300_000_000, 1), tile(1, 149_999_998, 0, 150_000_000, 1, 300_000_000, 1)]
+    assert tuple(tiling.is_tiling(made(wide)).first()) == (2, 2, 0)
+    assert tiling.is_tiling(made(few).limit(0)).first()["overlapping"] == 0
