@@ -122,10 +122,10 @@ def _sliced(tiles: DataFrame, fp: str, clip: bool = False) -> DataFrame:
 
 def pixel_occurrence(tiles: DataFrame, fp: str = "fp") -> DataFrame:
     """(px, py, n): how many tiles hold each pixel of their footprint."""
-    s = fpx.slice_in(F.col("tile"), F.col(fp), clip=True)
-    t = tiles.select(*[c.alias(k) for k, c in s.items()]).where("x1 > x0 and y1 > y0")
+    # tiles of one place are counted before they become pixels
+    t = _sliced(tiles, fp, True).where("x1 > x0 and y1 > y0").groupBy("x0", "x1", "y0", "y1").agg(F.count(F.lit(1)).alias("n"))
     px = t.withColumn("py", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("px", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    return px.groupBy("px", "py").agg(F.count(F.lit(1)).alias("n"))
+    return px.groupBy("px", "py").agg(F.sum("n").alias("n"))
 
 
 def plain_offsets(n: int, size: int, overlap: int, effect: str) -> list[tuple[int, int]]:

@@ -68,3 +68,8 @@ def test_a_tiling_is_checked_by_rows(spark):
     wide = [tile(1, 0, 0, 150_000_000, 1, 300_000_000, 1), tile(1, 149_999_998, 0, 150_000_000, 1, 300_000_000, 1)]
     assert tuple(tiling.is_tiling(made(wide)).first()) == (2, 2, 0)
     assert tiling.is_tiling(made(few).limit(0)).first()["overlapping"] == 0
+
+
+def test_tiles_of_one_place_are_counted_before_they_become_pixels(spark):
+    d = plan(QUERIES["tile_occurrence"](spark, SF))
+    assert d.count("Aggregate [") == 2 and d.count("SQRT") < 40
