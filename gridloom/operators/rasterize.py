@@ -70,7 +70,7 @@ def touched(e: DataFrame, fp: Footprint, key: str) -> DataFrame:
         first, last = F.floor(lo).cast("int") + 1, F.ceil(hi).cast("int") - 1
         return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: (k - F.col(a)) / (F.col(b) - F.col(a)))).otherwise(F.array().cast("array<double>"))
 
-    ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("u1", "u2"), crossings("v1", "v2"))))
+    ts = F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings("u1", "u2"), crossings("v1", "v2"))))
     t = e.withColumn("ts", ts).select("*", F.posexplode("ts").alias("i", "t0")).withColumn("t1", F.get("ts", F.col("i") + 1)).where("t1 is not null")
     mid = (F.col("t0") + F.col("t1")) / 2
     return t.select(key, F.floor(F.col("u1") + mid * (F.col("u2") - F.col("u1"))).cast("int").alias("px"), F.floor(F.col("v1") + mid * (F.col("v2") - F.col("v1"))).cast("int").alias("py"))

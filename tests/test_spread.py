@@ -73,3 +73,8 @@ def test_a_tiling_is_checked_by_rows(spark):
 def test_tiles_of_one_place_are_counted_before_they_become_pixels(spark):
     d = plan(QUERIES["tile_occurrence"](spark, SF))
     assert d.count("Aggregate [") == 2 and d.count("SQRT") < 40
+
+
+def test_crossings_are_sorted_without_a_comparator(spark):
+    d = plan(QUERIES["burn_lines_all_touched"](spark, SF))
+    assert "sort_array" in d and "array_sort" not in d
