@@ -78,3 +78,9 @@ def test_tiles_of_one_place_are_counted_before_they_become_pixels(spark):
 def test_crossings_are_sorted_without_a_comparator(spark):
     d = plan(QUERIES["burn_lines_all_touched"](spark, SF))
     assert "sort_array" in d and "array_sort" not in d
+
+
+def test_burning_groups_where_the_rows_were_spread(spark):
+    for name in ("burn_polygons_all_touched",):
+        physical = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in physical and "ENSURE_REQUIREMENTS" not in physical
