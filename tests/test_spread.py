@@ -81,6 +81,6 @@ def test_crossings_are_sorted_without_a_comparator(spark):
 
 
 def test_burning_groups_where_the_rows_were_spread(spark):
-    for name in ("burn_polygons_all_touched",):
+    for name in ("burn_polygons_all_touched", "burn_lines"):
         physical = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in physical and "ENSURE_REQUIREMENTS" not in physical
