@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import footprint as fpx
 from ..functions import geometry as gm
-from ..plans.spread import spread
+from ..plans.spread import ROWS, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,11 +81,11 @@ def customer_points(spark, sf_dir: str) -> DataFrame:
 CUS = """cus AS (SELECT c_custkey AS k, (c_custkey % 128) + 0.25::DOUBLE AS x, (c_custkey * 7) % 128 + 0.5::DOUBLE AS y, c_name, c_acctbal, c_mktsegment FROM customer)"""
 
 
-def part_boxes(spark, sf_dir: str) -> DataFrame:
-    """(fid, geom, p_name, p_size): rectangles around the parts."""
+def part_boxes(spark, sf_dir: str, rows: int = ROWS) -> DataFrame:
+    """(fid, geom, p_name, p_size): rectangles around the parts, some ``rows`` a task."""
     k, h = F.col("p_partkey"), F.col("p_size") / 8.0
     x, y = (k % 128).cast("double"), ((k * 5) % 128).cast("double")
-    return spread(table(spark, sf_dir, "part"), "p_partkey").select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
+    return spread(table(spark, sf_dir, "part"), "p_partkey", rows).select(k.alias("fid"), gm.box(x - h, y - h, x + h, y + h).alias("geom"), "p_name", "p_size")
 
 
 PART = """prt AS (SELECT p_partkey AS fid, (p_partkey % 128)::DOUBLE AS x, ((p_partkey * 5) % 128)::DOUBLE AS y, p_size / 8.0::DOUBLE AS h, p_name, p_size FROM part),

@@ -197,12 +197,14 @@ def focal_range(spark, sf_dir):
 # --- pixels and geometries -----------------------------------------------------------------------
 
 BURN_FP = Footprint.of((0, 128), (128, 128), (128, 128))
+#: polygons that one task burns; a task groups all their pixels, some 65 a polygon, so its memory follows this and not the table
+BURN_ROWS = 2048
 _BURN = f"{PART}, burn AS (SELECT b.fid, x AS px, y AS py FROM box b, range(128) u(x), range(128) v(y) WHERE x + 0.5 >= minx AND x + 0.5 < maxx AND 127.5 - y > miny AND 127.5 - y <= maxy)"
 
 
 @query(f"WITH {_BURN} SELECT fid, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py FROM burn")
 def burn_polygons(spark, sf_dir):
-    return rasterize.burn_polygons(part_boxes(spark, sf_dir).select("fid", "geom"), BURN_FP, "fid").select("fid", "px", "py")
+    return rasterize.burn_polygons(part_boxes(spark, sf_dir, BURN_ROWS).select("fid", "geom"), BURN_FP, "fid").select("fid", "px", "py")
 
 
 @query(f"WITH {_BURN} SELECT CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, max(fid) AS label FROM burn GROUP BY px, py")
@@ -300,7 +302,7 @@ def burn_lines_all_touched(spark, sf_dir):
 @query(f"WITH {PART} SELECT fid, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py FROM box, range(128) u(x), range(128) v(y) WHERE x BETWEEN floor(minx) AND floor(maxx) AND y BETWEEN floor(128 - maxy) AND floor(128 - miny) AND NOT (x = maxx AND y = 128 - miny)")
 def burn_polygons_all_touched(spark, sf_dir):
     """A side on the line between two pixels touches the one on the right of it, or below; the lower right corner alone touches none."""
-    return rasterize.burn_polygons(part_boxes(spark, sf_dir).select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
+    return rasterize.burn_polygons(part_boxes(spark, sf_dir, BURN_ROWS).select("fid", "geom"), BURN_FP, "fid", all_touched=True).select("fid", "px", "py")
 
 
 @query(_thin_sql(250000))

@@ -84,3 +84,10 @@ def test_burning_groups_where_the_rows_were_spread(spark):
     for name in ("burn_polygons_all_touched", "burn_lines"):
         physical = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in physical and "ENSURE_REQUIREMENTS" not in physical
+
+
+def test_a_task_burns_as_many_polygons_whatever_the_table(spark, tmp_path):
+    n, k = 40_000, F.col("id")
+    spark.range(n).select(k.alias("p_partkey"), k.cast("string").alias("p_name"), (k % 50 + 1).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("burn_polygons", "burn_polygons_all_touched"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= n // 2048, name
