@@ -36,8 +36,9 @@ def sketches(texts: DataFrame, shingles: Shingles) -> DataFrame:
     A hash that one of two sets lacks changes one bit, so two sets differ in as many hashes as their
     sketches in bits, or more.
     """
+    # arrays are made before they are exploded, as code is generated for a generator of plain columns only;
     # the outer form, as the plain one would add a filter that makes all shingles once more
-    x = texts.select("h", F.explode_outer(shingles(F.col("text"))).alias("x"))
+    x = texts.select("h", shingles(F.col("text")).alias("s")).select("h", F.explode_outer("s").alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("x", 58).cast("int"))
     words = [F.coalesce(F.bit_xor(F.when(F.pmod("x", F.lit(WORDS)) == k, bit)), F.lit(0)).alias(f"w{k}") for k in range(WORDS)]
     return x.groupBy("h").agg(F.count("x").cast("int").alias("n"), *words)

@@ -14,6 +14,10 @@ of ``WIDTH`` characters or fewer have one shingle, so only equal ones are alike.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import pairwise
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,17 +68,31 @@ def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def banded(lines: DataFrame) -> DataFrame:
     """``lines`` (line and more) with the line's hash ``h`` and its band keys ``keys`` in place of the line.
 
-    The bounds of the bands are sorted in among the hashes, so a band's key is the hash of the slice
-    after its bound; the first elements follow the last ones again.  A slice of bounds alone has no key.
+    The bounds of the bands are sorted in among the hashes, so a band's key is the hash of the ``ROWS`` different ones
+    after its bound; the first elements follow the last ones again.  Bounds alone have no key.
+    Repeats of a hash are looked for behind the bounds alone; only a line that has some there, one in twenty or so, is freed of all its repeats.
     """
     at = [b * ((1 << 64) // BANDS) - (1 << 63) for b in range(BANDS)]
     others = [c for c in lines.columns if c != "line"]
-    hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.array_union(F.array(*map(F.lit, at)), hashes(F.col("line")))).alias("s"))
+    hashed = lines.select(*others, F.xxhash64("line").alias("h"), F.sort_array(F.concat(F.array(*map(F.lit, at)), hashes(F.col("line")))).alias("s"))
     ring = hashed.select(*others, "h", F.concat("s", F.slice("s", 1, ROWS)).alias("s"))
-    cut_ = ring.select(*others, "h", F.array(*[F.slice("s", F.array_position("s", F.lit(b)) + 1, F.lit(ROWS)) for b in at]).alias("cuts"))
-    # between a bound and the one ROWS further on lie the bounds between them, so a slice that ends there has no hash
-    keys = [F.when(F.col("cuts")[b][ROWS - 1] != at[(b + ROWS) % BANDS], F.xxhash64(F.col("cuts")[b])) for b in range(BANDS)]
-    return cut_.select(*others, "h", F.array_except(F.array(*keys), F.array(F.lit(None).cast("long"))).alias("keys"))
+    placed = ring.select(*others, "h", "s", *[F.array_position("s", F.lit(b)).cast("int").alias(f"p{k}") for k, b in enumerate(at)])
+    near = [[f"e{b}_{k}" for k in range(ROWS + 1)] for b in range(BANDS)]
+    read = placed.select(*others, "h", "s", *[F.get("s", F.col(f"p{b}") + (k - 1)).alias(n) for b, names in enumerate(near) for k, n in enumerate(names)])
+    repeats = reduce(or_, [F.col(x) == F.col(y) for names in near for x, y in pairwise(names)])
+
+    def keyed(b: int, after: list[Column]) -> Column:
+        # between a bound and the one ROWS further on lie the bounds between them, so what ends there has no hash
+        return F.when(after[-1] != at[(b + ROWS) % BANDS], F.xxhash64(*after))
+
+    def freed(s: Column) -> Column:
+        own = F.concat(s, F.slice(s, 1, ROWS))
+        return F.transform(F.array(own), lambda r: F.array(*[keyed(b, [F.get(r, F.array_position(r, F.lit(at[b])).cast("int") + k) for k in range(ROWS)]) for b in range(BANDS)]))[0]
+
+    quick = F.array(*[keyed(b, [F.col(n) for n in names[1:]]) for b, names in enumerate(near)])
+    full = F.transform(F.array(F.array_distinct("s")), freed)[0]
+    made = read.select(*others, "h", F.when(repeats, full).otherwise(quick).alias("keys"))
+    return made.select(*others, "h", F.array_except("keys", F.array(F.lit(None).cast("long"))).alias("keys"))
 
 
 def classed(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:

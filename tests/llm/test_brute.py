@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
+from gridloom.llm import classes, line_dedup, mixing, quality_model, quality_rules, quotes, secrets, sharding, simhash, token_counts
 from gridloom.llm.classes import similar_classes
 from gridloom.plans.lineage import components
 
@@ -560,3 +560,20 @@ def test_reruns_agree(spark, name):
 
     rows = [sorted(map(str, queries.QUERIES[name](spark, SF).collect())) for _ in range(2)]
     assert rows[0] == rows[1]
+
+
+def test_signatures_and_sketches_are_made_by_generated_code(spark):
+    """Hashes are sorted with their repeats, which no set is made for; the array of shingles stands below the generator, a plain column for it."""
+    lines = spark.createDataFrame([("ab" * 40,), ("0123456789" * 30,), ("a" * 200 + "some words after it",), ("short",), ("The rain in Spain stays mainly in the plain. " * 3,)], "line string")
+    banded = line_dedup.banded(lines)
+    assert "array_union" not in banded._jdf.queryExecution().optimizedPlan().toString()
+    bounds = [b * ((1 << 64) // line_dedup.BANDS) - (1 << 63) for b in range(line_dedup.BANDS)]
+    signed = lines.select(F.xxhash64("line").alias("h"), F.array_sort(F.array_union(F.array(*map(F.lit, bounds)), line_dedup.hashes(F.col("line")))).alias("ring")).collect()
+    got = {r["h"]: r["keys"] for r in banded.collect()}
+    for r in signed:
+        cut = [[r["ring"][(r["ring"].index(b) + 1 + k) % len(r["ring"])] for k in range(line_dedup.ROWS)] for b in bounds]
+        whole = spark.createDataFrame([(c,) for c in cut if not set(c) <= set(bounds)], "c array<long>").select(F.xxhash64("c").alias("k"))
+        assert set(got[r["h"]]) == {x["k"] for x in whole.collect()}
+    sketches = classes.sketches(lines.select(F.xxhash64("line").alias("h"), F.col("line").alias("text")), line_dedup.shingles)
+    generators = [x for x in sketches._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x]
+    assert len(generators) == 1 and "transform" not in generators[0]
