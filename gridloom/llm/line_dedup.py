@@ -36,15 +36,15 @@ def normal(line: Column) -> Column:
 def hashes(line: Column, width: int = WIDTH) -> Column:
     """The hashes of the character windows of ``line``, repeats included; a line of ``width`` characters or fewer is one window.
 
-    UTF-32 makes a window a slice of bytes; the outer ``transform`` binds the encoded line, which would
-    otherwise be encoded again for every window.
+    UTF-32 makes a window a slice of bytes; the outer ``aggregate``, of no elements, binds the encoded line, which would
+    otherwise be encoded again for every window.  A ``transform`` would bind it, too, but copy the array of hashes.
     """
 
     def hashed(wide: Column) -> Column:
         last = F.greatest(F.octet_length(wide) - 4 * width, F.lit(0)) + 1
         return F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substr(wide, at, F.lit(4 * width))))
 
-    return F.transform(F.array(F.encode(line, "UTF-32")), hashed)[0]
+    return F.aggregate(F.array().cast("array<int>"), F.encode(line, "UTF-32"), lambda wide, _: wide, hashed)
 
 
 def shingles(line: Column, width: int = WIDTH) -> Column:
